@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import chat, exact_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc_transactions": warc.op4_warc_transactions,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc_transactions": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op10_chat_format": chat.ORACLE,
 }
