@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, warc
+from . import chat, exact_dedup, nbsvm, pieces, ppm, textcnn, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ppm_score": ppm.op2_ppm_score,
+    "op3_toxicity_cnn": textcnn.op3_toxicity_cnn,
     "op4_warc_transactions": warc.op4_warc_transactions,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op6_quality_nbsvm": nbsvm.op6_quality_nbsvm,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_chat_format": chat.op10_chat_format,
 }
