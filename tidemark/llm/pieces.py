@@ -198,31 +198,28 @@ class Vocabulary:
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
         token, back = np.full((n, size + 1), -1, np.int64), np.zeros((n, size + 1), np.int64)
+        starts_in = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(begins[:, :size], axis=1)], axis=1)
         worst = float(self.scores.min(initial=0)) - 10.0
         for e in range(1, size + 1):
-            for width in range(1, min(e, self.longest) + 1):
-                s = e - width
-                rows = np.flatnonzero(begins[:, e] & begins[:, s] & (best[:, s] > -np.inf))
-                if not len(rows):
-                    continue
-                ids = self.find((sums[rows, e] - sums[rows, s]) * inverse[s], np.full(len(rows), width))
-                if width <= 4:  # a character without a piece stands for its bytes
-                    single = (ids < 0) & (begins[rows, s + 1 : e].sum(1) == 0)
-                    lone = rows[single]
-                    ok = best[lone, s] + worst > best[lone, e]
-                    lone = lone[ok]
-                    best[lone, e], token[lone, e], back[lone, e] = best[lone, s] + worst, -1, width
-                rows, ids = rows[ids >= 0], ids[ids >= 0]
-                if self.bpe and len(rows):
-                    before = token[rows, s]
-                    ok = before < 0
-                    rest = np.flatnonzero(~ok)
-                    ok[rest] = self._allowed(before[rest], ids[rest])
-                    rows, ids = rows[ok], ids[ok]
-                value = best[rows, s] + (0.0 if self.bpe else self.scores[ids])
-                ok = value > best[rows, e]
-                rows, ids = rows[ok], ids[ok]
-                best[rows, e], token[rows, e], back[rows, e] = value[ok], ids, width
+            low = max(0, e - max(self.longest, 4))
+            rows, s = np.nonzero((begins[:, low:e] & (best[:, low:e] > -np.inf)) & begins[:, e : e + 1])
+            s += low
+            width = e - s
+            ids = self.find((sums[rows, e] - sums[rows, s]) * inverse[s], width)
+            value = best[rows, s] + (0.0 if self.bpe else self.scores[ids])
+            lone = np.flatnonzero((ids < 0) & (width <= 4))  # a character without a piece stands for its bytes
+            lone = lone[starts_in[rows[lone], e] - starts_in[rows[lone], s[lone]] == 1]
+            value[lone] = best[rows[lone], s[lone]] + worst
+            ok = ids >= 0
+            if self.bpe:
+                before = token[rows, s]
+                ask = np.flatnonzero(ok & (before >= 0))
+                ok[ask] = self._allowed(before[ask], ids[ask])
+            ok[lone] = True
+            pick = np.flatnonzero(ok)
+            pick = pick[np.lexsort((value[pick], rows[pick]))]
+            pick = pick[np.append(np.diff(rows[pick]) != 0, True)] if len(pick) else pick
+            best[rows[pick], e], token[rows[pick], e], back[rows[pick], e] = value[pick], ids[pick], width[pick]
         out = []
         for r in range(n):
             ids: list[int] = []
@@ -273,7 +270,7 @@ def load(path: str = MODEL) -> Vocabulary:
 class Encoder:
     """Encodes blocks; remembers units, up to ``limit``, under their 64-bit hash."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 300_000) -> None:
+    def __init__(self, vocab: Vocabulary, limit: int = 600_000) -> None:
         self.v, self.limit = vocab, limit
         self._forget()
 
