@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, nbsvm, pieces, ppm, textcnn, warc
+from . import chat, exact_dedup, jaccard, nbsvm, pieces, pii, ppm, textcnn, tiling, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pii": pii.op1_feistel_pii,
     "op2_ppm_score": ppm.op2_ppm_score,
     "op3_toxicity_cnn": textcnn.op3_toxicity_cnn,
     "op4_warc_transactions": warc.op4_warc_transactions,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_quality_nbsvm": nbsvm.op6_quality_nbsvm,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+    "op9_greedy_tiling": tiling.op9_greedy_tiling,
     "op10_chat_format": chat.op10_chat_format,
 }
 
