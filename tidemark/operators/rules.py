@@ -128,5 +128,6 @@ def filter_register(rules: DataFrame, model_id: str | None = None, dimension: st
 
 
 def register_counters(rules: DataFrame) -> DataFrame:
-    """(rules, high, shared, elements)."""
-    return rules.agg(F.count("*").alias("rules"), F.count_if(F.col("severity") == "High").alias("high"), F.count_if(F.size("model_ids") >= 2).alias("shared"), F.countDistinct("element").alias("elements"))
+    """(candidate, high, pending, accepted) of a filtered register."""
+    by = lambda c, v: F.count_if(F.col(c) == v)
+    return rules.agg(F.count("*").alias("candidate"), by("severity", "High").alias("high"), by("status", "Proposed").alias("pending"), by("status", "Accepted").alias("accepted"))

@@ -1 +1 @@
-"""Part of tidemark."""
+"""Sources: code files and extraction JSON."""

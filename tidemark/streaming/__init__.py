@@ -1 +1 @@
-"""Part of tidemark."""
+"""Structured Streaming: run progress, scans of arriving documents, event monitors."""
