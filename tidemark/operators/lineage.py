@@ -63,7 +63,7 @@ def with_aliases(refs: DataFrame, libnames: DataFrame | None) -> DataFrame:
 def roles(refs: DataFrame) -> DataFrame:
     """(canon, role): produced and consumed tables are Intermediate, produced ones Output, others Source."""
     by = refs.groupBy("canon").agg(F.bool_or(F.col("direction") == "output").alias("out"), F.bool_or(F.col("direction") == "input").alias("in"))
-    return by.select("canon", F.when(F.col("out") & F.col("in"), "Intermediate").when("out", "Output").otherwise("Source").alias("role"))
+    return by.select("canon", F.when(F.col("out") & F.col("in"), "Intermediate").when(F.col("out"), "Output").otherwise("Source").alias("role"))
 
 
 def assemble_tables(refs: DataFrame, role_overrides: DataFrame | None = None) -> DataFrame:
@@ -76,7 +76,7 @@ def assemble_tables(refs: DataFrame, role_overrides: DataFrame | None = None) ->
         ordered_set(F.when(F.col("direction") == "output", F.col("model_id")), "ord").alias("produced_by"),
         ordered_set(F.when(F.col("direction") == "input", F.col("model_id")), "ord").alias("consumed_by"),
     )
-    role = F.when(F.col("__out") & F.col("__in"), "Intermediate").when("__out", "Output").otherwise("Source")
+    role = F.when(F.col("__out") & F.col("__in"), "Intermediate").when(F.col("__out"), "Output").otherwise("Source")
     t = by.select(ids.table_id("canon").alias("table_id"), F.col("canon").alias("name"), role.alias("role"), ids.source_system("canon").alias("source_system"), "produced_by", "consumed_by", "source")
     if role_overrides is None:
         return t

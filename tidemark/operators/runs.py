@@ -35,7 +35,7 @@ def entity_ids(spark: SparkSession, path: str, kind: str, run_id: str) -> DataFr
 def list_runs(runs: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` runs (ties by id) with a count column per kind. ``entities(run_id, kind, ...)``."""
     newest = runs.orderBy(F.desc("timestamp"), "run_id").limit(limit)
-    counts = entities.groupBy("run_id").pivot("kind", list(ENTITY_IDS)).agg(F.count("*"))
+    counts = entities.groupBy("run_id").pivot("kind", list(ENTITY_IDS)).agg(F.count(F.lit(1)))
     return newest.join(counts, "run_id", "left").na.fill(0, list(ENTITY_IDS))
 
 

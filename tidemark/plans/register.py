@@ -60,7 +60,7 @@ def run_register(catalog: dict[str, DataFrame], usages: DataFrame, params: dict[
         elif st == "Must be non-null and non-zero":
             one = C.non_zero(table, col)
         elif st == R.DATE_STATEMENT:
-            one = C.valid_date(table, col, *p.get("range", DATE_BOUNDS)) if isinstance(kind, (T.DateType, T.TimestampType, T.StringType)) else None
+            one = C.valid_date(table, col, *p.get("range", DATE_BOUNDS)) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)) else None
         elif st == "Value within expected domain/range" and "range" in p:
             one = C.in_range(table, col, *p["range"])
         elif st.startswith("Domain/code-value") and "allowed" in p:
