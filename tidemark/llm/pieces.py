@@ -115,13 +115,13 @@ class Vocabulary:
         #: No piece has a space behind another character, so units may be cut before a word's spaces.
         self.cuts = all(b" " not in self.pieces[i].lstrip(b" ") for i in usable)
         self._index: HashIndex | None = None
-        self._pairs: dict[int, bool] = {}
+        self._pair_keys = self._pair_values = None
         table = [bytes([int(np.flatnonzero(self.byte_ids == i)[0])]) if self.kinds[i] == 6 else p if self.kinds[i] in (1, 4) else b"" for i, p in enumerate(self.pieces)]
         self.out_bytes = np.frombuffer(b"".join(table), np.uint8)
         self.out_first = np.concatenate([[0], np.cumsum([len(x) for x in table])])
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None, "_pairs": {}}
+        return self.__dict__ | {"_index": None, "_pair_keys": None, "_pair_values": None}
 
     def _last_merge(self, piece: bytes, by_bytes: dict[bytes, int]) -> tuple[int, int] | None:
         parts = [c.encode() for c in piece.decode()]
@@ -174,21 +174,27 @@ class Vocabulary:
         return good
 
     def _allowed(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """``agree`` with a memory of pairs, emptied when it holds two million."""
+        """``agree`` with a table of 2**18 remembered pairs, in which later pairs displace earlier ones."""
+        if self._pair_keys is None:
+            self._pair_keys, self._pair_values = np.full(1 << 18, -1, np.int64), np.zeros(1 << 18, bool)
         key = one * len(self.pieces) + two
-        uniq, back = np.unique(key, return_inverse=True)
-        known = [self._pairs.get(k) for k in uniq.tolist()]
-        new = np.array([i for i, k in enumerate(known) if k is None], np.int64)
+        slot = (mix(key.view(np.uint64)) & np.uint64((1 << 18) - 1)).astype(np.int64)
+        out = self._pair_values[slot]
+        new = np.flatnonzero(self._pair_keys[slot] != key)
         if len(new):
-            found = self.agree(uniq[new] // len(self.pieces), uniq[new] % len(self.pieces))
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            for i, k, ok in zip(new.tolist(), uniq[new].tolist(), found.tolist(), strict=True):
-                known[i] = self._pairs[k] = ok
-        return np.array(known, bool)[back]
-
-    def viterbi(self, units: np.ndarray) -> list[np.ndarray]:
-        """Token ids of each row of a matrix of bytes: all rows are units of this one length."""
+            uniq, at, back = np.unique(key[new], return_index=True, return_inverse=True)
+            found = self.agree(uniq // len(self.pieces), uniq % len(self.pieces))
+            out[new] = found[back]
+            where = slot[new][at]
+            self._pair_keys[where], self._pair_values[where] = uniq, found
+            # of several new pairs in one slot the last key stands there; so must its value
+            same = self._pair_keys[where] == uniq
+            self._pair_values[where[same]] = found[same]
+        return out
+
+    def viterbi(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the rows of a matrix of bytes, joined, and the number of each row's: all rows are
+        units of this one length."""
         n, size = units.shape
         power, inverse = _power(size + 1, "p0", _M1), SpanHash(np.zeros(size, np.uint8)).back
         sums = np.zeros((n, size + 1), np.uint64)
@@ -220,17 +226,20 @@ class Vocabulary:
             pick = pick[np.lexsort((value[pick], rows[pick]))]
             pick = pick[np.append(np.diff(rows[pick]) != 0, True)] if len(pick) else pick
             best[rows[pick], e], token[rows[pick], e], back[rows[pick], e] = value[pick], ids[pick], width[pick]
-        out = []
-        for r in range(n):
-            ids: list[int] = []
-            e = size
-            while e:
-                w = int(back[r, e])
-                t = int(token[r, e])
-                ids += [t] if t >= 0 else self.byte_ids[units[r, e - w : e][::-1]].tolist()
-                e -= w
-            out.append(np.array(ids[::-1], np.int32))
-        return out
+        rows, e = np.arange(n), np.full(n, size)
+        found: list[tuple[np.ndarray, ...]] = []
+        while len(rows):  # all rows go back one piece at a time
+            w, t = back[rows, e], token[rows, e]
+            lone = t < 0
+            found.append((rows[~lone], e[~lone] - w[~lone], t[~lone]))
+            for k in range(int(w[lone].max(initial=0))):
+                one = lone & (w > k)
+                found.append((rows[one], e[one] - w[one] + k, self.byte_ids[units[rows[one], e[one] - w[one] + k]].astype(np.int64)))
+            e = e - w
+            rows, e = rows[e > 0], e[e > 0]
+        row, at, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(row * (size + 1) + at)
+        return ids[order].astype(np.int32), np.bincount(row, minlength=n)
 
     def units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ends of the units of a block of marked texts, and each text's first unit (n + 1 values)."""
@@ -270,14 +279,32 @@ def load(path: str = MODEL) -> Vocabulary:
 class Encoder:
     """Encodes blocks; remembers units, up to ``limit``, under their 64-bit hash."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 600_000) -> None:
+    def __init__(self, vocab: Vocabulary, limit: int = 400_000) -> None:
         self.v, self.limit = vocab, limit
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.first = [np.zeros(0, np.int32)], [0]
-        self.flat: np.ndarray | None = None
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> None:
+        order = np.argsort(sizes, kind="stable")
+        flats, counts = [], []
+        for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            size = int(sizes[group[0]])
+            step = max(1, (1 << 17) // size)
+            for part in (group[i : i + step] for i in range(0, len(group), step)):
+                ids, n = self.v.viterbi(data[starts[part][:, None] + np.arange(size)])
+                flats.append(ids)
+                counts.append(n)
+        n = np.concatenate(counts)
+        first = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate([self.flat, *flats])
+        all_keys = np.concatenate([self.keys, keys[order]])
+        place = np.argsort(all_keys)
+        self.keys = all_keys[place]
+        self.starts = np.concatenate([self.starts, first])[place]
+        self.sizes = np.concatenate([self.sizes, n])[place]
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts of a block, and each text's first (n + 1 values)."""
@@ -286,29 +313,14 @@ class Encoder:
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         h = SpanHash(data).of(starts, ends)
         uniq, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > self.limit:
+        if len(self.keys) + len(uniq) > self.limit:
             self._forget()
-        new = [i for i, k in enumerate(uniq.tolist()) if k not in self.known]
-        if new:
-            where = at[new]
-            sizes = ends[where] - starts[where]
-            order = np.argsort(sizes, kind="stable")
-            runs = np.flatnonzero(np.diff(sizes[order])) + 1
-            for group in np.split(order, runs):
-                size = int(sizes[group[0]])
-                step = max(1, (1 << 18) // size)
-                for part in (group[i : i + step] for i in range(0, len(group), step)):
-                    grid = data[starts[where[part]][:, None] + np.arange(size)]
-                    for k, ids in zip(uniq[np.array(new)[part]].tolist(), self.v.viterbi(grid), strict=True):
-                        self.known[k] = len(self.first) - 1
-                        self.pool.append(ids)
-                        self.first.append(self.first[-1] + len(ids))
-            self.flat = None
-        if self.flat is None:
-            self.flat = np.concatenate(self.pool)
-            self.pool, self.starts = [self.flat], np.array(self.first)
-        which = np.array([self.known[k] for k in uniq.tolist()], np.int64)[back] if len(uniq) else np.zeros(0, np.int64)
-        n = self.starts[which + 1] - self.starts[which]
+        pos = np.searchsorted(self.keys, uniq)
+        new = np.flatnonzero(self.keys[np.minimum(pos, len(self.keys) - 1)] != uniq) if len(self.keys) else np.arange(len(uniq))
+        if len(new):
+            self._learn(data, starts[at[new]], ends[at[new]] - starts[at[new]], uniq[new])
+        which = np.searchsorted(self.keys, uniq)[back]
+        n = self.sizes[which]
         out_first = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.arange(out_first[-1]) - np.repeat(out_first[:-1], n) + np.repeat(self.starts[which], n)]
         return ids, out_first[first]
@@ -346,23 +358,34 @@ def decode_block(v: Vocabulary, ids: np.ndarray, first: np.ndarray) -> tuple[np.
     return data, off
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, extra: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, extra: tuple[str, ...] = (), verify: bool = False) -> DataFrame:
     """id, ``extra`` columns and ``ids`` (array of int) for each row, whole texts; no shuffle. A null or
-    empty text has no ids. Characters without a piece become their bytes' pieces."""
+    empty text has no ids. Characters without a piece become their bytes' pieces. ``verify`` adds
+    ``round_trip``: if the ids, decoded again, give the text (space marks counting as spaces)."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model_path))  # a vocabulary, a few MB
     kept = [id_col, *extra]
-    schema = pa.schema([*[(c, arrow_type(docs, c)) for c in kept], ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([*[(c, arrow_type(docs, c)) for c in kept], ("ids", pa.list_(pa.int32())), *([("round_trip", pa.bool_())] if verify else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(shared.value)
         for x in batches:
             for lo, hi, raw, off in blocks(x.column(x.num_columns - 1)):
                 ids, first = coder.encode(raw, off)
-                yield batch(schema, *[x.column(i).slice(lo, hi - lo) for i in range(len(kept))], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)))
+                more = [same_texts(coder.v, ids, first, raw, off)] if verify else []
+                yield batch(schema, *[x.column(i).slice(lo, hi - lo) for i in range(len(kept))], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)), *more)
 
     return docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).mapInArrow(run, _ddl(schema))
 
 
+def same_texts(v: Vocabulary, ids: np.ndarray, first: np.ndarray, raw: np.ndarray, off: np.ndarray) -> list[bool]:
+    """For each text of a block, if decoding its ids gives it."""
+    data, back = decode_block(v, ids.astype(np.int64), first)
+    if np.array_equal(back, off) and np.array_equal(data, raw):
+        return [True] * (len(off) - 1)
+    mark = SPACE_MARK.encode()
+    return [data[a:b].tobytes() == raw[c:d].tobytes().replace(mark, b" ") for a, b, c, d in zip(back[:-1], back[1:], off[:-1], off[1:], strict=True)]
+
+
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_path: str = MODEL, extra: tuple[str, ...] = ()) -> DataFrame:
     """id, ``extra`` columns and ``text`` for each row; null ids give the empty text. Bytes that are no
     UTF-8 come out as replacement characters."""
@@ -385,7 +408,6 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mode
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode every text, decode the ids, and compare with the text (space marks counting as spaces)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    back = decode(encode(docs, text_col="body", extra=("body",)), extra=("ids", "body"))
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("text") == F.translate("body", SPACE_MARK, " ")).alias("round_trip"))
+    """Encode every text, decode the ids again and compare."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return encode(docs, verify=True).withColumn("n_tokens", F.size("ids").cast("long"))
