@@ -15,7 +15,7 @@ def _kind(v: Column) -> Column:
 
 
 def _csv(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _columns(v: Column) -> Column:
