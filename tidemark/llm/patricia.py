@@ -4,7 +4,6 @@ to a task-local scratch file and is finished from there after the rest."""
 
 from __future__ import annotations
 
-import os
 import pickle
 import tempfile
 from collections.abc import Iterator
@@ -36,6 +35,17 @@ def _common(a: bytes, b: bytes, at: int) -> int:
     return lo
 
 
+def _load(file) -> Iterator[tuple[bytes, object, int]]:
+    """The items of a scratch file, which is closed behind them."""
+    file.seek(0)
+    with file:
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                return
+
+
 class OwnerTrie:
     """``better(new, old)`` tells if an identifier takes a string over from the one that owns it."""
 
@@ -90,13 +100,21 @@ class OwnerTrie:
         if len(path[-1].below) + bool(path[-1].rows) < 2 or not inner:
             return
         child = max(inner, key=lambda c: c.size)
-        child.file = tempfile.TemporaryFile()  # scratch of this task alone; a lost task starts over
+        file = tempfile.TemporaryFile()  # scratch of this task alone; a lost task starts over
         for item in self._walk(child, top):
-            pickle.dump(item, child.file, -1)
+            pickle.dump(item, file, -1)
+        stack = list(child.below.values())
+        while stack:  # what lies spilled further down moves along
+            node = stack.pop()
+            stack += node.below.values()
+            if node.file is not None:
+                for item in _load(node.file):
+                    pickle.dump(item, file, -1)
+        child.file = file
         for node in path:
             node.size -= child.size
         self.held -= child.size
-        child.below, child.size, child.rows = {}, 0, 0
+        child.below, child.size, child.rows, child.owner = {}, 0, 0, None
         self.spills += 1
 
     def _walk(self, node: _Node, above: bytes) -> Iterator[tuple[bytes, object, int]]:
@@ -116,15 +134,8 @@ class OwnerTrie:
             node = stack.pop()
             stack += node.below.values()
             if node.file is not None:
-                node.file.seek(0, os.SEEK_SET)
                 inner = OwnerTrie(self.better, self.budget)
-                try:
-                    while True:
-                        try:
-                            inner.insert(*pickle.load(node.file))
-                        except EOFError:
-                            break
-                finally:
-                    node.file.close()
+                for item in _load(node.file):
+                    inner.insert(*item)
                 yield from inner.items()
                 self.spills += inner.spills
