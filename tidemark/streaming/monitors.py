@@ -29,9 +29,10 @@ def redacted_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def event_windows(events: DataFrame, window: str = "1 hour", watermark: str = "2 hours", group: str = "event_type") -> DataFrame:
     """(window_start, group, events, null_values, last_ts) per tumbling window; rows later than the
     watermark are dropped from a stream, and windows behind it leave the state."""
-    w = events.withWatermark("ts", watermark).groupBy(F.window("ts", window), group)
+    kind = events.schema["ts"].dataType.simpleString()  # watermarks need a time with zone; results keep the given type
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).groupBy(F.window("ts", window), group)
     out = w.agg(F.count("*").alias("events"), F.count_if(F.col("value").isNull()).alias("null_values"), F.max("ts").alias("last_ts"))
-    return out.select(F.col("window.start").alias("window_start"), group, "events", "null_values", "last_ts")
+    return out.select(F.col("window.start").cast(kind).alias("window_start"), group, "events", "null_values", F.col("last_ts").cast(kind).alias("last_ts"))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
