@@ -156,21 +156,31 @@ def test_ppm_odd(spark):
     assert none.score == pytest.approx(-16 * math.log10(2)) and none.n_known == 0
 
 
-def test_context_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    data = np.frombuffer(rng.choice(list(b"abcd ef"), 3000).astype(np.uint8).tobytes(), np.uint8)
-    g, _ = ppm.symbols(data, np.array([0, 1000, 3000]), 2)
-    keys, n = [], []
-    for j in range(3):
-        for context in (False, True):
-            k = ((g >> np.uint64(8)) & np.uint64((1 << 8 * j) - 1) if context else g & np.uint64((1 << (8 * j + 8)) - 1)) | np.uint64(ppm._tag(j, context))
-            u, c = np.unique(k, return_counts=True)
-            keys.append(u[c >= 3])  # nodes left out go to the escapes
-            n.append(c[c >= 3])
-    m = ppm.build(2, np.concatenate(keys), np.concatenate(n))
-    for context in (0, 0x6162, 0x2020, 0x7A7A):
-        p = 2 ** -m.code_lengths(np.array([(context << 8) | s for s in range(256)], np.uint64))
-        assert p.sum() == pytest.approx(1, abs=0.02)
+def test_context_probabilities_sum_to_one(spark):
+    rng = random.Random(1)
+    learned = ["".join(rng.choice("abcd ef") for _ in range(400)) for _ in range(3)]
+    contexts = (0, 0x6162, 0x2020, 0x7A7A, 0x617A)
+    g = np.concatenate([ppm.symbols(np.frombuffer(t.encode(), np.uint8), np.array([0, 400]), 2)[0] for t in learned]).tolist()
+    rows = [(ppm.GRAM, k, 0, n, n) for k, n in collections.Counter(g).items()]
+    rows += [(ppm.GRAM, c << 8 | s, 0, 1, 0) for c in contexts for s in range(256) if c << 8 | s not in set(g)]
+    codes = ppm.code_lengths(spark.createDataFrame(rows, "kind int, k1 long, k2 long, n long, learned long"), 2).collect()
+    for context in contexts:
+        p = [2 ** -r.bits for r in codes if r.gram >> 8 == context]
+        assert len(p) == 256 and sum(p) == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 5])
+def test_ppm_joined_tail(spark, order, monkeypatch):
+    """With almost nothing broadcast the joins give the same scores, also for a column that marks the training rows."""
+    rng = random.Random(4)
+    texts = ["", *(" ".join(rng.choice(["alpha", "beta", "Gamma", "été"]) for _ in range(rng.randint(1, 20))) for _ in range(20))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(ppm, "SHARE_BITS", 1)
+    monkeypatch.setattr(ppm, "GRAM_BITS", 3)
+    rows = {r.doc_id: r for r in ppm.train_and_score(docs, F.col("doc_id") < 9, order=order).collect()}
+    assert [rows[i].score for i in range(21)] == pytest.approx(plain_ppm(texts[:9], texts, order))
+    known = {w for t in texts[:9] for w in lower(t).split()}
+    assert [rows[i].n_known for i in range(21)] == [1 + sum(w in known for w in lower(t).split()) for t in texts]
 
 
 # ------------------------------------------------------------------------------ 3, 6 classifiers

@@ -6,9 +6,11 @@ PPM's method C: a context seen n times with d kept symbols gives a symbol counte
 c / (n + d) and the escape the rest; after an escape the next shorter context excludes the symbols
 that the longer one could have coded. Below order 0 all remaining symbols are equally likely.
 
-The trie is kept flat, as sorted keys. Nodes are kept by relative frequency: those that hold at least
-1 / 2**20 of all symbols, which bounds each order to 2**20 nodes whatever the corpus is; what a context
-loses thereby is added to its escape, so the probabilities of a context still sum to one.
+The trie is a table of its nodes, one level per order, and is never cut: it grows with the corpus and
+stays distributed. What a symbol costs depends on it and the ``order`` bytes before it alone, so the
+levels are joined from the shortest context up into one table of costs for every sequence that occurs.
+The sequences with at least 1 / 2**22 of all symbols (2**22 of them at most) are looked up in the tasks,
+all others by a join.
 """
 
 from __future__ import annotations
@@ -16,20 +18,21 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, SpanHash, arrow_type, batch, blocks, fold_of, mix, segment_sum, staged, words
 from .exact_dedup import _ddl
 
 END = 0xFF
-#: A node or word is kept with the model, or broadcast, from this share of all symbols or tokens on.
-SHARE_BITS = 20
+#: Words and symbol sequences are broadcast from these shares (1 / 2**bits) of all tokens or symbols on;
+#: the others are joined. So no more than 2**bits of them are broadcast, and none of a join's keys is hot.
+SHARE_BITS, GRAM_BITS = 20, 22
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -66,93 +69,6 @@ class HashIndex:
         return out
 
 
-def _mask(bits: int) -> np.uint64:
-    return np.uint64((1 << bits) - 1)
-
-
-def _tag(order: int, context: bool) -> int:
-    return (2 * order + context) << 56
-
-
-@dataclass
-class Model:
-    """The flat trie. ``node`` arrays follow ``node_keys`` (context and symbol), ``ctx`` arrays ``ctx_keys``."""
-
-    order: int
-    node_keys: np.ndarray
-    node_start: np.ndarray  # code length where coding begins at this context
-    node_log: np.ndarray  # log2 of the count
-    ctx_keys: np.ndarray
-    ctx_escape: np.ndarray  # code length of an escape where coding begins here
-    next_log: np.ndarray  # log2 of the total at the next shorter context, after exclusion
-    next_escape: np.ndarray  # code length of an escape there
-
-    def __post_init__(self) -> None:
-        self._index: tuple[HashIndex, HashIndex] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None}
-
-    def code_lengths(self, grams: np.ndarray) -> np.ndarray:
-        """Bits of each symbol, given its ``order`` bytes of context and itself in one integer."""
-        if self._index is None:
-            self._index = HashIndex(self.node_keys), HashIndex(self.ctx_keys)
-        nodes, contexts = self._index
-        bits, todo, w = np.zeros(len(grams)), np.arange(len(grams)), np.full(len(grams), -1, np.int32)
-        for j in range(self.order, -1, -1):
-            g = grams[todo]
-            at = nodes.find((g & _mask(8 * j + 8)) | np.uint64(_tag(j, False)))
-            hit, before = at >= 0, w[todo]
-            ok = hit & (before < 0)
-            bits[todo[ok]] += self.node_start[at[ok]]
-            ok = hit & (before >= 0)
-            bits[todo[ok]] += self.next_log[before[ok]] - self.node_log[at[ok]]
-            todo, before, g = todo[~hit], before[~hit], g[~hit]
-            c = contexts.find(((g >> np.uint64(8)) & _mask(8 * j)) | np.uint64(_tag(j, True)))
-            ok = before >= 0
-            bits[todo[ok]] += self.next_escape[before[ok]]
-            ok = (before < 0) & (c >= 0)
-            bits[todo[ok]] += self.ctx_escape[c[ok]]
-            w[todo] = np.where(c >= 0, c, before)
-            if not len(todo):
-                break
-        if len(todo):
-            last = w[todo]
-            bits[todo] += np.where(last >= 0, self.next_log[last] if len(self.next_log) else 8.0, 8.0)
-        return bits
-
-
-def build(order: int, keys: np.ndarray, counts: np.ndarray) -> Model:
-    """A model from tagged node and context keys and their counts."""
-    sort = np.argsort(keys)
-    keys, counts = keys[sort], counts[sort].astype(np.float64)
-    context = (keys >> np.uint64(56)) & np.uint64(1) == 1
-    ck, cn, nk, nn = keys[context], counts[context], keys[~context], counts[~context]
-    c_order, n_order = (ck >> np.uint64(57)).astype(np.int64), (nk >> np.uint64(57)).astype(np.int64)
-    body = nk & _mask(56)
-    of = np.searchsorted(ck, ((n_order.astype(np.uint64) * np.uint64(2) + np.uint64(1)) << np.uint64(56)) | (body >> np.uint64(8)))
-    d = np.bincount(of, minlength=len(ck)).astype(np.float64)
-    kept = np.bincount(of, weights=nn, minlength=len(ck))
-    start = np.log2(cn[of] + d[of]) - np.log2(nn)
-    out = cn - kept + d
-    with np.errstate(divide="ignore", invalid="ignore"):
-        escape = np.where(out > 0, np.log2(cn + d) - np.log2(out), 0.0)
-        # after an escape from context w of order j, at its suffix p of order j - 1
-        shorter = np.maximum(c_order - 1, 0).astype(np.uint64)
-        p = np.searchsorted(ck, ((shorter * np.uint64(2) + np.uint64(1)) << np.uint64(56)) | (ck & ((np.uint64(1) << (shorter * np.uint64(8))) - np.uint64(1))))
-        n_short = np.maximum(n_order - 1, 0).astype(np.uint64)
-        below = (n_short << np.uint64(57)) | (body & ((np.uint64(1) << ((n_short + np.uint64(1)) * np.uint64(8))) - np.uint64(1)))
-        q = np.searchsorted(nk, below)
-        taken = np.bincount(of, weights=np.where(n_order > 0, nn[np.minimum(q, max(len(nn) - 1, 0))] if len(nn) else 0.0, 0.0), minlength=len(ck))
-        p = np.minimum(p, max(len(ck) - 1, 0))
-        left_d = (d[p] if len(ck) else d) - d
-        rest = (cn - kept)[p] + left_d if len(ck) else d
-        total = (cn[p] if len(ck) else cn) - taken + left_d
-        next_log = np.where(c_order > 0, np.log2(np.maximum(total, 1e-9)), np.log2(np.maximum(256.0 - d, 1.0)))
-        next_escape = np.where((c_order > 0) & (rest > 0), np.log2(np.maximum(total, 1e-9)) - np.log2(np.maximum(rest, 1e-9)), 0.0)
-    return Model(order, nk, start, np.log2(nn), ck, escape, next_log, next_escape)
-
-
 def symbols(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The (order + 1)-byte integer of each symbol of a block, and each row's first (n + 1 values).
     Texts begin after ``order`` zero bytes and end with ``END``."""
@@ -169,69 +85,105 @@ def symbols(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray,
     return g[take], first
 
 
-_STATS = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64())])
+_STATS = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("learned", pa.int64())])
 GRAM, WORD, TEXT = 0, 1, 2
 
 
-def _tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    uniq, inverse = np.unique(k, return_inverse=True)
-    return uniq, np.bincount(inverse, weights=n, minlength=len(uniq)).astype(np.int64)
+def _tally(keys: list[np.ndarray], counts: list[np.ndarray], learned: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k = np.concatenate(keys)
+    sort = np.argsort(k, kind="stable")
+    k = k[sort]
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[at], np.add.reduceat(np.concatenate(counts)[sort], at), np.add.reduceat(np.concatenate(learned)[sort], at)
 
 
 def count(texts: DataFrame, order: int) -> DataFrame:
-    """(kind, k1, k2, n) of the column ``text`` over all rows: how often each (order + 1)-gram of symbols
-    and each word (128-bit hash) occurs, and the number of texts. Counted in the tasks, then summed."""
+    """(kind, k1, k2, n, learned) of the columns ``text`` and ``learn`` over all rows: how often each
+    (order + 1)-gram of symbols occurs in all texts and in those to learn from, and of the latter each
+    word (128-bit hash) and the number of texts. Counted in the tasks, then summed."""
+
+    def rows(u: np.ndarray, n: np.ndarray, learned: np.ndarray) -> pa.RecordBatch:
+        return batch(_STATS, np.zeros(len(u), np.int32), u.view(np.int64), np.zeros(len(u), np.int64), n, learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
+        learned: list[np.ndarray] = []
         held = 0
-        for b in batches:
-            for _, _, raw, off in blocks(b.column(0)):
+        for b, learn in ((b, x) for b in batches for x in (True, False)):
+            flags = b.column(1)
+            for _, _, raw, off in blocks(b.column(0).filter(flags if learn else pc.invert(flags))):
                 data = LOWER_TABLE[raw]
                 u, n = np.unique(symbols(data, off, order)[0], return_counts=True)
-                grams.append(u)
+                keys.append(u)
                 counts.append(n)
+                learned.append(n if learn else np.zeros(len(n), n.dtype))
                 held += len(u)
                 if held > 1_500_000:
-                    u, n = _tally(grams, counts)
-                    grams, counts, held = [u], [n], len(u)
+                    u, n, m = _tally(keys, counts, learned)
+                    keys, counts, learned, held = [u], [n], [m], len(u)
                     if held > 1_000_000:
-                        yield batch(_STATS, np.zeros(held, np.int32), u.view(np.int64), np.zeros(held, np.int64), n)
-                        grams, counts, held = [], [], 0
+                        yield rows(u, n, m)
+                        keys, counts, learned, held = [], [], [], 0
+                if not learn:
+                    continue
                 start, end, _ = words(data, off)
                 h, at, n = np.unique(SpanHash(data).of(start, end), return_index=True, return_counts=True)
                 h2 = SpanHash(data, 1).of(start[at], end[at])
                 kinds = np.full(len(h) + 1, WORD, np.int32)
                 kinds[-1] = TEXT
                 tail = np.zeros(1, np.uint64)
-                yield batch(_STATS, kinds, np.concatenate([h, tail]).view(np.int64), np.concatenate([h2, tail]).view(np.int64), np.concatenate([n, [len(off) - 1]]))
-        if grams:
-            u, n = _tally(grams, counts)
-            yield batch(_STATS, np.zeros(len(u), np.int32), u.view(np.int64), np.zeros(len(u), np.int64), n)
+                n = np.concatenate([n, [len(off) - 1]])
+                yield batch(_STATS, kinds, np.concatenate([h, tail]).view(np.int64), np.concatenate([h2, tail]).view(np.int64), n, n)
+        if keys:
+            yield rows(*_tally(keys, counts, learned))
 
-    return texts.mapInArrow(run, _ddl(_STATS)).groupBy("kind", "k1", "k2").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, _ddl(_STATS)).groupBy("kind", "k1", "k2").agg(F.sum("n").alias("n"), F.sum("learned").alias("learned"))
 
 
-def fit(stats: DataFrame, order: int) -> Model:
-    """The model from ``count``'s table. At most 2 * (order + 1) * 2**20 counts reach the driver."""
-    top = stats.filter(F.col("kind") == GRAM)
-    total = top.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, math.ceil(total / 2**SHARE_BITS))
-    keys = []
-    for j in range(order + 1):
-        keys.append(F.col("k1").bitwiseAND(F.lit((1 << (8 * j + 8)) - 1)).bitwiseOR(F.lit(_tag(j, False))))
-        keys.append(F.shiftrightunsigned("k1", 8).bitwiseAND(F.lit((1 << (8 * j)) - 1)).bitwiseOR(F.lit(_tag(j, True))))
-    table = top.select(F.explode(F.array(*keys)).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-    return build(order, table["key"].to_numpy().view(np.uint64), table["n"].to_numpy())
+def _low(column: str, size: int) -> Column:
+    return F.col(column).bitwiseAND(F.lit((1 << (8 * size)) - 1))
 
 
-def score(docs: DataFrame, stats: DataFrame, model: Model, id_col: str, text_col: str, extra: str | None = None) -> DataFrame:
+def code_lengths(stats: DataFrame, order: int) -> DataFrame:
+    """(gram, n, bits): what the last symbol of each (order + 1)-gram of ``count``'s table costs, given the
+    bytes before it.
+
+    A level has the nodes of one order: ``c`` is a node's count in training, ``seen`` and ``kinds`` are its
+    context's number of symbols and of distinct ones, ``start`` is the cost where coding begins with this
+    context or the longest known one within it, and ``below`` the cost after an escape from it. A context
+    has 256 symbols at most, so no window is large; a node has 256 longer ones at most, so no join is skewed.
+    """
+    grams = stats.filter(F.col("kind") == GRAM).select(F.col("k1").alias("g"), "n", "learned")
+    level: DataFrame | None = None
+    for j in range(order + 1):
+        nodes = grams.select("g", F.col("learned").alias("c")) if j == order else grams.groupBy(_low("g", j + 1).alias("g")).agg(F.sum("learned").alias("c"))
+        context = Window.partitionBy(F.shiftrightunsigned("g", 8))
+        hit = F.col("c") > 0
+        own = (F.sum("c").over(context).alias("seen"), F.count_if(hit).over(context).alias("kinds"))
+        if level is None:
+            nodes = nodes.select("g", "c", *own).withColumn("below", F.log2(F.lit(256.0) - F.col("kinds")))
+            unknown = F.lit(8.0)
+        else:
+            shorter = level.select(F.col("g").alias("s"), *[F.col(x).alias(f"{x}1") for x in ("c", "seen", "kinds", "start", "below")])
+            nodes = nodes.join(shorter, _low("g", j) == F.col("s"))
+            nodes = nodes.select("*", *own, F.sum(F.when(hit, F.col("c1")).otherwise(0)).over(context).alias("taken"))
+            left = F.col("kinds1") - F.col("kinds")
+            total = F.col("seen1") - F.col("taken") + left
+            escape = F.when(left > 0, F.log2(total / left)).otherwise(0.0)
+            nodes = nodes.withColumn("below", F.when(F.col("c1") > 0, F.log2(total / F.col("c1"))).otherwise(escape + F.col("below1")))
+            unknown = F.col("start1")
+        size = F.col("seen") + F.col("kinds")
+        start = F.when(F.col("seen") == 0, unknown).when(hit, F.log2(size / F.col("c"))).otherwise(F.log2(size / F.col("kinds")) + F.col("below"))
+        level = nodes.select("g", "c", "seen", "kinds", start.alias("start"), "below")
+    return level.join(grams.select("g", "n"), "g").select(F.col("g").alias("gram"), "n", F.col("start").alias("bits"))
+
+
+def score(docs: DataFrame, stats: DataFrame, codes: DataFrame, order: int, id_col: str, text_col: str, extra: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``extra`` column, n_tokens, n_known, train_tokens, base_score, score.
 
-    Words with at least 1 / 2**20 of all tokens (2**20 of them at most) are looked up in the tasks; all
-    others are joined to the word counts by their hash, none of which is frequent.
+    Frequent words and symbol sequences (2**20 and 2**22 at most) are looked up in the tasks; all others are
+    joined to the counts and costs, by keys none of which is frequent.
     """
     spark = docs.sparkSession
     found = stats.filter(F.col("kind") != GRAM).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()
@@ -243,62 +195,84 @@ def score(docs: DataFrame, stats: DataFrame, model: Model, id_col: str, text_col
     counts = stats.filter(F.col("kind") == WORD)
     often = counts.filter(F.col("n") >= least).select("k1", "k2", "n").toArrow()
     sort = np.argsort(k1 := often["k1"].to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((model, k1[sort], often["k2"].to_numpy().view(np.uint64)[sort], np.log10(often["n"].to_numpy()[sort] + 1.0)))
+    least_gram = max(1, math.ceil(codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / 2**GRAM_BITS))
+    top = codes.filter(F.col("n") >= least_gram).select("gram", "bits").toArrow()
+    shared = spark.sparkContext.broadcast(
+        (top["gram"].to_numpy().view(np.uint64), top["bits"].to_numpy(), k1[sort], often["k2"].to_numpy().view(np.uint64)[sort], np.log10(often["n"].to_numpy()[sort] + 1.0))
+    )
     end_log = math.log10(n_texts + 1)
     norm = math.log10(total + distinct + 1)
     ids = arrow_type(docs, id_col)
     more = [extra] if extra else []
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("uid", pa.int64()), ("id", ids), *[(x, arrow_type(docs, x)) for x in more], ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("k1", longs), ("k2", longs)])
+    schema = pa.schema(
+        [("uid", pa.int64()), ("id", ids), *[(x, arrow_type(docs, x)) for x in more], ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64()), ("k1", longs), ("k2", longs), ("grams", longs)]
+    )
+
+    def lists(values: np.ndarray, rest: np.ndarray, first: np.ndarray) -> pa.Array:
+        cut = np.concatenate([[0], np.cumsum(rest)])[first].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cut), pa.array(values[rest].view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm, w1, w2, logs = shared.value
-        index = HashIndex(w1)
-        top = TaskContext.get().partitionId() << 33
-        serial = itertools.count(top)
+        grams, costs, w1, w2, logs = shared.value
+        codebook, index = HashIndex(grams), HashIndex(w1)
+        serial = itertools.count(TaskContext.get().partitionId() << 33)
         for b in batches:
             for lo, hi, raw, off in blocks(b.column(b.num_columns - 1)):
                 data, rows = LOWER_TABLE[raw], hi - lo
-                g, first = symbols(data, off, ppm.order)
-                bits = np.concatenate([ppm.code_lengths(g[i : i + (1 << 20)]) for i in range(0, len(g), 1 << 20)])
+                g, first = symbols(data, off, order)
+                at_gram = np.concatenate([codebook.find(g[i : i + (1 << 20)]) for i in range(0, len(g), 1 << 20)])
+                rare = at_gram < 0
+                bits = segment_sum(np.where(rare, 0.0, costs[at_gram] if len(costs) else 0.0), first)
                 start, end, at = words(data, off)
                 h1, h2 = SpanHash(data).of(start, end), SpanHash(data, 1).of(start, end)
                 k = index.find(h1)
                 often = (k >= 0) & (w2[k] == h2) if len(w2) else np.zeros(len(k), bool)
                 base = segment_sum(np.where(often, logs[k] if len(logs) else 0.0, 0.0), at)
                 n = np.diff(at) + 1
-                rest = ~often
-                cut = np.concatenate([[0], np.cumsum(rest)])[at].astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(h[rest].view(np.int64))) for h in (h1, h2)]
                 known = segment_sum(often, at).astype(np.int64) + (n_texts > 0)
                 out = [b.column(i).slice(lo, rows) for i in range(b.num_columns - 1)]
-                yield batch(schema, np.array([next(serial) for _ in range(rows)]), *out, n, known, base + end_log - n * norm, -segment_sum(bits, first) * math.log10(2), *lists)
+                tails = lists(h1, ~often, at), lists(h2, ~often, at), lists(g, rare, first)
+                yield batch(schema, np.array([next(serial) for _ in range(rows)]), *out, n, known, base + end_log - n * norm, bits, *tails)
 
     cols = [F.col(id_col).alias("id"), *more, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
     done = staged(docs.select(*cols).mapInArrow(run, _ddl(schema)), "ppm-scores")
     tail = done.select("uid", F.explode(F.arrays_zip("k1", "k2")).alias("k")).select("uid", "k.k1", "k.k2")
-    seen = tail.join(counts.filter(F.col("n") < least).select("k1", "k2", "n"), ["k1", "k2"]).groupBy("uid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("logs"))
-    zero = F.lit(0)
-    return done.drop("k1", "k2").join(seen, "uid", "left").select(
+    rare_words = tail.join(counts.filter(F.col("n") < least).select("k1", "k2", "n"), ["k1", "k2"])
+    rare_grams = done.select("uid", F.explode("grams").alias("gram")).join(codes.filter(F.col("n") < least_gram).select("gram", "bits"), "gram")
+    zero, none = F.lit(0), F.lit(0.0)
+    seen = (
+        rare_words.select("uid", F.lit(1).alias("one"), F.log10(F.col("n") + 1.0).alias("log"), none.alias("rare_bits"))
+        .unionByName(rare_grams.select("uid", zero.alias("one"), none.alias("log"), F.col("bits").alias("rare_bits")))
+        .groupBy("uid").agg(F.sum("one").alias("more"), F.sum("log").alias("logs"), F.sum("rare_bits").alias("rare_bits"))
+    )
+    return done.drop("k1", "k2", "grams").join(seen, "uid", "left").select(
         F.col("id").alias(id_col),
         *more,
         "n_tokens",
         (F.col("known") + F.coalesce("more", zero)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("logs", none)).alias("base_score"),
+        ((F.col("bits") + F.coalesce("rare_bits", none)) * -math.log10(2)).alias("score"),
     )
 
 
-def train_and_score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None, order: int = 5) -> DataFrame:
-    """Learn from all rows of ``train`` and score all rows of ``docs`` (null texts are empty; an empty
-    text has one symbol and one token, its end). Without training rows every symbol costs eight bits."""
+def train_and_score(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None, order: int = 5) -> DataFrame:
+    """Learn from all rows of ``train``, or from those rows of ``docs`` where the column ``train`` holds,
+    and score all rows of ``docs`` (null texts are empty; an empty text has one symbol and one token, its
+    end). Without training rows every symbol costs eight bits."""
     if not 0 <= order <= 5:
         raise ValueError("order must be from 0 to 5")
-    stats = staged(count(train.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), order), "ppm-counts")
-    return score(docs, stats, fit(stats, order), id_col, text_col, extra)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    if isinstance(train, DataFrame):
+        texts = docs.select(text, F.lit(False).alias("learn")).unionByName(train.select(text, F.lit(True).alias("learn")))
+    else:
+        texts = docs.select(text, F.coalesce(train, F.lit(False)).alias("learn"))
+    stats = staged(count(texts, order), "ppm-counts")
+    codes = staged(code_lengths(stats, order), "ppm-codes")
+    return score(docs, stats, codes, order, id_col, text_col, extra)
 
 
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", fold_of("doc_id", 7) == 2)
-    return train_and_score(docs, docs.filter(~F.col("held_out")), extra="held_out")
+    return train_and_score(docs, ~F.col("held_out"), extra="held_out")
