@@ -33,6 +33,8 @@ END = 0xFF
 #: Words and symbol sequences are broadcast from these shares (1 / 2**bits) of all tokens or symbols on;
 #: the others are joined. So no more than 2**bits of them are broadcast, and none of a join's keys is hot.
 SHARE_BITS, GRAM_BITS = 20, 22
+#: Bytes of text handled at once; each takes about a hundred in arrays.
+_BLOCK = 1 << 18
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -112,7 +114,7 @@ def count(texts: DataFrame, order: int) -> DataFrame:
         held = 0
         for b, learn in ((b, x) for b in batches for x in (True, False)):
             flags = b.column(1)
-            for _, _, raw, off in blocks(b.column(0).filter(flags if learn else pc.invert(flags))):
+            for _, _, raw, off in blocks(b.column(0).filter(flags if learn else pc.invert(flags)), _BLOCK):
                 data = LOWER_TABLE[raw]
                 u, n = np.unique(symbols(data, off, order)[0], return_counts=True)
                 keys.append(u)
@@ -157,12 +159,12 @@ def code_lengths(stats: DataFrame, order: int) -> DataFrame:
     grams = stats.filter(F.col("kind") == GRAM).select(F.col("k1").alias("g"), "n", "learned")
     level: DataFrame | None = None
     for j in range(order + 1):
-        nodes = grams.select("g", F.col("learned").alias("c")) if j == order else grams.groupBy(_low("g", j + 1).alias("g")).agg(F.sum("learned").alias("c"))
+        nodes = grams.select("g", F.col("learned").alias("c"), "n") if j == order else grams.groupBy(_low("g", j + 1).alias("g")).agg(F.sum("learned").alias("c"))
         context = Window.partitionBy(F.shiftrightunsigned("g", 8))
         hit = F.col("c") > 0
         own = (F.sum("c").over(context).alias("seen"), F.count_if(hit).over(context).alias("kinds"))
         if level is None:
-            nodes = nodes.select("g", "c", *own).withColumn("below", F.log2(F.lit(256.0) - F.col("kinds")))
+            nodes = nodes.select("*", *own).withColumn("below", F.log2(F.lit(256.0) - F.col("kinds")))
             unknown = F.lit(8.0)
         else:
             shorter = level.select(F.col("g").alias("s"), *[F.col(x).alias(f"{x}1") for x in ("c", "seen", "kinds", "start", "below")])
@@ -175,8 +177,8 @@ def code_lengths(stats: DataFrame, order: int) -> DataFrame:
             unknown = F.col("start1")
         size = F.col("seen") + F.col("kinds")
         start = F.when(F.col("seen") == 0, unknown).when(hit, F.log2(size / F.col("c"))).otherwise(F.log2(size / F.col("kinds")) + F.col("below"))
-        level = nodes.select("g", "c", "seen", "kinds", start.alias("start"), "below")
-    return level.join(grams.select("g", "n"), "g").select(F.col("g").alias("gram"), "n", F.col("start").alias("bits"))
+        level = nodes.withColumn("start", start)
+    return level.select(F.col("g").alias("gram"), "n", F.col("start").alias("bits"))
 
 
 def score(docs: DataFrame, stats: DataFrame, codes: DataFrame, order: int, id_col: str, text_col: str, extra: str | None = None) -> DataFrame:
@@ -218,10 +220,10 @@ def score(docs: DataFrame, stats: DataFrame, codes: DataFrame, order: int, id_co
         codebook, index = HashIndex(grams), HashIndex(w1)
         serial = itertools.count(TaskContext.get().partitionId() << 33)
         for b in batches:
-            for lo, hi, raw, off in blocks(b.column(b.num_columns - 1)):
+            for lo, hi, raw, off in blocks(b.column(b.num_columns - 1), _BLOCK):
                 data, rows = LOWER_TABLE[raw], hi - lo
                 g, first = symbols(data, off, order)
-                at_gram = np.concatenate([codebook.find(g[i : i + (1 << 20)]) for i in range(0, len(g), 1 << 20)])
+                at_gram = np.concatenate([codebook.find(g[i : i + _BLOCK]) for i in range(0, len(g), _BLOCK)])
                 rare = at_gram < 0
                 bits = segment_sum(np.where(rare, 0.0, costs[at_gram] if len(costs) else 0.0), first)
                 start, end, at = words(data, off)
