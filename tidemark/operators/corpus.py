@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.ids import model_id, path_stem
+from tidemark.functions.scratch import written
 
 # Detection signals per language, in order of registration: (language, what is matched, pattern, weight, evidence).
 SIGNALS: list[tuple[str, str, str, float, str]] = [
@@ -44,29 +45,72 @@ def detect_language(artifacts: DataFrame, signals: list[tuple[str, str, str, flo
     return artifacts.withColumn("__best", best).withColumns({"language": F.col("__best.language"), "score": F.col("__best.s") / 10, "evidence": F.col("__best.evidence")}).drop("__best")
 
 
-def assemble_models(artifacts: DataFrame, one_model: bool = False, label: str | None = None, group_col: str | None = None) -> DataFrame:
-    """(model_id, label, source_files, code): a model per file, or one of all files (of each ``group_col``)
-    joined by a blank line in file-name order."""
-    if not one_model and group_col is None:
-        out = artifacts.select(path_stem("filename").alias("label"), F.array("filename").alias("source_files"), F.col("content").alias("code"))
-    else:
-        keys = [group_col] if group_col else []
-        parts = F.array_sort(F.collect_list(F.struct("filename", "content")))
-        named = F.lit(label) if label else (F.col(group_col) if group_col else path_stem(F.col("parts")[0]["filename"]))
-        out = artifacts.groupBy(*keys).agg(parts.alias("parts")).select(
-            named.alias("label"), F.transform("parts", lambda p: p["filename"]).alias("source_files"), F.array_join(F.transform("parts", lambda p: p["content"]), "\n\n").alias("code")
-        )
+def assemble_models(artifacts: DataFrame) -> DataFrame:
+    """(model_id, label, source_files, code): a model per file. Models of several files are no rows but
+    parts, see ``assemble_parts``."""
+    out = artifacts.select(path_stem("filename").alias("label"), F.array("filename").alias("source_files"), F.col("content").alias("code"))
     return out.select(model_id("label", "source_files").alias("model_id"), "label", "source_files", "code")
 
 
-def merge_models(models: DataFrame, merge_map: DataFrame) -> DataFrame:
+def _labelled(artifacts: DataFrame, label: str | None, group_col: str | None) -> DataFrame:
+    """``artifacts`` with the ``label`` of their model: that given, the group, or the stem of the first file."""
+    own = artifacts.select(*[F.col(group_col).alias("__group") if group_col else F.lit(0).alias("__group")], "filename", F.coalesce("content", F.lit("")).alias("content"))
+    if label is not None:
+        return own.withColumn("label", F.lit(label))
+    if group_col:
+        return own.withColumn("label", F.col("__group"))
+    return own.crossJoin(own.agg(path_stem(F.min("filename")).alias("label")))
+
+
+def assemble_totals(artifacts: DataFrame, label: str | None = None, group_col: str | None = None) -> DataFrame:
+    """(label, n_files, code_chars) of the model of all files (of each ``group_col``) joined by a blank line.
+    Counts and sums, combined before the shuffle: no code is moved. A null content is an empty file."""
+    one = _labelled(artifacts, label, group_col).groupBy("__group", "label").agg(F.count("*").alias("n_files"), F.sum(F.length("content")).cast("long").alias("chars"))
+    return one.select("label", "n_files", (F.col("chars") + 2 * (F.col("n_files") - 1)).alias("code_chars"))
+
+
+def assemble_parts(artifacts: DataFrame, label: str | None = None, group_col: str | None = None) -> DataFrame:
+    """(label, part_no, filename, code): the model of all files (of each ``group_col``) as a part per file, in
+    file-name order from 1. All parts but the first begin with the blank line, so the parts of a label put
+    one after another are its code. No row is longer than its file."""
+    parts = _numbered(_labelled(artifacts, label, group_col), ["__group", "label"], ["filename", "content"])
+    return parts.select("label", "part_no", "filename", F.when(F.col("part_no") > 1, F.concat(F.lit("\n\n"), "content")).otherwise(F.col("content")).alias("code"))
+
+
+def _numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``part_no`` from 1 by ``order`` within ``keys``. Rows are sorted over ranges of keys and order
+    and numbered in each range, so a large key is dealt over many tasks; only counts per key and range meet."""
+    ranged = written(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "parts")
+    runs = ranged.groupBy("__range", *keys).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = runs.select(F.col("__range").alias("__r"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (before - F.col("__first") + 1).alias("__shift"))
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return ranged.join(start, same).withColumn("part_no", F.col("__at") + F.col("__shift")).drop("__r", "__range", "__at", "__shift", *[f"__k{i}" for i in range(len(keys))])
+
+
+def _merged(models: DataFrame, merge_map: DataFrame) -> DataFrame:
+    m = models.join(merge_map.select("model_id", F.col("label").alias("__new")), "model_id", "left")
+    return m.withColumn("__key", F.coalesce(F.concat(F.lit("+"), "__new"), F.concat(F.lit("-"), "model_id"))).withColumn("code", F.coalesce("code", F.lit("")))
+
+
+def merge_totals(models: DataFrame, merge_map: DataFrame) -> DataFrame:
     """``models(model_id, label, source_files, code, ord)`` with those that ``merge_map(model_id, label)``
-    gives one label merged: code joined by a blank line, files concatenated, position of the first."""
-    m = models.join(merge_map.select("model_id", F.col("label").alias("__new")), "model_id", "left").withColumn("__key", F.coalesce(F.concat(F.lit("+"), "__new"), F.concat(F.lit("-"), "model_id")))
-    parts = F.array_sort(F.collect_list(F.struct("ord", "label", "source_files", "code")))
-    one = m.groupBy("__key").agg(parts.alias("p"), F.first("__new", True).alias("__new"))
-    out = one.select(F.coalesce("__new", F.col("p")[0]["label"]).alias("label"), F.flatten(F.transform("p", lambda x: x["source_files"])).alias("source_files"), F.array_join(F.transform("p", lambda x: x["code"]), "\n\n").alias("code"), F.col("p")[0]["ord"].alias("ord"))
-    return out.withColumn("model_id", model_id("label", "source_files"))
+    gives one label merged: (label, n_files, code_chars, ord), the position that of the first."""
+    one = _merged(models, merge_map).groupBy("__key").agg(
+        F.max("__new").alias("__new"), F.min_by("label", F.struct("ord", "label")).alias("__label"), F.sum(F.size("source_files")).cast("long").alias("n_files"),
+        (F.sum(F.length("code")) + 2 * (F.count("*") - 1)).cast("long").alias("code_chars"), F.min("ord").alias("ord"),
+    )
+    return one.select(F.coalesce("__new", "__label").alias("label"), "n_files", "code_chars", "ord")
+
+
+def merge_parts(models: DataFrame, merge_map: DataFrame) -> DataFrame:
+    """The models merged as in ``merge_totals``, as (label, part_no, source_files, code): a part per model, by
+    ``ord`` from 1; all parts but the first begin with the blank line."""
+    parts = _numbered(_merged(models, merge_map), ["__key"], ["ord", "label", "source_files", "code"])
+    code = F.when(F.col("part_no") > 1, F.concat(F.lit("\n\n"), "code")).otherwise(F.col("code"))
+    return parts.select(F.coalesce("__new", "label").alias("label"), "part_no", "source_files", code.alias("code"))
 
 
 def override_language(models: DataFrame, overrides: DataFrame) -> DataFrame:

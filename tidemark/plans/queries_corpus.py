@@ -71,8 +71,7 @@ def a4_assemble_models(spark, d):
 @query("SELECT source AS label, count(*) AS n_files, sum(length(text)) + 2 * (count(*) - 1) AS code_chars FROM documents GROUP BY source")
 def a4_assemble_by_group(spark, d):
     a = table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("content"))
-    m = C.assemble_models(a, group_col="source")
-    return m.select("label", F.size("source_files").cast("long").alias("n_files"), F.length("code").cast("long").alias("code_chars"))
+    return C.assemble_totals(a, group_col="source")
 
 
 @query("""
@@ -83,8 +82,7 @@ def a5_merge_models(spark, d):
     c = table(spark, d, "conversations")
     key = F.concat("conv_id", F.lit("/"), "turn")
     m = c.select(key.alias("model_id"), key.alias("label"), F.array(key).alias("source_files"), F.col("text").alias("code"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
-    out = C.merge_models(m, c.select(key.alias("model_id"), F.concat(F.lit("c"), "conv_id").alias("label")))
-    return out.select("label", F.size("source_files").cast("long").alias("n_files"), F.length("code").cast("long").alias("code_chars"), "ord")
+    return C.merge_totals(m, c.select(key.alias("model_id"), F.concat(F.lit("c"), "conv_id").alias("label")))
 
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'flagged' ELSE lang END AS language FROM documents LEFT JOIN labels USING (doc_id)")
