@@ -404,6 +404,28 @@ def test_pii(spark):
     assert (rows[1].n_email, rows[1].n_card, rows[1].n_phone, rows[1].n_ip, rows[1].n_date, rows[1].n_ssn, rows[1].n_iban) == (1, 2, 2, 1, 1, 1, 1)
 
 
+def replaced(spark, texts):
+    """For each text the kinds replaced, and the text with # for every replaced character."""
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(len(r.text) == len(t) or r.n_ip or r.n_date for r, t in zip(rows, texts))
+    return [(r.text, {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]}) for r in rows]
+
+
+def test_pii_values_beside_signs(spark):
+    cases = {
+        "1.2.3.4:8080": {"ip": 1}, "1.2.3.4,5.6.7.8": {"ip": 2}, "10.1.2.3/24": {"ip": 1}, "10.0.0.1-10.0.0.9": {"ip": 2},
+        "4111111111111111,5500000000000004": {"card": 2}, "4111111111111111:123": {"card": 1}, "4111111111111111/12/25": {"card": 1},
+        "123-45-6789,787-65-4321": {"ssn": 2}, "2024-01-02T10:00:00Z": {"date": 1}, "2024-01-02/2024-02-03": {"date": 2}, "01/02/2024:10:00:00": {"date": 1},
+        "12:00:00,2024-01-02": {"date": 1}, "DE89370400440532013000,DE89370400440532013000": {"iban": 2}, "(255) 555-8013,(255) 555-8013": {"phone": 2},
+        "5,ann@x.org": {"email": 1}, "4111 1111 1111 1111 01/02/2024": {"card": 1, "date": 1},
+        "1.2.3.4.5": {}, "0.4111111111111111": {}, "1-2024-01-02": {}, "2024-01-02-5": {}, "2024-01-02Tail": {}, "4111111111111111T10": {},
+    }
+    got = replaced(spark, list(cases))
+    assert {t: n for t, (_, n) in zip(cases, got)} == cases
+    assert all((new == t) == (not n) for t, (new, n) in zip(cases, got))
+    assert got[0][0].endswith(":8080") and got[8][0].endswith("T10:00:00Z") and got[2][0].endswith("/24")
+
+
 def test_pii_dates_are_permuted(spark):
     d = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
     got = {r.text for r in pii.pseudonymise(d).collect()}

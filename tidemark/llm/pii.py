@@ -24,13 +24,25 @@ FIRST_DAY, DAY_LEFT, DAY_RIGHT = "1800-01-01", 189, 773
 
 _EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"
-_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{4}[.][0-9]{2}[.][0-9]{2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}"
+_DAYS = {s: f"[0-9]{{4}}{c}[0-9]{{2}}{c}[0-9]{{2}}|[0-9]{{1,2}}{c}[0-9]{{1,2}}{c}[0-9]{{4}}" for s, c in (("-", "-"), ("/", "/"), (".", "[.]"))}
+_DATE = "|".join(_DAYS.values())
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _IP = r"[0-9]{1,3}(?:[.][0-9]{1,3}){3}"
 _PHONE = r"[+][0-9]{1,3}[ .-]?(?:[(][0-9]{1,4}[)]|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|[(][0-9]{3}[)] ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
 _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-#: Values stand alone: no letter, digit or joining sign touches them on either side.
-PATTERN = rf"(?<![A-Za-z0-9_@])(?<![0-9][.,:/-])(?:{_EMAIL}|(?:{_IBAN}|{_DATE}|{_SSN}|{_IP}|{_PHONE}|{_CARD})(?![A-Za-z0-9_@])(?![.,:/-][0-9]))"
+#: No letter, digit, _ or @ touches a value. A sign with a digit beyond it bars a value only where it could
+#: carry on the same kind: 1.2.3.4:80, 1.2.3.4/24 and a date before T10:00 end there, 1.2.3.4.5 is no address.
+_HEAD, _TAIL = r"(?<![A-Za-z0-9_@])", r"(?![A-Za-z0-9_@])"
+
+
+def _alone(signs: str, pattern: str, tail: str = _TAIL) -> str:
+    """``pattern`` where no digit is joined to it by one of ``signs``."""
+    return rf"(?<![0-9][{signs}])(?:{pattern}){tail}(?![{signs}][0-9])"
+
+
+_DATES = "|".join(_alone(sign, days, "(?![A-SU-Za-su-z0-9_@])(?![Tt](?![0-9]{2}))") for sign, days in _DAYS.items())
+_RIGID = rf"{_DATES}|{_alone('-', _SSN)}|{_alone('.', _IP)}"
+PATTERN = rf"{_HEAD}(?:{_EMAIL}|(?:{_IBAN}){_TAIL}|{_RIGID}|{_alone('.-', _PHONE)}|{_alone('.-', rf'[0-9](?:(?:[ -](?!{_RIGID}))?[0-9]){{12,18}}')})"
 
 
 def _move(x: str, seed: str) -> str:
