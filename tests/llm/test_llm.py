@@ -426,6 +426,22 @@ def test_pii_values_beside_signs(spark):
     assert got[0][0].endswith(":8080") and got[8][0].endswith("T10:00:00Z") and got[2][0].endswith("/24")
 
 
+def test_pii_values_beside_other_numbers(spark):
+    card, phone, iban = "4111 1111 1111 1111", "+1 (743) 555-3824", "BE68 5390 0754 7034"
+    new_card, new_phone, new_iban = (x for x, _ in replaced(spark, [card, phone, iban]))
+    assert card != new_card and phone != new_phone and iban != new_iban
+    C, P, I = {"card": 1}, {"phone": 1}, {"iban": 1}  # noqa: E741
+    cases = {
+        "{c} 123": C, "7 {c}": C, "7 8 {c} 12 9": C, "1234567 8901234 {c}": C, "12:30 {c} 12:30": C, "{c} 12/25": C, "{c} 1x": C, "{c} {c}": {"card": 2}, "12 " * 9000 + "{c}" + " 12" * 9000: C,
+        "{i} EUR": I, "{i} 123 4": I, "{i} {c}": {"iban": 1, "card": 1}, "{p} 12": P, "{p} {c}": {"phone": 1, "card": 1}, "{c} {p}": {"phone": 1, "card": 1},
+    }
+    got = replaced(spark, [t.format(c=card, p=phone, i=iban) for t in cases])
+    assert got == [(t.format(c=new_card, p=new_phone, i=new_iban), n) for t, n in cases.items()]
+    mixed = {"+49 30 123456 4111 1111 1111 1111": {"phone": 1, "card": 1}, "2024 123-45-6789": {"ssn": 1}, "4111-1111-1111-1111-123": C, "3782 822463 10005 1234": C, "+44 20 7946 0958 12": P, "4111 1111 1111 1112 123": {}}
+    got = replaced(spark, list(mixed))
+    assert [n for _, n in got] == list(mixed.values()) and got[4][0].endswith(" 12") and got[3][0].endswith(" 1234")
+
+
 def test_pii_dates_are_permuted(spark):
     d = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
     got = {r.text for r in pii.pseudonymise(d).collect()}

@@ -28,7 +28,6 @@ _DAYS = {s: f"[0-9]{{4}}{c}[0-9]{{2}}{c}[0-9]{{2}}|[0-9]{{1,2}}{c}[0-9]{{1,2}}{c
 _DATE = "|".join(_DAYS.values())
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _IP = r"[0-9]{1,3}(?:[.][0-9]{1,3}){3}"
-_PHONE = r"[+][0-9]{1,3}[ .-]?(?:[(][0-9]{1,4}[)]|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|[(][0-9]{3}[)] ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
 _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 #: No letter, digit, _ or @ touches a value. A sign with a digit beyond it bars a value only where it could
 #: carry on the same kind: 1.2.3.4:80, 1.2.3.4/24 and a date before T10:00 end there, 1.2.3.4.5 is no address.
@@ -42,7 +41,41 @@ def _alone(signs: str, pattern: str, tail: str = _TAIL) -> str:
 
 _DATES = "|".join(_alone(sign, days, "(?![A-SU-Za-su-z0-9_@])(?![Tt](?![0-9]{2}))") for sign, days in _DAYS.items())
 _RIGID = rf"{_DATES}|{_alone('-', _SSN)}|{_alone('.', _IP)}"
-PATTERN = rf"{_HEAD}(?:{_EMAIL}|(?:{_IBAN}){_TAIL}|{_RIGID}|{_alone('.-', _PHONE)}|{_alone('.-', rf'[0-9](?:(?:[ -](?!{_RIGID}))?[0-9]){{12,18}}')})"
+#: What a number before it must not take in: other kinds, and for phones and IBANs digits laid out as a card.
+_US_PHONE = r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+_CARD_LIKE = r"(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])"
+_NEXT = rf"(?!{_RIGID}|{_US_PHONE}(?![0-9])|{_CARD_LIKE})"
+#: Lengths of IBANs by country, and of national phone numbers where a country has but one.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC"}
+PHONE_LENGTHS = {8: "45 47 65 852", 9: "27 31 33 34 41 48 61 351 380 420", 10: "1 7 44 52 90 91", 11: "86"}
+
+
+def _digits(n: int) -> str:
+    return f"(?:[ .-]?[0-9]){{{n}}}"
+
+
+def _phones() -> str:
+    """Numbers of a country's length first; others of up to 15 digits, ended by what follows them."""
+    by_length = "|".join(
+        rf"[+](?:{codes.replace(' ', '|')})(?:(?:[ .-]?[(]0[)])?{_digits(n)}|{'|'.join(f'[ .-]?[(][0-9]{{{k}}}[)]{_digits(n - k)}' for k in range(1, 5))})" for n, codes in PHONE_LENGTHS.items()
+    )
+    step = f"(?:(?:[ .-]{_NEXT})?[0-9])"
+    other = [rf"[+][0-9]{{1,3}}[ .-]?[(][0-9]{{1,4}}[)]{step}{{3,8}}", rf"[+][0-9]{step}{{7,14}}", r"[(][0-9]{3}[)] ?[0-9]{3}[ .-][0-9]{4}", _US_PHONE]
+    return "|".join(_alone(".-", x) for x in [by_length, *other])
+
+
+def _ibans() -> str:
+    by_length = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+    other = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?: {_NEXT})?[A-Z0-9]{{4}}){{2,7}}(?:(?: {_NEXT})?[A-Z0-9]{{1,4}})?"
+    return rf"(?:{by_length}){_TAIL}|(?:{other}){_TAIL}"
+
+
+#: All numbers joined by single spaces or hyphens that hold 13 digits or more: cards are sought in them.
+_END = r"(?![A-Za-z0-9_@])(?![.][0-9])"
+_RUN = rf"(?<![0-9][.-])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++{_END}(?:[ -](?!{_RIGID}|(?<= ){_US_PHONE}(?![0-9]))[0-9]++{_END})*+"
+PATTERN = rf"{_HEAD}(?:{_EMAIL}|{_ibans()}|{_RIGID}|{_phones()}|{_RUN})"
+#: Usual layouts of cards, preferred where several parts of a run have the right check digit.
+_USUAL = r"[2-6][0-9]{3}(?:[0-9]{12}|( |-)[0-9]{4}[ -][0-9]{4}[ -][0-9]{4})|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3[0689][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{4}"
 
 
 def _move(x: str, seed: str) -> str:
@@ -129,11 +162,40 @@ def _pseudonym(m: str, key: str) -> dict[str, tuple[str, str]]:
         "date": (f"{whole(_DATE)} AND {days} BETWEEN 0 AND 146096", new_date),
         "ssn": (f"{whole(_SSN)} AND {area} BETWEEN 1 AND 899 AND {area} <> 666 AND {group} > 0 AND {serial} > 0", new_ssn),
         "ip": (f"{whole(_IP)} AND NOT exists({octets}, o -> o > 255)", new_ip),
-        "phone": (f"{whole(_PHONE)} AND length({digits}) BETWEEN 8 AND 15", new_phone),
+        "phone": (f"({m} RLIKE '^[+(]' OR {whole(_US_PHONE)}) AND length({digits}) BETWEEN 8 AND 15", new_phone),
         "card": (f"{whole(_CARD)} AND {digits} NOT RLIKE '^0+$' AND {_luhn(m)} % 10 = 0", new_card),
     }
 
 
+def _parts(m: str, key: str) -> str:
+    """SQL for ``m`` cut into structs (m, k): values with their kind, and what lies between them with none.
+
+    Most matches are one value. In others an IBAN may end at any group, and a card lie between any two
+    groups of a run. Of overlapping valid ones the IBAN goes first, then cards in a usual layout, the whole, and
+    then the leftmost and longest.
+    """
+    tests = {k: test for k, (test, _) in _pseudonym(m, key).items()}
+    plain = "CASE " + " ".join(f"WHEN {tests[k]} THEN '{k}'" for k in KINDS if k not in ("iban", "card")) + " END"
+    valid = {k: test for k, (test, _) in _pseudonym("c.v", key).items()}
+    none = "cast(array() as array<struct<m:string,k:string>>)"
+    kind = f"CASE WHEN c.i = 0 AND {valid['iban']} THEN 'iban' WHEN c.v RLIKE '^(?:{_CARD})$' AND {valid['card']} THEN 'card' END"
+    text = lambda i, n: f"array_join(slice(g, {i} + 1, {n}), '')"
+    at = f"transform(sequence(i, least(i + 18, size(g) - 1)), j -> named_struct('i', i, 'j', j, 'v', regexp_replace({text('i', 'j - i + 1')}, '[ -]$', '')))"
+    rank = f"CASE WHEN c.v RLIKE '^[A-Z]' THEN 0 WHEN c.v RLIKE '^(?:{_USUAL})$' THEN 1 WHEN c.i = 0 AND c.j = size(g) - 1 THEN 2 ELSE 3 END"
+    found = f"flatten(transform(sequence(0, size(g) - 1), i -> filter(transform({at}, c -> named_struct('r', {rank}, 'i', c.i, 'back', -c.j, 'v', c.v, 'k', {kind})), c -> c.k IS NOT NULL)))"
+    taken = f"aggregate(array_sort({found}), filter({found}, c -> false), (t, c) -> IF(exists(t, x -> c.i <= -x.back AND -c.back >= x.i), t, array_append(t, c)))"
+    ordered = f"array_sort({taken}, (x, y) -> x.i - y.i)"
+    gap = lambda until: f"IF({until} > s.at, array(named_struct('m', {text('s.at', f'{until} - s.at')}, 'k', cast(null as string))), {none})"
+    tail = f"substring({text('c.i', '1 - c.back - c.i')}, length(c.v) + 1)"
+    cut = (
+        f"aggregate({ordered}, named_struct('at', 0, 'p', {none}), (s, c) -> named_struct('at', 1 - c.back, 'p', concat(s.p, {gap('c.i')}, array(named_struct('m', c.v, 'k', c.k), named_struct('m', {tail}, 'k', cast(null as string))))), "
+        f"s -> concat(s.p, {gap('size(g)')}))"
+    )
+    split = f"flatten(transform(array(split({m}, '(?<=[ -])')), g -> {cut}))"
+    searched = f"{m} RLIKE '^[A-Z]{{2}}[0-9]{{2}}[^@]*$' OR {m} RLIKE '^{_CARD}' AND NOT {m} RLIKE '[./@]'"
+    return f"flatten(transform(array({plain}), p -> IF(p IS NULL AND ({searched}), {split}, array(named_struct('m', {m}, 'k', p)))))"
+
+
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "tidemark") -> DataFrame:
     """id, ``text`` with pseudonyms, and the number of values replaced of each kind (``n_email`` ...).
 
@@ -146,13 +208,12 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
     base = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), found.alias("__found"))
-    kinds = "CASE " + " ".join(f"WHEN {test} THEN '{k}'" for k, (test, _) in _pseudonym("m", key).items()) + " END"
-    named = base.withColumn("__kinds", F.expr(f"transform(__found, m -> named_struct('m', m, 'k', {kinds}))"))
+    named = base.withColumn("__kinds", F.expr(f"transform(__found, m -> {_parts('m', key)})"))
     made = "CASE x.k " + " ".join(f"WHEN '{k}' THEN {new}" for k, (_, new) in _pseudonym("x.m", key).items()) + " ELSE x.m END"
     new = F.when(F.size("__found") == 0, F.col("__text")).otherwise(
-        F.array_join(F.zip_with(F.split("__text", PATTERN, -1), F.concat(F.expr(f"transform(__kinds, x -> {made})"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        F.array_join(F.zip_with(F.split("__text", PATTERN, -1), F.concat(F.expr(f"transform(__kinds, p -> array_join(transform(p, x -> {made}), ''))"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     )
-    n = [F.expr(f"cast(size(filter(__kinds, h -> h.k = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
+    n = [F.expr(f"cast(size(filter(flatten(__kinds), h -> h.k = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
     return named.select(F.col("__id").alias(id_col), new.alias("text"), *n)
 
 
