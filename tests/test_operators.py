@@ -8,6 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
+from tidemark.operators import checks as K
 from tidemark.operators import corpus as C
 from tidemark.operators import graph as G
 from tidemark.operators import lineage as L
@@ -132,6 +133,33 @@ def test_date_parse_collapses_into_baseline(spark):
     assert (r.confidence, r.code_evidence, r.model_ids) == ("Medium", "", ["m1", "m2", "m9"]) and len(rows) == 2
 
 
+def test_totals_are_sizes_of_the_arrays_without_arrays(spark):
+    refs, usages = state.refs(spark, SF), state.usages(spark, SF)
+    tables, columns, models = L.assemble_tables(refs), L.assemble_columns(refs), L.table_models(refs)
+    totals, register = L.table_totals(refs), R.register_totals(usages, L.table_totals(refs), columns, models)
+    for made in (totals, R.rule_totals(R.usage_candidates(usages)), register):
+        assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    size = lambda c: F.size(c).cast("long")
+    want = tables.select("table_id", "name", "role", "source_system", "source", size("produced_by"), size("consumed_by"))
+    assert sorted(map(tuple, totals.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    names = ["rule_id", "element", "code_evidence", "rationale"]
+    got = {tuple(r) for r in register.select(*names, "n_models").collect()}
+    assert got == {tuple(r) for r in R.register(usages, tables, columns).select(*names, size("model_ids")).collect()} and len(got) > 100
+
+
+def test_learned_range_is_exact_over_ranges(spark):
+    for n in (1, 2, 7, 1000):
+        t = spark.range(n).select(F.when(F.col("id") % 5 != 4, (F.col("id") * 37 % 101) / 4).alias("x")).repartition(4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for low, high in ((0.01, 0.99), (0.0, 1.0), (0.3, 0.5)):
+            made = K.learned_range(t, "x", low, high)
+            assert "percentile" not in made._jdf.queryExecution().optimizedPlan().toString()
+            got, want = made.first(), t.agg(F.percentile("x", F.lit(low)), F.percentile("x", F.lit(high))).first()
+            assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tuple(K.learned_range(t.filter("false"), "x").first()) == (None, None)
+
+
 def test_paths_with_cycle_and_diamond(spark):
     t = spark.createDataFrame([("a", "Source"), ("b", "Intermediate"), ("c", "Intermediate"), ("d", "Output")], "table_id string, role string")
     e = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "b"), ("b", "d"), ("c", "d")], "source_table_id string, target_table_id string")

@@ -11,6 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.functions.scratch import written
 
 
 @dataclass(frozen=True)
@@ -146,8 +149,23 @@ def completeness_profile(df: DataFrame) -> DataFrame:
 
 
 def learned_range(df: DataFrame, col: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """(low, high) as exact percentiles; the aggregate keeps counts of distinct values."""
-    return df.agg(F.percentile(col, F.lit(low)).alias("low"), F.percentile(col, F.lit(high)).alias("high"))
+    """(low, high) as exact percentiles, interpolated. Values are counted, dealt in ranges and numbered by a
+    running sum in each, so no task holds all distinct values; only a count per range meets in one."""
+    n = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ranged = written(n.repartitionByRange("v").withColumn("r", F.spark_partition_id()), "counts")
+    sizes = ranged.groupBy("r").agg(F.sum("n").alias("m"))
+    all_before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select("r", F.coalesce(F.sum("m").over(all_before), F.lit(0)).alias("s"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    end = F.col("s") + F.sum("n").over(Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = ranged.join(F.broadcast(start), "r").withColumn("__end", end)
+
+    def at(share: float, whole):
+        k = whole(F.lit(share) * (F.col("total") - 1))
+        return F.max(F.when((k < F.col("__end")) & (k >= F.col("__end") - F.col("n")), F.col("v")))
+
+    x = lambda share: F.lit(share) * (F.max("total") - 1)
+    made = lambda share: at(share, F.floor) + (at(share, F.ceil) - at(share, F.floor)) * (x(share) - F.floor(x(share)))
+    return ranks.agg(made(low).alias("low"), made(high).alias("high"))
 
 
 def scorecard(results: DataFrame) -> DataFrame:

@@ -68,7 +68,8 @@ def roles(refs: DataFrame) -> DataFrame:
 
 def assemble_tables(refs: DataFrame, role_overrides: DataFrame | None = None) -> DataFrame:
     """One row per table: id, canonical name, role, source system, producing and consuming models in order,
-    provenance of the first reference. ``role_overrides(table_id, role)`` wins."""
+    provenance of the first reference. ``role_overrides(table_id, role)`` wins. A table's models are one array:
+    where a table may have very many, take ``table_totals`` and ``table_models``."""
     by = refs.groupBy("canon").agg(
         F.bool_or(F.col("direction") == "output").alias("__out"),
         F.bool_or(F.col("direction") == "input").alias("__in"),
@@ -84,6 +85,23 @@ def assemble_tables(refs: DataFrame, role_overrides: DataFrame | None = None) ->
     return t.join(o, "table_id", "left").withColumn("role", F.coalesce("__role", "role")).drop("__role")
 
 
+def table_models(refs: DataFrame) -> DataFrame:
+    """(table_id, name, direction, model_id, ord): a row per table, direction and model at its first reference."""
+    one = refs.filter("model_id IS NOT NULL").groupBy("canon", "direction", "model_id").agg(F.min("ord").alias("ord"))
+    return one.select(ids.table_id("canon").alias("table_id"), F.col("canon").alias("name"), "direction", "model_id", "ord")
+
+
+def table_totals(refs: DataFrame) -> DataFrame:
+    """``assemble_tables`` with the numbers of producing and consuming models instead of the models; references
+    are reduced to a row per table, direction and model first, and no array is built."""
+    one = refs.groupBy("canon", "direction", "model_id").agg(first_by("source", "ord").alias("source"), F.min("ord").alias("ord"))
+    out, into = F.col("direction") == "output", F.col("direction") == "input"
+    known = F.col("model_id").isNotNull()
+    by = one.groupBy("canon").agg(F.bool_or(out).alias("__out"), F.bool_or(into).alias("__in"), first_by("source", "ord").alias("source"), F.count_if(out & known).alias("n_produced"), F.count_if(into & known).alias("n_consumed"))
+    role = F.when(F.col("__out") & F.col("__in"), "Intermediate").when(F.col("__out"), "Output").otherwise("Source")
+    return by.select(ids.table_id("canon").alias("table_id"), F.col("canon").alias("name"), role.alias("role"), ids.source_system("canon").alias("source_system"), "source", "n_produced", "n_consumed")
+
+
 def assemble_columns(refs: DataFrame) -> DataFrame:
     """(table_id, name, source): union of the columns named for a table, first provenance wins."""
     cols = refs.select(ids.table_id("canon").alias("table_id"), "source", "ord", F.posexplode("columns").alias("pos", "name"))

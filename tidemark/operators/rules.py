@@ -31,14 +31,40 @@ BASELINE_RULES = [
 ]
 
 
+_FIELDS = ("element", "dimension", "rule_statement", "rationale", "code_evidence", "severity", "source", "confidence", "status")
+
+
+def _keyed(candidates: DataFrame) -> DataFrame:
+    return candidates.withColumn("rule_id", ids.rule_id("element", "dimension", "rule_statement"))
+
+
 def _finish(candidates: DataFrame) -> DataFrame:
-    """One row per rule id: the first candidate's fields, all models in order."""
-    keyed = candidates.withColumn("rule_id", ids.rule_id("element", "dimension", "rule_statement"))
-    fields = F.struct("element", "dimension", "rule_statement", "rationale", "code_evidence", "severity", "source", "confidence", "status")
-    by = keyed.groupBy("rule_id").agg(first_by(fields, "ord").alias("f"), ordered_set("model_id", "ord").alias("model_ids"), F.min("ord").alias("ord"))
+    """One row per rule id: the first candidate's fields, all models in order (as one array)."""
+    by = _keyed(candidates).groupBy("rule_id").agg(first_by(F.struct(*_FIELDS), "ord").alias("f"), ordered_set("model_id", "ord").alias("model_ids"), F.min("ord").alias("ord"))
     return by.select("rule_id", "f.*", "model_ids", "ord")
 
 
+def rule_models(candidates: DataFrame) -> DataFrame:
+    """(rule_id, model_id, ord): a row per rule and model at its first candidate."""
+    return _keyed(candidates).filter("model_id IS NOT NULL").groupBy("rule_id", "model_id").agg(F.min("ord").alias("ord"))
+
+
+def rule_totals(candidates: DataFrame) -> DataFrame:
+    """One row per rule id: the first candidate's fields and the number of models, ``n_models``. Candidates are
+    reduced to a row per rule and model first, and no array is built."""
+    one = _keyed(candidates).groupBy("rule_id", "model_id").agg(first_by(F.struct(*_FIELDS), "ord").alias("f"), F.min("ord").alias("ord"))
+    by = one.groupBy("rule_id").agg(first_by("f", "ord").alias("f"), F.count("model_id").alias("n_models"), F.min("ord").alias("ord"))
+    return by.select("rule_id", "f.*", "n_models", "ord")
+
+
+def attributed_totals(candidates: DataFrame, models: DataFrame) -> DataFrame:
+    """(rule_id, n_models) with the models of the element's table, ``table_models``, counted once beside the rule's own."""
+    rules = _keyed(candidates).groupBy("rule_id").agg(first_by("element", "ord").alias("element")).withColumn("name", ids.element_table("element"))
+    theirs = rules.join(models.select("name", "model_id").distinct(), "name").select("rule_id", "model_id")
+    own = rules.select("rule_id", F.lit(None).cast("string").alias("model_id")).unionByName(rule_models(candidates).select("rule_id", "model_id"))
+    return own.unionByName(theirs).distinct().groupBy("rule_id").agg(F.count("model_id").alias("n_models"))
+
+
 def usage_candidates(usages: DataFrame, mapping: list[tuple[str, str, str, str]] | None = None) -> DataFrame:
     """A candidate per usage and mapped rule. The mapping is a dozen rows, broadcast."""
     spark = usages.sparkSession
@@ -50,17 +76,22 @@ def usage_candidates(usages: DataFrame, mapping: list[tuple[str, str, str, str]]
     )
 
 
-def baseline_candidates(tables: DataFrame, columns: DataFrame, include_roles: tuple[str, ...] = ("Source", "Intermediate", "Output")) -> DataFrame:
+def baseline_candidates(tables: DataFrame, columns: DataFrame, include_roles: tuple[str, ...] = ("Source", "Intermediate", "Output"), models: DataFrame | None = None) -> DataFrame:
     """Candidates per column and name shape, one per touching model (producers before consumers); they
-    come before all usage rules."""
-    t = tables.filter(F.col("role").isin(*include_roles)).select("table_id", F.col("name").alias("__table"), F.array_distinct(F.concat("produced_by", "consumed_by")).alias("__models"))
+    come before all usage rules. With ``models``, the rows of ``table_models``, no array of models is needed."""
+    t = tables.filter(F.col("role").isin(*include_roles)).select("table_id", F.col("name").alias("__table"), *([F.array_distinct(F.concat("produced_by", "consumed_by")).alias("__models")] if models is None else []))
     c = columns.join(t, "table_id").withColumn("element", F.concat("__table", F.lit("."), "name"))
     made = [
         F.when(F.lit(True) if shape is None else F.col("name").rlike(shape), F.struct(F.lit(dim).alias("dimension"), F.lit(st).alias("rule_statement"), F.lit(sev).alias("severity"), F.lit(conf).alias("confidence"), F.lit(i).cast("long").alias("b")))
         for i, (shape, dim, sev, st, conf) in enumerate(BASELINE_RULES)
     ]
-    rows = c.select("element", "__models", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("r"))
-    rows = rows.select("element", "r.*", F.posexplode_outer("__models").alias("a", "model_id"))
+    rules = F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("r")
+    if models is None:
+        rows = c.select("element", "__models", rules).select("element", "r.*", F.posexplode_outer("__models").alias("a", "model_id"))
+    else:
+        at = F.col("ord").cast("long") + F.when(F.col("direction") == "output", 0).otherwise(1 << 61)
+        first = models.groupBy("table_id", "model_id").agg(F.min(at).alias("a"))
+        rows = c.select("table_id", "element", rules).join(first, "table_id", "left").select("element", "r.*", "a", "model_id")
     return rows.select(
         "element", "dimension", "rule_statement", F.lit("baseline data-element expectation").alias("rationale"), F.lit("").alias("code_evidence"), "severity", F.lit("H").alias("source"), "confidence", F.lit("Proposed").alias("status"), "model_id",
         F.struct(F.lit(0).alias("stage"), F.coalesce(F.col("a").cast("long"), F.lit(0).cast("long")).alias("a"), "b").alias("ord"),
@@ -90,6 +121,12 @@ def register(usages: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFr
     return attribute_models(_finish(both), tables)
 
 
+def register_totals(usages: DataFrame, tables: DataFrame, columns: DataFrame, models: DataFrame) -> DataFrame:
+    """``register`` with ``n_models`` instead of the models, from ``table_totals`` and ``table_models``."""
+    both = baseline_candidates(tables, columns, models=models).unionByName(usage_candidates(usages))
+    return rule_totals(both).drop("n_models").join(attributed_totals(both, models), "rule_id")
+
+
 def merge_proposals(rules: DataFrame, proposals: DataFrame) -> DataFrame:
     """``rules`` with ``related_elements`` and the proposals merged in by element and dimension.
 

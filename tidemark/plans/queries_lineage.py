@@ -74,9 +74,7 @@ def d3_roles(spark, d):
 
 @query("SELECT * FROM tabs")
 def d4_assemble_tables(spark, d):
-    t = L.assemble_tables(S.refs(spark, d))
-    n = lambda c: F.size(c).cast("long")
-    return t.select("table_id", "name", "role", "source_system", "source", n("produced_by").alias("n_produced"), n("consumed_by").alias("n_consumed"))
+    return L.table_totals(S.refs(spark, d))
 
 
 @query("SELECT table_id, name, 'E' AS source FROM cols")
@@ -155,7 +153,7 @@ _U = "u AS (SELECT element, ord, model_id, evidence, usage_kind, unnest(CASE usa
 
 @query(f"WITH {_U} SELECT {_RID} AS rule_id, element, dimension, rule_statement, severity, arg_min(evidence, ord) AS code_evidence, count(DISTINCT model_id) AS n_models FROM u GROUP BY element, dimension, rule_statement, severity")
 def e1_infer_rules(spark, d):
-    return R.infer_rules(S.usages(spark, d)).select("rule_id", "element", "dimension", "rule_statement", "severity", "code_evidence", F.size("model_ids").cast("long").alias("n_models"))
+    return R.rule_totals(R.usage_candidates(S.usages(spark, d))).select("rule_id", "element", "dimension", "rule_statement", "severity", "code_evidence", "n_models")
 
 
 _B = "b AS (SELECT tname || '.' || name AS element, tname, unnest(list_concat(['Completeness'], CASE WHEN name IN ('order_id', 'region_key') THEN ['Uniqueness'] WHEN name = 'as_of_date' THEN ['Validity'] ELSE [] END)) AS dimension FROM cols), bb AS (SELECT *, CASE dimension WHEN 'Completeness' THEN 'Non-null' WHEN 'Uniqueness' THEN 'Unique identifier' ELSE 'Valid date; within plausible range' END AS rule_statement FROM b)"
@@ -164,18 +162,18 @@ _B = "b AS (SELECT tname || '.' || name AS element, tname, unnest(list_concat(['
 @query(f"WITH {_B} SELECT {_RID} AS rule_id, element, dimension, rule_statement, t.n_all AS n_models FROM bb JOIN (SELECT canon, count(DISTINCT model_id) AS n_all FROM refs GROUP BY canon) t ON t.canon = tname")
 def e2_baseline_rules(spark, d):
     refs = S.refs(spark, d)
-    return R.baseline_rules(L.assemble_tables(refs), L.assemble_columns(refs)).select("rule_id", "element", "dimension", "rule_statement", F.size("model_ids").cast("long").alias("n_models"))
+    return R.rule_totals(R.baseline_candidates(L.table_totals(refs), L.assemble_columns(refs), models=L.table_models(refs))).select("rule_id", "element", "dimension", "rule_statement", "n_models")
 
 
 @query(f"WITH {_U}, {_B}, a AS (SELECT element, dimension, rule_statement, 0 AS stage, '' AS code_evidence, 0 AS ord FROM bb UNION ALL SELECT element, dimension, rule_statement, 1, evidence, ord FROM u) SELECT {_RID} AS rule_id, element, dimension, rule_statement, arg_min(code_evidence, stage * 1000000000 + ord) AS code_evidence FROM a GROUP BY element, dimension, rule_statement")
 def e3_register(spark, d):
     refs = S.refs(spark, d)
-    return R.register(S.usages(spark, d), L.assemble_tables(refs), L.assemble_columns(refs)).select("rule_id", "element", "dimension", "rule_statement", "code_evidence")
+    return R.register_totals(S.usages(spark, d), L.table_totals(refs), L.assemble_columns(refs), L.table_models(refs)).select("rule_id", "element", "dimension", "rule_statement", "code_evidence")
 
 
 @query(f"WITH {_U}, n AS (SELECT canon, list(DISTINCT model_id) AS all_models FROM refs GROUP BY canon), r AS (SELECT element, dimension, rule_statement, list(DISTINCT model_id) AS own FROM u GROUP BY element, dimension, rule_statement) SELECT {_RID} AS rule_id, CAST(len(list_distinct(list_concat(own, all_models))) AS BIGINT) AS n_models FROM r JOIN n ON canon = substr(element, 1, length(element) - length(split_part(element, '.', -1)) - 1)")
 def e4_attribute_models(spark, d):
-    return R.attribute_models(R.infer_rules(S.usages(spark, d)), L.assemble_tables(S.refs(spark, d))).select("rule_id", F.size("model_ids").cast("long").alias("n_models"))
+    return R.attributed_totals(R.usage_candidates(S.usages(spark, d)), L.table_models(S.refs(spark, d)))
 
 
 @query(f"WITH {_U}, r AS (SELECT DISTINCT element, dimension FROM u), p AS (SELECT DISTINCT out_name || '.total' AS element, unnest(['Validity', 'Accuracy']) AS dimension FROM cm) SELECT coalesce(r.element, p.element) AS element, coalesce(r.dimension, p.dimension) AS dimension, r.element IS NULL AS is_new, CASE WHEN p.element IS NULL THEN 0 ELSE 1 END AS n_related FROM r FULL JOIN p ON r.element = p.element AND r.dimension = p.dimension")
