@@ -75,6 +75,17 @@ def f6_grain(spark, d):
     return C.grain(j.select("n_name", F.trunc("o_orderdate", "month").alias("m")), "orders", ["n_name", "m"])
 
 
+@query("""
+WITH a AS (SELECT DISTINCT c_mktsegment, n_name, CAST(o_orderdate AS DATE) AS d FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT x.c_mktsegment, y.n_name, z.d FROM (SELECT DISTINCT c_mktsegment FROM a) x, (SELECT DISTINCT n_name FROM a) y, (SELECT DISTINCT d FROM a) z
+EXCEPT SELECT c_mktsegment, n_name, d FROM a
+""")
+def f6_grain_daily(spark, d):
+    """All orders, at a grain fine enough to have gaps."""
+    j = table(spark, d, "orders").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey")).join(table(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
+    return C.grain(j.select("c_mktsegment", "n_name", F.to_date("o_orderdate").alias("d")), "orders", ["c_mktsegment", "n_name", "d"])
+
+
 @query(_row("grain", "events.event_type,day", "Completeness", "Medium", "SELECT count(DISTINCT event_type) * count(DISTINCT d) AS n, count(DISTINCT event_type) * count(DISTINCT d) - count(DISTINCT (event_type, d)) AS v FROM (SELECT event_type, CAST(ts AS DATE) AS d FROM events)"))
 def f6_grain_check(spark, d):
     return C.grain_check(table(spark, d, "events").withColumn("day", F.to_date("ts")), "events", ["event_type", "day"])
@@ -117,6 +128,18 @@ def f11_cross_system(spark, d):
     return C.cross_system(a, b, "k", "x", "y", 50_000)
 
 
+@query("""
+WITH a AS (SELECT o_orderkey AS key, round(o_totalprice, 2) AS left_value FROM orders),
+b AS (SELECT l_orderkey AS key, round(sum(l_extendedprice), 2) AS right_value FROM lineitem GROUP BY 1)
+SELECT key, left_value, right_value, CASE WHEN a.left_value IS NULL THEN 'missing_left' WHEN b.right_value IS NULL THEN 'missing_right' WHEN abs(left_value - right_value) <= 50000 THEN 'match' ELSE 'mismatch' END AS outcome FROM a FULL JOIN b USING (key)
+""")
+def f11_cross_system_all(spark, d):
+    """All keys of both sides."""
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice", 2).alias("x"))
+    b = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_extendedprice"), 2).alias("y"))
+    return C.cross_system(a, b, "k", "x", "y", 50_000)
+
+
 _COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 

@@ -221,6 +221,18 @@ def g3_upstream_cyclic(spark, d):
     return G.reachable(hop, spark.createDataFrame([("click0",)], "seed string"), upstream=True)
 
 
+@_plain("""
+WITH RECURSIVE e AS (SELECT DISTINCT a.event_type || (a.user_id % 7) AS s, b.event_type || (b.user_id % 7) AS t FROM events a JOIN events b ON a.event_id + 1 = b.event_id),
+w AS (SELECT 'click0' AS seed, 'click0' AS node, 0 AS depth UNION SELECT seed, s, depth + 1 FROM w JOIN e ON node = t WHERE depth < 40 AND s <> t)
+SELECT seed, node, min(depth) AS depth FROM w GROUP BY seed, node
+""")
+def g3_upstream_cyclic_all(spark, d):
+    """Upstream of one state in the graph of all event transitions."""
+    e = table(spark, d, "events").select("event_id", F.concat("event_type", (F.col("user_id") % 7).cast("string")).alias("n"))
+    hop = e.select((F.col("event_id") + 1).alias("event_id"), F.col("n").alias("source_table_id")).join(e.withColumnRenamed("n", "target_table_id"), "event_id")
+    return G.reachable(hop, spark.createDataFrame([("click0",)], "seed string"), upstream=True)
+
+
 @query("SELECT t.table_id, t.name, role AS lane, CASE role WHEN 'Source' THEN 0 WHEN 'Output' THEN 2 ELSE 1 END AS lane_index, source_system, coalesce(n, 0) AS column_count FROM tabs t LEFT JOIN (SELECT table_id, count(*) AS n FROM cols GROUP BY 1) c ON t.table_id = c.table_id")
 def g4_table_graph(spark, d):
     s = S.state(spark, d)
