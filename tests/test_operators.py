@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
+from tidemark.llm.components import components
 from tidemark.operators import checks as K
 from tidemark.operators import corpus as C
 from tidemark.operators import graph as G
@@ -169,6 +171,19 @@ def test_paths_with_cycle_and_diamond(spark):
     assert cut
 
 
+def test_iterations_end_or_raise(spark):
+    n = 34
+    e = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(n)], "source_table_id string, target_table_id string")
+    t = spark.createDataFrame([("t0", "Source"), (f"t{n}", "Output")], "table_id string, role string")
+    paths, cut = G.source_to_output_paths(t, e)
+    assert not cut and [len(r.path) for r in paths.collect()] == [n + 1]
+    seed = spark.createDataFrame([("t0",)], "seed string")
+    with pytest.raises(RuntimeError):
+        G.reachable(e, seed, max_depth=2)
+    with pytest.raises(RuntimeError):
+        components(e.select(F.col("source_table_id").alias("a"), F.col("target_table_id").alias("b")), rounds=1)
+
+
 def test_long_chain(spark):
     e = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(12)], "source_table_id string, target_table_id string")
     r = G.reachable(e, spark.createDataFrame([("t0",)], "seed string"))

@@ -31,4 +31,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now = after
         if same:
             break
+    else:
+        raise RuntimeError(f"components not complete after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

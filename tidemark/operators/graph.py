@@ -3,6 +3,8 @@ frontier is written to the shared folder each round, so plans stay short."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,16 @@ def tables_by_role(tables: DataFrame) -> DataFrame:
     return by.agg(F.count("*").alias("n_tables"), F.array_sort(F.collect_set("name")).alias("names"))
 
 
-def source_to_output_paths(tables: DataFrame, edges: DataFrame, max_depth: int = 32, max_paths: int | None = None) -> tuple[DataFrame, bool]:
+def source_to_output_paths(tables: DataFrame, edges: DataFrame, max_depth: int | None = None, max_paths: int | None = None) -> tuple[DataFrame, bool]:
     """All simple paths from Source to Output tables as ``path`` (array of table ids), and whether the
     search was cut at ``max_depth`` edges or after ``max_paths`` partial paths. Parallel edges count once.
-    The number of simple paths can be exponential; the two bounds are the caller's, and are reported."""
+    The number of simple paths can be exponential; the two bounds are the caller's, and are reported. Without
+    them the search goes on until no path grows: simple paths end by themselves."""
     hop = edges.select(F.col("source_table_id").alias("s"), F.col("target_table_id").alias("t")).filter("s <> t").distinct()
     goal = tables.filter("role = 'Output'").select(F.col("table_id").alias("t"))
     front = written(tables.filter("role = 'Source'").select(F.array("table_id").alias("path"), F.col("table_id").alias("end")), "paths")
     found, cut = [], False
-    for _ in range(max_depth):
+    for _ in itertools.count() if max_depth is None else range(max_depth):
         nxt = front.join(hop, front["end"] == hop["s"]).filter(~F.array_contains("path", F.col("t")))
         front = written(nxt.select(F.concat("path", F.array("t")).alias("path"), F.col("t").alias("end")), "paths")
         n = front.count()
@@ -46,18 +49,20 @@ def source_to_output_paths(tables: DataFrame, edges: DataFrame, max_depth: int =
     return out, cut
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, source: str = "source_table_id", target: str = "target_table_id", upstream: bool = False, max_depth: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, source: str = "source_table_id", target: str = "target_table_id", upstream: bool = False, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth): every node that each seed reaches (``upstream``: that reaches it) and the
     fewest edges to it; the seed itself has depth 0. ``seeds(seed)``. Breadth first: a node met once is
-    not expanded again, so cycles end."""
+    not expanded again, so cycles end. Nodes beyond a ``max_depth`` that is given are an error."""
     s, t = (target, source) if upstream else (source, target)
     hop = edges.select(F.col(s).alias("s"), F.col(t).alias("t")).filter("s <> t").distinct()
     seen = front = written(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct(), "reach")
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = front.join(hop, front["node"] == hop["s"]).select("seed", F.col("t").alias("node")).distinct()
         front = written(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if front.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"nodes beyond {max_depth} edges")
         seen = seen.unionByName(front)
     return seen
 

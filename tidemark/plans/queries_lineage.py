@@ -198,7 +198,9 @@ def g1_tables_by_role(spark, d):
 @query("WITH RECURSIVE h AS (SELECT DISTINCT source_table_id AS s, target_table_id AS t FROM edges), w AS (SELECT [table_id] AS path, table_id AS last FROM tabs WHERE role = 'Source' UNION ALL SELECT list_append(path, t), t FROM w JOIN h ON last = s WHERE NOT list_contains(path, t)) SELECT array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS n FROM w JOIN tabs ON table_id = last WHERE role = 'Output' AND len(path) > 1")
 def g2_source_to_output_paths(spark, d):
     refs = S.refs(spark, d)
-    paths, _ = G.source_to_output_paths(L.assemble_tables(refs), L.table_edges(refs, S.lineage_rows(spark, d)))
+    paths, cut = G.source_to_output_paths(L.assemble_tables(refs), L.table_edges(refs, S.lineage_rows(spark, d)))
+    if cut:
+        raise RuntimeError("paths were cut")
     return paths.select(F.array_join("path", ">").alias("path"), F.size("path").alias("n"))
 
 
