@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -90,16 +91,57 @@ def test_fold_and_render(spark):
 
 
 # ------------------------------------------------------------------------------------- 4 WARC
+def captures(spark, rows, path, **more):
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("marked", F.lit(1))
+    warc.write_archives(p.repartition(3), f"file://{path}", captures_per_file=2, **more)
+    recs = warc.read_records(spark, f"file://{path}")
+    return recs, [(json.loads(r.metadata.payload.decode()[9:]), r.response) for r in warc.assemble(recs).collect()]
+
+
 def test_warc(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
-    rows = [(3, "http://x/a b", tricky), (1, None, tricky), (2, "u", None), (4, "u\r\nWARC-Type: no", ""), (None, "n", "lone"), (5, "é", "ü" * 50_000)]
-    p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
-    warc.write_archives(p, f"file://{tmp_path}/w", captures_per_file=2)
-    recs = warc.read_records(spark, f"file://{tmp_path}/w")
-    assert {r.kind: r["count"] for r in recs.groupBy("kind").count().collect()} == {"request": 6, "metadata": 6, "response": 4, "revisit": 2}
-    whole = warc.assemble(recs).collect()
-    assert len(whole) == 6 and all(r.request and r.metadata and r.response for r in whole)
-    assert sorted((r.response.payload.decode() for r in whole if r.response.payload is not None), key=len) == ["", "lone", tricky, "ü" * 50_000]
+    rows = [(3, "http://x/a b", tricky), (1, None, tricky), (2, "u", None), (4, "u\r\nWARC-Type: no", ""), (None, "n", "lone"), (5, "é", "ü" * 50_000), (None, "n", tricky)]
+    recs, whole = captures(spark, rows, tmp_path / "w")
+    assert {r.kind: r["count"] for r in recs.groupBy("kind").count().collect()} == {"request": 7, "metadata": 7, "response": 4, "revisit": 3}
+    assert len(whole) == 7 and all(r.request and r.metadata and r.response for r in warc.assemble(recs).collect())
+    assert sorted((r.payload.decode() for _, r in whole if r.payload is not None), key=len) == ["", "lone", tricky, "ü" * 50_000]
+    assert {m.get("id"): m.get("refers_to") for m, r in whole if r.kind == "revisit"} == {"3": "1", None: "1", "4": "2"}
+    ids = {r.record_id for _, r in whole if r.kind == "response"}
+    assert all(r.refers_to in ids for _, r in whole if r.kind == "revisit")
+
+
+@pytest.mark.parametrize("slots", [warc.SLOTS, 1 << 15])
+def test_warc_repeated_rows(spark, tmp_path, slots, monkeypatch):
+    """Each row is a capture of its own; a crowded bitmap changes nothing."""
+    monkeypatch.setattr(warc, "SLOTS", slots)
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 6), rng.choice(["u", "v"]), rng.choice(["p", "q", "", None, "hot"])) for _ in range(60)] + [(100 + i, "h", "hot") for i in range(400)] + [(1000 + i, "s", f"single {i}") for i in range(100)]
+    recs, whole = captures(spark, rows, tmp_path / "w")
+    low = {}
+    for i, _, t in rows:
+        low[t or ""] = min(i, low.get(t or "", i))
+    want = collections.Counter((str(i), u, "response" if i == low[t or ""] else "revisit", None if i == low[t or ""] else str(low[t or ""]), (t or "") if i == low[t or ""] else None) for i, u, t in rows)
+    assert collections.Counter((m["id"], m["url"], r.kind, m.get("refers_to"), r.payload.decode() if r.kind == "response" else None) for m, r in whole) == want
+    assert recs.select("record_id").distinct().count() == 3 * len(rows)
+    _, small = captures(spark, rows, tmp_path / "x", min_bytes=2)
+    assert sum(r.kind == "response" for _, r in small) == sum(t != "hot" or i == low["hot"] for i, _, t in rows)
+    assert captures(spark, rows[:1], tmp_path / "y")[1][0][1].kind == "response"
+
+
+@given(st.lists(st.text(st.sampled_from("\r\nWa"), max_size=12), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_warc_pieces(bodies):
+    """Records whose payloads hold blank lines in any number, cut at blank lines."""
+    raw = "".join(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: {i}\r\nContent-Length: {len(b)}\r\n\r\n{b}\r\n\r\n" for i, b in enumerate(bodies)).encode()
+    cut = lambda x: (y := x.split(b"\r\n\r\n"))[: len(y) - (not y[-1])]
+    assert [r[-1].decode() for r in warc.parse_records(iter(cut(raw)))] == bodies
+    if bodies:
+        with pytest.raises(ValueError):
+            list(warc.parse_records(iter(cut(raw[:-5]))))
+
+
+def test_warc_empty(spark, tmp_path):
+    assert captures(spark, [], tmp_path / "w")[1] == []
 
 
 # --------------------------------------------------------------------------------- 2 PPM scores

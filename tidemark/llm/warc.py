@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, shared_dir
+from .common import BLOCK_BYTES, batch, shared_dir, staged
 from .exact_dedup import _ddl
 
 CRLF = "\r\n"
@@ -33,75 +32,162 @@ def _urn(kind: str, *parts: Column) -> Column:
 def _record(kind: str, rid: Column, uri: Column, date: str, content_type: str, block: Column, *more: tuple[str, Column | None]) -> Column:
     head: list[Column] = [F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Record-ID: "), rid, F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "), uri]
     for name, value in more:
-        head += [F.lit(f"{CRLF}{name}: "), value]
+        head.append(F.coalesce(F.concat(F.lit(f"{CRLF}{name}: "), value), F.lit("")))
     return F.concat(*head, F.lit(f"{CRLF}Content-Type: {content_type}{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
+SLOTS = 1 << 26
+
+
+def _marks(keys: DataFrame, *on: str) -> DataFrame:
+    """A bitmap of SLOTS bits with those of the hashes of ``keys`` set, as at most 2,048 rows of 4 KB."""
+    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
+    return keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+
+
+def _marked(rows: DataFrame, marks: DataFrame, *on: str) -> DataFrame:
+    """``rows`` with the boolean ``marked``: false for a key that is surely not among those of ``marks``.
+    The broadcast is 8 MB at most, whatever the input; a fuller bitmap only marks more rows."""
+    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(marks), "bucket", "left").withColumn("marked", hit).drop("bucket", "bits")
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", captures_per_file: int = 500) -> None:
     """Write a request, a response or revisit, and a metadata record for each row, as gzipped WARC 1.1.
 
     Of rows with equal payloads of ``min_bytes`` or more, those with the smallest id are responses and
     the others revisit them; smaller payloads are always responses. A null payload is empty, a null url
-    too; rows with a null id revisit where another row has an id. Rows equal in id, url and payload are
-    the same capture and come out once. The owner of each payload is found by a combined aggregate, and
-    only payloads that stand more than once are joined back, so a hot payload is a skewed join whose
-    other side has one row. A file holds ``captures_per_file`` captures, which bounds what a reader holds.
+    too; rows with a null id revisit where another row has an id. Each row is a capture of its own, also
+    where rows repeat in full. Payloads are equal when SHA-256, SHA-1 and length are.
+
+    A revisit names the url and date of the first capture, and its record where only one row has the
+    smallest id. Payloads stay where they are read. Repeated ones are found on narrow rows; a bitmap of fixed size tells
+    which rows surely do not repeat, and these are written from the scan. Of the others a revisit needs no
+    payload, so that only the first captures of repeated payloads pass a shuffle: a hot payload sends one
+    row, or as many as there are rows with its smallest id.
     """
-    own = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    own = own.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    first = own.filter((F.col("bytes") >= min_bytes) & F.col("id").isNotNull()).groupBy("digest", "bytes").agg(F.min(F.struct("id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    own = own.join(first, ["digest", "bytes"], "left")
-    response = F.col("first").isNull() | F.col("first.id").eqNullSafe(F.col("id"))
-    rid = _urn("response", F.col("id"), F.col("url"), F.col("digest"))
-    # A WARC-Target-URI may hold no control characters or spaces; the url itself goes into the metadata.
-    uri = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = pages.select(F.col(id_col).alias("id"), text(url_col).alias("url"), text(payload_col).alias("payload"))
+    body = F.col("payload").cast("binary")
+    # ``same`` tells payloads apart; ``nonce`` tells rows apart
+    own = own.withColumn("same", F.sha2(body, 256)).withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("nonce", F.monotonically_increasing_id())
+    narrow = staged(own.select("id", "url", "same", "bytes", "nonce", sha1_base32(body).alias("digest")), "warc-rows")
+    counted = narrow.filter(F.col("bytes") >= min_bytes).groupBy("same", "id", "url").agg(F.count("*").alias("n"))
+    first = counted.groupBy("same").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url", "n"))).alias("first"), F.sum("n").alias("n"))
+    first = staged(first.filter("n > 1 and first is not null").select("same", "first"), "warc-repeated")
+    repeated = _marks(first, "same")
+    apart = _marked(narrow, repeated, "same").filter("marked").drop("marked").join(first, "same", "left")
+    is_first = F.col("first").isNull() | F.col("first.id").eqNullSafe(F.col("id"))
+    # the first captures of repeated payloads, and payloads that only share a bit with one
+    firsts = apart.filter(is_first).select("same", "id", F.col("first.url").alias("first_url"), F.coalesce("first.n", F.lit(2)).alias("first_n")).distinct()
+    firsts = staged(firsts, "warc-first")
+    marked = _marked(own, repeated, "same")
+    in_place = marked.filter(~F.col("marked")).drop("marked")
+    moved = _marked(marked.filter("marked").drop("marked"), _marks(firsts, "same", "id"), "same", "id").filter("marked").drop("marked")
+    f = firsts.toDF("f_same", "f_id", "first_url", "first_n")
+    moved = moved.join(f, (moved["same"] == f["f_same"]) & moved["id"].eqNullSafe(f["f_id"]))
+    named = (F.col("first_n") == 1) & F.col("first_url").eqNullSafe(F.col("url"))
+    none = F.lit(None)
+    responses = in_place.withColumn("named", F.lit(False)).unionByName(moved.withColumn("named", F.coalesce(named, F.lit(False))).drop("f_same", "f_id", "first_url", "first_n"))
+    responses = responses.select("id", "url", "bytes", sha1_base32(body).alias("digest"), F.when(~F.col("named"), F.col("nonce")).alias("nonce"), "payload", none.cast("string").alias("said"), none.cast("string").alias("refers_to"), none.cast("string").alias("refers_uri"))
+    known = F.when(F.col("first.n") == 1, _urn("response", F.col("first.id"), F.col("first.url"), F.col("digest"), none))
+    revisits = apart.filter(~is_first).select("id", "url", "bytes", "digest", "nonce", none.cast("string").alias("payload"), F.col("first.id").cast("string").alias("said"), known.alias("refers_to"), F.col("first.url").alias("refers_uri"))
+    for kind, rows in (("response", responses), ("revisit", revisits)):
+        _records(rows, kind, date).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_file).mode("append").text(path)
+
+
+def _uri(url: Column) -> Column:
+    """A WARC-Target-URI may hold no control characters or spaces; the url itself goes into the metadata."""
+    return F.regexp_replace(url, r"[\x00-\x20\x7f]", "%20")
+
+
+def _records(rows: DataFrame, kind: str, date: str) -> DataFrame:
+    """The three records of each row, as ``value``."""
+    parts = (F.col("id"), F.col("url"), F.col("digest"), F.col("nonce"))
+    rid, uri = _urn("response", *parts), _uri(F.col("url"))
     host = F.regexp_extract(uri, r"^[A-Za-z]+://([^/?#]*)", 1)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
-    fields = F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.col("url").alias("url"), F.col("bytes").alias("bytes"), F.when(~response, F.col("first.id").cast("string")).alias("refers_to")))
-    request = _record("request", _urn("request", F.col("id"), F.col("url"), F.col("digest")), uri, date, "application/http;msgtype=request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF)), ("WARC-Concurrent-To", rid))
-    full = _record("response", rid, uri, date, "application/http;msgtype=response", F.concat(http, F.col("payload")), ("WARC-Payload-Digest", digest))
-    again = _record("revisit", rid, uri, date, "application/http;msgtype=response", http, ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", _urn("response", F.col("first.id"), F.col("first.url"), F.col("digest"))))
-    metadata = _record("metadata", _urn("metadata", F.col("id"), F.col("url"), F.col("digest")), uri, date, "application/warc-fields", F.concat(F.lit("capture: "), fields, F.lit(CRLF)), ("WARC-Concurrent-To", rid))
-    records = own.select(F.explode(F.array(request, F.when(response, full).otherwise(again), metadata)).alias("value"))
-    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_file).text(path)
+    fields = F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.col("url").alias("url"), F.col("bytes").alias("bytes"), F.col("said").alias("refers_to")))
+    request = _record("request", _urn("request", *parts), uri, date, "application/http;msgtype=request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF)), ("WARC-Concurrent-To", rid))
+    if kind == "response":
+        answer = _record(kind, rid, uri, date, "application/http;msgtype=response", F.concat(http, F.col("payload")), ("WARC-Payload-Digest", digest))
+    else:
+        refers = [("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To-Target-URI", _uri(F.col("refers_uri"))), ("WARC-Refers-To-Date", F.lit(date))]
+        answer = _record(kind, rid, uri, date, "application/http;msgtype=response", http, ("WARC-Payload-Digest", digest), *refers, ("WARC-Refers-To", F.col("refers_to")))
+    metadata = _record("metadata", _urn("metadata", *parts), uri, date, "application/warc-fields", F.concat(F.lit("capture: "), fields, F.lit(CRLF)), ("WARC-Concurrent-To", rid))
+    return rows.select(F.explode(F.array(request, answer, metadata)).alias("value"))
 
 
 _RECORDS = pa.schema([("capture", pa.string()), ("kind", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("http", pa.binary()), ("payload", pa.binary())])
 
 
-def parse_archive(raw: bytes) -> Iterator[tuple]:
-    """The records of one archive, found by Content-Length, so that a payload may itself look like WARC."""
-    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-    at = 0
-    while at < len(raw):
-        top = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:top].decode().split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        end = top + 4 + int(head["content-length"])
-        if raw[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has not the length that it states")
-        block = raw[top + 4 : end]
-        split = block.find(b"\r\n\r\n") + 4 if head.get("content-type", "").startswith("application/http") else 0
-        rid, kind = head["warc-record-id"], head["warc-type"]
-        payload = None if kind == "revisit" else block[split:]
-        yield head.get("warc-concurrent-to", rid), kind, rid, head.get("warc-target-uri"), head.get("warc-payload-digest"), head.get("warc-refers-to"), block[:split], payload
-        at = end + 4
+def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    """The records of archives given as what lies between their blank lines, in order. A record ends by its
+    Content-Length, so a payload may itself look like WARC; only one record is held at a time."""
+    held: list[bytes] = []
+    size = need = 0
+    for piece in pieces:
+        held += (piece, _GAP)
+        size += len(piece) + len(_GAP)
+        while size >= need and size:
+            raw = b"".join(held)
+            if not need:  # blank lines between records say nothing; the last piece of a file may have added one
+                raw = raw.lstrip(CRLF.encode())
+                size = len(raw)
+                if not raw:
+                    held = []
+                    break
+            top = raw.find(_GAP)
+            lines = raw[:top].decode().split(CRLF)
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"no record begins with {lines[0][:40]!r}")
+            head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+            end = top + len(_GAP) + int(head["content-length"])
+            if size < end + len(_GAP):
+                held, size, need = [raw], len(raw), end + len(_GAP)
+                break
+            if raw[end : end + len(_GAP)] != _GAP:
+                raise ValueError(f"the record {head.get('warc-record-id')} has not the length that it states")
+            block = raw[top + len(_GAP) : end]
+            split = block.find(_GAP) + len(_GAP) if head.get("content-type", "").startswith("application/http") else 0
+            rid, kind = head["warc-record-id"], head["warc-type"]
+            payload = None if kind == "revisit" else block[split:]
+            yield head.get("warc-concurrent-to", rid), kind, rid, head.get("warc-target-uri"), head.get("warc-payload-digest"), head.get("warc-refers-to"), block[:split], payload
+            held, size, need = [raw[end + len(_GAP) :]], size - end - len(_GAP), 0
+    if size:
+        raise ValueError("the last record is cut off")
+
+
+_GAP = b"\r\n\r\n"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives in ``path``."""
+    """One row per record of the gzipped archives in ``path``. A task reads its archives as a stream of
+    what lies between blank lines, so an archive may have any length and a task holds one record."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for b in batches:
-            for raw in b.column(0):
-                rows = list(parse_archive(raw.as_buffer().to_pybytes()))
-                if rows:
-                    yield batch(_RECORDS, *zip(*rows, strict=True))
+            for x in b.column(0):
+                yield x.as_buffer().to_pybytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for r in parse_records(pieces(batches)):
+            rows.append(r)
+            held += len(r[-1] or b"")
+            if len(rows) == 1000 or held > BLOCK_BYTES:
+                yield batch(_RECORDS, *zip(*rows, strict=True))
+                rows, held = [], 0
+        if rows:
+            yield batch(_RECORDS, *zip(*rows, strict=True))
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, _ddl(_RECORDS))
+    lines = spark.read.option("lineSep", CRLF + CRLF).option("pathGlobFilter", "*.gz").text(path)
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, _ddl(_RECORDS))
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -115,6 +201,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of ``pages`` from the archives written of it; null payloads have 0 bytes, repeated
+    rows are captures of their own, an empty table gives no row."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
