@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import collections
 import hashlib
 import json
@@ -449,7 +450,7 @@ def test_pii(spark):
 def replaced(spark, texts):
     """For each text the kinds replaced, and the text with # for every replaced character."""
     rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert all(len(r.text) == len(t) or r.n_ip or r.n_date for r, t in zip(rows, texts))
+    assert all(len(r.text) == len(t) or r.n_ip for r, t in zip(rows, texts))
     return [(r.text, {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]}) for r in rows]
 
 
@@ -484,12 +485,109 @@ def test_pii_values_beside_other_numbers(spark):
     assert [n for _, n in got] == list(mixed.values()) and got[4][0].endswith(" 12") and got[3][0].endswith(" 1234")
 
 
-def test_pii_dates_are_permuted(spark):
-    d = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
-    got = {r.text for r in pii.pseudonymise(d).collect()}
-    assert len(got) == 3000 and all(re.fullmatch(r"(18|19|20|21)\d\d-\d\d-\d\d", x) for x in got)
-    assert {r.text for r in pii.pseudonymise(d, key="other").collect()} != got
-    assert pii.pseudonymise(odd(spark)).count() == len(ODD)
+def halves(n):
+    low = max(k for k in range(1, int(n**0.5) + 1) if n % k == 0)
+    return low, n // low
+
+
+def feistel_number(x, left, right, kind, key="tidemark"):
+    """The number network, with hashlib."""
+    a, b = divmod(x, right)
+    for r in range(1, 9):
+        h = int(hashlib.sha256(f"{key}|{kind}|{r}|{b if r % 2 else a}".encode()).hexdigest()[:14], 16)
+        a, b = ((a + h) % left, b) if r % 2 else (a, (b + h) % right)
+    return a * right + b
+
+
+def plain_date(text):
+    """The pseudonym of a date by listing all dates of its class."""
+    sep = re.search("[-/.]", text)[0]
+    x = text.split(sep)
+    order = "ymd" if len(x[0]) == 4 else "dmy" if int(x[0]) > 12 else "mdy"
+    v = dict(zip(order, map(int, x), strict=True))
+    long_ = all(len(p) > 1 for p in x)
+    if long_:
+        fits = lambda m, d: (d > 12) == (v["d"] > 12)
+    elif order == "dmy":
+        fits = lambda m, d: m < 10 and d > 12
+    else:
+        fits = lambda m, d: (m < 10) == (v["m"] < 10) and (d < 10) == (v["d"] < 10)
+    days = [(m, d) for m in range(1, 13) for d in range(1, 32) if d <= calendar.monthrange(2001, m)[1] and fits(m, d)]
+    all_ = [(y, m, d) for m, d in days for y in range(1800, 2200)] + [(y, 2, 29) for y in range(1800, 2200) if calendar.isleap(y) and fits(2, 29)]
+    y, m, d = all_[feistel_number(all_.index((v["y"], v["m"], v["d"])), *halves(len(all_)), "date")]
+    new = {"y": str(y), "m": str(m), "d": str(d)}
+    return sep.join(new[o].zfill(len(p)) for o, p in zip(order, x, strict=True))
+
+
+def test_pii_each_kind_by_brute_force(spark):
+    ip = lambda t: ".".join(str(n >> s & 255) for n in [feistel_number(sum(int(o) << s for o, s in zip(t.split("."), (24, 16, 8, 0))), 65536, 65536, "ip")] for s in (24, 16, 8, 0))
+
+    def ssn(t):
+        a, g, n = map(int, t.split("-"))
+        x = feistel_number(((a - (2 if a > 666 else 1)) * 99 + g - 1) * 9999 + n - 1, 898 * 99, 9999, "ssn")
+        a = x // 989901
+        return f"{a + (2 if a + 1 >= 666 else 1):03}-{x // 9999 % 99 + 1:02}-{x % 9999 + 1:04}"
+
+    def email(t):
+        local, domain = t.split("@")
+        return "".join(n.upper() if o.isupper() else n for n, o in zip(feistel(local.lower(), "email"), local)) + "@" + domain
+
+    def card(t):
+        body = t[0] + feistel(t[1:-1], "card")
+        return body + next(c for c in "0123456789" if luhn(body + c) == 0)
+
+    def iban(t):
+        body = feistel(t[4:], "iban")
+        return t[:2] + f"{98 - int(''.join(str(int(c, 36)) for c in body + t[:2] + '00')) % 97:02}" + body
+
+    def phone(t):
+        code, rest = t.split(" ", 1)
+        new = iter(feistel(re.sub(r"\D", "", rest), "phone"))
+        return code + " " + "".join(next(new) if c.isdigit() else c for c in rest)
+
+    cases = {
+        ip: ["0.0.0.0", "255.255.255.255", "192.168.1.77"], ssn: ["001-01-0001", "899-99-9999", "665-12-3456", "667-12-3456"],
+        email: ["ann.Lee+x@Ex.org", "A1@b.co", "z@q.de"], card: ["4111111111111111", "378282246310005"], iban: ["DE89370400440532013000", "NO9386011117947"],
+        phone: ["+49 30 1234567", "+352 621 12345", "+7 912 345-67-89"],
+        plain_date: ["2024-02-29", "1800-01-01", "2199-12-31", "31/12/2024", "12/31/2024", "03.04.1999", "3/4/2024", "11/4/2024", "3/14/2024", "30/1/2024", "2/29/2024", "29.2.2000", "03/4/2024", "3/04/2024"],
+    }
+    flat = [(f, t) for f, ts in cases.items() for t in ts]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(flat)], "doc_id long, text string")
+    new = pii.pseudonymise(docs)
+    got = [r.text for r in new.orderBy("doc_id").collect()]
+    assert got == [f(t) for f, t in flat] and all(a != b and len(a) == len(b) for a, b, (f, _) in zip(got, (t for _, t in flat), flat, strict=True) if f is not ip)
+    assert [r.text for r in pii.pseudonymise(new, undo=True).orderBy("doc_id").collect()] == [t for _, t in flat]
+    again = [r.text for r in pii.pseudonymise(docs, key="other").orderBy("doc_id").collect()]
+    assert sum(a == b for a, b in zip(again, got)) == 0
+
+
+def test_pii_spellings_are_linked(spark):
+    same = [
+        ["+49 30 1234567", "+49301234567", "+49-30-123-4567", "+49 (0)30 1234567"], ["+1 (255) 555-8013", "+12555558013", "255-555-8013", "(255) 555-8013"], ["+352 621 12345", "+35262112345"],
+        ["Ann.Lee@x.org", "ann.lee@x.org", "ANN.LEE@X.org"], ["4111 1111 1111 1111", "4111111111111111"], ["2024-01-31", "31/01/2024", "01/31/2024", "31.01.2024"],
+    ]
+    got = replaced(spark, [t for g in same for t in g])
+    assert all(sum(n.values()) == 1 for _, n in got)
+    value = lambda t: "-".join(sorted(re.findall(r"\d+", t))) if re.fullmatch(r"[\d./]+|\d{4}-.*", t) and len(t) == 10 else re.sub(r"\(0\)|[^a-z0-9@]", "", t.lower())
+    at = 0
+    for g in same:
+        new = [value(t) for t, _ in got[at : at + len(g)]]
+        at += len(g)
+        assert len({x[-9:] for x in new}) == 1 and len({x[-10:] for x in new}) == 1 if g[0].startswith("+1") else len(set(new)) == 1
+
+
+@pytest.mark.parametrize("layout", ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "d.M.yyyy"])
+def test_pii_dates_are_permuted(spark, layout):
+    d = spark.range(0, 60_000).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1850-01-01").cast("date"), F.col("id").cast("int")), layout).alias("text"))
+    d = d.dropDuplicates(["text"]).cache()
+    new = pii.pseudonymise(d)
+    n, kinds, lengths = new.join(d.withColumnRenamed("text", "old"), "doc_id").agg(F.countDistinct("text"), F.sum("n_date"), F.sum(F.abs(F.length("text") - F.length("old")))).first()
+    assert (n, kinds, lengths) == (60_000, 60_000, 0)
+    assert pii.pseudonymise(new, undo=True).join(d, ["doc_id", "text"]).count() == 60_000
+
+
+def test_pii_odd(spark):
+    assert pii.pseudonymise(odd(spark)).count() == len(ODD) and pii.pseudonymise(odd(spark).filter("false")).count() == 0
 
 
 # ------------------------------------------------------------------------------------- pipeline
