@@ -9,6 +9,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -402,6 +403,53 @@ def test_tiling(spark):
     assert {(r.doc_id, r.item_id): r.tiled_words for r in many.collect()} == got
 
 
+def hashed(*texts):
+    return tiling.tokens(*tiling.utf8(pa.array([" ".join(t) for t in texts])))
+
+
+@given(st.data())
+@settings(max_examples=150, deadline=None)
+def test_tiling_repetitive(data):
+    """Texts over one to three words, where almost all windows are equal."""
+    word = st.sampled_from("abc"[: data.draw(st.integers(1, 3))])
+    items = data.draw(st.lists(st.lists(word, min_size=1, max_size=14), min_size=1, max_size=4))
+    docs = data.draw(st.lists(st.lists(word, max_size=40), min_size=1, max_size=4))
+    h, first = hashed(*items)
+    seeds = tiling.Seeds([h[a:b] for a, b in zip(first[:-1], first[1:])], 3)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tiling, "SLICE", data.draw(st.sampled_from([1, 10, 1 << 20])))
+        got = {(r, k): t for r, k, t in seeds.leaks(*hashed(*docs), 0.5)}
+    for r, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            n = plain_tiles(doc, item, min(3, len(item)))
+            tiles = got.get((r, k), [])
+            assert sum(t[0] for t in tiles) == (n if n >= 0.5 * len(item) else 0)
+            assert all(item[i : i + n] == doc[d : d + n] for n, i, d in tiles)
+
+
+def test_tiling_of_equal_words_in_bounded_memory():
+    """500,000 equal words against 500 of them: 10^8 pairs of equal windows, none of which are listed."""
+    h, first = hashed(["z"] * 500, ["z"] * 40 + ["y"] * 20)
+    seeds = tiling.Seeds([h[a:b] for a, b in zip(first[:-1], first[1:])], 5)
+    docs = hashed(["z"] * 500_000, ["x"] * 10)
+    tracemalloc.start()
+    got = list(seeds.leaks(*docs, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 0, [(500, 0, 0)]), (0, 1, [(40, 0, 0)])] and peak < 400 << 20
+
+
+def test_clean_keeps_columns(spark):
+    item = " ".join(f"t{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, item), (None, "x " + item.upper()), (3, None), (3, "other words"), (4, "")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text", F.lit(1).alias("__bad"), F.lit("a").alias("t"), F.array(F.struct(F.lit(1.5).alias("c0"))).alias("c0"), F.current_timestamp().alias("item"))
+    items = spark.createDataFrame([(1, item), (2, None), (3, item), (4, " ".join(["q"] * 20))], "item_id long, text string")
+    for words in (500_000, 25):
+        left = tiling.clean(docs, items, block_words=words)
+        assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 3, 4] and left.first()["c0"][0]["c0"] == 1.5
+    assert tiling.leaks(docs, items.filter("false")).count() == 0 and tiling.clean(docs, items.filter("false")).count() == 5 and tiling.clean(docs.filter("false"), items).count() == 0
+
+
 # ----------------------------------------------------------------------------------------- 1 PII
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10
