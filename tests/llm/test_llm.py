@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, exact_dedup, jaccard, nbsvm, patricia, pieces, pii, ppm, registry, textcnn, tiling, warc
+from tidemark.llm import chat, common, exact_dedup, jaccard, nbsvm, patricia, pieces, pii, ppm, registry, textcnn, tiling, warc
 from tidemark.llm.common import staged
 from tidemark.llm.components import components
 
@@ -70,6 +70,32 @@ def test_exact_owners_odd(spark):
     assert exact_dedup.exact_owners(odd(spark).filter("false")).count() == 0
 
 
+def test_trie_budget_counts_nodes():
+    """Many short strings: the memory held stays near the budget, also where edges are a few bytes."""
+    budget = 4 << 20
+    trie = patricia.OwnerTrie(lambda a, b: a > b, budget)
+    tracemalloc.start()
+    for i in range(60_000):
+        trie.insert(hashlib.sha256(str(i).encode()).digest()[:10], i)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert trie.spills > 0 and peak < 2.5 * budget and sum(1 for _ in trie.items()) == 60_000
+
+
+def test_deduplicate_ties_and_names(spark):
+    """The row that stays does not depend on the order of rows; columns may have any name."""
+    rows = [(1, "Text", 0, "a"), (1, "text", 4, "b"), (1, "TEXT", 2, "c"), (2, "other", 1, "d"), (2, "more", 1, "e"), (None, "n", 5, "f"), (None, "n", 6, "g"), (0, "more", 9, "h"), (7, None, 0, "i"), (6, "", 0, "j")]
+    names = "doc_id long, text string, __id int, __sha string"
+    got = {tuple(sorted(map(tuple, exact_dedup.deduplicate(spark.createDataFrame(random.Random(k).sample(rows, len(rows)), names).repartition(1 + k)).collect()), key=repr)) for k in range(3)}
+    assert len(got) == 1
+    kept = next(iter(got))
+    assert len(kept) == 5 and {(r[0], (r[1] or "").lower()) for r in kept} == {(1, "text"), (2, "other"), (2, "more"), (None, "n"), (7, "")}
+    df = spark.createDataFrame(rows, names)
+    for c in ("c1", "raw", "marked", "bits", "row", "o_id", "sha"):
+        assert exact_dedup.deduplicate(df.withColumnRenamed("__id", c)).columns == ["doc_id", "text", c, "__sha"]
+    assert exact_dedup.deduplicate(df.filter("false")).count() == 0
+
+
 # ------------------------------------------------------------------------------------- 10 chat
 @given(st.lists(st.sampled_from([*chat.Template().controls, "\\", "<", "[", "s>", "a", "</", "<<SYS", "|"]), max_size=12).map("".join))
 @settings(max_examples=300, deadline=None)
@@ -112,10 +138,10 @@ def test_warc(spark, tmp_path):
     assert all(r.refers_to in ids for _, r in whole if r.kind == "revisit")
 
 
-@pytest.mark.parametrize("slots", [warc.SLOTS, 1 << 15])
+@pytest.mark.parametrize("slots", [common.SLOTS, 1 << 15])
 def test_warc_repeated_rows(spark, tmp_path, slots, monkeypatch):
     """Each row is a capture of its own; a crowded bitmap changes nothing."""
-    monkeypatch.setattr(warc, "SLOTS", slots)
+    monkeypatch.setattr(common, "SLOTS", slots)
     rng = random.Random(8)
     rows = [(rng.randint(0, 6), rng.choice(["u", "v"]), rng.choice(["p", "q", "", None, "hot"])) for _ in range(60)] + [(100 + i, "h", "hot") for i in range(400)] + [(1000 + i, "s", f"single {i}") for i in range(100)]
     recs, whole = captures(spark, rows, tmp_path / "w")

@@ -31,10 +31,12 @@ _MULT, _MULT2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset
-    (tests, a single machine) a new temporary folder that is then set for the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local
+    session gets a new temporary folder, set for the session; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -59,6 +61,28 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+# ---------------------------------------------------------------------------------------------
+# Bitmaps of keys
+SLOTS = 1 << 26
+
+
+def marks(keys: DataFrame, *on: str) -> DataFrame:
+    """A bitmap of SLOTS bits with those of the hashes of ``keys`` set, as at most 2,048 rows of 4 KB."""
+    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
+    return keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+
+
+def marked(rows: DataFrame, bitmap: DataFrame, *on: str) -> DataFrame:
+    """``rows`` with the boolean ``marked``: false for a key that is surely not among those of ``bitmap``, so
+    that an exact join need not shuffle the row. The broadcast is 8 MB at most, whatever the input; a
+    fuller bitmap only marks more rows. ``rows`` has no columns named bucket, bits or marked."""
+    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "bucket", "left").withColumn("marked", hit).drop("bucket", "bits")
+
+
 # ---------------------------------------------------------------------------------------------
 # Arrow buffers
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from .common import LOWER_TABLE, arrow_type, batch
+from .common import LOWER_TABLE, arrow_type, batch, marked, marks, staged
 from .patricia import OwnerTrie
 
 _FOLD = LOWER_TABLE.tobytes()
@@ -21,8 +21,8 @@ def _texts(b: pa.RecordBatch) -> Iterator[bytes]:
         yield (t.as_buffer().to_pybytes() if t.is_valid else b"").translate(_FOLD)
 
 
-def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", memory_bytes: int = 64 << 20) -> DataFrame:
-    """One row per row of ``docs``: the id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", memory_bytes: int = 64 << 20, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: the id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and ``extra``.
 
     Texts are equal when identical after lower-casing A-Z only; a null text equals the empty one.
     Of equal texts the row with the largest id (``keep='min'``: the smallest) stays; a null id never
@@ -37,10 +37,11 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ids = arrow_type(docs, id_col)
     better = (lambda new, old: old is None or (new is not None and new > old)) if keep == "max" else (lambda new, old: old is None or (new is not None and new < old))
-    two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    names = [f"x{i}" for i in range(len(extra))]
+    two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(extra, names, strict=True)])
     rep_schema = pa.schema([("size", pa.int64()), ("sha", pa.string()), ("body", pa.binary()), ("id", ids), ("rows", pa.int64())])
     own_schema = pa.schema([("size", pa.int64()), ("sha", pa.string()), ("keep_id", ids), ("rows", pa.int64())])
-    member_schema = pa.schema([("id", ids), ("size", pa.int64()), ("sha", pa.string())])
+    member_schema = pa.schema([("id", ids), ("size", pa.int64()), ("sha", pa.string()), *[(n, arrow_type(docs, c)) for c, n in zip(extra, names, strict=True)]])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,9 +75,9 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for body in _texts(b):
                 sizes.append(len(body))
                 shas.append(hashlib.sha256(body).hexdigest())
-            yield batch(member_schema, b.column(0), sizes, shas)
+            yield batch(member_schema, b.column(0), sizes, shas, *[b.column(2 + i) for i in range(len(names))])
 
-    owners = two.mapInArrow(fold, _ddl(rep_schema)).repartition("size", "sha").mapInArrow(grow, _ddl(own_schema))
+    owners = two.select("id", "text").mapInArrow(fold, _ddl(rep_schema)).repartition("size", "sha").mapInArrow(grow, _ddl(own_schema))
     shared = owners.filter("rows > 1")
     out = two.mapInArrow(member, _ddl(member_schema)).join(shared, ["size", "sha"], "left")
     keep_id = F.when(F.col("rows").isNull(), F.col("id")).otherwise(F.col("keep_id"))
@@ -86,6 +87,7 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"),
         keep_id.eqNullSafe(F.col("id")).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *[F.col(n).alias(c) for c, n in zip(extra, names, strict=True)],
     )
 
 
@@ -94,21 +96,31 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs``, one for each text: that of its owner. Of rows repeated with their id one
-    is left, that with the smallest hash of all columns and, where all are equal, any."""
-    owners = exact_owners(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    own = docs.withColumn("__id", F.col(id_col)).withColumn("__sha", F.sha2(lower_text(text_col), 256))
-    kept = own.join(owners, own["__id"].eqNullSafe(owners["__id"]) & (own["__sha"] == owners["__sha"]), "left_semi")
-    return kept.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    """The rows of ``docs``, one for each text: that of its owner, with all columns whatever their names. Of
+    rows repeated with their id one is left, that with the smallest hash of all columns (equal hashes: of
+    equal rows), in whatever order the rows come.
 
-
-def lower_text(text_col: str):
-    from .common import lower_ascii
-
-    return lower_ascii(F.col(text_col).cast("string"))
+    Rows stay where they are read: a bitmap of fixed size tells which are surely neither copies nor
+    repeats, and only the others are joined to the narrow table of rows that go or that repeat.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    own = docs.toDF(*names).withColumn("raw", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+    owners = exact_owners(own, id_, text, keep, extra=("raw",))
+    owners = staged(owners.select(F.col(id_).alias("o_id"), F.unhex("raw").alias("o_raw"), F.unhex("text_sha256").alias("sha"), "kept"), "owners")
+    again = owners.filter("kept").groupBy(F.col("o_id").alias("a_id"), F.col("sha").alias("a_sha")).agg(F.count("*").alias("n")).filter("n > 1")
+    repeats = owners.filter("kept").join(again, F.col("o_id").eqNullSafe(F.col("a_id")) & (F.col("sha") == F.col("a_sha"))).select("o_id", "o_raw", "sha")
+    odd = staged(owners.filter("not kept").select("o_id", "o_raw", F.lit(None).cast("binary").alias("sha")).unionByName(repeats).distinct(), "odd")
+    flagged = marked(own.withColumn("raw", F.unhex("raw")), marks(odd, "o_id", "o_raw"), id_, "raw")
+    looked = flagged.filter("marked").join(odd, F.col(id_).eqNullSafe(F.col("o_id")) & (F.col("raw") == F.col("o_raw")), "left")
+    row = F.struct(*names)
+    one = looked.filter("sha is not null").groupBy(id_, "sha").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    left = flagged.filter(~F.col("marked")).select(*names).unionByName(looked.filter("o_raw is null").select(*names)).unionByName(one)
+    return left.toDF(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: doc_id, keep_id, group_size, kept and text_sha256."""
     return exact_owners(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

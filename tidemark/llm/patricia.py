@@ -1,5 +1,5 @@
 """A Patricia (compressed radix) trie over byte strings whose terminal nodes hold the owner of each
-string and the number of its rows. When the strings exceed a memory budget, the largest subtree goes
+string and the number of its rows. When nodes and strings exceed a memory budget, the largest subtree goes
 to a task-local scratch file and is finished from there after the rest."""
 
 from __future__ import annotations
@@ -9,11 +9,15 @@ import tempfile
 from collections.abc import Iterator
 
 
+#: Bytes that a node takes beside its edge: the object, its table of children, its place in its parent's.
+NODE = 300
+
+
 class _Node:
     __slots__ = ("below", "edge", "file", "owner", "rows", "size")
 
     def __init__(self, edge: bytes) -> None:
-        self.edge, self.below, self.owner, self.rows, self.file, self.size = edge, {}, None, 0, None, len(edge)
+        self.edge, self.below, self.owner, self.rows, self.file, self.size = edge, {}, None, 0, None, NODE + len(edge)
 
 
 def _common(a: bytes, b: bytes, at: int) -> int:
@@ -60,7 +64,7 @@ class OwnerTrie:
             if child is None:
                 leaf = _Node(key[at:])
                 node.below[key[at]] = leaf
-                self._grew(path, len(leaf.edge))
+                self._grew(path, leaf.size)
                 node, at = leaf, len(key)
                 break
             if child.file is not None:
@@ -69,7 +73,8 @@ class OwnerTrie:
             same = _common(child.edge, key, at)
             if same < len(child.edge):
                 upper = _Node(child.edge[:same])
-                upper.size = child.size
+                upper.size = NODE + child.size
+                self._grew(path, NODE)
                 child.edge = child.edge[same:]
                 child.size -= same
                 upper.below[child.edge[0]] = child

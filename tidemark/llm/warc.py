@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, batch, shared_dir, staged
+from .common import BLOCK_BYTES, batch, marked, marks, shared_dir, staged
 from .exact_dedup import _ddl
 
 CRLF = "\r\n"
@@ -36,25 +36,6 @@ def _record(kind: str, rid: Column, uri: Column, date: str, content_type: str, b
     return F.concat(*head, F.lit(f"{CRLF}Content-Type: {content_type}{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
-SLOTS = 1 << 26
-
-
-def _marks(keys: DataFrame, *on: str) -> DataFrame:
-    """A bitmap of SLOTS bits with those of the hashes of ``keys`` set, as at most 2,048 rows of 4 KB."""
-    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
-    return keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-
-
-def _marked(rows: DataFrame, marks: DataFrame, *on: str) -> DataFrame:
-    """``rows`` with the boolean ``marked``: false for a key that is surely not among those of ``marks``.
-    The broadcast is 8 MB at most, whatever the input; a fuller bitmap only marks more rows."""
-    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
-    place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
-    return rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(marks), "bucket", "left").withColumn("marked", hit).drop("bucket", "bits")
-
-
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", captures_per_file: int = 500) -> None:
     """Write a request, a response or revisit, and a metadata record for each row, as gzipped WARC 1.1.
 
@@ -78,15 +59,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     counted = narrow.filter(F.col("bytes") >= min_bytes).groupBy("same", "id", "url").agg(F.count("*").alias("n"))
     first = counted.groupBy("same").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url", "n"))).alias("first"), F.sum("n").alias("n"))
     first = staged(first.filter("n > 1 and first is not null").select("same", "first"), "warc-repeated")
-    repeated = _marks(first, "same")
-    apart = _marked(narrow, repeated, "same").filter("marked").drop("marked").join(first, "same", "left")
+    repeated = marks(first, "same")
+    apart = marked(narrow, repeated, "same").filter("marked").drop("marked").join(first, "same", "left")
     is_first = F.col("first").isNull() | F.col("first.id").eqNullSafe(F.col("id"))
     # the first captures of repeated payloads, and payloads that only share a bit with one
     firsts = apart.filter(is_first).select("same", "id", F.col("first.url").alias("first_url"), F.coalesce("first.n", F.lit(2)).alias("first_n")).distinct()
     firsts = staged(firsts, "warc-first")
-    marked = _marked(own, repeated, "same")
-    in_place = marked.filter(~F.col("marked")).drop("marked")
-    moved = _marked(marked.filter("marked").drop("marked"), _marks(firsts, "same", "id"), "same", "id").filter("marked").drop("marked")
+    flagged = marked(own, repeated, "same")
+    in_place = flagged.filter(~F.col("marked")).drop("marked")
+    moved = marked(flagged.filter("marked").drop("marked"), marks(firsts, "same", "id"), "same", "id").filter("marked").drop("marked")
     f = firsts.toDF("f_same", "f_id", "first_url", "first_n")
     moved = moved.join(f, (moved["same"] == f["f_same"]) & moved["id"].eqNullSafe(f["f_id"]))
     named = (F.col("first_n") == 1) & F.col("first_url").eqNullSafe(F.col("url"))
