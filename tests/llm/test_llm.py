@@ -5,6 +5,7 @@ from __future__ import annotations
 import calendar
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -20,7 +21,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, common, exact_dedup, jaccard, nbsvm, patricia, pieces, pii, ppm, registry, textcnn, tiling, warc
+from tidemark.llm import chat, common, components as components_module, exact_dedup, jaccard, nbsvm, patricia, pieces, pii, ppm, registry, textcnn, tiling, warc
 from tidemark.llm.common import staged
 from tidemark.llm.components import components
 
@@ -382,6 +383,38 @@ def test_jaccard(spark, block):
 
 def test_jaccard_odd(spark):
     assert jaccard.near_classes(odd(spark)).count() == len(ODD) and jaccard.near_classes(odd(spark).filter("false")).count() == 0
+    clash = odd(spark).select("doc_id", "text", *[F.lit(1).alias(c) for c in ("__drop", "drop", "c0", "marked", "bits")])
+    assert jaccard.keep_one(clash).columns == clash.columns and sorted(r.doc_id or 0 for r in jaccard.keep_one(clash).collect()) == [1, 2, 3, 4, 7, 8]
+
+
+def test_jaccard_recall_on_documents(spark):
+    """Every link of the supplied documents, found by comparing all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.select("doc_id", "text").collect()}
+    by = collections.defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            by[g].append(i)
+    common_ = collections.Counter(p for ids in by.values() for p in itertools.combinations(sorted(ids), 2))
+    links = collections.Counter(x for (a, b), n in common_.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) for x in (a, b))
+    got = {r.doc_id: r.n_links for r in jaccard.near_classes(docs).collect()}
+    assert sum(links.values()) > 100 and {i: n for i, n in got.items() if n} == dict(links)
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "LEAST", 3)
+    monkeypatch.setattr(components_module, "HOT", 8)
+    rng = random.Random(9)
+    e = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(300, 500)] + [(rng.randint(600, 700), rng.randint(600, 700)) for _ in range(60)] + [(199, 300)]
+    root = {x: x for p in e for x in p}
+    for _ in range(300):
+        for a, b in e:
+            root[a] = root[b] = min(root[a], root[b])
+    lone = {a for a, b in e if a == b} - {x for a, b in e if a != b for x in (a, b)}
+    assert {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()} == {k: v for k, v in root.items() if k not in lone}
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(e, "a long, b long"), rounds=1)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_components(spark):

@@ -8,28 +8,48 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+#: A node with more than 1 / HOT of all edge ends (and LEAST of them) is joined by broadcast: fewer than HOT nodes.
+HOT, LEAST = 1 << 15, 1000
+
+
+def _hang(edges: DataFrame, low: DataFrame, ends: int) -> DataFrame:
+    """``edges`` (a, b) with ``m`` of ``low`` (n, m, deg), one row a node, joined on a. Hubs, of which there can be
+    but HOT, are broadcast and their edges stay in place; every other node has a small share of all edges."""
+    hub = F.col("deg") > max(LEAST, ends // HOT)
+    hubs = low.filter(hub).select(F.col("n").alias("h"), F.col("m").alias("hub_m"))
+    split = edges.join(F.broadcast(hubs), F.col("a") == F.col("h"), "left")
+    rest = split.filter("h is null").select("a", "b").join(low.filter(~hub).select("n", "m").hint("merge"), F.col("a") == F.col("n"))
+    return split.filter("h is not null").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest.select("a", "b", "m"))
+
+
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for each node that has an edge in ``edges`` (columns ``a`` and ``b`` of one orderable
-    type); the root is the smallest node of its component (Kiveris and others, 2014).
+    type); the root is the smallest node of its component (Kiveris and others, 2014). Edges with a null end
+    or between a node and itself count for nothing; repeated edges count once; no edges give no rows.
 
     Each round is two aggregates and joins whose size is that of the edges; nothing is gathered by
-    group, the minimum of a node's neighbours is a combined aggregate. Rounds are written to the shared
-    folder. The number of rounds grows with the logarithm of the longest chain.
+    group, the minimum of a node's neighbours is a combined aggregate, and a hub's edges stay where they are.
+    Rounds are written to the shared folder. Their number grows with the logarithm of the longest chain;
+    after ``rounds`` of them an error is raised.
     """
+
+    def print_of(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     now = staged(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    have = print_of(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("deg")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"), "deg"), "low")
         # large star: larger neighbours hang themselves on the smallest one
-        large = both.filter("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _hang(both.filter("b > a"), low, 2 * have[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = staged(large.filter("a <> b").distinct(), "large")
         # small star: smaller neighbours and the node itself hang on the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b")))
-        after = staged(small.filter("a <> b").distinct(), "edges")
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now = after
-        if same:
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("deg")).withColumnRenamed("a", "n"), "low")
+        small = _hang(large, low, have[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b")))
+        now = staged(small.filter("a <> b").distinct(), "edges")
+        had, have = have, print_of(now)
+        if had == have:
             break
     else:
         raise RuntimeError(f"components not complete after {rounds} rounds")

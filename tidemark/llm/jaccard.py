@@ -8,10 +8,11 @@
    clusters; inside a bucket each class that is already tied is not compared again.
 3. Each cluster's classes meet once more, now with their whole sets: pairs that survive the same pruning
    are verified exactly. Links are counted where they are found and only a spanning forest of them is
-   passed on, so a group of g near copies sends rows in proportion to g, not to its pairs.
+   passed on, so a group of g near copies gives results in proportion to g, not to its pairs.
 
-Buckets and clusters with more than ``block`` classes are cut into blocks, and each pair of blocks is a
-group of its own, so no task holds more than two blocks; all pairs are still met.
+Buckets and clusters with more than ``block`` classes or ``block_bytes`` are cut into blocks, and each pair of
+blocks is a group of its own, so no task holds more than two blocks; all pairs are still met. A class is
+sent to as many groups as its cluster has blocks, and compared with a whole block in each of them.
 
 A pair at the threshold 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 """
@@ -23,10 +24,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SpanHash, arrow_type, batch, blocks, mix, shingles, staged, words
+from .common import SPACE, SpanHash, arrow_type, batch, blocks, marked, marks, mix, shingles, staged, words
 from .components import components
 from .exact_dedup import _ddl
 
@@ -84,10 +85,10 @@ def word_sets(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[list[np.ndar
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, sets: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id, set, sig[, shingles]) for each row. Words are lower-cased and end at white space; ``set`` is a
+    """(id, set, sig, size[, shingles]) for each row. Words are lower-cased and end at white space; ``set`` is a
     128-bit hash of the shingle set and null for a text without words."""
     ids = arrow_type(docs, id_col)
-    schema = pa.schema([("id", ids), *[(c, arrow_type(docs, c)) for c in extra], ("set", pa.binary()), ("sig", pa.binary()), *([("shingles", pa.binary())] if sets else [])])
+    schema = pa.schema([("id", ids), *[(c, arrow_type(docs, c)) for c in extra], ("set", pa.binary()), ("sig", pa.binary()), ("size", pa.int64()), *([("shingles", pa.binary())] if sets else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -101,7 +102,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, sets: bool =
                     for k, i in enumerate(full):
                         keys[i], sigs[i] = hashlib.blake2b(own[i].tobytes(), digest_size=16).digest(), sig[k].tobytes()
                 more = [[s.tobytes() for s in own]] if sets else []
-                yield batch(schema, *[x.column(i).slice(lo, hi - lo) for i in range(1 + len(extra))], keys, sigs, *more)
+                yield batch(schema, *[x.column(i).slice(lo, hi - lo) for i in range(1 + len(extra))], keys, sigs, [len(s) for s in own], *more)
 
     return docs.select(F.col(id_col).alias("id"), *extra, F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__text")).mapInArrow(run, _ddl(schema))
 
@@ -132,9 +133,9 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def _in_blocks(members: DataFrame, key: str, size: str, node: str, block: int) -> DataFrame:
-    """``members`` with columns i and j: the groups of up to two blocks in which each must take part."""
-    n = F.ceil(F.col(size) / block).cast("int")
+def _in_blocks(members: DataFrame, n: Column, node: str) -> DataFrame:
+    """``members``, whose group has ``n`` blocks, with columns i and j: the groups of up to two blocks in which
+    each must take part."""
     own = F.pmod(F.xxhash64(node), n).cast("int")
     spread = members.withColumn("__n", n).withColumn("__own", own).withColumn("__to", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     return spread.withColumn("i", F.least("__own", "__to")).withColumn("j", F.greatest("__own", "__to")).withColumn("own", F.col("__own")).drop("__n", "__to", "__own")
@@ -221,7 +222,7 @@ def _run(schema: pa.Schema, f: Callable[..., Iterator[tuple]], *more) -> Callabl
     return lambda batches: _stream(schema, f(batches, *more))
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, tolerance: float = 1e-6, block: int = 2000) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, tolerance: float = 1e-6, block: int = 2000, block_bytes: int = 64 << 20) -> DataFrame:
     """One row per row of ``docs``: the id, ``class_id``, ``n_links`` and ``n_text_links``.
 
     Documents are linked if their sets of ``size``-word shingles have a Jaccard similarity of ``threshold``
@@ -231,25 +232,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nothing and is its own class. Rows that repeat an id are documents of their own.
     """
     own = staged(sketch(docs, id_col, text_col, size), "sketch")
-    nodes = own.filter("set is not null").groupBy("set").agg(F.count("*").alias("docs"), F.min("id").alias("low"), F.max("sig").alias("sig"))
+    nodes = own.filter("set is not null").groupBy("set").agg(F.count("*").alias("docs"), F.min("id").alias("low"), F.max("sig").alias("sig"), F.max("size").alias("size"))
     nodes = staged(nodes, "sets")
     least = least_matches(threshold, tolerance)
     band = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (2 * BAND) + 1, F.lit(2 * BAND))))
     bands = nodes.select("set", F.explode(F.array_distinct(band)).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = bands.join(shared, "bucket").join(nodes.select("set", "sig"), "set")
-    placed = _in_blocks(members, "bucket", "n", "set", block).select("bucket", "i", "j", "set", "sig")
+    placed = _in_blocks(members, F.ceil(F.col("n") / block).cast("int"), "set").select("bucket", "i", "j", "set", "sig")
     edge_schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     tied = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_run(edge_schema, tie, least), _ddl(edge_schema))
     clusters = staged(components(tied).withColumnRenamed("node", "set").withColumnRenamed("root", "cluster"), "clusters")
 
-    counts = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    picks = clusters.join(counts, "cluster").join(nodes.select("set", "docs", "low"), "set")
-    picks = picks.select(F.col("low").alias("__low"), F.col("set").alias("__set"), F.struct("cluster", "n", "docs").alias("pick"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(picks, F.col("__id").eqNullSafe(F.col("__low")))
-    texts = texts.select("__id", "__text", F.col("__set").alias("want"), F.col("pick.cluster").alias("cluster"), F.col("pick.n").alias("n"), F.col("pick.docs").alias("docs"))
-    full = sketch(texts, "__id", "__text", size, sets=True, extra=("want", "cluster", "n", "docs")).filter("set = want")
-    whole = _in_blocks(full, "cluster", "n", "set", block).select("cluster", "i", "j", "set", "own", "docs", "sig", "shingles")
+    members = clusters.join(nodes.select("set", "docs", "low", "size"), "set")
+    counts = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.col("size") * 8) / block_bytes)).cast("int").alias("n"))
+    picks = staged(members.join(counts, "cluster").select(F.col("low").alias("p_low"), F.col("set").alias("p_set"), "cluster", "n", "docs"), "picks")
+    # only texts that stand for a class of a cluster are fetched, for which a bitmap spares the others the shuffle
+    texts = docs.select(F.col(id_col).alias("p_id"), F.col(text_col).alias("p_text"))
+    texts = marked(texts, marks(picks, "p_low"), "p_id").filter("marked").join(picks, F.col("p_id").eqNullSafe(F.col("p_low")))
+    texts = texts.select("p_id", "p_text", F.col("p_set").alias("want"), "cluster", "n", "docs")
+    full = sketch(texts, "p_id", "p_text", size, sets=True, extra=("want", "cluster", "n", "docs")).filter("set = want")
+    whole = _in_blocks(full, F.col("n"), "set").select("cluster", "i", "j", "set", "own", "docs", "sig", "shingles")
     whole = whole.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     link_schema = pa.schema([("set", pa.binary()), ("links", pa.int64()), ("linked", pa.int64()), ("root", pa.binary())])
     links = staged(whole.mapInArrow(_run(link_schema, similar, least, threshold), _ddl(link_schema)), "links")
@@ -271,12 +274,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each class; documents without links stay. Rows
-    that repeat the id that stays all stay; ``exact_dedup.deduplicate`` before this leaves one of them."""
+    """The rows of ``docs`` with the smallest id of each class, with all columns whatever their names; documents
+    without links stay. Rows that repeat the id that stays all stay; ``exact_dedup.deduplicate`` before
+    this leaves one of them. Only rows that a bitmap of the ids that go marks are joined to these."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_ = names[docs.columns.index(id_col)]
     classes = near_classes(docs, id_col, text_col, threshold, size)
-    drop = classes.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__drop")).distinct()
-    return docs.join(drop, F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti")
+    drop = staged(classes.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("drop")).distinct(), "drop")
+    flagged = marked(docs.toDF(*names), marks(drop, "drop"), id_)
+    looked = flagged.filter("marked").join(drop, F.col(id_).eqNullSafe(F.col("drop")), "left_anti")
+    return flagged.filter(~F.col("marked")).select(*names).unionByName(looked.select(*names)).toDF(*docs.columns)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: doc_id, class_id, n_links and n_text_links."""
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
