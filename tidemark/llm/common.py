@@ -63,24 +63,28 @@ def fold_of(id_col: str, folds: int) -> Column:
 
 # ---------------------------------------------------------------------------------------------
 # Bitmaps of keys
-SLOTS = 1 << 26
+#: Bits of a bitmap for each key, and the most bits of one (8 MB).
+BITS_PER_KEY, MOST_BITS = 16, 1 << 26
 
 
-def marks(keys: DataFrame, *on: str) -> DataFrame:
-    """A bitmap of SLOTS bits with those of the hashes of ``keys`` set, as at most 2,048 rows of 4 KB."""
-    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
-    return keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+def marks(keys: DataFrame, *on: str) -> tuple[DataFrame, int]:
+    """A bitmap with the bits of the hashes of ``keys`` (a written table) set, as rows of 4 KB, and its number of
+    bits: BITS_PER_KEY for each key, MOST_BITS at most."""
+    bits = min(MOST_BITS, 1 << max(15, (BITS_PER_KEY * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(*on), F.lit(bits))
+    return keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")), bits
 
 
-def marked(rows: DataFrame, bitmap: DataFrame, *on: str) -> DataFrame:
+def marked(rows: DataFrame, bitmap: tuple[DataFrame, int], *on: str) -> DataFrame:
     """``rows`` with the boolean ``marked``: false for a key that is surely not among those of ``bitmap``, so
     that an exact join need not shuffle the row. The broadcast is 8 MB at most, whatever the input; a
     fuller bitmap only marks more rows. ``rows`` has no columns named bucket, bits or marked."""
-    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
+    table, bits = bitmap
+    slot = F.pmod(F.xxhash64(*on), F.lit(bits))
     place = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
-    return rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "bucket", "left").withColumn("marked", hit).drop("bucket", "bits")
+    return rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(table), "bucket", "left").withColumn("marked", hit).drop("bucket", "bits")
 
 
 # ---------------------------------------------------------------------------------------------
