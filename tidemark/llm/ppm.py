@@ -101,8 +101,8 @@ def _tally(keys: list[np.ndarray], counts: list[np.ndarray], learned: list[np.nd
 
 def count(texts: DataFrame, order: int) -> DataFrame:
     """(kind, k1, k2, n, learned) of the columns ``text`` and ``learn`` over all rows: how often each
-    (order + 1)-gram of symbols occurs in all texts and in those to learn from, and of the latter each
-    word (128-bit hash) and the number of texts. Counted in the tasks, then summed."""
+    (order + 1)-gram of symbols and each word (128-bit hash) occurs in all texts and in those to learn from,
+    and the numbers of texts. Counted in the tasks, then summed."""
 
     def rows(u: np.ndarray, n: np.ndarray, learned: np.ndarray) -> pa.RecordBatch:
         return batch(_STATS, np.zeros(len(u), np.int32), u.view(np.int64), np.zeros(len(u), np.int64), n, learned)
@@ -127,8 +127,6 @@ def count(texts: DataFrame, order: int) -> DataFrame:
                     if held > 1_000_000:
                         yield rows(u, n, m)
                         keys, counts, learned, held = [], [], [], 0
-                if not learn:
-                    continue
                 start, end, _ = words(data, off)
                 h, at, n = np.unique(SpanHash(data).of(start, end), return_index=True, return_counts=True)
                 h2 = SpanHash(data, 1).of(start[at], end[at])
@@ -136,7 +134,7 @@ def count(texts: DataFrame, order: int) -> DataFrame:
                 kinds[-1] = TEXT
                 tail = np.zeros(1, np.uint64)
                 n = np.concatenate([n, [len(off) - 1]])
-                yield batch(_STATS, kinds, np.concatenate([h, tail]).view(np.int64), np.concatenate([h2, tail]).view(np.int64), n, n)
+                yield batch(_STATS, kinds, np.concatenate([h, tail]).view(np.int64), np.concatenate([h2, tail]).view(np.int64), n, n if learn else np.zeros(len(n), n.dtype))
         if keys:
             yield rows(*_tally(keys, counts, learned))
 
@@ -184,23 +182,23 @@ def code_lengths(stats: DataFrame, order: int) -> DataFrame:
 def score(docs: DataFrame, stats: DataFrame, codes: DataFrame, order: int, id_col: str, text_col: str, extra: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``extra`` column, n_tokens, n_known, train_tokens, base_score, score.
 
-    Frequent words and symbol sequences (2**20 and 2**22 at most) are looked up in the tasks; all others are
-    joined to the counts and costs, by keys none of which is frequent.
+    Words and symbol sequences that are frequent in all texts (2**20 and 2**22 at most), learned or not, are
+    looked up in the tasks; all others are joined to the counts and costs, by keys none of which is frequent.
     """
     spark = docs.sparkSession
-    found = stats.filter(F.col("kind") != GRAM).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()
+    found = stats.filter(F.col("kind") != GRAM).groupBy("kind").agg(F.sum("learned").alias("n"), F.count_if(F.col("learned") > 0).alias("d"), F.sum("n").alias("all")).collect()
     by = {r["kind"]: r for r in found}
     n_texts = by[TEXT]["n"] if TEXT in by else 0
     total = n_texts + (by[WORD]["n"] if WORD in by else 0)
     distinct = (n_texts > 0) + (by[WORD]["d"] if WORD in by else 0)
-    least = max(1, math.ceil(total / 2**SHARE_BITS))
+    least = max(1, math.ceil(sum(r["all"] for r in found) / 2**SHARE_BITS))
     counts = stats.filter(F.col("kind") == WORD)
-    often = counts.filter(F.col("n") >= least).select("k1", "k2", "n").toArrow()
+    often = counts.filter(F.col("n") >= least).select("k1", "k2", "learned").toArrow()
     sort = np.argsort(k1 := often["k1"].to_numpy().view(np.uint64))
     least_gram = max(1, math.ceil(codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / 2**GRAM_BITS))
     top = codes.filter(F.col("n") >= least_gram).select("gram", "bits").toArrow()
     shared = spark.sparkContext.broadcast(
-        (top["gram"].to_numpy().view(np.uint64), top["bits"].to_numpy(), k1[sort], often["k2"].to_numpy().view(np.uint64)[sort], np.log10(often["n"].to_numpy()[sort] + 1.0))
+        (top["gram"].to_numpy().view(np.uint64), top["bits"].to_numpy(), k1[sort], often["k2"].to_numpy().view(np.uint64)[sort], np.log10(often["learned"].to_numpy()[sort] + 1.0))
     )
     end_log = math.log10(n_texts + 1)
     norm = math.log10(total + distinct + 1)
@@ -232,7 +230,7 @@ def score(docs: DataFrame, stats: DataFrame, codes: DataFrame, order: int, id_co
                 often = (k >= 0) & (w2[k] == h2) if len(w2) else np.zeros(len(k), bool)
                 base = segment_sum(np.where(often, logs[k] if len(logs) else 0.0, 0.0), at)
                 n = np.diff(at) + 1
-                known = segment_sum(often, at).astype(np.int64) + (n_texts > 0)
+                known = segment_sum(often & (logs[k] > 0) if len(logs) else often, at).astype(np.int64) + (n_texts > 0)
                 out = [b.column(i).slice(lo, rows) for i in range(b.num_columns - 1)]
                 tails = lists(h1, ~often, at), lists(h2, ~often, at), lists(g, rare, first)
                 yield batch(schema, np.array([next(serial) for _ in range(rows)]), *out, n, known, base + end_log - n * norm, bits, *tails)
@@ -240,7 +238,7 @@ def score(docs: DataFrame, stats: DataFrame, codes: DataFrame, order: int, id_co
     cols = [F.col(id_col).alias("id"), *more, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
     done = staged(docs.select(*cols).mapInArrow(run, _ddl(schema)), "ppm-scores")
     tail = done.select("uid", F.explode(F.arrays_zip("k1", "k2")).alias("k")).select("uid", "k.k1", "k.k2")
-    rare_words = tail.join(counts.filter(F.col("n") < least).select("k1", "k2", "n"), ["k1", "k2"])
+    rare_words = tail.join(counts.filter((F.col("n") < least) & (F.col("learned") > 0)).select("k1", "k2", F.col("learned").alias("n")), ["k1", "k2"])
     rare_grams = done.select("uid", F.explode("grams").alias("gram")).join(codes.filter(F.col("n") < least_gram).select("gram", "bits"), "gram")
     zero, none = F.lit(0), F.lit(0.0)
     seen = (
@@ -276,5 +274,7 @@ def train_and_score(docs: DataFrame, train: DataFrame | Column, id_col: str = "d
 
 
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, learned from the six folds that are not held out: doc_id, held_out, n_tokens,
+    n_known, train_tokens, base_score and score. An empty table gives no row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", fold_of("doc_id", 7) == 2)
     return train_and_score(docs, ~F.col("held_out"), extra="held_out")
