@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import SpanHash, _power, arrow_type, batch, blocks, mix
 from .exact_dedup import _ddl
-from .ppm import HashIndex
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -114,14 +113,14 @@ class Vocabulary:
         self.alone[0x20] = False
         #: No piece has a space behind another character, so units may be cut before a word's spaces.
         self.cuts = all(b" " not in self.pieces[i].lstrip(b" ") for i in usable)
-        self._index: HashIndex | None = None
+        self._lead = self._probe = None
         self._pair_keys = self._pair_values = None
         table = [bytes([int(np.flatnonzero(self.byte_ids == i)[0])]) if self.kinds[i] == 6 else p if self.kinds[i] in (1, 4) else b"" for i, p in enumerate(self.pieces)]
         self.out_bytes = np.frombuffer(b"".join(table), np.uint8)
         self.out_first = np.concatenate([[0], np.cumsum([len(x) for x in table])])
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None, "_pair_keys": None, "_pair_values": None}
+        return self.__dict__ | {"_lead": None, "_probe": None, "_pair_keys": None, "_pair_values": None}
 
     def _last_merge(self, piece: bytes, by_bytes: dict[bytes, int]) -> tuple[int, int] | None:
         parts = [c.encode() for c in piece.decode()]
@@ -139,11 +138,24 @@ class Vocabulary:
         return None
 
     def find(self, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Ids of the substrings with these hash sums and lengths, or -1."""
-        if self._index is None:
-            self._index = HashIndex(self.keys)
-        at = self._index.find(mix(raw + size.astype(np.uint64)))
-        return np.where(at >= 0, self.key_ids[at], -1)
+        """Ids of the substrings with these hash sums and lengths, or -1. The sorted piece keys are probed from
+        the first key with the same leading 16 bits on; there is rarely more than one."""
+        if self._lead is None:
+            self._lead = np.searchsorted(self.keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.int32)
+            self._probe = np.append(self.keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+        q = mix(raw + size.astype(np.uint64))
+        at = self._lead[q >> np.uint64(48)]
+        key = self._probe[at]
+        left = np.flatnonzero(key < q)
+        while len(left):
+            at[left] += 1
+            key[left] = self._probe[at[left]]
+            left = left[key[left] < q[left]]
+        out = np.full(len(q), -1, np.int64)
+        hit = np.flatnonzero(key == q)
+        hit = hit[at[hit] < len(self.keys)]
+        out[hit] = self.key_ids[at[hit]]
+        return out
 
     def agree(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """If merging the joined text of pieces ``one`` and ``two`` ends in just these two.
