@@ -21,7 +21,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, common, components as components_module, exact_dedup, jaccard, nbsvm, patricia, pieces, pii, ppm, registry, textcnn, tiling, warc
+from tidemark.llm import chat, common, components as components_module, exact_dedup, jaccard, nbsvm, patricia, pieces, pii, ppm, registry, sample, textcnn, tiling, warc
 from tidemark.llm.common import staged
 from tidemark.llm.components import components
 
@@ -139,10 +139,10 @@ def test_warc(spark, tmp_path):
     assert all(r.refers_to in ids for _, r in whole if r.kind == "revisit")
 
 
-@pytest.mark.parametrize("slots", [common.SLOTS, 1 << 15])
-def test_warc_repeated_rows(spark, tmp_path, slots, monkeypatch):
+@pytest.mark.parametrize("bits", [common.MOST_BITS, 1 << 5])
+def test_warc_repeated_rows(spark, tmp_path, bits, monkeypatch):
     """Each row is a capture of its own; a crowded bitmap changes nothing."""
-    monkeypatch.setattr(common, "SLOTS", slots)
+    monkeypatch.setattr(common, "MOST_BITS", bits)
     rng = random.Random(8)
     rows = [(rng.randint(0, 6), rng.choice(["u", "v"]), rng.choice(["p", "q", "", None, "hot"])) for _ in range(60)] + [(100 + i, "h", "hot") for i in range(400)] + [(1000 + i, "s", f"single {i}") for i in range(100)]
     recs, whole = captures(spark, rows, tmp_path / "w")
@@ -227,6 +227,16 @@ def test_ppm_odd(spark):
     assert none.score == pytest.approx(-16 * math.log10(2)) and none.n_known == 0
 
 
+def test_ppm_word_frequent_only_where_not_learned(spark, monkeypatch):
+    """A word that no training text has is looked up in the tasks where it is frequent, and never counts as known."""
+    monkeypatch.setattr(ppm, "SHARE_BITS", 3)
+    docs = spark.createDataFrame([(0, "a b"), (1, "new new new new new a"), (2, "new b rare")], "doc_id long, text string")
+    r = {x.doc_id: x for x in ppm.train_and_score(docs, F.col("doc_id") == 0).collect()}
+    assert [(r[i].n_tokens, r[i].n_known, r[i].train_tokens) for i in range(3)] == [(3, 3, 3), (7, 2, 3), (4, 2, 3)]
+    assert r[1].base_score == pytest.approx(2 * math.log10(2) - 7 * math.log10(3 + 3 + 1))
+    assert ppm.train_and_score(docs.filter("false"), F.lit(True)).count() == 0
+
+
 def test_context_probabilities_sum_to_one(spark):
     rng = random.Random(1)
     learned = ["".join(rng.choice("abcd ef") for _ in range(400)) for _ in range(3)]
@@ -291,6 +301,127 @@ def test_nbsvm(spark):
     assert nbsvm.score_quality(odd(spark), model).count() == len(ODD)
 
 
+WORDS = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def plain_logit(model, text):
+    """The network word by word and window by window, in double precision."""
+    rows = [textcnn.word_ids(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), model.bits) for w in WORDS.findall(lower(text))]
+    x = [model.tables[0][a[0]].astype(float) + model.tables[1][b[0]] for a, b, _ in rows]
+    zero, out = np.zeros(model.dim), float(model.bias)
+    for i, (w, kernel) in enumerate(zip(model.widths, model.conv)):
+        for f in range(model.filters):
+            z = [sum((x[p + k] if p + k < len(x) else zero) @ kernel[k, :, f] for k in range(w)) for p in range(max(len(x), 1))]
+            out += max(max(z) + model.conv_bias[i * model.filters + f], 0) * model.out[i * model.filters + f]
+    return out
+
+
+def test_textcnn_is_the_plain_convolution():
+    model = textcnn.TextCNN(bits=8, dim=5, filters=4)
+    model.conv_bias += 0.1
+    texts = ["", "  ..", "one", "One two", "a b c d e f g a b", "été, über-all 12x", "z " * 50]
+    data, off = common.utf8(pa.array(texts))
+    assert model.logits(*textcnn.word_ids(data, off, 8)) == pytest.approx([plain_logit(model, t) for t in texts], abs=1e-4)
+
+
+def test_textcnn_gradients_are_the_numeric_ones():
+    model = textcnn.TextCNN(bits=6, dim=4, filters=3, seed=3)
+    for name, v in model._params().items():
+        setattr(model, name, v.astype(np.float64)) if name in ("conv_bias", "out") else None
+    model.conv, model.tables = [c.astype(np.float64) for c in model.conv], [10 * t.astype(np.float64) for t in model.tables]
+    data, off = common.utf8(pa.array(["some words here", "", "other words and more of them", "x"]))
+    a, b, first = textcnn.word_ids(data, off, 6)
+    y, weight = np.array([1.0, 0, 0, 1]), np.array([1.0, 0.5, 2, 1])
+
+    def loss():
+        z = model.logits(a, b, first)
+        return float(np.mean(weight * (np.log1p(np.exp(z)) - y * z)))
+
+    grads, dx = model.gradients(a, b, first, y, weight)
+    eps = 1e-2
+    for name, value in model._params().items():
+        for at in list(np.ndindex(value.shape))[::3]:
+            keep = value[at]
+            value[at] = keep + eps
+            up = loss()
+            value[at] = keep - eps
+            down = loss()
+            value[at] = keep
+            assert grads[name][at] == pytest.approx((up - down) / 2 / eps, abs=3e-3)
+    row, column = int(a[4]), 2
+    keep = model.tables[0][row, column]
+    model.tables[0][row, column] = keep + eps
+    up = loss()
+    model.tables[0][row, column] = keep - eps
+    assert dx[a == row][:, column].sum() == pytest.approx((up - loss()) / 2 / eps, abs=3e-3)
+
+
+def test_textcnn_thresholds_by_language():
+    model = textcnn.TextCNN()
+    s, y = np.array([0.9, 0.8, 0.7, 0.6, 0.5, 0.4]), np.array([1, 1, 1, 0, 1, 0.0])
+    model.calibrate(s, y, np.ones(6), ["en"] * 6, 1.0, least=2)
+    assert model.threshold == pytest.approx(0.65) and model.thresholds == {"en": pytest.approx(0.65)}
+    model.calibrate(s, y, np.ones(6), ["en", "en", "de", "de", "de", None], 0.75, least=2)
+    assert model.threshold == pytest.approx(0.45) and set(model.thresholds) == {"en", "de"} and model.thresholds["en"] == 0.4
+
+
+def test_nbsvm_features_ratios_and_margin():
+    def plain(text):
+        t = lower(text).encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", t)
+        return {*w, *zip(w, w[1:]), *((b"tri", t[i : i + 3]) for i in range(len(t) - 2))}
+
+    texts = ["", "a", "The the cat", "Ünd so\tweiter und SO", "x y z x y z"]
+    data, off = common.utf8(pa.array(texts))
+    keys, first = nbsvm.features(data, off, 30)
+    own = [keys[p:q] for p, q in zip(first[:-1], first[1:])]
+    sets = [plain(t) for t in texts]
+    assert [len(k) for k in own] == [len(x) for x in sets]
+    assert all(len(np.intersect1d(own[i], own[j])) == len(sets[i] & sets[j]) for i in range(5) for j in range(5))
+    small = [np.array([0, 2]), np.array([2]), np.array([1, 2])]
+    got = nbsvm.log_count_ratios(small, np.array([1, 0, 1]), 4)
+    pos, neg = np.array([2, 2, 3, 1]) / 8, np.array([1, 1, 2, 1]) / 5
+    assert got == pytest.approx(np.log(pos / neg))
+    model = nbsvm.NBSVM(2, np.array([1, -2, 0.5, 0], np.float32), 0.25, 2.0, -1.0)
+    assert model.score(np.array([0, 2, 1]), np.array([0, 2, 2, 3])) == pytest.approx([1 / (1 + math.exp(-(2 * m - 1))) for m in (1.5 / math.sqrt(2) + 0.25, 0.25, -1.75)])
+
+
+def test_dual_descent_reaches_the_optimum():
+    """Against plain gradient descent on the primal problem."""
+    rng = np.random.default_rng(2)
+    n, d = 60, 8
+    x = rng.normal(size=(n, d)) * (rng.random((n, d)) < 0.6)
+    y, cost = np.where(x @ rng.normal(size=d) + 0.5 * rng.normal(size=n) > 0, 1.0, -1.0), rng.uniform(0.5, 2, n)
+    w, bias = nbsvm.dual_coordinate_descent([np.flatnonzero(r) for r in x], [r[r != 0] for r in x], y, cost, d, epochs=2000)
+    x1 = np.hstack([x, np.ones((n, 1))])
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(1 - y * (x1 @ v), 0) ** 2).sum()
+    v = np.zeros(d + 1)
+    for _ in range(20_000):
+        v -= 0.002 * (v - 2 * x1.T @ (cost * y * np.maximum(1 - y * (x1 @ v), 0)))
+    assert loss(np.append(w, bias)) == pytest.approx(loss(v), rel=1e-3)
+
+
+def test_samples_are_bounded(spark):
+    """Repeated ids and labels count once, and the sizes taken together stay within their bound; one class alone is learned as its share."""
+    docs = spark.createDataFrame([(i % 40, f"text {i % 40} of {'words ' * (i % 7)}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, int(i % 40 < 20)) for i in range(120)], "doc_id long, y int")
+    got, share = sample.labelled_sample(docs, labels, "doc_id", "y", 15)
+    assert sorted(r["count"] for r in got.groupBy("label").count().collect()) == [15, 15] and got.select("doc_id").distinct().count() == 30 and share == 0.5
+    sized = got.select("order", "label", F.split("text", " ").alias("w"))
+    sizes = [n for _, _, n in sorted(map(tuple, sized.select("order", "label", F.size("w")).collect()))]
+    left = sample.within(sized, "w", 60).collect()
+    assert len(left) == sum(np.cumsum(sizes) <= 60) and sample.within(sized, "w", 0).count() == 0
+    ones = labels.filter("y = 1")
+    assert textcnn.score_toxicity(docs.withColumn("lang", F.lit("en")), textcnn.fit_toxicity(docs.withColumn("lang", F.lit("en")), ones, label_col="y")).filter("rejected").count() == 0
+    assert nbsvm.score_quality(docs, nbsvm.fit_quality(docs, ones, label_col="y")).agg(F.min("score")).first()[0] > 0.99
+
+
+def test_classifiers_on_empty_tables(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string")
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert textcnn.score_toxicity(df, textcnn.fit_toxicity(df, none)).count() == 0 and nbsvm.score_quality(df, nbsvm.fit_quality(df, none)).count() == 0
+
+
 def test_held_out_folds(spark):
     for name, folds, one in (("op3_toxicity_cnn", 4, 2), ("op6_quality_nbsvm", 5, 0), ("op2_ppm_score", 7, 2)):
         for r in registry.QUERIES[name](spark, SF).select("doc_id", "held_out").collect():
@@ -404,6 +535,8 @@ def test_jaccard_recall_on_documents(spark):
 def test_components_with_hubs(spark, monkeypatch):
     monkeypatch.setattr(components_module, "LEAST", 3)
     monkeypatch.setattr(components_module, "HOT", 8)
+    monkeypatch.setattr(components_module, "FOREST", 5)  # so that much is left to the rounds
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
     rng = random.Random(9)
     e = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(300, 500)] + [(rng.randint(600, 700), rng.randint(600, 700)) for _ in range(60)] + [(199, 300)]
     root = {x: x for p in e for x in p}
@@ -414,6 +547,7 @@ def test_components_with_hubs(spark, monkeypatch):
     assert {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()} == {k: v for k, v in root.items() if k not in lone}
     with pytest.raises(RuntimeError):
         components(spark.createDataFrame(e, "a long, b long"), rounds=1)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -699,22 +833,56 @@ def test_pii_odd(spark):
 
 # ------------------------------------------------------------------------------------- pipeline
 def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    kept = []
+    """Every stage against a plain version over what its predecessor kept."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    first = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in first.collect()}
+    docs, kept = first, []
     for name, stage in corpus_pipeline.STAGES:
         docs = staged(stage(spark, docs, SF), name)
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+        assert docs.count() == len(kept[-1])
         if name != "tokenize":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert kept[0] > kept[1] >= kept[2] >= kept[3] == kept[4]
-    gone = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()} - kept[0]
-    assert sum(labels.get(i, 1) == 0 for i in gone) <= 0.1 * len(gone) + 1
+            assert all(rows[r.doc_id] == r for r in docs.collect())
+    model = textcnn.fit_toxicity(first, spark.read.parquet(f"{SF}/labels.parquet"))
+    score = {i: 1 / (1 + math.exp(-plain_logit(model, r.text or ""))) for i, r in rows.items()}
+    limit = {i: model.thresholds.get(r.lang, model.threshold) for i, r in rows.items()}
+    close = {i for i in rows if abs(score[i] - limit[i]) < 1e-4}
+    assert kept[0] - close == {i for i in rows if score[i] < limit[i]} - close
+    owner = {}
+    for i in kept[0]:
+        t = lower(rows[i].text)
+        owner[t] = max(i, owner.get(t, i))
+    assert kept[1] == set(owner.values())
+    sets = {i: shingle_set(rows[i].text) for i in sorted(kept[1])}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = root[a], root[b]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    assert kept[2] == {i for i, r in root.items() if i == r}
+    items = [WORDS.findall((r.text or "").lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    def leaked(words):
+        for item in items:
+            size = min(5, len(item))
+            grams = {tuple(item[k : k + size]) for k in range(len(item) - size + 1)}
+            if item and any(tuple(words[k : k + size]) in grams for k in range(len(words) - size + 1)) and plain_tiles(words, item, size) >= 0.5 * len(item):
+                return True
+        return False
+
+    assert kept[3] == {i for i in kept[2] if not leaked(WORDS.findall((rows[i].text or "").lower()))}
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    got = {r.doc_id: (list(r.ids), r.n_tokens) for r in docs.collect()}
+    assert got == {i: (sp.encode(rows[i].text or ""), len(sp.encode(rows[i].text or ""))) for i in kept[3]}
 
 
 def test_stages_odd(spark):
     o = odd(spark)
     for name, stage in corpus_pipeline.STAGES:
-        if name != "toxicity":
+        if name == "toxicity":
+            assert stage(spark, o.filter("false"), SF).count() == 0
+        else:
             assert stage(spark, o, SF).count() <= len(ODD) and stage(spark, o.filter("false"), SF).count() == 0
     assert corpus_pipeline.toxicity(spark, o, SF).columns == o.columns

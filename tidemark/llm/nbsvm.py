@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, SpanHash, arrow_type, batch, blocks, fold_of, mix, segment_sum, words
 from .exact_dedup import _ddl
-from .sample import labelled_sample
+from .sample import labelled_sample, within
 
 
 def features(raw: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +57,15 @@ class NBSVM:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(keys, first) + self.shift, -40, 40)))
 
 
+def log_count_ratios(texts: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """For each feature the log of its share among the indicators of class 1 over that of class 0, one added to each."""
+    counts = []
+    for c in (0, 1):
+        n = np.bincount(np.concatenate([*[t for t, z in zip(texts, y, strict=True) if z == c], np.zeros(0, np.int32)]), minlength=size) + 1.0
+        counts.append(n / n.sum())
+    return np.log(counts[1] / counts[0])
+
+
 def dual_coordinate_descent(texts: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear SVM with squared hinge loss (Hsieh and others, 2008)."""
     w, bias = np.zeros(size), 0.0
@@ -79,9 +88,10 @@ def dual_coordinate_descent(texts: list[np.ndarray], values: list[np.ndarray], y
     return w, bias
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, max_features: int = 60_000, bits: int = 18, cost: float = 1.0) -> NBSVM:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, max_features: int = 60_000, max_total: int = 10_000_000, bits: int = 18, cost: float = 1.0) -> NBSVM:
     """A classifier from at most ``per_class`` labelled rows of each class with up to ``max_features``
-    distinct features each (longer ones are not learned from). Ratios and weights come from four fifths,
+    distinct features each (longer ones are not learned from) and ``max_total`` together, which bounds what the
+    driver holds to 40 MB. Null texts are empty. Ratios and weights come from four fifths,
     the logistic curve from one fifth; rows are weighted to the classes' true shares. Where labels of
     both classes are missing, the score is the share of label 1."""
     sample, share = labelled_sample(docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")), labels, id_col, label_col, per_class)
@@ -93,7 +103,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 keys, first = features(raw, off, bits)
                 yield batch(schema, x.column(0).slice(lo, hi - lo), x.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys)))
 
-    got = sample.select("order", "label", "__text").mapInArrow(run, _ddl(schema)).filter(F.size("keys") <= max_features).toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
+    got = within(sample.select("order", "label", "__text").mapInArrow(run, _ddl(schema)).filter(F.size("keys") <= max_features), "keys", max_total).toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
     y = got["label"].to_numpy().astype(np.float64)
     size = 1 << bits
     if len(y) == 0 or y.min() == y.max():
@@ -102,12 +112,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     texts = [k.values.to_numpy(zero_copy_only=False) for k in got["keys"]]
     check = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     train = np.flatnonzero(~check)
-    counts = []
-    for c in (0, 1):
-        have = [texts[i] for i in train if y[i] == c]
-        n = np.bincount(np.concatenate([*have, np.zeros(0, np.int32)]), minlength=size) + 1.0
-        counts.append(n / n.sum())
-    ratio = np.log(counts[1] / counts[0])
+    ratio = log_count_ratios([texts[i] for i in train], y[train], size)
     scaled = [ratio[texts[i]] / np.sqrt(max(len(texts[i]), 1)) for i in train]
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     w, bias = dual_coordinate_descent([texts[i] for i in train], scaled, 2 * y[train] - 1, cost * weight[train], size)
@@ -125,7 +130,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def score_quality(docs: DataFrame, model: NBSVM, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """id, ``extra`` columns and ``score`` for each row, from its whole text; no shuffle."""
+    """id, ``extra`` columns and ``score`` for each row, from its whole text; no shuffle. Null and empty texts get
+    the score of no features; repeated rows are scored each for itself, an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB at 18 bits
     kept = [id_col, *extra]
     schema = pa.schema([*[(c, arrow_type(docs, c)) for c in kept], ("score", pa.float64())])
@@ -140,6 +146,7 @@ def score_quality(docs: DataFrame, model: NBSVM, id_col: str = "doc_id", text_co
 
 
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, learned from four of five folds: doc_id, held_out, score and predicted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", fold_of("doc_id", 5) == 0)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold_of("doc_id", 5) != 0)
     model = fit_quality(docs, labels)

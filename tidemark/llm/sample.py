@@ -5,13 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, per_class: int) -> tuple[DataFrame, float]:
     """Up to ``per_class`` labelled rows of each class, those with the smallest id hashes, joined to
     ``docs``, with columns ``label`` and ``order``; and the share of label 1 among all labelled rows.
-    Rows with a null label or id are left out. ``labels`` holds only what may be learned from."""
+    Rows with a null label or id are left out; of rows that repeat an id, the one with the smallest hash stands for
+    all, and so for a repeated label. ``labels`` holds only what may be learned from."""
     own = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("string")).alias("order"))
     ones, rows = own.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-    few = [own.filter(F.col("label") == y).orderBy("order", "__id").limit(per_class) for y in (0, 1)]
+    once = own.distinct()
+    few = [once.filter(F.col("label") == y).orderBy("order", "__id").limit(per_class) for y in (0, 1)]
     picked = F.broadcast(few[0].unionByName(few[1]))  # 2 * per_class narrow rows at most
-    return docs.join(picked, docs[id_col] == picked["__id"]).drop("__id"), (ones / rows if rows else 0.5)
+    row = F.struct(*docs.columns)
+    found = docs.join(picked, docs[id_col] == picked["__id"]).groupBy("__id", "label", "order").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row"))
+    return found.select("__row.*", "label", "order"), (ones / rows if rows else 0.5)
+
+
+def within(rows: DataFrame, column: str, total: int) -> DataFrame:
+    """Of a bounded sample's ``rows``, in the order of ``order`` and ``label``, as many as hold ``total`` items in
+    the lists of ``column`` together. Only the sizes pass through the driver."""
+    rows = staged(rows, "sample")
+    sizes = sorted(rows.select("order", "label", F.size(column)).collect())
+    held, last = 0, None
+    for order, label, n in sizes:
+        held += n
+        if held > total:
+            break
+        last = (order, label)
+    if last is None:
+        return rows.limit(0)
+    return rows.filter((F.col("order") < last[0]) | ((F.col("order") == last[0]) & (F.col("label") <= last[1])))
