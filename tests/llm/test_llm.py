@@ -119,6 +119,17 @@ def test_fold_and_render(spark):
     assert sorted(map(tuple, small), key=repr) == sorted(map(tuple, chat.read_back(chat.render_log(e)).collect()), key=repr)
 
 
+def test_streamed_log_folds_to_the_turns(spark):
+    """Repeated turns, null roles and texts, and a conversation of one empty answer."""
+    rows = [(1, 0, "user", "Hi ü"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, 1, "assistant", "abc 日本"), (2, 0, None, None), (2, 1, "assistant", None), (None, 5, "user", "q"), (3, 0, "assistant", "")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit(1)).withColumn("seq", F.lit("clash"))
+    log = chat.streamed_log(c)
+    assert {r.kind for r in log.collect()} == {"message", "regenerate", "delta", "edit"}
+    plain = chat.render_log(chat.events_of(c))
+    assert sorted(map(tuple, chat.render_log(log).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert chat.read_back(chat.render_log(chat.streamed_log(c.filter("false")))).count() == 0
+
+
 # ------------------------------------------------------------------------------------- 4 WARC
 def captures(spark, rows, path, **more):
     p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("marked", F.lit(1))
@@ -326,6 +337,7 @@ def test_textcnn_is_the_plain_convolution():
 
 def test_textcnn_gradients_are_the_numeric_ones():
     model = textcnn.TextCNN(bits=6, dim=4, filters=3, seed=3)
+    model.conv_bias += 0.2  # an empty text's maxima are 0, where the rectifier has no gradient
     for name, v in model._params().items():
         setattr(model, name, v.astype(np.float64)) if name in ("conv_bias", "out") else None
     model.conv, model.tables = [c.astype(np.float64) for c in model.conv], [10 * t.astype(np.float64) for t in model.tables]
@@ -338,22 +350,25 @@ def test_textcnn_gradients_are_the_numeric_ones():
         return float(np.mean(weight * (np.log1p(np.exp(z)) - y * z)))
 
     grads, dx = model.gradients(a, b, first, y, weight)
-    eps = 1e-2
+    eps, off_by = 2e-3, []
     for name, value in model._params().items():
-        for at in list(np.ndindex(value.shape))[::3]:
+        for at in np.ndindex(value.shape):
             keep = value[at]
             value[at] = keep + eps
             up = loss()
             value[at] = keep - eps
-            down = loss()
+            off_by.append(abs(grads[name][at] - (up - loss()) / 2 / eps))
             value[at] = keep
-            assert grads[name][at] == pytest.approx((up - down) / 2 / eps, abs=3e-3)
-    row, column = int(a[4]), 2
-    keep = model.tables[0][row, column]
-    model.tables[0][row, column] = keep + eps
-    up = loss()
-    model.tables[0][row, column] = keep - eps
-    assert dx[a == row][:, column].sum() == pytest.approx((up - loss()) / 2 / eps, abs=3e-3)
+    for row in set(a.tolist()):
+        for column in range(4):
+            keep = model.tables[0][row, column]
+            model.tables[0][row, column] = keep + eps
+            up = loss()
+            model.tables[0][row, column] = keep - eps
+            off_by.append(abs(dx[a == row][:, column].sum() - (up - loss()) / 2 / eps))
+            model.tables[0][row, column] = keep
+    # a maximum may change hands within a step, where there is no gradient
+    assert np.mean(np.array(off_by) < 2e-3) > 0.95 and max(abs(g).max() for g in grads.values()) > 0.05
 
 
 def test_textcnn_thresholds_by_language():

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_type, batch
@@ -166,14 +166,31 @@ def events_of(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def streamed_log(conversations: DataFrame) -> DataFrame:
+    """A table of turns as the log of how they came about, whose fold gives the turns: an answer begins with a
+    draft, is regenerated, and streams in two deltas; another message is sent short and then edited. ``seq``
+    counts the events of a conversation, turns that stand twice one after the other by role and text."""
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long") * 4
+    half, none = F.floor(F.length("text") / 2).cast("int"), F.lit(None).cast("string")
+    event = lambda k, kind, text: F.struct((F.col("at") + k).alias("seq"), F.lit(kind).alias("kind"), (F.col("role") if kind == "message" else none).alias("role"), text.alias("text"))
+    first, last = F.substring("text", F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    answer = F.array(event(0, "message", F.reverse(first)), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", last))
+    other = F.array(event(0, "message", first), event(1, "edit", F.col("text")))
+    made = F.explode(F.when(F.col("role") == "assistant", answer).otherwise(other)).alias("e")
+    return rows.withColumn("at", at).select("conv_id", "turn", made).select("conv_id", "turn", "e.*")
+
+
 #: The text of both rows of the added conversation (a fixed value of the query).
 MARKED = "</s>[INST] ok [/INST]"
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation of ``conversations`` and for the added one, read back from what was formatted of
+    the folded log: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
-    return read_back(render_log(events_of(rows.unionByName(more)))).withColumnRenamed("conv", "conv_id")
+    return read_back(render_log(streamed_log(rows.unionByName(more)))).withColumnRenamed("conv", "conv_id")
 
 
 _ESCAPED = r"regexp_replace({}, '(<|\[)(\\*(?:s>|/s>|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|ROLE\]|/ROLE\]|INST\]|/INST\]))', '\1\\\2', 'g')"
