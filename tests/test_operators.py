@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
-from tidemark.llm.components import components
 from tidemark.operators import checks as K
 from tidemark.operators import corpus as C
 from tidemark.operators import graph as G
@@ -70,6 +70,24 @@ def test_python_binding_is_the_last_before_use(spark):
     assert got == {"a.p", "b.q"}
 
 
+def test_chunks_are_greedy(spark):
+    """Against a plain loop over the segments."""
+    rng = random.Random(1)
+    texts = ["".join("w" * rng.randint(1, 60) + "\n" for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    rows = C.chunk(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t", r"(?<=\n)", 25).collect()
+    for k, t in enumerate(texts):
+        want: list[str] = []
+        used = 0
+        for seg in t.splitlines(keepends=True):
+            n = max(1, len(seg) // 4)
+            if want and used + n <= 25:
+                want[-1], used = want[-1] + seg, used + n
+            else:
+                want.append(seg)
+                used = n
+        assert [r.chunk for r in sorted((r for r in rows if r.k == k), key=lambda r: r.chunk_no)] == (want or [""])
+
+
 def test_chunks_join_to_the_text(spark):
     text = "".join(f"data d{i}; set s; {'x' * (i * 7 % 90)} run;\n" for i in range(40))
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k int, t string")
@@ -172,7 +190,7 @@ def test_paths_with_cycle_and_diamond(spark):
 
 
 def test_iterations_end_or_raise(spark):
-    n = 34
+    n = 60
     e = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(n)], "source_table_id string, target_table_id string")
     t = spark.createDataFrame([("t0", "Source"), (f"t{n}", "Output")], "table_id string, role string")
     paths, cut = G.source_to_output_paths(t, e)
@@ -180,8 +198,40 @@ def test_iterations_end_or_raise(spark):
     seed = spark.createDataFrame([("t0",)], "seed string")
     with pytest.raises(RuntimeError):
         G.reachable(e, seed, max_depth=2)
-    with pytest.raises(RuntimeError):
-        components(e.select(F.col("source_table_id").alias("a"), F.col("target_table_id").alias("b")), rounds=1)
+
+
+def test_ids_strip_all_white_space(spark):
+    """As in Python, where strip and split know more than blanks."""
+    names = ["\tWork.X\n", "\u00a0a \u2003 b\x1f", "\x1c\x85q\u3000r \t s\u2028", "plain", "", " \n "]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", ids.digest("n").alias("d"), ids.squeeze("n").alias("q"), ids.model_id("n", F.array("n")).alias("m")).orderBy("i")
+    for r, n in zip(df.collect(), names):
+        sha = lambda *x: hashlib.sha1("␟".join(y.lower().strip() for y in x).encode()).hexdigest()[:12]
+        assert (r.d, r.q, r.m) == (sha(n), " ".join(n.strip().split()), "m_" + sha(n, n))
+
+
+def test_python_strings_and_comments(spark):
+    text = '''import pandas as pd
+df = pd.read_csv('data/raw/x.csv')  # y = a / b
+v = '#fff' + df['v'].isin([1])
+"""docs: z / ratio and df['w'].isin([2])
+more / lines"""
+w = 10 / df["rate"]  # df['no'].isin([1])
+s = "it's / fine " + 'say "df[\\'q\\'].isin(" '
+t = 1 / total
+u = df['a'] > -5
+x = df['b'] >= 2
+m = df.merge(other, on="k")
+out = 'http://host/path'
+'''
+    got = {(r.element, r.usage_kind, r.evidence) for r in S.python_usages(code(spark, "Python", text)).collect()}
+    assert got == {("x.v", "equality_set", ".isin([...])"), ("x.rate", "denominator", "x / <col>"), ("x.total", "denominator", "x / <col>"), ("x.b", "range_filter", "df[col] > n"), ("x.k", "join_key", ".merge(on='k')")}
+    assert {(r.direction, r.name) for r in S.python_references(code(spark, "Python", text)).collect()} == {("input", "data/raw/x.csv")}
+
+
+def test_more_patterns_for_all_languages(spark):
+    m = spark.createDataFrame([("s", "SAS", "data a; set b; x = lag(c); run;"), ("p", "Python", "x = df['c'].shift(1)"), ("r", "R", "x <- lag(c)"), ("v", "VBA", 'Set ws = Sheets("S")\nx = ws.Cells(1, 3).Offset(1)')], "model_id string, language string, code string")
+    more = {"SAS": [("lagged", r"\blag\((\w+)", "Low")], "Python": [("lagged", r"\b(\w+)\[[\"']([^\"']+)[\"']\]\.shift\(", 2, 1, "")], "R": [("lagged", r"\blag\((\w+)", "Low")], "VBA": [("lagged", r"(\w+)\.Cells\(\w+, (\d+)\)\.Offset")]}
+    assert {(r.model_id, r.element) for r in S.scan_usages(m, more).collect() if r.usage_kind == "lagged"} == {("s", "b.c"), ("p", "c"), ("r", "c"), ("v", "S.col3")}
 
 
 def test_long_chain(spark):

@@ -17,14 +17,23 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: the characters that count as white space in ids.
+WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def strip(text: Column | str) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(_col(text), f"^{WHITE}+|{WHITE}+$", "")
+
+
 def digest(*parts: Column | str) -> Column:
-    own = [F.trim(F.lower(F.coalesce(_col(p), F.lit("")))) for p in parts]
+    own = [strip(F.lower(F.coalesce(_col(p), F.lit("")))) for p in parts]
     return F.substring(F.sha1(F.encode(F.concat_ws(SEPARATOR, *own), "UTF-8")), 1, 12)
 
 
 def squeeze(name: Column | str) -> Column:
     """Trimmed, inner white space collapsed."""
-    return F.regexp_replace(F.trim(F.regexp_replace(_col(name), r"\s+", " ")), r"^ | $", "")
+    return F.regexp_replace(strip(name), f"{WHITE}+", " ")
 
 
 def canonical_name(name: Column | str, aliases: Column | None = None) -> Column:
@@ -45,8 +54,8 @@ def table_id(name: Column | str, aliases: Column | None = None) -> Column:
 
 def model_id(label: Column | str, files: Column | str) -> Column:
     """``files`` is an array; its order does not matter."""
-    lowered = F.transform(F.array_sort(_col(files)), lambda f: F.trim(F.lower(f)))
-    joined = F.concat_ws(SEPARATOR, F.trim(F.lower(_col(label))), lowered)
+    lowered = F.transform(F.array_sort(_col(files)), lambda f: strip(F.lower(f)))
+    joined = F.concat_ws(SEPARATOR, strip(F.lower(_col(label))), lowered)
     return F.concat(F.lit("m_"), F.substring(F.sha1(F.encode(joined, "UTF-8")), 1, 12))
 
 

@@ -146,29 +146,34 @@ def chunk(docs: DataFrame, text_col: str, split_pattern: str, max_tokens: int =
     own = docs.withColumn("__seg", F.filter(segments(text_col, split_pattern), lambda s: s != ""))
     size = lambda s: F.greatest(F.lit(1), F.floor(F.length(s) / 4).cast("int"))
     sizes = F.transform("__seg", size)
-    none = F.array().cast("array<struct<first:int,n:int,size:int>>")
+    begin = F.struct(F.array().cast("array<struct<first:int,n:int>>").alias("done"), F.lit(1).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("size"))
 
     def pack(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        nothing = F.size(acc) == 0
-        fits = ~nothing & (last["size"] + s <= max_tokens)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"), (last["size"] + s).alias("size"))))
-        fresh = F.concat(acc, F.array(F.struct(F.when(nothing, 1).otherwise(last["first"] + last["n"]).alias("first"), F.lit(1).alias("n"), s.alias("size"))))
-        return F.when(fits, grown).otherwise(fresh)
-
-    packed = F.aggregate(sizes, none, pack)
+        """The open chunk is three numbers; ``done`` changes only when a chunk closes."""
+        closes = (acc["n"] > 0) & (acc["size"] + s > max_tokens)
+        closed = F.struct(acc["first"].alias("first"), acc["n"].alias("n"))
+        done = F.when(closes, F.array_append(acc["done"], closed)).otherwise(acc["done"])
+        next_ = lambda fresh, grown: F.when(closes, fresh).otherwise(grown)
+        return F.struct(done.alias("done"), next_(acc["first"] + acc["n"], acc["first"]).alias("first"), next_(F.lit(1), acc["n"] + 1).alias("n"), next_(s, acc["size"] + s).alias("size"))
+
+    packed = F.aggregate(sizes, begin, pack, lambda acc: F.array_append(acc["done"], F.struct(acc["first"].alias("first"), acc["n"].alias("n"))))
     texts = F.transform(packed, lambda p: F.array_join(F.slice("__seg", p["first"], p["n"]), ""))
     full = F.when(F.size("__seg") == 0, F.array(F.lit(""))).otherwise(texts)
     return own.withColumn("__chunks", full).select(*docs.columns, F.posexplode("__chunks").alias("chunk_no", "chunk"))
 
 
+# Strings in three quotes or more than one line, and strings on one line.
+_PY_LONG = r"\"{3}[^\"\\]*+(?:(?:\\[\s\S]|\"(?!\"\"))[^\"\\]*+)*+\"{3}|'{3}[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'{3}"
+_PY_SHORT = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 # Comments and string literals to blank before a scan, per language, in order.
 BLANKS = {
     "SAS": [(r"(?s)/\*.*?\*/", " "), (r"(?m)^\s*\*[^;]*;", " "), (r"\"[^\"]*\"|'[^']*'", " ")],
     "R": [(r"(?m)#.*$", ""), (r"\"[^\"]*\"|'[^']*'", " ")],
     "VBA": [(r"(?m)'.*$", "")],
-    "Python": [(r"(?m)#.*$", "")],
+    "Python": [(rf"{_PY_LONG}|({_PY_SHORT})|#[^\n]*", "$1")],
 }
+#: Python without comments and without strings that hold quotes, or also without those that hold slashes.
+PY_PLAIN = [rf"{_PY_LONG}|(\"[^\"'{more}\\\n]*+\"|'[^\"'{more}\\\n]*+')|{_PY_SHORT}|#[^\n]*" for more in ("", "/")]
 
 
 def blank(code: Column | str, language: str, strings: bool = True) -> Column:
@@ -190,13 +195,22 @@ REDACTIONS: list[tuple[str, str, str]] = [
 ]
 
 
+#: What a text must hold for a pattern to be tried at all: a literal, or a short pattern.
+GUARDS = {"email": "@", "ssn": r"[0-9]-[0-9]{2}-[0-9]", "account_number": "[0-9]{12}", "aws_access_key": "AKIA", "provider_secret": "sk-"}
+
+
 def redact(docs: DataFrame, text_col: str, patterns: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """``docs`` with ``redacted`` and ``hits`` (map of pattern to count, without zeros). Each pattern is
-    counted in the text that the ones before it left. A projection, one pass per pattern."""
+    counted in the text that the ones before it left. A projection; texts without a pattern's guard are not searched."""
     out = docs.withColumn("redacted", F.coalesce(F.col(text_col), F.lit("")))
     names = []
     for name, rx, to in REDACTIONS if patterns is None else patterns:
-        out = out.withColumn(f"__n_{name}", F.regexp_count("redacted", F.lit(rx))).withColumn("redacted", F.regexp_replace("redacted", rx, to.replace("\\", "\\\\").replace("$", "\\$")))
+        guard = GUARDS.get(name) if (name, rx, to) in REDACTIONS else None
+        n = F.regexp_count("redacted", F.lit(rx))
+        if guard is not None:
+            n = F.when(F.col("redacted").rlike(guard) if "[" in guard else F.contains("redacted", F.lit(guard)), n).otherwise(0)
+        new = F.regexp_replace("redacted", rx, to.replace("\\", "\\\\").replace("$", "\\$"))
+        out = out.withColumn(f"__n_{name}", n).withColumn("redacted", F.when(F.col(f"__n_{name}") > 0, new).otherwise(F.col("redacted")))
         names.append(name)
     pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"__n_{n}").alias("value")) for n in names]), lambda p: p["value"] > 0)
     return out.withColumn("hits", F.map_from_entries(pairs)).drop(*[f"__n_{n}" for n in names])

@@ -4,12 +4,14 @@ frontier is written to the shared folder each round, so plans stay short."""
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions import ids
-from tidemark.functions.scratch import written
+from tidemark.functions.scratch import shared_dir, written
 
 # Lanes of the table graph.
 LANES = {"Source": 0, "Intermediate": 1, "Output": 2}
@@ -27,8 +29,8 @@ def source_to_output_paths(tables: DataFrame, edges: DataFrame, max_depth: int |
     search was cut at ``max_depth`` edges or after ``max_paths`` partial paths. Parallel edges count once.
     The number of simple paths can be exponential; the two bounds are the caller's, and are reported. Without
     them the search goes on until no path grows: simple paths end by themselves."""
-    hop = edges.select(F.col("source_table_id").alias("s"), F.col("target_table_id").alias("t")).filter("s <> t").distinct()
-    goal = tables.filter("role = 'Output'").select(F.col("table_id").alias("t"))
+    hop = written(edges.select(F.col("source_table_id").alias("s"), F.col("target_table_id").alias("t")).filter("s <> t").distinct(), "hop")
+    goal = written(tables.filter("role = 'Output'").select(F.col("table_id").alias("t")), "goal")
     front = written(tables.filter("role = 'Source'").select(F.array("table_id").alias("path"), F.col("table_id").alias("end")), "paths")
     found, cut = [], False
     for _ in itertools.count() if max_depth is None else range(max_depth):
@@ -54,16 +56,23 @@ def reachable(edges: DataFrame, seeds: DataFrame, source: str = "source_table_id
     fewest edges to it; the seed itself has depth 0. ``seeds(seed)``. Breadth first: a node met once is
     not expanded again, so cycles end. Nodes beyond a ``max_depth`` that is given are an error."""
     s, t = (target, source) if upstream else (source, target)
-    hop = edges.select(F.col(s).alias("s"), F.col(t).alias("t")).filter("s <> t").distinct()
-    seen = front = written(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct(), "reach")
+    hop = written(edges.select(F.col(s).alias("s"), F.col(t).alias("t")).filter("s <> t").distinct(), "hop")
+    start = seeds.select("seed", F.col("seed").alias("node")).distinct()
+    # one table holds all rounds, a folder each, so the plan of a round does not grow
+    path = f"{shared_dir(edges.sparkSession)}/reach-{uuid.uuid4().hex}"
+    start.write.parquet(f"{path}/depth=0")
+    spark = edges.sparkSession
+    schema = StructType([*start.schema.fields, StructField("depth", IntegerType())])
+    seen = spark.read.schema(schema).parquet(path)
     for depth in itertools.count(1):
+        front = seen.filter(F.col("depth") == depth - 1)
         step = front.join(hop, front["node"] == hop["s"]).select("seed", F.col("t").alias("node")).distinct()
-        front = written(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
-        if front.isEmpty():
+        step.join(seen, ["seed", "node"], "left_anti").write.parquet(f"{path}/depth={depth}")
+        seen = spark.read.schema(schema).parquet(path)
+        if seen.filter(F.col("depth") == depth).isEmpty():
             break
         if max_depth is not None and depth > max_depth:
             raise RuntimeError(f"nodes beyond {max_depth} edges")
-        seen = seen.unionByName(front)
     return seen
 
 

@@ -15,15 +15,16 @@ from tidemark.functions.ordered import first_by, ordered_set
 
 def merge_extractions(parts: DataFrame) -> dict[str, DataFrame]:
     """Merge chunk extractions of each model. ``parts(model_id, chunk_no, purpose, executive_summary,
-    assumptions, limitations, methodology_steps, input_tables, output_tables, calculations, lineage_rows)``
-    gives ``scalars`` (first non-empty texts, ordered sets and joined steps), ``tables`` (by direction and
+    assumptions, limitations, methodology_steps, transformations, input_tables, output_tables, calculations,
+    lineage_rows)`` (``transformations`` may be absent) gives ``scalars`` (first non-empty texts, ordered sets, joined steps and transformations), ``tables`` (by direction and
     name, with the union of their columns), ``calculations`` (by target and expression) and ``lineage``
     (by source and target, the first type wins); a model with one part keeps its rows as they are."""
     one = parts.groupBy("model_id").agg(F.count("*").alias("__parts"))
     first = lambda c: F.coalesce(F.min_by(c, F.when(F.length(F.coalesce(c, F.lit(""))) > 0, F.col("chunk_no"))), F.lit("")).alias(c)
     lists = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", F.coalesce(c, F.array()).alias("v")))), lambda p: p["v"]))
     scalars = parts.groupBy("model_id").agg(
-        first("purpose"), first("executive_summary"), F.array_distinct(lists("assumptions")).alias("assumptions"), F.array_distinct(lists("limitations")).alias("limitations"), lists("methodology_steps").alias("methodology_steps")
+        first("purpose"), first("executive_summary"), F.array_distinct(lists("assumptions")).alias("assumptions"), F.array_distinct(lists("limitations")).alias("limitations"), lists("methodology_steps").alias("methodology_steps"),
+        (lists("transformations") if "transformations" in parts.columns else F.array().cast("array<string>")).alias("transformations"),
     )
     tables = None
     for direction in ("input", "output"):
@@ -165,17 +166,21 @@ def telemetry(models: DataFrame) -> DataFrame:
     return models.groupBy("run_id").agg(F.count("*").alias("models"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.sum("est_cost").alias("est_cost"))
 
 
-def assemble(models: DataFrame, extracted: DataFrame, scanned: DataFrame, lineage: DataFrame, calculations: DataFrame, usages: DataFrame, libnames: DataFrame | None = None, role_overrides: DataFrame | None = None, rule_status: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The whole state, lazily: models, tables, columns, edges, usages, rules, source systems. Control
-    status is derived last, from the rules' final status."""
+def assemble(models: DataFrame, extracted: DataFrame, scanned: DataFrame, lineage: DataFrame, calculations: DataFrame, usages: DataFrame, libnames: DataFrame | None = None, role_overrides: DataFrame | None = None, rule_status: DataFrame | None = None, issues: DataFrame | None = None, local: bool = False, retain_source: bool = True) -> dict[str, DataFrame]:
+    """The whole state, lazily: models, tables, columns, edges, usages, rules, calculations, source systems and
+    issues. Control status is derived after the rules' final status; last, a local run that does not retain its
+    sources is scrubbed of snippets, which is an issue of its own."""
     from . import rules as R
+    from .runs import scrub
 
     refs = with_aliases(reference_set(extracted, scanned), libnames)
     tables, columns = assemble_tables(refs, role_overrides), assemble_columns(refs)
     edges = column_edges(lineage, calculations)
     register = R.register(usages, tables, columns)
     register = R.set_status(register, rule_status) if rule_status is not None else register
-    return {
+    if issues is None:
+        issues = models.sparkSession.createDataFrame([], "model_id string, severity string, message string")
+    state = {
         "models": models,
         "tables": tables,
         "columns": control_status(columns, tables, register, edges),
@@ -183,5 +188,8 @@ def assemble(models: DataFrame, extracted: DataFrame, scanned: DataFrame, lineag
         "column_edges": edges,
         "usages": usages,
         "dq_rules": register,
+        "calculations": calculations,
         "source_systems": source_systems(tables),
+        "issues": issues,
     }
+    return scrub(state, local, retain_source)

@@ -45,9 +45,10 @@ PY_READ_KIND = r"\.(read_csv|read_parquet|read_sql|read_table|read_excel|read_js
 PY_WRITE = r"\.(to_csv|to_parquet|to_sql|to_excel|to_json)\s*\(\s*[rfb]?[\"']([^\"']+)[\"']"
 PY_WRITE_KIND = r"\.(to_csv|to_parquet|to_sql|to_excel|to_json)\s*\("
 _SUB = r"\b(\w+)\[[\"']([^\"']+)[\"']\]"
-#: (kind, pattern, group of the column, group of the data frame or 0, evidence or "" for the match).
+#: (kind, pattern, group of the column, group of the data frame or 0, evidence or "" for the match; {} in it stands for the column).
 PY_USAGES = [
-    ("join_key", r"\b(\w+)\.(?:merge|join)\s*\([^#]*?\bon\s*=\s*[\"']([^\"']+)[\"']", 2, 1, ""),
+    ("join_key", r"\b(\w+)\.merge\s*\([^#]*?\bon\s*=\s*[\"']([^\"']+)[\"']", 2, 1, ".merge(on='{}')"),
+    ("join_key", r"\b(\w+)\.join\s*\([^#]*?\bon\s*=\s*[\"']([^\"']+)[\"']", 2, 1, ".join(on='{}')"),
     ("aggregated", r"\b(\w+)\.groupby\s*\(\s*[\"']([^\"']+)[\"']", 2, 1, ".groupby(...)"),
     ("date_parse", r"\.to_datetime\s*\(\s*" + _SUB, 2, 1, "to_datetime(...)"),
     ("type_cast", _SUB + r"\s*\.astype\s*\(", 2, 1, ".astype(...)"),
@@ -55,7 +56,7 @@ PY_USAGES = [
     ("time_window", _SUB + r"\s*\.between\s*\(", 2, 1, ".between(...)"),
     ("denominator", r"(?<!/)/(?!/)\s*" + _SUB, 2, 1, "x / <col>"),
     ("denominator", r"(?<!/)/(?!/)\s*([A-Za-z_]\w*)\b(?!\s*[\[(.\w])", 1, 0, "x / <col>"),
-    ("range_filter", _SUB + r"\s*(?:>=|<=|>|<)\s*-?[\d.]", 2, 1, "df[col] > n"),
+    ("range_filter", _SUB + r"\s*(?:>=|<=|>|<)\s*[\d.]", 2, 1, "df[col] > n"),
 ]
 PY_ASSIGN = r"^\s*(\w+)\[[\"']([^\"']+)[\"']\]\s*=(?!=)"
 

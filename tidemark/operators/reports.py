@@ -109,15 +109,19 @@ SECTIONS = ["Cover / metadata", "Executive summary", "Purpose and scope", "Data
 
 
 def model_register(s: dict[str, DataFrame]) -> DataFrame:
-    """(model_id, section_no, section, ord, key, value) for the sections that come from the state's
-    tables: metadata, purpose, inputs, outputs, lineage, rules (of the elements the model uses, by
-    dimension), confidence. An empty section has one row saying so."""
+    """(model_id, section_no, section, ord, key, value) for all thirteen sections: texts and lists of the models
+    (``executive_summary``, ``assumptions``, ``methodology_steps`` and ``limitations`` may be absent), inputs,
+    outputs, lineage, calculations, and rules of the elements that the model uses, by dimension. An empty
+    section has one row saying so."""
     m = s["models"]
     row = lambda no, order, key, value: [F.lit(no).alias("section_no"), F.lit(SECTIONS[no - 1]).alias("section"), order.cast("string").alias("ord"), key.alias("key"), value.cast("string").alias("value")]
     meta = F.array(*[F.struct(F.lit(f"{i:02d}").alias("o"), F.lit(k).alias("k"), v.alias("v")) for i, (k, v) in enumerate((("Model label", F.col("label")), ("Language", F.col("language")), ("Source file(s)", F.when(F.size("source_files") > 0, F.array_join("source_files", ", ")).otherwise(MISSING)), ("Status", F.col("status"))))])
     cover = m.select("model_id", F.explode(meta).alias("x")).select("model_id", *row(1, F.col("x.o"), F.col("x.k"), F.col("x.v")))
     purpose = m.select("model_id", *row(3, F.lit("00"), F.lit(""), F.when(F.length(F.coalesce("purpose", F.lit(""))) > 0, F.col("purpose")).otherwise(MISSING)))
     io = model_io(s["tables"])
+    text = lambda no, c: m.select("model_id", *row(no, F.lit("00"), F.lit(""), F.col(c))).filter("value <> ''") if c in m.columns else None
+    listed = lambda no, c: m.select("model_id", F.posexplode(c).alias("p", "v")).select("model_id", *row(no, F.format_string("%04d", F.col("p") + 1), (F.col("p") + 1).cast("string"), F.col("v"))) if c in m.columns else None
+    calcs = s["calculations"].select("model_id", *row(7, F.concat_ws("|", "target", "expression"), F.col("target"), F.col("expression"))) if "calculations" in s else None
     ins = io.filter("direction = 'input'").select("model_id", *row(4, F.col("name"), F.col("name"), F.col("table_id")))
     outs = io.filter("direction = 'output'").select("model_id", *row(8, F.col("name"), F.col("name"), F.col("table_id")))
     names = s["tables"].select("table_id", "name")
@@ -129,7 +133,35 @@ def model_register(s: dict[str, DataFrame]) -> DataFrame:
     conf = m.select("model_id", *row(12, F.lit("00"), F.lit(""), F.concat(F.lit("Overall model confidence: "), "confidence", F.lit("."))))
     listing = m.select("model_id", *row(13, F.lit("00"), F.lit(""), F.when(F.size("source_files") > 0, F.array_join("source_files", ", ")).otherwise(MISSING)))
     full = cover.unionByName(purpose).unionByName(conf).unionByName(listing)
-    for no, part in ((4, ins), (8, outs), (9, edges), (10, rules)):
+    parts = {2: text(2, "executive_summary"), 4: ins, 5: listed(5, "assumptions"), 6: listed(6, "methodology_steps"), 7: calcs, 8: outs, 9: edges, 10: rules, 11: listed(11, "limitations")}
+    for no, part in parts.items():
+        if part is None:
+            full = full.unionByName(m.select("model_id", *row(no, F.lit("00"), F.lit(""), F.lit(MISSING))))
+            continue
         lacking = m.select("model_id").join(part.select("model_id").distinct(), "model_id", "left_anti").select("model_id", *row(no, F.lit("00"), F.lit(""), F.lit(MISSING)))
         full = full.unionByName(part).unionByName(lacking)
     return full
+
+
+def project_summary(s: dict[str, DataFrame], paths: DataFrame) -> DataFrame:
+    """(section, key, value) over all models: the inventory, the lineage ``paths`` from sources to outputs (arrays
+    of table ids) by name, the register, the source systems and the outputs. An empty section has one
+    row saying so."""
+    row = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+    bar = lambda *cols: F.concat_ws(" | ", *[_text(c) for c in cols])
+    steps = paths.select(F.array_join("path", ">").alias("key"), F.posexplode("path").alias("p", "table_id"))
+    named = steps.join(s["tables"].select("table_id", "name"), "table_id", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("name", "table_id").alias("n")))).alias("x"))
+    named = named.select("key", F.array_join(F.transform("x", lambda v: v["n"]), " -> ").alias("value"))
+    parts = [
+        row(s["models"], "Model inventory", F.col("model_id"), bar("label", "language", "status", "confidence", "purpose")),
+        row(named, "Cross-model lineage", F.col("key"), F.col("value")),
+        row(s["dq_rules"], "Data quality register", F.col("rule_id"), bar("element", "dimension", "severity", "status")),
+        row(s["source_systems"], "Source systems", F.col("name"), F.size("tables")),
+        row(s["tables"].filter("role = 'Output'"), "Outputs", F.col("table_id"), F.col("name")),
+    ]
+    sections = ["Model inventory", "Cross-model lineage", "Data quality register", "Source systems", "Outputs"]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    every = s["models"].sparkSession.createDataFrame([(x,) for x in sections], "section string")
+    return out.unionByName(every.join(out.select("section").distinct(), "section", "left_anti").select("section", F.lit("").alias("key"), F.lit(MISSING).alias("value")))

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.ids import path_stem, path_tail
 
 from . import patterns as P
-from .corpus import blank
+from .corpus import PY_PLAIN, blank
 
 
 def _hits(text: Column | str, rx: str, *groups: int) -> Column:
@@ -123,16 +123,19 @@ def python_usages(code: DataFrame, more: list[tuple[str, str, int, int, str]] |
     """Usages of Python scripts. A data frame's table is that of its last read before the use, else the
     script's first read. With two kinds of readers join keys are cross-system joins. Columns assigned
     in a script that writes are output measures of medium confidence, once per element."""
-    bare = code.select("model_id", blank("code", "Python").alias("code"))
+    bare = code.select("model_id", F.col("code").alias("full"), blank("code", "Python").alias("code"))
     bare = bare.withColumn("__kinds", F.size(F.array_distinct(F.regexp_extract_all("code", F.lit(P.PY_READ_KIND), F.lit(1))))).withColumn("__writes", F.col("code").rlike(P.PY_WRITE_KIND))
-    lines = bare.select("model_id", "__kinds", "__writes", F.posexplode(F.split("code", r"\r?\n")).alias("line", "text"))
+    # ``text`` has no strings with quotes in them, ``sums`` none with slashes either, ``whole`` has both
+    cut = lambda c: F.split(c, r"\r?\n")
+    texts = F.arrays_zip(*[cut(c).alias(n) for n, c in (("whole", F.col("code")), *((n, F.regexp_replace("full", rx, "$1")) for n, rx in zip(("text", "sums"), PY_PLAIN, strict=True)))])
+    lines = bare.select("model_id", "__kinds", "__writes", F.posexplode(texts).alias("line", "t")).select("model_id", "__kinds", "__writes", "line", "t.*")
     uses = []
     for kind, rx, col, var, said in [*P.PY_USAGES, *(more or [])]:
-        uses.append(_py_rows(kind, rx, col, var, said))
+        uses.append(_py_rows("sums" if kind == "denominator" else "text", kind, rx, col, var, said))
     measure = F.transform(_hits("text", P.PY_ASSIGN, 1, 2), lambda h: F.struct(F.lit("output_measure").alias("kind"), h["g2"].alias("col"), h["g1"].alias("var"), F.concat(F.lit('df["'), h["g2"], F.lit('"] = ...; df.to_*()')).alias("evidence")))
     uses.append(F.when(F.col("__writes"), measure).otherwise(F.filter(measure, lambda _: F.lit(False))))
     hits = lines.select("model_id", "line", "__kinds", F.explode(F.flatten(F.array(*uses))).alias("u"))
-    reads = lines.select("model_id", "line", F.explode(_hits("text", P.PY_READ, 1, 3)).alias("h")).select("model_id", "line", F.col("h.g1").alias("var"), path_stem("h.g3").alias("bound"))
+    reads = lines.select("model_id", "line", F.explode(_hits("whole", P.PY_READ, 1, 3)).alias("h")).select("model_id", "line", F.col("h.g1").alias("var"), path_stem("h.g3").alias("bound"))
     first = reads.groupBy("model_id").agg(F.min_by("bound", "line").alias("default"))
     # the binding that holds at a use: the last one of its variable at or before its line
     all_rows = hits.select("model_id", "line", "__kinds", F.col("u.var").alias("var"), F.lit(1).alias("use"), F.lit(None).cast("string").alias("bound"), "u").unionByName(
@@ -146,12 +149,15 @@ def python_usages(code: DataFrame, more: list[tuple[str, str, int, int, str]] |
     return out.filter("usage_kind <> 'output_measure'").unionByName(measures)
 
 
-def _py_rows(kind: str, rx: str, col: int, var: int, said: str) -> Column:
+def _py_rows(text: str, kind: str, rx: str, col: int, var: int, said: str) -> Column:
     groups = [col, var] if var else [col]
-    return F.transform(
-        _hits("text", rx, *groups),
-        lambda h: F.struct(F.lit(kind).alias("kind"), h[f"g{col}"].alias("col"), (h[f"g{var}"] if var else F.lit(None).cast("string")).alias("var"), (F.lit(said) if said else F.trim(h["m"])).alias("evidence")),
-    )
+
+    def row(h: Column) -> Column:
+        before, _, after = said.partition("{}")
+        evidence = F.trim(h["m"]) if not said else F.concat(F.lit(before), h[f"g{col}"], F.lit(after)) if "{}" in said else F.lit(said)
+        return F.struct(F.lit(kind).alias("kind"), h[f"g{col}"].alias("col"), (h[f"g{var}"] if var else F.lit(None).cast("string")).alias("var"), evidence.alias("evidence"))
+
+    return F.transform(_hits(text, rx, *groups), row)
 
 
 # --------------------------------------------------------------------------------------------- R
@@ -166,7 +172,7 @@ def _directed(direction: str):
     return lambda n: F.struct(F.lit(direction).alias("direction"), n.alias("name"))
 
 
-def r_usages(code: DataFrame) -> DataFrame:
+def r_usages(code: DataFrame, more: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """Join keys, grouping columns, numeric filters, denominators, and ``$`` columns assigned on a data
     frame that the script writes (medium confidence). Elements are bare column names."""
     both = code.select("model_id", blank("code", "R", strings=False).alias("code"), blank("code", "R").alias("bare"))
@@ -176,8 +182,10 @@ def r_usages(code: DataFrame) -> DataFrame:
     filters = F.flatten(F.transform(F.regexp_extract_all("bare", F.lit(P.R_FILTER), F.lit(1)), lambda f: F.transform(F.regexp_extract_all(f, F.lit(P.R_FILTER_COL), F.lit(1)), lambda c: row("range_filter", c, F.concat(F.lit("filter("), F.trim(f), F.lit(")"))))))
     divisors = F.transform(_hits("bare", P.R_DIVISOR, 1), lambda h: row("denominator", h["g1"], F.trim(h["m"])))
     assigned = F.transform(_hits("bare", P.R_ASSIGN, 1, 2), lambda h: F.struct(F.lit("output_measure").alias("kind"), h["g2"].alias("cols"), F.concat(h["g1"], F.lit("$"), h["g2"], F.lit(" <- ...")).alias("evidence"), F.lit("Medium").alias("conf"), h["g1"].alias("df")))
+    of = lambda kind, conf: lambda h: row(kind, h["g1"], F.trim(h["m"]), conf)
+    further = [F.transform(_hits("bare", rx, 1), of(kind, conf)) for kind, rx, conf in more or []]
     written = F.regexp_extract_all("code", F.lit(P.R_WRITE_DF), F.lit(1))
-    rows = both.select("model_id", written.alias("written"), F.explode(F.concat(joins, groups, filters, divisors, assigned)).alias("u")).filter(F.col("u.df").isNull() | F.array_contains("written", F.col("u.df")))
+    rows = both.select("model_id", written.alias("written"), F.explode(F.concat(joins, groups, filters, divisors, assigned, *further)).alias("u")).filter(F.col("u.df").isNull() | F.array_contains("written", F.col("u.df")))
     split = F.when(F.col("u.kind") == "aggregated", F.split("u.cols", r"[,\s]+")).otherwise(F.array("u.cols"))
     return rows.select("model_id", F.explode(split).alias("element"), F.col("u.kind").alias("usage_kind"), F.col("u.evidence").alias("evidence"), F.col("u.conf").alias("confidence")).filter("element <> ''")
 
@@ -201,10 +209,11 @@ def vba_references(code: DataFrame) -> DataFrame:
     return ins.unionByName(wrote.select("model_id", F.lit("output").alias("direction"), F.col("sheet").alias("name")))
 
 
-def vba_usages(code: DataFrame) -> DataFrame:
-    """Cells that divide or are compared with a number, as ``<sheet>.col<n>``."""
+def vba_usages(code: DataFrame, more: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Cells that divide or are compared with a number, as ``<sheet>.col<n>``. ``more``: further (kind,
+    pattern) rows, whose groups are the sheet's variable and the column number."""
     lines, bound = _vba(code)
-    rows = [_vba_rows(kind, rx) for kind, rx in P.VBA_USAGES]
+    rows = [_vba_rows(kind, rx) for kind, rx in [*P.VBA_USAGES, *(more or [])]]
     hits = lines.select("model_id", F.explode(F.flatten(F.array(*rows))).alias("u")).select("model_id", "u.*").join(bound, ["model_id", "var"], "left")
     return hits.select("model_id", F.concat(F.coalesce("sheet", "var"), F.lit(".col"), "n").alias("element"), F.col("kind").alias("usage_kind"), "evidence", F.lit("High").alias("confidence"))
 
@@ -224,6 +233,8 @@ def scan_references(models: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-def scan_usages(models: DataFrame) -> DataFrame:
-    out = [f(models.filter(F.col("language") == lang)) for lang, f in USAGES.items()]
+def scan_usages(models: DataFrame, more: dict[str, list] | None = None) -> DataFrame:
+    """Usages of ``models(model_id, language, code)``, each by its language's scan; ``more`` gives further
+    patterns by language, in the form that the language's scan takes."""
+    out = [f(models.filter(F.col("language") == lang), (more or {}).get(lang)) for lang, f in USAGES.items()]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])

@@ -112,6 +112,12 @@ def f9_output_measure(spark, d):
     return C.run_scalar(table(spark, d, "lineitem").withColumn("zero", F.lit(0.0)), [C.output_measure("lineitem", "l_extendedprice"), C.output_measure("lineitem", "zero")])
 
 
+@query("SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority NOT LIKE '1%' GROUP BY 1")
+def f8_offending_priorities(spark, d):
+    o = table(spark, d, "orders")
+    return C.offending_values(o, "o_orderpriority", o.filter("o_orderpriority like '1%'"), "o_orderpriority")
+
+
 @query("SELECT event_type, max(ts) AS last, CAST(floor(epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', max(ts)))) AS BIGINT) AS lag_seconds, floor(epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', max(ts)))) <= 90000 AS passed FROM events GROUP BY event_type")
 def f10_freshness(spark, d):
     return C.freshness(table(spark, d, "events"), "ts", "2024-01-31 00:00:00", 90_000, "event_type")
@@ -289,3 +295,80 @@ def w4_aggregate(spark, d):
 def w4_validate(spark, d):
     a = W.aggregate(W.score(W.features(_accounts(spark, d))), "segment_id")
     return W.validate(a, "segment_id")
+
+
+_HEAVY = f"WITH {_ACC}, z AS (SELECT CAST(k % 6 AS INTEGER) AS segment_id, CASE WHEN k % 6 = 5 THEN -ead ELSE ead END AS ead, pd, lgd, CASE WHEN k % 6 < 2 THEN 1000 * pd * lgd * ead ELSE pd * lgd * ead END AS el FROM sc)"
+_HEAVY += ", g AS (SELECT segment_id, sum(ead) AS ead, sum(el) / greatest(sum(ead), 1.0) AS rate FROM z GROUP BY 1)"
+
+
+@query(_HEAVY + " SELECT segment_id, 'Loss rate exceeds 100 percent' AS issue FROM g WHERE rate > 1 UNION ALL SELECT segment_id, 'EAD must be positive' FROM g WHERE ead <= 0")
+def w4_validate_issues(spark, d):
+    """Losses of two segments made large and the exposures of one negative."""
+    k = F.col("segment_id")
+    s = W.score(W.features(_accounts(spark, d)))
+    s = s.withColumn("expected_loss", F.when(k < 2, F.col("expected_loss") * 1000).otherwise(F.col("expected_loss"))).withColumn("ead", F.when(k == 5, -F.col("ead")).otherwise(F.col("ead")))
+    return W.validate(W.aggregate(s, "segment_id"), "segment_id")
+
+
+@query("""
+WITH i AS (SELECT unnest(range(1, (SELECT count(*) FROM customer) + 1)) AS i)
+SELECT 100000 + i AS account_id, CAST(i % 6 AS INTEGER) AS segment_id, 25000.0 + i * 417.25 AS balance, round((i % 95) / 100.0, 6) AS utilization, 550.0 + i % 250 AS fico_or_rating, 18000.0 + i * 250.0 AS collateral_value,
+  round(0.045 + i % 8 * 0.004, 6) AS macro_unemployment, round(-0.025 + i % 9 * 0.006, 6) AS macro_gdp_shock, CAST(3 + i % 96 AS INTEGER) AS months_on_book, round(0.035 + i % 10 * 0.002, 6) AS rate
+FROM i
+""")
+def w1_accounts(spark, d):
+    """As many accounts as there are customers."""
+    a = W.accounts(spark, table(spark, d, "customer").count())
+    return a.withColumns({c: F.round(c, 6) for c in ("utilization", "macro_unemployment", "macro_gdp_shock", "rate")})
+
+
+@query("""
+WITH w AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, event_type, value, ts, max(ts) OVER () AS top FROM events)
+SELECT make_timestamp(h * 3600000000) AS window_start, event_type, count(*) AS events, count(*) FILTER (value IS NULL) AS null_values, max(ts) AS last_ts FROM w GROUP BY h, event_type, top HAVING make_timestamp((h + 1) * 3600000000) <= top - INTERVAL 2 HOUR
+""")
+def j3_event_windows_late(spark, d):
+    """Streamed in append mode: windows come out once the watermark has passed them. Copies of all events a month
+    late arrive after the watermark and are dropped; what is behind it stays in the state."""
+    e = table(spark, d, "events")
+    path = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    late = e.withColumn("ts", F.col("ts") - F.expr("interval 30 days"))
+    for rows in (e, late):  # the second run goes on from the first one's checkpoint
+        rows.write.mode("append").parquet(f"{path}/in")
+        J.run_available(J.event_windows(spark.readStream.schema(e.schema).parquet(f"{path}/in")), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT c_custkey * 10 + 1 AS seq, CAST(c_custkey AS VARCHAR) AS target, 'role' AS field, 'Output' AS new FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 1")
+def h7_override_log(spark, d):
+    """Overrides of three runs appended in two writes, those of one run read back."""
+    from tidemark.operators import runs as H
+
+    path = f"{shared_dir(spark)}/overrides-{uuid.uuid4().hex}"
+    c = table(spark, d, "customer").select(F.concat(F.lit("r"), (F.col("c_custkey") % 3).cast("string")).alias("run_id"), (F.col("c_custkey") * 10 + 1).alias("seq"), F.col("c_custkey").cast("string").alias("target"), F.lit("role").alias("field"), F.lit("Output").alias("new"))
+    H.log_overrides(c.filter("seq % 20 = 1 and target % 4 = 0"), path)
+    H.log_overrides(c.filter("seq % 20 = 1 and target % 4 = 2"), path)
+    return H.read_overrides(spark, path, "r1").select("seq", "target", "field", "new")
+
+
+def _relations(spark, d):
+    """A cross-system rule with its comparison, one without, and a proposed relation between two tables."""
+    catalog = {t: table(spark, d, t) for t in ("orders", "lineitem")}
+    uses = spark.createDataFrame([("orders.o_orderkey", "cross_system_join", "", "m1", 0), ("lineitem.l_orderkey", "cross_system_join", "", "m1", 1)], "element string, usage_kind string, evidence string, model_id string, ord int")
+    said = "Ships after the order"
+    proposals = spark.createDataFrame([("lineitem.l_shipdate", "Consistency", said, "High", "", ["orders.o_orderdate"], 0)], "element string, dimension string, rule_statement string, severity string, rationale string, related_elements array<string>, ord int")
+    params = {
+        "orders.o_orderkey": {"cross_system": ("lineitem", "l_orderkey", "o_totalprice", "l_extendedprice", 50_000)}, "lineitem.l_orderkey": {"references": ("orders", "o_orderkey")},
+        "lineitem.l_shipdate": {"relations": {said: ("orders", "l_orderkey", "o_orderkey", "l_shipdate >= o_orderdate")}},
+    }
+    return run_register(catalog, uses, params, proposals)
+
+
+@query("""
+WITH a AS (SELECT o_orderkey AS k, sum(o_totalprice) AS x FROM orders GROUP BY 1), b AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS y FROM lineitem GROUP BY 1)
+SELECT 'orders.o_orderkey' AS element, 'Cross-system consistency' AS rule_statement, count(*) AS "rows", count(*) FILTER (a.k IS NULL OR b.k IS NULL OR abs(x - y) > 50000) AS violations, CASE WHEN count(*) FILTER (a.k IS NULL OR b.k IS NULL OR abs(x - y) > 50000) = 0 THEN 'passed' ELSE 'failed' END AS outcome FROM a FULL JOIN b ON a.k = b.k
+UNION ALL SELECT 'lineitem.l_orderkey', 'Cross-system consistency', NULL, NULL, 'skipped'
+UNION ALL SELECT 'lineitem.l_shipdate', 'Ships after the order', count(*), count(*) FILTER (NOT (l_shipdate >= o_orderdate)), CASE WHEN count(*) FILTER (NOT (l_shipdate >= o_orderdate)) = 0 THEN 'passed' ELSE 'failed' END FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+""")
+def f16_register_relations(spark, d):
+    r = _relations(spark, d)
+    return r.filter(F.col("rule_statement").isin("Cross-system consistency", "Ships after the order")).select("element", "rule_statement", "rows", "violations", "outcome")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ids
 from tidemark.operators import corpus as C
+from tidemark.operators import lineage as L
 from tidemark.operators import scan as S
 from tidemark.sources import extractions as X
 
@@ -106,6 +107,21 @@ def a8_chunk(spark, d):
     return c.groupBy("doc_id").agg(F.sha2(whole, 256).alias("text_sha256"), fits.alias("within"))
 
 
+@query("""
+WITH RECURSIVE s AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) || CASE WHEN generate_subscripts(x, 1) < len(x) THEN '. ' ELSE '' END AS seg FROM (SELECT doc_id, string_split(text, '. ') AS x FROM documents)),
+t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, greatest(1, length(seg) // 4) AS n FROM s WHERE seg <> ''),
+w AS (SELECT doc_id, i, n AS used, 0 AS chunk_no FROM t WHERE i = 1
+  UNION ALL SELECT t.doc_id, t.i, CASE WHEN w.used + t.n <= 120 THEN w.used + t.n ELSE t.n END, CASE WHEN w.used + t.n <= 120 THEN w.chunk_no ELSE w.chunk_no + 1 END FROM w JOIN t ON t.doc_id = w.doc_id AND t.i = w.i + 1)
+SELECT doc_id, chunk_no, count(*) AS segments, CAST(max(used) AS BIGINT) AS tokens FROM w GROUP BY doc_id, chunk_no
+""")
+def a8_chunk_boundaries(spark, d):
+    """Which sentences each chunk of 120 tokens holds; empty texts have no sentence."""
+    c = C.chunk(table(spark, d, "documents").select("doc_id", "text").filter("text <> ''"), "text", r"(?<=\. )", 120)
+    segs = F.filter(C.segments("chunk", r"(?<=\. )"), lambda x: x != "")
+    size = F.transform(segs, lambda x: F.greatest(F.lit(1), F.floor(F.length(x) / 4).cast("int")))
+    return c.select("doc_id", "chunk_no", F.size(segs).cast("long").alias("segments"), F.aggregate(size, F.lit(0).cast("long"), lambda t, n: t + n).alias("tokens"))
+
+
 @query(f"WITH {_P} SELECT k, [3, 1, 1, 1][l + 1] AS n_segments FROM p")
 def a9_split_points(spark, d):
     s = scripts(spark, d)
@@ -120,6 +136,19 @@ def a10_blank_comments(spark, d):
     return s.select("k", bare.contains("fake.t").alias("has_comment"), (~bare.contains("/in")).alias("string_gone"))
 
 
+@query("""
+SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'a = "x # y ' || p_brand || '" + b  ' WHEN 1 THEN 'x <- f(a) ' ELSE 'x = y / z ' END AS bare FROM part
+""")
+def a10_blank_other_languages(spark, d):
+    """Comments go, signs of comments inside Python strings stay; R loses its strings, too."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").select(k.alias("k"), "p_brand")
+    py = F.concat(F.lit('a = "x # y '), "p_brand", F.lit('" + b  # c = "d"'))
+    r, vba = F.concat(F.lit("x <- f(a) # g('"), "p_brand", F.lit("')")), F.concat(F.lit("x = y / z ' "), "p_brand")
+    bare = F.when(F.col("k") % 3 == 0, C.blank(py, "Python")).when(F.col("k") % 3 == 1, C.blank(r, "R")).otherwise(C.blank(vba, "VBA"))
+    return p.select("k", bare.alias("bare"))
+
+
 _RED = [("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED:email]"), ("ssn", r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED:ssn]"), ("account", r"(?i)\b(?:acct|account|card|cc)\w*[#:= _\-,.]*[0-9]{12,19}\b", "[REDACTED:account]"), ("aws", r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED:aws_access_key]"), ("secret", r"\bsk-(?:ant-)?[A-Za-z0-9_\-]{16,}\b", "[REDACTED:secret]")]
 _expr = "text"
 for _, _rx, _to in _RED:
@@ -149,6 +178,14 @@ def a13_estimate(spark, d):
     return C.estimate_models(table(spark, d, "documents"), "doc_id", "text").drop("est_cost")
 
 
+@query("""
+WITH m AS (SELECT doc_id, greatest(1, length(text) // 4) + 450 AS i FROM documents), n AS (SELECT doc_id, i, CAST(floor(i * CAST(0.35 AS DOUBLE)) AS BIGINT) AS o FROM m)
+SELECT doc_id AS label, round(CAST(sum(i) AS DOUBLE) / 1000 * CAST(0.003 AS DOUBLE) + CAST(sum(o) AS DOUBLE) / 1000 * CAST(0.015 AS DOUBLE), 4) AS est_cost FROM n GROUP BY ROLLUP (doc_id)
+""")
+def a13_estimate_cost(spark, d):
+    return C.estimate_models(table(spark, d, "documents"), "doc_id", "text").select("label", "est_cost")
+
+
 @query("SELECT doc_id, sha1('summarise' || chr(0) || text) AS request_hash, length(text) AS n FROM documents")
 def a14_reuse_by_hash(spark, d):
     q = table(spark, d, "documents").select("doc_id", F.lit("summarise").alias("system"), F.col("text").alias("user"))
@@ -178,6 +215,37 @@ def a15_parse_extractions(spark, d):
     return good.select("o_orderkey", "purpose", F.size("input_tables").alias("n_tables"), said.alias("lineage"))
 
 
+@query("""
+WITH o AS (SELECT o_custkey AS m, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT m AS model_id, arg_min(p, k) AS executive_summary, CAST(count(DISTINCT s) + 1 AS BIGINT) AS n_assumptions, string_agg('s' || k, ',' ORDER BY k) AS steps, 2 * count(*) AS n_transformations,
+  count(DISTINCT s) AS n_calculations, count(DISTINCT s) AS n_tables, count(DISTINCT (s, left(p, 1))) AS n_columns, CASE WHEN count(*) = 1 THEN 1 ELSE count(DISTINCT s) END AS n_lineage
+FROM o GROUP BY m
+""")
+def a15_d1_read_and_merge(spark, d):
+    """Raw replies, one an order, read and merged to one extraction a customer; every seventh cannot be read."""
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    q = lambda *x: F.concat(F.lit('"'), *x, F.lit('"'))
+    raw = F.concat(
+        F.lit('{"executive_summary": '), q("o_orderpriority"), F.lit(', "assumptions": ['), q(s), F.lit(', "common"], "methodology_steps": '), q(F.lit("s"), k.cast("string")), F.lit(', "limitations": null, "transformations": ['), q(s), F.lit(', "u"]'),
+        F.lit(', "calculations": [{"target": '), q(F.lit("a."), s), F.lit(', "expression": "x + 1"}, {"target": "none"}], "input_tables": {'), q(F.lit("t_"), s), F.lit(": ["), q(F.substring("o_orderpriority", 1, 1)), F.lit(']}, "lineage_rows": '), q(F.lit("a."), s, F.lit(" -> b.x")), F.when(k % 7 == 0, F.lit("")).otherwise(F.lit("}")),
+    )
+    good, _ = X.parse_extractions(table(spark, d, "orders").select(F.col("o_custkey").alias("model_id"), k.alias("chunk_no"), raw.alias("raw")))
+    m = L.merge_extractions(good)
+    t = m["tables"].groupBy("model_id").agg(F.count("*").alias("n_tables"), F.sum(F.size("columns")).cast("long").alias("n_columns"))
+    n = lambda kind, c: m[kind].groupBy("model_id").agg(F.count("*").alias(c))
+    size = lambda c: F.size(c).cast("long")
+    own = m["scalars"].select("model_id", "executive_summary", size("assumptions").alias("n_assumptions"), F.array_join("methodology_steps", ",").alias("steps"), size("transformations").alias("n_transformations"))
+    return own.join(n("calculations", "n_calculations"), "model_id").join(t, "model_id").join(n("lineage", "n_lineage"), "model_id")
+
+
+@query("SELECT o_custkey AS model_id, 'error' AS severity, count(*) || ' reply(s) could not be read' AS message FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey")
+def a15_issues(spark, d):
+    """Replies in quarantine become issues of their models."""
+    raw = F.when(F.col("o_orderkey") % 7 == 0, F.lit("[1")).otherwise(F.lit("{}"))
+    _, bad = X.parse_extractions(table(spark, d, "orders").select(F.col("o_custkey").alias("model_id"), raw.alias("raw")))
+    return X.extraction_issues(bad)
+
+
 @query("""
 SELECT o_custkey AS model_id, count(*) FILTER (o_orderstatus <> 'P') AS ok, count(*) FILTER (o_orderstatus = 'P') AS bad,
   CASE WHEN count(*) FILTER (o_orderstatus <> 'P') = 0 THEN 'Failed' WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'Partial' ELSE 'Analyzed' END AS status,
@@ -256,3 +324,59 @@ def c_scan_usages(spark, d):
 @query(f"WITH {_P} SELECT model_id, 'raw' AS alias, '/in' AS system FROM p WHERE l = 0")
 def c3_libnames(spark, d):
     return S.sas_libnames(scripts(spark, d).filter("language = 'SAS'"))
+
+
+# Scripts whose statements depend on the customer: each bit of the key puts one in.
+_SAS_BITS = [" where {c} between 1 and 9;", " x = datepart({c}_d);", " y = input({c}_t, 8.);", " if {c}_s in (1, 2);", " r = a / {c};", " z = 1; keep z;"]
+_PY_BITS = [
+    "a = df[df['{c}'].between(1, 9)]", "df['d'] = pd.to_datetime(df['{c}_d'])  # df['no'] / df['no']", "t = df['{c}_t'].astype(int)", "s = df['{c}_s'].isin([1, 2]) & ('x / df' != '#')", "r = 1 / df['{c}']", "m = df.merge(o, on='{c}_k')",
+    "df = pd.read_parquet('in/late_{n}.parquet')\nq = df['{c}_q'].isin([3])",
+]
+
+
+def _bits(spark: SparkSession, d: str) -> DataFrame:
+    """(model_id, language, code): a SAS, a Python and an R script for each customer."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("n"), "c_nationkey").alias("n"), F.lower(F.substring("c_mktsegment", 1, 3)).alias("c"))
+    filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("{c}"), F.col("c")), F.lit("{n}"), F.col("n"))
+    some = lambda parts: F.array_join(F.filter(F.array(*[F.when(F.shiftright("k", i) % 2 == 1, filled(t)) for i, t in enumerate(parts)]), lambda x: x.isNotNull()), "\n")
+    libs = F.when(F.col("k") % 2 == 0, F.lit("libname p '/p'; libname q '/q';\n")).otherwise(F.lit("libname p '/p';\n"))
+    sas = F.concat(libs, filled("data out.{n};\n merge p.{n} (in=f) q.{n}_b; by {c}_id;\n"), some(_SAS_BITS), filled("\nrun;\nproc sql; create table w.{n} as select * from p.{n} inner join q.t on a.{c} = b.{c} group by {c}, seg order by zz; quit;\n"))
+    py = F.concat(filled("import pandas as pd\ndf = pd.read_csv('data/raw/{n}.csv')\n"), some(_PY_BITS), F.lit("\n"))
+    r = filled('d <- inner_join(read_csv("in/{n}.csv"), e, by = "{c}_k") # merge(x, y, by = "no")\n')
+    made = F.explode(F.array(*[F.struct(F.lit(lang).alias("language"), code.alias("code")) for lang, code in (("SAS", sas), ("Python", py), ("R", r))])).alias("x")
+    return c.select("k", made).select(F.concat(F.substring("x.language", 1, 1), F.col("k").cast("string")).alias("model_id"), "x.language", "x.code")
+
+
+def _bit(i: int) -> str:
+    return f"(k >> {i}) % 2 = 1"
+
+
+_CB = "b AS (SELECT c_custkey AS k, 'n' || c_nationkey AS n, lower(left(c_mktsegment, 3)) AS c FROM customer)"
+_SAS_KINDS = [("c", "time_window"), ("c || '_d'", "date_parse"), ("c || '_t'", "type_cast"), ("c || '_s'", "equality_set"), ("c", "denominator"), ("'z'", "output_measure")]
+_PY_KINDS = [("c", "time_window", ".between(...)"), ("c || '_d'", "date_parse", "to_datetime(...)"), ("c || '_t'", "type_cast", ".astype(...)"), ("c || '_s'", "equality_set", ".isin([...])"), ("c", "denominator", "x / <col>")]
+_SAS_ROWS = [f"SELECT 'S' || k AS model_id, 'p.' || n || '.' || {col} AS element, '{kind}' AS usage_kind, CASE '{kind}' WHEN 'output_measure' THEN 'z = ... ; keep z' END AS evidence FROM b WHERE {_bit(i)}" for i, (col, kind) in enumerate(_SAS_KINDS)]
+_SAS_ROWS += [
+    "SELECT 'S' || k, 'p.' || n || '.' || c || '_id', 'join_key', NULL FROM b",
+    "SELECT 'S' || k, 'p.' || n || '.' || c, CASE WHEN k % 2 = 0 THEN 'cross_system_join' ELSE 'join_key' END, NULL FROM b",
+    "SELECT 'S' || k, 'p.' || n || '.' || unnest([c, 'seg']), 'aggregated', NULL FROM b",
+]
+_PY_ROWS = [f"SELECT 'P' || k, n || '.' || {col}, '{kind}', '{said}' FROM b WHERE {_bit(i)}" for i, (col, kind, said) in enumerate(_PY_KINDS)]
+_PY_ROWS += [
+    f"SELECT 'P' || k, n || '.' || c || '_k', CASE WHEN {_bit(6)} THEN 'cross_system_join' ELSE 'join_key' END, '.merge(on=' || chr(39) || c || '_k' || chr(39) || ')' FROM b WHERE {_bit(5)}",
+    f"SELECT 'P' || k, 'late_' || n || '.' || c || '_q', 'equality_set', '.isin([...])' FROM b WHERE {_bit(6)}",
+]
+
+
+@query(f"WITH {_CB} " + " UNION ALL ".join([*_SAS_ROWS, *_PY_ROWS, "SELECT 'R' || k, c || '_k', 'join_key', 'by = \"' || c || '_k\"' FROM b"]))
+def c_scan_usage_kinds(spark, d):
+    """All kinds of usages in SAS and Python, and joins in R, over scripts that differ by customer: MERGE before
+    FROM, libraries that make a join cross systems, a rebound data frame, signs of comments in strings."""
+    u = S.scan_usages(_bits(spark, d))
+    told = (F.col("usage_kind") == "output_measure") | ~F.col("model_id").startswith("S")
+    return u.select("model_id", "element", "usage_kind", F.when(told, F.col("evidence")).alias("evidence"))
+
+
+@query(f"""WITH {_CB} SELECT 'S' || k AS model_id, 'input' AS direction, unnest(['p.' || n, 'q.' || n || '_b']) AS name FROM b UNION ALL SELECT 'S' || k, 'output', unnest(['out.' || n, 'w.' || n]) FROM b
+UNION ALL SELECT 'P' || k, 'input', 'data/raw/' || n || '.csv' FROM b UNION ALL SELECT 'P' || k, 'input', 'in/late_' || n || '.parquet' FROM b WHERE {_bit(6)} UNION ALL SELECT 'R' || k, 'input', n || '.csv' FROM b""")
+def c_scan_more_references(spark, d):
+    return S.scan_references(_bits(spark, d))

@@ -446,3 +446,69 @@ def i4_openlineage(spark, d):
 def i5_model_register(spark, d):
     r = P.model_register(S.state(spark, d))
     return r.filter("section_no in (1, 4, 9, 10)").groupBy("section_no").agg(F.count("*").alias("n"))
+
+
+_PM = "pm AS (SELECT canon, direction, model_id, min(ord) AS o FROM refs GROUP BY canon, direction, model_id), pl AS (SELECT canon, string_agg(model_id, ', ' ORDER BY o, model_id) FILTER (direction = 'output') AS made, string_agg(model_id, ', ' ORDER BY o, model_id) FILTER (direction = 'input') AS used FROM pm GROUP BY canon)"
+
+
+@query(f"""WITH {_PM} SELECT table_id AS "Table ID", name AS "Table name", role AS "Role", coalesce(source_system, '') AS "Source system", coalesce(made, '') AS "Produced by model(s)", coalesce(used, '') AS "Consumed by model(s)", '' AS "Grain", source AS "Source" FROM tabs JOIN pl ON canon = name""")
+def i1_tables(spark, d):
+    return P.report_tables(S.state(spark, d))["Tables"]
+
+
+@query("""SELECT table_id AS "Table ID", name AS "Column name", '' AS "Inferred type", 'Measure' AS "Role", '' AS "Used in", 'E' AS "Source" FROM cols""")
+def i1_columns(spark, d):
+    return P.report_tables(S.state(spark, d))["Columns"]
+
+
+@query("""SELECT edge_id AS "Edge ID", source_table_id AS "Source table ID", target_table_id AS "Target table ID", model_id AS "Model ID", 'derive' AS "Transformation type", '' AS "Notes", source AS "Source", CASE source WHEN 'E' THEN 'High' ELSE 'Low' END AS "Confidence" FROM edges""")
+def i1_table_lineage(spark, d):
+    return P.report_tables(S.state(spark, d))["Table Lineage"]
+
+
+_RULES = "rr AS (SELECT element, dimension, rule_statement, 0 AS stage, 0 AS ord, '' AS code_evidence, 'baseline data-element expectation' AS rationale, CASE dimension WHEN 'Uniqueness' THEN 'High' ELSE 'Medium' END AS severity FROM bb UNION ALL SELECT element, dimension, rule_statement, 1, ord, evidence, 'element used as ' || usage_kind, severity FROM u)"
+
+
+@query(f"""WITH {_U}, {_B}, {_RULES} SELECT {_RID} AS "Rule ID", element AS "Table.column", dimension AS "DQ dimension", rule_statement AS "Rule", arg_min(rationale, stage * 1000000000 + ord) AS "Rationale / usage", arg_min(code_evidence, stage * 1000000000 + ord) AS "Code evidence", arg_min(severity, stage * 1000000000 + ord) AS "Suggested severity", 'H' AS "Source", 'Proposed' AS "Status" FROM rr GROUP BY element, dimension, rule_statement""")
+def i1_rules(spark, d):
+    return P.report_tables(S.state(spark, d))["Data Quality Rules"]
+
+
+_MODELS = "mm AS (SELECT model_id, c_name AS label, 'SAS' AS language, cm.c_custkey AS ord FROM cm JOIN customer USING (c_custkey) UNION ALL SELECT " + S.MID.format(label="'nation ' || n_name", file="n_name || '.py'") + ", 'nation ' || n_name, 'Python', n_nationkey + 1000000000 FROM nation)"
+
+
+@query(f"""WITH {_MODELS} SELECT model_id AS "Model ID", 'error' AS "Severity", 'part of ' || label || ' failed' AS "Message" FROM mm WHERE ord % 7 = 0""")
+def i1_issues(spark, d):
+    return P.report_tables(S.state(spark, d))["Issues & Confidence Log"]
+
+
+def _documented(spark, d) -> dict[str, DataFrame]:
+    """The state with texts for some models: a summary, assumptions, steps and limitations."""
+    s = S.state(spark, d)
+    some = lambda n, *x: F.when(F.col("ord") % n == 0, F.array(*[F.lit(v) for v in x])).otherwise(F.array().cast("array<string>"))
+    s["models"] = s["models"].withColumns({"executive_summary": F.when(F.col("ord") % 2 == 0, F.concat(F.lit("sums up "), "label")).otherwise(""), "assumptions": some(3, "a", "b"), "methodology_steps": some(4, "one", "two", "three"), "limitations": some(5, "l")})
+    return s
+
+
+@query(f"""WITH {_MODELS}, c AS (SELECT model_id, 2 AS n FROM cm WHERE c_custkey % 4 = 0), x AS (
+SELECT model_id, 2 AS no, CASE WHEN ord % 2 = 0 THEN 'sums up ' || label ELSE 'Not identified from code' END AS value FROM mm UNION ALL SELECT model_id, 5, unnest(CASE WHEN ord % 3 = 0 THEN ['a', 'b'] ELSE ['Not identified from code'] END) FROM mm
+UNION ALL SELECT model_id, 6, unnest(CASE WHEN ord % 4 = 0 THEN ['one', 'two', 'three'] ELSE ['Not identified from code'] END) FROM mm UNION ALL SELECT model_id, 11, unnest(CASE WHEN ord % 5 = 0 THEN ['l'] ELSE ['Not identified from code'] END) FROM mm
+UNION ALL SELECT model_id, 7, unnest(CASE WHEN model_id IN (SELECT model_id FROM c) THEN ['sum(o_totalprice)', 'sum(o_totalprice) * 1.0'] ELSE ['Not identified from code'] END) FROM mm
+UNION ALL SELECT model_id, 3, CASE WHEN ord % 10 = 3 THEN 'Not identified from code' ELSE 'reviews ' || label END FROM mm) SELECT model_id, no AS section_no, value FROM x""")
+def i5_register_texts(spark, d):
+    """Summary, purpose, assumptions, methodology, calculations and limitations of every model."""
+    return P.model_register(_documented(spark, d)).filter("section_no in (2, 3, 5, 6, 7, 11)").select("model_id", "section_no", "value")
+
+
+@query(f"""WITH {_MODELS}, {_U}, {_B} SELECT 'Model inventory' AS section, model_id AS key, label || ' | ' || language || ' | ' || CASE WHEN ord % 7 = 0 THEN 'Partial | Low' ELSE 'Analyzed | High' END || ' | ' || CASE WHEN ord % 10 = 3 THEN '' ELSE 'reviews ' || label END AS value FROM mm
+UNION ALL SELECT 'Outputs', table_id, name FROM tabs WHERE role = 'Output' UNION ALL SELECT 'Source systems', source_system, CAST(count(*) AS VARCHAR) FROM tabs WHERE source_system IS NOT NULL GROUP BY source_system
+UNION ALL SELECT 'Data quality register', CAST(NULL AS VARCHAR), CAST(count(*) AS VARCHAR) FROM (SELECT element, dimension, rule_statement FROM bb UNION SELECT element, dimension, rule_statement FROM u)
+UNION ALL SELECT 'Cross-model lineage', 'chain', string_agg(name, ' -> ' ORDER BY name) FROM (SELECT name FROM tabs WHERE role = 'Source' ORDER BY name LIMIT 2)""")
+def i5_project_summary(spark, d):
+    """The summary over all models; the register's rows are counted, and one made-up path is named."""
+    s = _documented(spark, d)
+    path = s["tables"].filter("role = 'Source'").orderBy("name").limit(2).agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "table_id"))), lambda x: x["table_id"]).alias("path"))
+    p = P.project_summary(s, path)
+    rules = p.filter("section = 'Data quality register'").agg(F.lit("Data quality register").alias("section"), F.lit(None).cast("string").alias("key"), F.count("*").cast("string").alias("value"))
+    chain = p.filter("section = 'Cross-model lineage'").withColumn("key", F.lit("chain"))
+    return p.filter("section not in ('Data quality register', 'Cross-model lineage')").unionByName(rules).unionByName(chain)

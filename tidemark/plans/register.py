@@ -30,14 +30,18 @@ def catalog_tables(catalog: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "table_id string, name string, role string, produced_by array<string>, consumed_by array<string>")
 
 
-def run_register(catalog: dict[str, DataFrame], usages: DataFrame, params: dict[str, dict] | None = None) -> DataFrame:
+def run_register(catalog: dict[str, DataFrame], usages: DataFrame, params: dict[str, dict] | None = None, proposals: DataFrame | None = None) -> DataFrame:
     """Rules of ``catalog`` and ``usages``, run: (rule_id, element, dimension, severity, rule_statement,
     rows, violations, pass_rate, outcome). Outcomes are passed, failed and skipped (no such column, or no
     bound to check against). ``params`` gives, per element, ``range``, ``allowed``, ``type``,
-    ``references`` (table, column), ``grain`` (list of columns) or ``as_of`` and ``max_lag``."""
+    ``references`` (table, column), ``grain`` (list of columns), ``as_of`` and ``max_lag``, ``cross_system``
+    (other table, its key, own value, other value, tolerance), or ``relations``: for the statement of a rule in
+    ``proposals``, which are merged into the register, (other table, own key, other key, SQL condition)."""
     params = params or {}
     spark = usages.sparkSession
     register = R.register(usages, catalog_tables(catalog), catalog_columns(catalog))
+    if proposals is not None:
+        register = R.merge_proposals(register, proposals)
     results: list[DataFrame] = []
     # The catalog and its rules are metadata: their number is that of columns, not of rows.
     rules = register.select("element", "dimension", "rule_statement").collect()
@@ -69,6 +73,16 @@ def run_register(catalog: dict[str, DataFrame], usages: DataFrame, params: dict[
             one = C.castable(table, col, p["type"])
         elif st == "Non-null; not all-zero/all-null" and isinstance(kind, T.NumericType):
             one = C.output_measure(table, col)
+        elif st in p.get("relations", {}):
+            other, key_own, key_other, holds = p["relations"][st]
+            named = catalog[other].select(*[F.col(c).alias(f"{other}__{c}" if c in df.columns else c) for c in catalog[other].columns])
+            joined = df.join(named, F.col(key_own) == F.col(f"{other}__{key_other}" if key_other in df.columns else key_other))
+            many = C.run_scalar(joined, [C.expression(r["element"], st, F.expr(holds))])
+        elif st == "Cross-system consistency":
+            if "cross_system" in p:
+                other, key_other, own_value, other_value, tolerance = p["cross_system"]
+                both = C.cross_system(df.groupBy(F.col(col).alias("k")).agg(F.sum(own_value).alias("x")), catalog[other].groupBy(F.col(key_other).alias("k")).agg(F.sum(other_value).alias("y")), "k", "x", "y", tolerance)
+                many = both.agg(F.count("*").alias("rows"), F.count_if(F.col("outcome") != "match").alias("violations"))
         elif r["dimension"] == "Uniqueness":
             many = C.unique(df, table, [col])
         elif r["dimension"] == "Consistency" and "references" in p:

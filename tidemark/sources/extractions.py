@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TABLES = "array<struct<name:string,columns:array<string>>>"
+_CALCS = "array<struct<target:string,expression:string>>"
 _ROWS = "array<struct<source_element:string,target_element:string,transformation_type:string>>"
 
 
@@ -59,12 +60,38 @@ def lineage_rows(v: Column) -> Column:
     return F.when(k == "ARRAY", listed).when(k.isin("STRING", "OBJECT"), one).otherwise(F.array().cast(_ROWS))
 
 
+def texts(v: Column) -> Column:
+    """A list of strings; a single string is a list of one, anything else none."""
+    k = _kind(v)
+    return F.when(k == "ARRAY", F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string")), lambda x: x.isNotNull())).when(k == "STRING", F.array(F.try_variant_get(v, "$", "string"))).otherwise(F.array().cast("array<string>"))
+
+
+def calculations(v: Column) -> Column:
+    """A list of objects with ``target`` and ``expression``, or one; objects that lack either are left out."""
+    k = _kind(v)
+    one = lambda x: F.struct(F.try_variant_get(x, "$.target", "string").alias("target"), F.try_variant_get(x, "$.expression", "string").alias("expression"))
+    every = F.when(k == "ARRAY", F.transform(F.try_variant_get(v, "$", "array<variant>"), one)).when(k == "OBJECT", F.array(one(v))).otherwise(F.array().cast(_CALCS))
+    return F.filter(every, lambda c: c["target"].isNotNull() & c["expression"].isNotNull())
+
+
 def parse_extractions(raw: DataFrame, raw_col: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """Rows whose JSON is an object, with ``purpose``, ``input_tables``, ``output_tables`` and
-    ``lineage_rows``; and the others (quarantine) with the reason."""
+    """Rows whose JSON is an object, with ``purpose``, ``executive_summary``, ``assumptions``,
+    ``methodology_steps``, ``limitations``, ``transformations``, ``input_tables``, ``output_tables``,
+    ``calculations`` and ``lineage_rows``, which ``merge_extractions`` takes; and the others (quarantine) with
+    the reason."""
     v = raw.withColumn("__v", F.try_parse_json(raw_col))
     ok = F.col("__v").isNotNull() & F.coalesce(_kind(F.col("__v")) == "OBJECT", F.lit(False))
     get = lambda n: F.try_variant_get("__v", f"$.{n}", "variant")
-    good = v.filter(ok).select(*raw.columns, F.coalesce(F.try_variant_get("__v", "$.purpose", "string"), F.lit("")).alias("purpose"), tables(get("input_tables")).alias("input_tables"), tables(get("output_tables")).alias("output_tables"), lineage_rows(get("lineage_rows")).alias("lineage_rows"))
+    text = lambda n: F.coalesce(F.try_variant_get("__v", f"$.{n}", "string"), F.lit("")).alias(n)
+    good = v.filter(ok).select(
+        *raw.columns, text("purpose"), text("executive_summary"), *[texts(get(n)).alias(n) for n in ("assumptions", "methodology_steps", "limitations", "transformations")],
+        tables(get("input_tables")).alias("input_tables"), tables(get("output_tables")).alias("output_tables"), calculations(get("calculations")).alias("calculations"), lineage_rows(get("lineage_rows")).alias("lineage_rows"),
+    )
     bad = v.filter(~ok).select(*raw.columns, F.when(F.col("__v").isNull(), "not valid JSON").otherwise("not an object").alias("reason"))
     return good, bad
+
+
+def extraction_issues(bad: DataFrame, model_col: str = "model_id") -> DataFrame:
+    """(model_id, severity, message): an error for each model with replies in quarantine."""
+    by = bad.groupBy(F.col(model_col).alias("model_id")).agg(F.count("*").alias("n"))
+    return by.select("model_id", F.lit("error").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" reply(s) could not be read")).alias("message"))
