@@ -143,9 +143,7 @@ def chunk(docs: DataFrame, text_col: str, split_pattern: str, max_tokens: int =
     Segments are packed greedily: one joins the chunk before it if the sum of their token estimates stays
     within ``max_tokens``; a segment over the budget is a chunk of its own. The fold keeps only lengths
     and positions; joined chunks give the text. An empty text is one empty chunk."""
-    own = docs.withColumn("__seg", F.filter(segments(text_col, split_pattern), lambda s: s != ""))
     size = lambda s: F.greatest(F.lit(1), F.floor(F.length(s) / 4).cast("int"))
-    sizes = F.transform("__seg", size)
     begin = F.struct(F.array().cast("array<struct<first:int,n:int>>").alias("done"), F.lit(1).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("size"))
 
     def pack(acc: Column, s: Column) -> Column:
@@ -156,10 +154,15 @@ def chunk(docs: DataFrame, text_col: str, split_pattern: str, max_tokens: int =
         next_ = lambda fresh, grown: F.when(closes, fresh).otherwise(grown)
         return F.struct(done.alias("done"), next_(acc["first"] + acc["n"], acc["first"]).alias("first"), next_(F.lit(1), acc["n"] + 1).alias("n"), next_(s, acc["size"] + s).alias("size"))
 
-    packed = F.aggregate(sizes, begin, pack, lambda acc: F.array_append(acc["done"], F.struct(acc["first"].alias("first"), acc["n"].alias("n"))))
-    texts = F.transform(packed, lambda p: F.array_join(F.slice("__seg", p["first"], p["n"]), ""))
-    full = F.when(F.size("__seg") == 0, F.array(F.lit(""))).otherwise(texts)
-    return own.withColumn("__chunks", full).select(*docs.columns, F.posexplode("__chunks").alias("chunk_no", "chunk"))
+    def chunks(seg: Column) -> Column:
+        packed = F.aggregate(F.transform(seg, size), begin, pack, lambda acc: F.array_append(acc["done"], F.struct(acc["first"].alias("first"), acc["n"].alias("n"))))
+        return F.when(F.size(seg) == 0, F.array(F.lit(""))).otherwise(F.transform(packed, lambda p: F.array_join(F.slice(seg, p["first"], p["n"]), "")))
+
+    # Bound by a lambda, for as a column the optimiser would put the split into the folds and repeat it for each
+    # chunk; there is always a chunk, and the outer form spares a filter that makes them all once more.
+    seg = F.filter(segments(text_col, split_pattern), lambda s: s != "")
+    full = F.element_at(F.transform(F.array(F.struct(seg.alias("s"))), lambda z: chunks(z["s"])), 1)
+    return docs.withColumn("__chunks", full).select(*docs.columns, F.posexplode_outer("__chunks").alias("chunk_no", "chunk"))
 
 
 # Strings in three quotes or more than one line, and strings on one line.

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
+from tidemark.functions.scratch import written
 from tidemark.functions.ordered import first_by, ordered_set
 
 
@@ -167,13 +168,13 @@ def telemetry(models: DataFrame) -> DataFrame:
 
 
 def assemble(models: DataFrame, extracted: DataFrame, scanned: DataFrame, lineage: DataFrame, calculations: DataFrame, usages: DataFrame, libnames: DataFrame | None = None, role_overrides: DataFrame | None = None, rule_status: DataFrame | None = None, issues: DataFrame | None = None, local: bool = False, retain_source: bool = True) -> dict[str, DataFrame]:
-    """The whole state, lazily: models, tables, columns, edges, usages, rules, calculations, source systems and
+    """The whole state: the references are written once, all else is lazy: models, tables, columns, edges, usages, rules, calculations, source systems and
     issues. Control status is derived after the rules' final status; last, a local run that does not retain its
     sources is scrubbed of snippets, which is an issue of its own."""
     from . import rules as R
     from .runs import scrub
 
-    refs = with_aliases(reference_set(extracted, scanned), libnames)
+    refs = written(with_aliases(reference_set(extracted, scanned), libnames), "refs")
     tables, columns = assemble_tables(refs, role_overrides), assemble_columns(refs)
     edges = column_edges(lineage, calculations)
     register = R.register(usages, tables, columns)

@@ -4,6 +4,8 @@ Each scan takes ``code(model_id, code)`` and gives one of three relations:
 references ``(model_id, direction, name)``, usages ``(model_id, element, usage_kind, evidence,
 confidence)``, or SAS library names ``(model_id, alias, system)``. Scripts are exploded into statements
 or lines; steps and bindings are windows over those of one script, so only rows of one script meet.
+Arrays are exploded in the outer form and nulls dropped, since for the inner form the optimiser adds
+filters that evaluate all patterns once more.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def _hits(text: Column | str, rx: str, *groups: int) -> Column:
 def sas_libnames(code: DataFrame) -> DataFrame:
     """Library names; of one alias that stands twice the last is taken."""
     bare = code.select("model_id", blank("code", "SAS", strings=False).alias("code"))
-    rows = bare.select("model_id", F.posexplode(_hits("code", P.SAS_LIBNAME, 1, 2)).alias("ord", "h"))
+    rows = bare.select("model_id", F.posexplode_outer(_hits("code", P.SAS_LIBNAME, 1, 2)).alias("ord", "h")).filter("h is not null")
     return rows.groupBy("model_id", F.col("h.g1").alias("alias")).agg(F.max_by(F.trim("h.g2"), "ord").alias("system"))
 
 
@@ -38,7 +40,7 @@ def sas_statements(code: DataFrame, extra: list[str] | None = None) -> DataFrame
     output. Steps end with RUN or QUIT, or with the script."""
     extra = extra or []
     bare = code.select("model_id", *extra, blank("code", "SAS").alias("code"))
-    s = bare.select("model_id", *extra, F.posexplode(F.split("code", ";")).alias("i", "stmt"))
+    s = bare.select("model_id", *extra, F.posexplode_outer(F.split("code", ";")).alias("i", "stmt")).filter("stmt is not null")
     opened = F.when(F.col("stmt").rlike(P.SAS_OPENERS), F.col("i"))
     w = Window.partitionBy("model_id").orderBy("i")
     s = s.withColumn("__open", F.last(opened, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -60,7 +62,7 @@ def sas_references(code: DataFrame) -> DataFrame:
     ins = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("stmt", F.lit(rx), F.lit(1)) for _, rx in P.SAS_INPUTS], _merge_tokens("stmt"))))
     outs = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("stmt", F.lit(rx), F.lit(1)) for rx in P.SAS_OUTPUTS])))
     both = F.concat(F.transform(ins, lambda n: F.struct(F.lit("input").alias("direction"), n.alias("name"))), F.transform(outs, lambda n: F.struct(F.lit("output").alias("direction"), n.alias("name"))))
-    return s.select("model_id", F.explode(both).alias("r")).select("model_id", "r.direction", "r.name").distinct()
+    return s.select("model_id", F.explode_outer(both).alias("r")).filter("r is not null").select("model_id", "r.direction", "r.name").distinct()
 
 
 def sas_step_tables(statements: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def sas_step_tables(statements: DataFrame) -> DataFrame:
     options.append(F.struct(F.lit(len(P.SAS_INPUTS)).alias("r"), F.try_element_at(_merge_tokens("stmt"), F.lit(1)).alias("n")))
     options.append(F.struct(F.lit(len(P.SAS_INPUTS) + 1).alias("r"), F.col("step_out").alias("n")))
     # the opener's own words name no input, but a CREATE TABLE's FROM stands in the same statement
-    rows = statements.filter("step is not null").select("model_id", "step", "i", F.explode(F.filter(F.array(*options), lambda o: o["n"].isNotNull())).alias("o"))
+    rows = statements.filter("step is not null").select("model_id", "step", "i", F.explode_outer(F.filter(F.array(*options), lambda o: o["n"].isNotNull())).alias("o")).filter("o is not null")
     return rows.groupBy("model_id", "step").agg(F.min_by("o.n", F.struct("o.r", "i")).alias("table"))
 
 
@@ -90,9 +92,9 @@ def sas_usages(code: DataFrame, more: list[tuple[str, str, str]] | None = None)
     for kind, rx, conf in [*P.SAS_USAGES, *(more or [])]:
         real = {"by": F.when(F.col("__agg"), "aggregated").otherwise("join_key"), "on": F.when(F.col("__libs") >= 2, "cross_system_join").otherwise("join_key")}.get(kind, F.lit(kind))
         rows.append(_usage_rows(rx, real, conf))
-    hits = s.select("model_id", "step", F.explode(F.flatten(F.array(*rows))).alias("u"))
+    hits = s.select("model_id", "step", F.explode_outer(F.flatten(F.array(*rows))).alias("u")).filter("u is not null")
     words = F.array(*[F.lit(w) for w in P.SAS_WORDS])
-    hits = hits.withColumn("col", F.explode(F.split("u.cols", r"[,\s]+"))).filter("col <> ''").filter(~F.array_contains(words, F.lower("col")))
+    hits = hits.withColumn("col", F.explode_outer(F.split("u.cols", r"[,\s]+"))).filter("col <> ''").filter(~F.array_contains(words, F.lower("col")))
     tables = sas_step_tables(s)
     plain = hits.join(tables, ["model_id", "step"], "left").select("model_id", _qualified(F.col("table"), F.col("col")).alias("element"), F.col("u.kind").alias("usage_kind"), F.col("u.evidence").alias("evidence"), F.col("u.conf").alias("confidence"))
     return plain.unionByName(_sas_measures(s, tables, words))
@@ -104,8 +106,8 @@ def _usage_rows(rx: str, kind: Column, conf: str) -> Column:
 
 def _sas_measures(s: DataFrame, tables: DataFrame, words: Column) -> DataFrame:
     """Columns assigned and kept in one step are its output measures."""
-    assigned = s.select("model_id", "step", F.explode(F.regexp_extract_all(F.trim("stmt"), F.lit(P.SAS_ASSIGN), F.lit(1))).alias("col")).distinct()
-    kept = s.select("model_id", "step", F.explode(F.split(F.trim(F.regexp_extract("stmt", P.SAS_KEEP, 1)), r"\s+")).alias("col")).filter("col <> ''").distinct()
+    assigned = s.select("model_id", "step", F.explode_outer(F.regexp_extract_all(F.trim("stmt"), F.lit(P.SAS_ASSIGN), F.lit(1))).alias("col")).filter("col is not null").distinct()
+    kept = s.select("model_id", "step", F.explode_outer(F.split(F.trim(F.regexp_extract("stmt", P.SAS_KEEP, 1)), r"\s+")).alias("col")).filter("col is not null").filter("col <> ''").distinct()
     both = assigned.alias("a").join(kept.alias("k"), (F.col("a.model_id") == F.col("k.model_id")) & F.col("a.step").eqNullSafe(F.col("k.step")) & (F.col("a.col") == F.col("k.col"))).select("a.model_id", "a.step", "a.col")
     own = both.filter(~F.array_contains(words, F.lower("col"))).join(tables, ["model_id", "step"], "left")
     return own.select("model_id", _qualified(F.col("table"), F.col("col")).alias("element"), F.lit("output_measure").alias("usage_kind"), F.concat("col", F.lit(" = ... ; keep "), "col").alias("evidence"), F.lit("High").alias("confidence"))
@@ -116,7 +118,7 @@ def python_references(code: DataFrame) -> DataFrame:
     """Paths read and written as string arguments; queries are not references."""
     bare = code.select("model_id", blank("code", "Python").alias("code"))
     both = F.concat(F.transform(_hits("code", P.PY_READ_ANY, 2), lambda h: F.struct(F.lit("input").alias("direction"), h["g2"].alias("name"))), F.transform(_hits("code", P.PY_WRITE, 2), lambda h: F.struct(F.lit("output").alias("direction"), h["g2"].alias("name"))))
-    return bare.select("model_id", F.explode(both).alias("r")).select("model_id", "r.direction", "r.name").distinct()
+    return bare.select("model_id", F.explode_outer(both).alias("r")).filter("r is not null").select("model_id", "r.direction", "r.name").distinct()
 
 
 def python_usages(code: DataFrame, more: list[tuple[str, str, int, int, str]] | None = None) -> DataFrame:
@@ -128,14 +130,14 @@ def python_usages(code: DataFrame, more: list[tuple[str, str, int, int, str]] |
     # ``text`` has no strings with quotes in them, ``sums`` none with slashes either, ``whole`` has both
     cut = lambda c: F.split(c, r"\r?\n")
     texts = F.arrays_zip(*[cut(c).alias(n) for n, c in (("whole", F.col("code")), *((n, F.regexp_replace("full", rx, "$1")) for n, rx in zip(("text", "sums"), PY_PLAIN, strict=True)))])
-    lines = bare.select("model_id", "__kinds", "__writes", F.posexplode(texts).alias("line", "t")).select("model_id", "__kinds", "__writes", "line", "t.*")
+    lines = bare.select("model_id", "__kinds", "__writes", F.posexplode_outer(texts).alias("line", "t")).filter("t is not null").select("model_id", "__kinds", "__writes", "line", "t.*")
     uses = []
     for kind, rx, col, var, said in [*P.PY_USAGES, *(more or [])]:
         uses.append(_py_rows("sums" if kind == "denominator" else "text", kind, rx, col, var, said))
     measure = F.transform(_hits("text", P.PY_ASSIGN, 1, 2), lambda h: F.struct(F.lit("output_measure").alias("kind"), h["g2"].alias("col"), h["g1"].alias("var"), F.concat(F.lit('df["'), h["g2"], F.lit('"] = ...; df.to_*()')).alias("evidence")))
     uses.append(F.when(F.col("__writes"), measure).otherwise(F.filter(measure, lambda _: F.lit(False))))
-    hits = lines.select("model_id", "line", "__kinds", F.explode(F.flatten(F.array(*uses))).alias("u"))
-    reads = lines.select("model_id", "line", F.explode(_hits("whole", P.PY_READ, 1, 3)).alias("h")).select("model_id", "line", F.col("h.g1").alias("var"), path_stem("h.g3").alias("bound"))
+    hits = lines.select("model_id", "line", "__kinds", F.explode_outer(F.flatten(F.array(*uses))).alias("u")).filter("u is not null")
+    reads = lines.select("model_id", "line", F.explode_outer(_hits("whole", P.PY_READ, 1, 3)).alias("h")).filter("h is not null").select("model_id", "line", F.col("h.g1").alias("var"), path_stem("h.g3").alias("bound"))
     first = reads.groupBy("model_id").agg(F.min_by("bound", "line").alias("default"))
     # the binding that holds at a use: the last one of its variable at or before its line
     all_rows = hits.select("model_id", "line", "__kinds", F.col("u.var").alias("var"), F.lit(1).alias("use"), F.lit(None).cast("string").alias("bound"), "u").unionByName(
@@ -165,7 +167,7 @@ def r_references(code: DataFrame) -> DataFrame:
     """Last path segments of files read and written."""
     bare = code.select("model_id", blank("code", "R", strings=False).alias("code"))
     both = F.concat(*[F.transform(F.regexp_extract_all("code", F.lit(rx), F.lit(1)), _directed(d)) for d, rx in (("input", P.R_READ), ("output", P.R_WRITE))])
-    return bare.select("model_id", F.explode(both).alias("r")).select("model_id", "r.direction", path_tail("r.name").alias("name")).distinct()
+    return bare.select("model_id", F.explode_outer(both).alias("r")).filter("r is not null").select("model_id", "r.direction", path_tail("r.name").alias("name")).distinct()
 
 
 def _directed(direction: str):
@@ -185,16 +187,16 @@ def r_usages(code: DataFrame, more: list[tuple[str, str, str]] | None = None) ->
     of = lambda kind, conf: lambda h: row(kind, h["g1"], F.trim(h["m"]), conf)
     further = [F.transform(_hits("bare", rx, 1), of(kind, conf)) for kind, rx, conf in more or []]
     written = F.regexp_extract_all("code", F.lit(P.R_WRITE_DF), F.lit(1))
-    rows = both.select("model_id", written.alias("written"), F.explode(F.concat(joins, groups, filters, divisors, assigned, *further)).alias("u")).filter(F.col("u.df").isNull() | F.array_contains("written", F.col("u.df")))
+    rows = both.select("model_id", written.alias("written"), F.explode_outer(F.concat(joins, groups, filters, divisors, assigned, *further)).alias("u")).filter("u is not null").filter(F.col("u.df").isNull() | F.array_contains("written", F.col("u.df")))
     split = F.when(F.col("u.kind") == "aggregated", F.split("u.cols", r"[,\s]+")).otherwise(F.array("u.cols"))
-    return rows.select("model_id", F.explode(split).alias("element"), F.col("u.kind").alias("usage_kind"), F.col("u.evidence").alias("evidence"), F.col("u.conf").alias("confidence")).filter("element <> ''")
+    return rows.select("model_id", F.explode_outer(split).alias("element"), F.col("u.kind").alias("usage_kind"), F.col("u.evidence").alias("evidence"), F.col("u.conf").alias("confidence")).filter("element is not null").filter("element <> ''")
 
 
 # ------------------------------------------------------------------------------------------- VBA
 def _vba(code: DataFrame) -> tuple[DataFrame, DataFrame]:
     bare = code.select("model_id", blank("code", "VBA").alias("code"))
-    lines = bare.select("model_id", F.posexplode(F.split("code", r"\r?\n")).alias("line", "text")).withColumn("text", F.trim("text"))
-    bound = lines.select("model_id", "line", F.explode(_hits("text", P.VBA_BIND, 1, 2)).alias("h")).groupBy("model_id", F.col("h.g1").alias("var")).agg(F.max_by("h.g2", "line").alias("sheet"))
+    lines = bare.select("model_id", F.posexplode_outer(F.split("code", r"\r?\n")).alias("line", "text")).filter("text is not null").withColumn("text", F.trim("text"))
+    bound = lines.select("model_id", "line", F.explode_outer(_hits("text", P.VBA_BIND, 1, 2)).alias("h")).filter("h is not null").groupBy("model_id", F.col("h.g1").alias("var")).agg(F.max_by("h.g2", "line").alias("sheet"))
     return lines, bound
 
 
@@ -204,7 +206,7 @@ def vba_references(code: DataFrame) -> DataFrame:
     target = F.regexp_extract("text", P.VBA_ASSIGN, 1)
     wrote = lines.filter(target != "").select("model_id", target.alias("var")).join(bound, ["model_id", "var"]).select("model_id", "sheet").distinct()
     source = F.when(target != "", F.expr("substring(text, locate('=', text) + 1)")).otherwise(F.col("text"))
-    read = lines.select("model_id", F.explode(F.regexp_extract_all(source, F.lit(P.VBA_REF), F.lit(1))).alias("var")).join(bound, ["model_id", "var"]).select("model_id", "sheet").distinct()
+    read = lines.select("model_id", F.explode_outer(F.regexp_extract_all(source, F.lit(P.VBA_REF), F.lit(1))).alias("var")).filter("var is not null").join(bound, ["model_id", "var"]).select("model_id", "sheet").distinct()
     ins = read.join(wrote, ["model_id", "sheet"], "left_anti").select("model_id", F.lit("input").alias("direction"), F.col("sheet").alias("name"))
     return ins.unionByName(wrote.select("model_id", F.lit("output").alias("direction"), F.col("sheet").alias("name")))
 
@@ -214,7 +216,7 @@ def vba_usages(code: DataFrame, more: list[tuple[str, str]] | None = None) -> Da
     pattern) rows, whose groups are the sheet's variable and the column number."""
     lines, bound = _vba(code)
     rows = [_vba_rows(kind, rx) for kind, rx in [*P.VBA_USAGES, *(more or [])]]
-    hits = lines.select("model_id", F.explode(F.flatten(F.array(*rows))).alias("u")).select("model_id", "u.*").join(bound, ["model_id", "var"], "left")
+    hits = lines.select("model_id", F.explode_outer(F.flatten(F.array(*rows))).alias("u")).filter("u is not null").select("model_id", "u.*").join(bound, ["model_id", "var"], "left")
     return hits.select("model_id", F.concat(F.coalesce("sheet", "var"), F.lit(".col"), "n").alias("element"), F.col("kind").alias("usage_kind"), "evidence", F.lit("High").alias("confidence"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
+from tidemark.functions.scratch import written
 from tidemark.operators import lineage as L
 
 
@@ -81,7 +82,8 @@ def usages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.reference_set(extracted(spark, sf_dir), scanned(spark, sf_dir))
+    """Written once, since tables, columns and edges all read it."""
+    return written(L.reference_set(extracted(spark, sf_dir), scanned(spark, sf_dir)), "refs")
 
 
 def state(spark: SparkSession, sf_dir: str, run_id: str = "r1") -> dict[str, DataFrame]:
