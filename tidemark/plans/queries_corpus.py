@@ -170,6 +170,21 @@ def a12_redaction_issues(spark, d):
     return C.redaction_issues(C.redact(t, "text", two), "source", two)
 
 
+_NAMES = ["email", "ssn", "account_number", "aws_access_key", "provider_secret"]
+_STEPS = f"t0 AS (SELECT source, {_ASCII} AS text FROM documents)"
+for _i, (_, _rx, _to) in enumerate(_RED):
+    _STEPS += f", t{_i + 1} AS (SELECT *, len(regexp_extract_all(text, '{_rx}')) AS n{_i} FROM {f'u{_i}' if _i else 't0'}), u{_i + 1} AS (SELECT * REPLACE (regexp_replace(text, '{_rx}', '{_to}', 'g') AS text) FROM t{_i + 1})"
+_COUNTS = ", ".join(f"CAST(sum(n{i}) AS BIGINT) AS n{i}" for i in range(5))
+_SAID = ", ".join(f"CASE WHEN n{i} > 0 THEN '{n}=' || n{i} END" for i, n in enumerate(_NAMES))
+
+
+@query(f"WITH {_STEPS}, s AS (SELECT source, {_COUNTS} FROM u5 GROUP BY source) SELECT source AS model_id, 'info' AS severity, 'redacted ' || (n0 + n1 + n2 + n3 + n4) || ' token(s) before LLM call: ' || concat_ws(', ', {_SAID}) AS message FROM s WHERE n0 + n1 + n2 + n3 + n4 > 0")
+def a12_redaction_issues_all(spark, d):
+    """All five patterns, each counted in what the ones before it left."""
+    t = table(spark, d, "documents").select("source", F.regexp_replace("text", r"[^ -~\n]", "x").alias("text"))
+    return C.redaction_issues(C.redact(t, "text"), "source")
+
+
 @query("""
 WITH m AS (SELECT doc_id, greatest(1, length(text) // 4) + 450 AS i FROM documents), n AS (SELECT doc_id, i, CAST(floor(i * CAST(0.35 AS DOUBLE)) AS BIGINT) AS o FROM m)
 SELECT doc_id AS label, CAST(sum(i) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out, CAST(sum(i) + sum(o) AS BIGINT) AS tokens FROM n GROUP BY ROLLUP (doc_id)
@@ -297,6 +312,14 @@ def b5_path_stem(spark, d):
     return table(spark, d, "pages").filter(~ids.path_tail(u).startswith(".")).select("page_id", ids.path_stem(u).alias("stem"))
 
 
+@query("SELECT page_id, CASE WHEN x LIKE '.%' AND x NOT LIKE '.%.%' THEN x ELSE regexp_replace(x, '\\.[^.]*$', '') END AS stem FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '.' ELSE '' END || split_part(split_part(url, '?', 1), '/', -1) AS x FROM pages)")
+def b5_path_stem_all(spark, d):
+    """All pages, a third of them with a dot put in front of the last segment, which is no suffix."""
+    u = F.substring_index("url", "?", 1)
+    dotted = F.concat(F.lit("d/"), F.when(F.col("page_id") % 3 == 0, ".").otherwise(""), ids.path_tail(u))
+    return table(spark, d, "pages").select("page_id", ids.path_stem(dotted).alias("stem"))
+
+
 # --------------------------------------------------------------------------------------- scans
 @query(f"""
 WITH {_P} SELECT model_id, 'input' AS direction, CASE l WHEN 0 THEN 'raw.' || b WHEN 1 THEN 'in/' || b || '.csv' WHEN 2 THEN b || '.csv' ELSE b END AS name FROM p

@@ -176,6 +176,14 @@ def e4_attribute_models(spark, d):
     return R.attributed_totals(R.usage_candidates(S.usages(spark, d)), L.table_models(S.refs(spark, d)))
 
 
+@query(f"WITH {_U}, r AS (SELECT element, dimension, count(DISTINCT rule_statement) AS n FROM u GROUP BY element, dimension), p AS (SELECT DISTINCT element, unnest(['Validity', 'Accuracy']) AS dimension FROM uses) SELECT coalesce(r.element, p.element) AS element, coalesce(r.dimension, p.dimension) AS dimension, r.element IS NULL AS is_new, CASE WHEN p.element IS NULL THEN 0 ELSE 1 END AS n_related FROM r FULL JOIN p ON r.element = p.element AND r.dimension = p.dimension")
+def e5_merge_proposals_all(spark, d):
+    """Two proposals for every element that is used in any way."""
+    e = S.usages(spark, d).select("element", F.explode(F.array(F.lit("Validity"), F.lit("Accuracy"))).alias("dimension"), "ord")
+    p = e.select("element", "dimension", F.lit("Totals add up").alias("rule_statement"), F.lit("High").alias("severity"), F.lit("").alias("rationale"), F.array(F.lit("other.total")).alias("related_elements"), "ord")
+    return R.merge_proposals(R.infer_rules(S.usages(spark, d)), p).select("element", "dimension", (F.col("source") == "I").alias("is_new"), F.size("related_elements").alias("n_related"))
+
+
 @query(f"WITH {_U}, r AS (SELECT DISTINCT element, dimension FROM u), p AS (SELECT DISTINCT out_name || '.total' AS element, unnest(['Validity', 'Accuracy']) AS dimension FROM cm) SELECT coalesce(r.element, p.element) AS element, coalesce(r.dimension, p.dimension) AS dimension, r.element IS NULL AS is_new, CASE WHEN p.element IS NULL THEN 0 ELSE 1 END AS n_related FROM r FULL JOIN p ON r.element = p.element AND r.dimension = p.dimension")
 def e5_merge_proposals(spark, d):
     e = S.usages(spark, d).filter("usage_kind = 'denominator'").select("element", F.explode(F.array(F.lit("Validity"), F.lit("Accuracy"))).alias("dimension"), "ord")
