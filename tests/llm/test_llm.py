@@ -832,14 +832,14 @@ def test_pii_spellings_are_linked(spark):
         assert len({x[-9:] for x in new}) == 1 and len({x[-10:] for x in new}) == 1 if g[0].startswith("+1") else len(set(new)) == 1
 
 
-@pytest.mark.parametrize("layout", ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "d.M.yyyy"])
-def test_pii_dates_are_permuted(spark, layout):
-    d = spark.range(0, 60_000).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1850-01-01").cast("date"), F.col("id").cast("int")), layout).alias("text"))
+@pytest.mark.parametrize(("layout", "days"), [("yyyy-MM-dd", 10_000), ("dd/MM/yyyy", 60_000), ("MM/dd/yyyy", 10_000), ("d.M.yyyy", 20_000)])
+def test_pii_dates_are_permuted(spark, layout, days):
+    d = spark.range(0, days).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1850-01-01").cast("date"), F.col("id").cast("int")), layout).alias("text"))
     d = d.dropDuplicates(["text"]).cache()
     new = pii.pseudonymise(d)
     n, kinds, lengths = new.join(d.withColumnRenamed("text", "old"), "doc_id").agg(F.countDistinct("text"), F.sum("n_date"), F.sum(F.abs(F.length("text") - F.length("old")))).first()
-    assert (n, kinds, lengths) == (60_000, 60_000, 0)
-    assert pii.pseudonymise(new, undo=True).join(d, ["doc_id", "text"]).count() == 60_000
+    assert (n, kinds, lengths) == (days, days, 0)
+    assert pii.pseudonymise(new, undo=True).join(d, ["doc_id", "text"]).count() == days
 
 
 def test_pii_odd(spark):

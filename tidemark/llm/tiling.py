@@ -260,33 +260,34 @@ def _search(shared, schema: pa.Schema, coverage: float):
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 5, coverage: float = 0.5, block_words: int = 500_000) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, with all their columns whatever their names; ``id_col``
-    is not looked at. Each row is kept or dropped where it is searched, so nothing is shuffled; with several
-    blocks the rows left are written before the next is broadcast."""
+    is not looked at. Only texts go to Python and only a boolean comes back, so rows are kept or dropped where
+    they are read and nothing is shuffled; with several blocks the rows left are written before the next is
+    broadcast."""
     names = docs.columns
     now = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = f"c{names.index(text_col)}"
+    text = F.lower(F.coalesce(F.col(f"c{names.index(text_col)}").cast("string"), F.lit("")))
     for shared, n in _seeds(benchmark, item_id, item_text, least, block_words):
-        looked = now.withColumn("t", F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-        kept = looked.mapInArrow(_keep(shared, coverage), now.schema)
+        now = now.filter(_free(shared, coverage)(text))
         if n > 1:
-            kept = staged(kept, "clean")
+            now = staged(now, "clean")
             shared.destroy()
-        now = kept
     return now.toDF(*names)
 
 
-def _keep(shared, coverage: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _free(shared, coverage: float):
+    """For each text whether no item of the block leaked into it."""
+
+    @F.arrow_udf("boolean")
+    def free(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         _, seeds = shared.value
         for x in batches:
-            stay = np.ones(x.num_rows, bool)
-            for lo, _, raw, off in blocks(x.column(x.num_columns - 1)):
-                h, first = tokens(raw, off)
-                for row, _, _ in seeds.leaks(h, first, coverage):
+            stay = np.ones(len(x), bool)
+            for lo, _, raw, off in blocks(x):
+                for row, _, _ in seeds.leaks(*tokens(raw, off), coverage):
                     stay[lo + row] = False
-            yield x.filter(pa.array(stay)).select(list(range(x.num_columns - 1)))
+            yield pa.array(stay)
 
-    return run
+    return free
 
 
 def op9_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
