@@ -18,12 +18,12 @@ def _col(c: Column | str) -> Column:
 
 
 # Fixed value: the characters that count as white space in ids.
-WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column | str) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(_col(text), f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(_col(text), F.lit(WHITE))
 
 
 def digest(*parts: Column | str) -> Column:
@@ -33,7 +33,7 @@ def digest(*parts: Column | str) -> Column:
 
 def squeeze(name: Column | str) -> Column:
     """Trimmed, inner white space collapsed."""
-    return F.regexp_replace(strip(name), f"{WHITE}+", " ")
+    return F.regexp_replace(strip(name), f"[{WHITE}]+", " ")
 
 
 def canonical_name(name: Column | str, aliases: Column | None = None) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ids
 from tidemark.functions.ordered import first_by, ordered_set
+from tidemark.functions.scratch import written
 
 DATE_STATEMENT = "Valid date; within plausible range"
 # The rule that each usage kind gives: (usage kind, dimension, severity, statement).
@@ -122,8 +123,9 @@ def register(usages: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFr
 
 
 def register_totals(usages: DataFrame, tables: DataFrame, columns: DataFrame, models: DataFrame) -> DataFrame:
-    """``register`` with ``n_models`` instead of the models, from ``table_totals`` and ``table_models``."""
-    both = baseline_candidates(tables, columns, models=models).unionByName(usage_candidates(usages))
+    """``register`` with ``n_models`` instead of the models, from ``table_totals`` and ``table_models``. The
+    candidates are written once, for they are counted in three ways."""
+    both = written(baseline_candidates(tables, columns, models=models).unionByName(usage_candidates(usages)), "candidates")
     return rule_totals(both).drop("n_models").join(attributed_totals(both, models), "rule_id")
 
 
