@@ -27,7 +27,7 @@ def _hang(edges: DataFrame, low: DataFrame, ends: int) -> DataFrame:
     return split.filter("h is not null").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest.select("a", "b", "m"))
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each node of a task's edges with the smallest node that they tie it to, by union and find over up to
     FOREST nodes at a time."""
     root: dict = {}
@@ -66,18 +66,19 @@ def _are_stars(edges: DataFrame) -> bool:
     return by.filter("hangs > 1 or hangs + holds > 1").isEmpty()
 
 
-def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200, tied: bool = False) -> DataFrame:
     """(node, root) for each node that has an edge in ``edges`` (columns ``a`` and ``b`` of one orderable
     type); the root is the smallest node of its component (Kiveris and others, 2014). Edges with a null end
     or between a node and itself count for nothing; repeated edges count once; no edges give no rows.
 
-    The edges within a task are tied first. Each round then is two aggregates and joins whose size is that of the
+    The edges within a task are tied first, unless ``tied`` says that ``forest`` has been applied where they
+    were made (which spares a second Python process a task). Each round then is two aggregates and joins whose size is that of the
     edges; nothing is gathered by group, the minimum of a node's neighbours is a combined aggregate, and a hub's
     edges stay where they are. Rounds are written to the shared folder. Their number grows with the
     logarithm of the longest chain; after ``rounds`` of them an error is raised.
     """
     some = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = staged(some.mapInArrow(_local, some.schema).distinct(), "edges")
+    now = staged((some if tied else some.mapInArrow(forest, some.schema)).distinct(), "edges")
     ends = 2 * now.count()
     for _ in range(rounds):
         if _are_stars(now):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, SpanHash, arrow_type, batch, blocks, marked, marks, mix, shingles, staged, words
-from .components import components
+from .components import components, forest
 from .exact_dedup import _ddl
 
 HASHES, BAND, STEP = 128, 4, 16
@@ -241,8 +241,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = bands.join(shared, "bucket").join(nodes.select("set", "sig"), "set")
     placed = _in_blocks(members, F.ceil(F.col("n") / block).cast("int"), "set").select("bucket", "i", "j", "set", "sig")
     edge_schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    tied = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_run(edge_schema, tie, least), _ddl(edge_schema))
-    clusters = staged(components(tied).withColumnRenamed("node", "set").withColumnRenamed("root", "cluster"), "clusters")
+    tied = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda b: forest(_stream(edge_schema, tie(b, least))), _ddl(edge_schema))
+    clusters = staged(components(tied, tied=True).withColumnRenamed("node", "set").withColumnRenamed("root", "cluster"), "clusters")
 
     members = clusters.join(nodes.select("set", "docs", "low", "size"), "set")
     counts = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.col("size") * 8) / block_bytes)).cast("int").alias("n"))
