@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, jaccard, nbsvm, pieces, pii, ppm, textcnn, tiling, warc
+from . import chat, exact_dedup, infill, jaccard, nbsvm, pieces, pii, ppm, textcnn, tiling, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pii": pii.op1_feistel_pii,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_greedy_tiling": tiling.op9_greedy_tiling,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_infill_frames": infill.op11_infill_frames,
 }
 
 ORACLES: dict[str, str] = {
     "op4_warc_transactions": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_infill_frames": infill.ORACLE,
 }
