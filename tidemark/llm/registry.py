@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, infill, jaccard, nbsvm, pieces, pii, ppm, textcnn, tiling, warc
+from . import chat, exact_dedup, infill, isolation, jaccard, nbsvm, pieces, pii, ppm, textcnn, tiling, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pii": pii.op1_feistel_pii,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_greedy_tiling": tiling.op9_greedy_tiling,
     "op10_chat_format": chat.op10_chat_format,
     "op11_infill_frames": infill.op11_infill_frames,
+    "op12_isolation_rules": isolation.op12_isolation_rules,
 }
 
 ORACLES: dict[str, str] = {

@@ -12,15 +12,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col:
     """Up to ``per_class`` labelled rows of each class, those with the smallest id hashes, joined to
     ``docs``, with columns ``label`` and ``order``; and the share of label 1 among all labelled rows.
     Rows with a null label or id are left out; of rows that repeat an id, the one with the smallest hash stands for
-    all, and so for a repeated label. ``labels`` holds only what may be learned from."""
-    own = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("string")).alias("order"))
-    ones, rows = own.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    all, and so for a repeated label. ``labels`` holds only what may be learned from. A column of ``docs`` named
+    ``label`` or ``order`` gives way to the sample's own."""
+    own = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("s_id"), F.col(label_col).cast("int").alias("s_label"), F.xxhash64(F.col(id_col).cast("string")).alias("s_order"))
+    ones, rows = own.agg(F.coalesce(F.sum("s_label"), F.lit(0)), F.count("*")).first()
     once = own.distinct()
-    few = [once.filter(F.col("label") == y).orderBy("order", "__id").limit(per_class) for y in (0, 1)]
+    few = [once.filter(F.col("s_label") == y).orderBy("s_order", "s_id").limit(per_class) for y in (0, 1)]
     picked = F.broadcast(few[0].unionByName(few[1]))  # 2 * per_class narrow rows at most
-    row = F.struct(*docs.columns)
-    found = docs.join(picked, docs[id_col] == picked["__id"]).groupBy("__id", "label", "order").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row"))
-    return found.select("__row.*", "label", "order"), (ones / rows if rows else 0.5)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    found = plain.join(picked, plain[names[docs.columns.index(id_col)]] == picked["s_id"]).groupBy("s_id", "s_label", "s_order").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
+    kept = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c not in ("label", "order")]
+    return found.select(*[F.col(f"row.{n}").alias(c) for n, c in kept], F.col("s_label").alias("label"), F.col("s_order").alias("order")), (ones / rows if rows else 0.5)
 
 
 def within(rows: DataFrame, column: str, total: int) -> DataFrame:
