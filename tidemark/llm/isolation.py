@@ -2,8 +2,8 @@
 
 Each text gives counts, and from them shares that do not depend on its length. Fixed rules drop texts that are too
 short or repeat themselves. An isolation forest, fitted on good labelled texts, tells how few random splits it takes
-to part a text from those, where splits may also fall beyond their range; the threshold from which a text counts as an anomaly is calibrated on all labelled texts,
-for each band of lengths.
+to part a text from those, where splits may also fall beyond their range; the threshold from which a text counts
+as an anomaly is calibrated on all labelled texts, for each band of lengths.
 """
 
 from __future__ import annotations
@@ -34,14 +34,6 @@ BANDS = (100, 1000)
 BINS = 1000
 
 
-class _Numbers(dict):
-    """Numbers things in the order in which they are first asked for."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 def _pieces(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     """The text in pieces that end at white space, of ``size`` bytes where words are shorter."""
     lo = 0
@@ -61,7 +53,9 @@ def repeated_words(words: np.ndarray, size: int = WINDOW) -> int:
     number, width = words.astype(np.int64), 1
     while width < size:
         pair = number[:-width] * np.int64(len(words) + 1) + number[width:]
-        number = np.unique(pair, return_inverse=True)[1]
+        different, number = np.unique(pair, return_inverse=True)
+        if len(different) == len(pair):
+            return 0
         width *= 2
     again = np.flatnonzero(np.bincount(number)[number] > 1)
     change = np.zeros(len(words) + 1, np.int64)
@@ -72,8 +66,11 @@ def repeated_words(words: np.ndarray, size: int = WINDOW) -> int:
 
 def counts(data: bytes) -> tuple[int, ...]:
     """The COUNTS of one text. Words are what stands between white space; a line counts if it has a word."""
-    numbers = _Numbers()
-    words = np.concatenate([np.zeros(0, np.int32), *(np.fromiter(map(numbers.__getitem__, p.split()), np.int32) for p in _pieces(data))])
+    seen: dict[bytes, None] = {}
+    for p in _pieces(data):
+        seen.update(dict.fromkeys(p.split()))
+    number = dict(zip(seen, range(len(seen)), strict=True))
+    words = np.concatenate([np.zeros(0, np.int32), *(np.fromiter(map(number.__getitem__, p.split()), np.int32) for p in _pieces(data))])
     lines = [x for x in data.split(b"\n") if x.strip(_SPACES)]
     without = lambda drop: len(data.translate(None, drop))
     n = len(data)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, infill, isolation, jaccard, nbsvm, pieces, pii, ppm, textcnn, tiling, warc
+from . import chat, exact_dedup, infill, isolation, jaccard, nbsvm, pieces, pii, ppm, prefix_trie, textcnn, tiling, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pii": pii.op1_feistel_pii,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": chat.op10_chat_format,
     "op11_infill_frames": infill.op11_infill_frames,
     "op12_isolation_rules": isolation.op12_isolation_rules,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_chat_format": chat.ORACLE,
     "op11_infill_frames": infill.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
