@@ -307,3 +307,39 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() == 32
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+LAID = '''
+import pandas as pd
+a = (pd.read_csv(r"in/a.csv"))
+b = pd.read_parquet("in/b.parquet").dropna()
+x = a.merge(
+    b.merge(c, how="left", on="inner_k"),
+    left_on=f(on="no"),
+    on='outer_k',
+)
+y = a.query("k > 1").groupby(
+    'g', as_index=False
+).agg(n=("v", "sum"))
+z = a["n1"] / a["d1"] + a["n2"] / (a["d2"]) + a["n3"] / (a["d3"] + 1) + a["n4"] / a["d4"].abs() + a["n5"] / a["d5"] ** 2 + 1 / w
+p = a.loc["l1"].isin(
+    [1, (2, 3)])
+q = a[(a["c1"] > 5) & (0 < a["c2"] < 5) & (a["c3"] >= 1 + k) & (a["c4"] < -1) & (a["c5"] <= .5)]
+t = pd.to_datetime(
+    a["when"], format="%Y (%m)")
+h = f(df=pd.read_csv("in/not_bound.csv"))
+s = "a.merge(b, on='no')"
+'''
+
+
+def test_python_calls_over_lines_and_nested(spark):
+    """What a reader of the syntax tree would find: keywords of their own call, whole operands, direct reads only."""
+    got = sorted((r.element, r.usage_kind) for r in S.python_usages(code(spark, "Python", LAID)).collect())
+    want = [("a.c1", "range_filter"), ("a.c5", "range_filter"), ("a.d1", "denominator"), ("a.d2", "denominator"), ("a.g", "aggregated"), ("a.inner_k", "cross_system_join"), ("a.l1", "equality_set"), ("a.outer_k", "cross_system_join"), ("a.w", "denominator"), ("a.when", "date_parse")]
+    assert got == want
+
+
+@pytest.mark.parametrize("text", ["df.merge(o, on='k'\nx = df['a'].isin([1])\n", "x = df['a'].isin([1])\n" + "(" * 50_000, "x = df['a'].isin([1])\nd = [" + "(1, [2]), " * 30_000 + "]\n", "x = df['a'].isin([1])\ny = f(" + "[" * 200 + "]" * 200 + ")\n"])
+def test_python_broken_and_long_scripts(spark, text):
+    """A bracket without a partner falls back to physical lines; neither many nor deep brackets stop a scan."""
+    assert ("a", "equality_set") in {(r.element, r.usage_kind) for r in S.python_usages(code(spark, "Python", text)).collect()}

@@ -38,27 +38,61 @@ SAS_USAGES = [
 SAS_ASSIGN = r"(?m)^\s*(\w+)\s*=(?!=)"
 SAS_KEEP = r"(?i)\bkeep\s+([\w\s]+)$"
 
-# Python patterns on one line.
-PY_READ = r"\b(\w+)\s*=\s*\w+\.(read_csv|read_parquet|read_sql|read_table|read_excel|read_json)\s*\(\s*[rfb]?[\"']([^\"']+)[\"']"
-PY_READ_ANY = r"\.(read_csv|read_parquet|read_table|read_excel|read_json)\s*\(\s*[rfb]?[\"']([^\"']+)[\"']"
-PY_READ_KIND = r"\.(read_csv|read_parquet|read_sql|read_table|read_excel|read_json)\s*\("
-PY_WRITE = r"\.(to_csv|to_parquet|to_sql|to_excel|to_json)\s*\(\s*[rfb]?[\"']([^\"']+)[\"']"
-PY_WRITE_KIND = r"\.(to_csv|to_parquet|to_sql|to_excel|to_json)\s*\("
-_SUB = r"\b(\w+)\[[\"']([^\"']+)[\"']\]"
+# Python, on logical lines. Brackets are matched LEVELS deep and strings stand as wholes; all loops over them are
+# possessive, so neither backtracking nor the stack grows with a script.
+LEVELS = 24
+_STR = r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
+
+
+def _within(levels: int) -> str:
+    """What stands between a pair of brackets."""
+    inner = rf"(?:[^()\[\]{{}}\"']++|{_STR})*+"
+    for _ in range(levels):
+        inner = rf"(?:[^()\[\]{{}}\"']++|{_STR}|[(\[{{]{inner}[)\]}}])*+"
+    return inner
+
+
+_IN = _within(LEVELS)
+#: A logical line: up to a line end outside of brackets that no backslash continues. A bracket without a partner
+#: stands for itself, so a broken script falls back to its physical lines.
+PY_LOGICAL = rf"(?:[^()\[\]{{}}\"'\n\\]++|{_STR}|\\\r?\n|[(\[{{]{_IN}[)\]}}]|.)*+(?:\n|\z)"
+#: Arguments of a call before the one that is sought, and a string as a whole argument.
+_ARGS = rf"\s*(?:(?:[^()\[\]{{}},\"']++|{_STR}|[(\[{{]{_within(8)}[)\]}}])*+,\s*){{0,64}}?"
+_TEXT = r"[rRuU]?[\"']([^\"']+)[\"']"
+#: The data frame that a method is called on, where it is a plain name, and the call.
+_CALL = r"(?:(?<![\w.)\]])([A-Za-z_]\w*)\s*)?\.\s*{}\s*\("
+#: A column of a data frame at the left and at the right of an operator: the frame, where it is a plain name; the column.
+_SUB = r"(?:(?<![\w.)\]\"'])([A-Za-z_]\w*)|[\w)\]])\s*\[\s*[\"']([^\"']+)[\"']\s*\]"
+_RIGHT = r"(?:([A-Za-z_]\w*)|[A-Za-z_][\w.]*)\s*\[\s*[\"']([^\"']+)[\"']\s*\]"
+#: What makes an operand part of another one.
+_MORE = r"(?!\s*(?:[\[(]|\.\s*[A-Za-z_]|\*\*))"
+_OVER = r"(?<!/)/(?![/=])\s*"
+_NUMBER = r"(?:\d[\w.]*+|\.\d\w*+)(?:(?<=[eE])[-+]\d+)?+(?!\s*(?:[-+*/%@.\[(<>]|[!=]=))"
+
+_READERS = "read_csv|read_parquet|read_table|read_excel|read_json"
+PY_READ = rf"(?:^|;)\s*([A-Za-z_]\w*)\s*=\s*(?:\(\s*)*[\w.]+\s*\.\s*({_READERS}|read_sql)\s*\(\s*{_TEXT}\s*(?:,{_IN})?\)(?:\s*\))*\s*(?:;|\z)"
+PY_READ_ANY = rf"\.\s*({_READERS})\s*\(\s*{_TEXT}\s*[,)]"
+PY_READ_KIND = rf"\.\s*({_READERS}|read_sql)\s*\("
+_WRITERS = "to_csv|to_parquet|to_sql|to_excel|to_json"
+PY_WRITE = rf"\.\s*({_WRITERS})\s*\(\s*{_TEXT}\s*[,)]"
+PY_WRITE_KIND = rf"\.\s*({_WRITERS})\s*\("
 #: (kind, pattern, group of the column, group of the data frame or 0, evidence or "" for the match; {} in it stands for the column).
 PY_USAGES = [
-    ("join_key", r"\b(\w+)\.merge\s*\([^#]*?\bon\s*=\s*[\"']([^\"']+)[\"']", 2, 1, ".merge(on='{}')"),
-    ("join_key", r"\b(\w+)\.join\s*\([^#]*?\bon\s*=\s*[\"']([^\"']+)[\"']", 2, 1, ".join(on='{}')"),
-    ("aggregated", r"\b(\w+)\.groupby\s*\(\s*[\"']([^\"']+)[\"']", 2, 1, ".groupby(...)"),
-    ("date_parse", r"\.to_datetime\s*\(\s*" + _SUB, 2, 1, "to_datetime(...)"),
-    ("type_cast", _SUB + r"\s*\.astype\s*\(", 2, 1, ".astype(...)"),
-    ("equality_set", _SUB + r"\s*\.isin\s*\(", 2, 1, ".isin([...])"),
-    ("time_window", _SUB + r"\s*\.between\s*\(", 2, 1, ".between(...)"),
-    ("denominator", r"(?<!/)/(?!/)\s*" + _SUB, 2, 1, "x / <col>"),
-    ("denominator", r"(?<!/)/(?!/)\s*([A-Za-z_]\w*)\b(?!\s*[\[(.\w])", 1, 0, "x / <col>"),
-    ("range_filter", _SUB + r"\s*(?:>=|<=|>|<)\s*[\d.]", 2, 1, "df[col] > n"),
+    ("join_key", rf"{_CALL.format('merge')}(?={_ARGS}on\s*=\s*{_TEXT}\s*[,)])", 2, 1, ".merge(on='{}')"),
+    ("join_key", rf"{_CALL.format('join')}(?={_ARGS}on\s*=\s*{_TEXT}\s*[,)])", 2, 1, ".join(on='{}')"),
+    ("aggregated", rf"{_CALL.format('groupby')}\s*{_TEXT}\s*[,)]", 2, 1, ".groupby(...)"),
+    ("date_parse", rf"\.\s*to_datetime\s*\(\s*{_RIGHT}\s*[,)]", 2, 1, "to_datetime(...)"),
+    ("type_cast", rf"{_SUB}\s*\.\s*astype\s*\(", 2, 1, ".astype(...)"),
+    ("equality_set", rf"{_SUB}\s*\.\s*isin\s*\(", 2, 1, ".isin([...])"),
+    ("time_window", rf"{_SUB}\s*\.\s*between\s*\(", 2, 1, ".between(...)"),
+    ("denominator", rf"{_OVER}{_RIGHT}{_MORE}", 2, 1, "x / <col>"),
+    ("denominator", rf"{_OVER}\(\s*{_RIGHT}\s*\){_MORE}", 2, 1, "x / <col>"),
+    ("denominator", rf"{_OVER}\(\s*\(\s*{_RIGHT}\s*\)\s*\){_MORE}", 2, 1, "x / <col>"),
+    ("denominator", rf"{_OVER}([A-Za-z_]\w*+){_MORE}", 1, 0, "x / <col>"),
+    ("denominator", rf"{_OVER}\(\s*([A-Za-z_]\w*+)\s*\){_MORE}", 1, 0, "x / <col>"),
+    ("range_filter", rf"(?<![-+*/%@<>]\s{{0,9}}){_SUB}\s*(?:>=|<=|>|<)\s*{_NUMBER}", 2, 1, "df[col] > n"),
 ]
-PY_ASSIGN = r"^\s*(\w+)\[[\"']([^\"']+)[\"']\]\s*=(?!=)"
+PY_ASSIGN = rf"(?:^|;)\s*{_SUB}\s*=(?!=)"
 
 # R patterns on a whole script without comments.
 _R_READ = r"(?:read_csv2?|read\.csv|read_delim|read_tsv|read_parquet|read_excel|read_xlsx|readRDS|fread)"

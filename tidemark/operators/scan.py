@@ -122,33 +122,42 @@ def python_references(code: DataFrame) -> DataFrame:
 
 
 def python_usages(code: DataFrame, more: list[tuple[str, str, int, int, str]] | None = None) -> DataFrame:
-    """Usages of Python scripts. A data frame's table is that of its last read before the use, else the
-    script's first read. With two kinds of readers join keys are cross-system joins. Columns assigned
+    """Usages of Python scripts, found on logical lines, so calls may be laid over many lines. A data frame's table is
+    that of its last read before the use, else the script's first read before it; that of a column assigned is
+    its frame's last read in the script. With two kinds of readers join keys are cross-system joins. Columns assigned
     in a script that writes are output measures of medium confidence, once per element."""
     bare = code.select("model_id", F.col("code").alias("full"), blank("code", "Python").alias("code"))
     bare = bare.withColumn("__kinds", F.size(F.array_distinct(F.regexp_extract_all("code", F.lit(P.PY_READ_KIND), F.lit(1))))).withColumn("__writes", F.col("code").rlike(P.PY_WRITE_KIND))
-    # ``text`` has no strings with quotes in them, ``sums`` none with slashes either, ``whole`` has both
-    cut = lambda c: F.split(c, r"\r?\n")
+    # ``text`` has no strings with quotes in them, ``sums`` none with slashes either, ``whole`` has both; their
+    # logical lines are the same, for strings hold no line end and bracketed parts are taken as wholes
+    cut = lambda c: F.transform(F.regexp_extract_all(c, F.lit(P.PY_LOGICAL), F.lit(0)), lambda x: F.regexp_replace(x, r"\\\r?\n", " "))
     texts = F.arrays_zip(*[cut(c).alias(n) for n, c in (("whole", F.col("code")), *((n, F.regexp_replace("full", rx, "$1")) for n, rx in zip(("text", "sums"), PY_PLAIN, strict=True)))])
     lines = bare.select("model_id", "__kinds", "__writes", F.posexplode_outer(texts).alias("line", "t")).filter("t is not null").select("model_id", "__kinds", "__writes", "line", "t.*")
     uses = []
     for kind, rx, col, var, said in [*P.PY_USAGES, *(more or [])]:
         uses.append(_py_rows("sums" if kind == "denominator" else "text", kind, rx, col, var, said))
-    measure = F.transform(_hits("text", P.PY_ASSIGN, 1, 2), lambda h: F.struct(F.lit("output_measure").alias("kind"), h["g2"].alias("col"), h["g1"].alias("var"), F.concat(F.lit('df["'), h["g2"], F.lit('"] = ...; df.to_*()')).alias("evidence")))
+    measure = F.transform(_hits("text", P.PY_ASSIGN, 1, 2), lambda h: _py_row(F.lit("output_measure"), h["g2"], F.nullif(h["g1"], F.lit("")), F.concat(F.lit('df["'), h["g2"], F.lit('"] = ...; df.to_*()'))))
     uses.append(F.when(F.col("__writes"), measure).otherwise(F.filter(measure, lambda _: F.lit(False))))
-    hits = lines.select("model_id", "line", "__kinds", F.explode_outer(F.flatten(F.array(*uses))).alias("u")).filter("u is not null")
-    reads = lines.select("model_id", "line", F.explode_outer(_hits("whole", P.PY_READ, 1, 3)).alias("h")).filter("h is not null").select("model_id", "line", F.col("h.g1").alias("var"), path_stem("h.g3").alias("bound"))
-    first = reads.groupBy("model_id").agg(F.min_by("bound", "line").alias("default"))
+    # reads come with the uses, as rows whose column is the table they bind
+    uses.append(F.transform(_hits("whole", P.PY_READ, 1, 3), lambda h: _py_row(F.lit("read"), path_stem(h["g3"]), h["g1"], F.lit(""))))
+    rows = lines.select("model_id", "line", "__kinds", F.explode_outer(F.flatten(F.array(*uses))).alias("u")).filter("u is not null")
+    bound = F.when(F.col("u.kind") == "read", F.col("u.col"))
+    at = F.struct(F.when(F.col("u.kind") == "output_measure", F.lit(2**31 - 1)).otherwise(F.col("line")).alias("line"), F.when(bound.isNull(), 1).otherwise(0).alias("use"))
+    first = F.min(F.when(bound.isNotNull(), F.struct("line", bound.alias("bound")))).over(Window.partitionBy("model_id"))
+    rows = rows.select("model_id", "__kinds", "u", bound.alias("bound"), at.alias("at"), first.alias("first"))
     # the binding that holds at a use: the last one of its variable at or before its line
-    all_rows = hits.select("model_id", "line", "__kinds", F.col("u.var").alias("var"), F.lit(1).alias("use"), F.lit(None).cast("string").alias("bound"), "u").unionByName(
-        reads.select("model_id", "line", F.lit(0).alias("__kinds"), "var", F.lit(0).alias("use"), "bound", F.lit(None).cast(hits.schema["u"].dataType).alias("u"))
-    )
-    w = Window.partitionBy("model_id", "var").orderBy("line", "use").rowsBetween(Window.unboundedPreceding, 0)
-    held = all_rows.withColumn("table", F.when(F.col("var").isNotNull(), F.last("bound", True).over(w))).filter("use = 1").join(first, "model_id", "left")
+    last = F.last("bound", True).over(Window.partitionBy("model_id", "u.var").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    table = F.coalesce(F.when(F.col("u.var").isNotNull(), last), F.when(F.col("first.line") <= F.col("at.line"), F.col("first.bound")))
+    held = rows.withColumn("table", table).filter("bound is null")
     kind = F.when((F.col("u.kind") == "join_key") & (F.col("__kinds") >= 2), "cross_system_join").otherwise(F.col("u.kind"))
-    out = held.select("model_id", _qualified(F.coalesce("table", "default"), F.col("u.col")).alias("element"), kind.alias("usage_kind"), F.col("u.evidence").alias("evidence"), F.when(F.col("u.kind") == "output_measure", "Medium").otherwise("High").alias("confidence"))
-    measures = out.filter("usage_kind = 'output_measure'").dropDuplicates(["model_id", "element"])
-    return out.filter("usage_kind <> 'output_measure'").unionByName(measures)
+    out = held.select("model_id", _qualified(F.col("table"), F.col("u.col")).alias("element"), kind.alias("usage_kind"), F.col("u.evidence").alias("evidence"), F.when(F.col("u.kind") == "output_measure", "Medium").otherwise("High").alias("confidence"))
+    # one of the measures of an element, all of the others; a row number apart keeps them distinct without a second pass
+    nth = F.row_number().over(Window.partitionBy("model_id", "usage_kind", "element").orderBy("evidence"))
+    return out.withColumn("__n", nth).filter("__n = 1 or usage_kind <> 'output_measure'").drop("__n")
+
+
+def _py_row(kind: Column, col: Column, var: Column, evidence: Column) -> Column:
+    return F.struct(kind.alias("kind"), col.alias("col"), var.cast("string").alias("var"), evidence.alias("evidence"))
 
 
 def _py_rows(text: str, kind: str, rx: str, col: int, var: int, said: str) -> Column:
@@ -157,7 +166,7 @@ def _py_rows(text: str, kind: str, rx: str, col: int, var: int, said: str) -> Co
     def row(h: Column) -> Column:
         before, _, after = said.partition("{}")
         evidence = F.trim(h["m"]) if not said else F.concat(F.lit(before), h[f"g{col}"], F.lit(after)) if "{}" in said else F.lit(said)
-        return F.struct(F.lit(kind).alias("kind"), h[f"g{col}"].alias("col"), (h[f"g{var}"] if var else F.lit(None).cast("string")).alias("var"), evidence.alias("evidence"))
+        return _py_row(F.lit(kind), h[f"g{col}"], F.nullif(h[f"g{var}"], F.lit("")) if var else F.lit(None), evidence)
 
     return F.transform(_hits(text, rx, *groups), row)
 

@@ -403,3 +403,23 @@ def c_scan_usage_kinds(spark, d):
 UNION ALL SELECT 'P' || k, 'input', 'data/raw/' || n || '.csv' FROM b UNION ALL SELECT 'P' || k, 'input', 'in/late_' || n || '.parquet' FROM b WHERE {_bit(6)} UNION ALL SELECT 'R' || k, 'input', n || '.csv' FROM b""")
 def c_scan_more_references(spark, d):
     return S.scan_references(_bits(spark, d))
+
+
+# One script in four layouts, by the customer's key: a statement a line, arguments on lines of their own, calls on
+# lines of their own within brackets, and lines continued by backslashes.
+_LAYOUTS = [
+    "df = pd.read_csv('in/{n}.csv')\nm = df.merge(o, how='left', on='{c}_k')\ng = df.groupby('{c}_g').sum()\nr = 1 / (df['{c}_d'])\nt = df['{c}_t'].astype(int)\nf = df[df['{c}_f'] > 10]\ndf['{c}_o'] = 1\ndf.to_csv('out/{n}.csv')\n",
+    "df = pd.read_csv(\n    'in/{n}.csv',\n    sep=')',\n)\nm = df.merge(\n    o[['a', 'b']],  # on='no'\n    how='left',\n    on='{c}_k',\n)\ng = df.groupby(\n    '{c}_g'\n).sum()\nr = 1 / (\n    df['{c}_d']\n)\nt = df[\n    '{c}_t'\n].astype(int)\nf = df[\n    df['{c}_f']\n    > 10\n]\ndf[\n    '{c}_o'\n] = 1\ndf.to_csv(\n    'out/{n}.csv'\n)\n",
+    "df = (\n    pd\n    .read_csv('in/{n}.csv')\n)\nm = (\n    df\n    .merge(o, how='left', on='{c}_k')\n)\ng = (\n    df\n    .groupby('{c}_g')\n    .sum()\n)\nr = (\n    1\n    / (df['{c}_d'])\n)\nt = (\n    df['{c}_t']\n    .astype(int)\n)\nf = df[(\n    df['{c}_f'] > 10\n)]\ndf['{c}_o'] = (\n    1\n)\n(\n    df\n    .to_csv('out/{n}.csv')\n)\n",
+    "df = \\\n    pd.read_csv('in/{n}.csv')\nm = df \\\n    .merge(o, how=f('x', on='no'), on='{c}_k')\ng = df \\\n    .groupby('{c}_g').sum()\nr = 1 \\\n    / (df['{c}_d'])\nt = df['{c}_t'] \\\n    .astype(int)\nf = df[df['{c}_f'] \\\n    > 10]\ndf['{c}_o'] \\\n    = 1\ndf \\\n    .to_csv('out/{n}.csv')\n",
+]
+_LAID = [("_k", "join_key", ".merge(on=' || chr(39) || c || '_k' || chr(39) || ')"), ("_g", "aggregated", ".groupby(...)"), ("_d", "denominator", "x / <col>"), ("_t", "type_cast", ".astype(...)"), ("_f", "range_filter", "df[col] > n"), ("_o", "output_measure", 'df["\' || c || \'_o"] = ...; df.to_*()')]
+
+
+@query(f"WITH {_CB} " + " UNION ALL ".join(f"SELECT 'L' || k AS model_id, n || '.' || c || '{end}' AS element, '{kind}' AS usage_kind, '{said}' AS evidence, '{'Medium' if kind == 'output_measure' else 'High'}' AS confidence FROM b" for end, kind, said in _LAID).replace("\\'", "'"))
+def c_scan_layouts(spark, d):
+    """A Python script gives the same usages however its statements are laid out."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("n"), "c_nationkey").alias("n"), F.lower(F.substring("c_mktsegment", 1, 3)).alias("c"))
+    laid = F.element_at(F.array(*[F.lit(x) for x in _LAYOUTS]), (F.col("k") % len(_LAYOUTS) + 1).cast("int"))
+    code = F.replace(F.replace(laid, F.lit("{c}"), F.col("c")), F.lit("{n}"), F.col("n"))
+    return S.python_usages(c.select(F.concat(F.lit("L"), F.col("k").cast("string")).alias("model_id"), code.alias("code")))
