@@ -8,6 +8,7 @@ operator's docstring says otherwise.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -149,20 +150,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: Spans of more bytes are hashed by hashlib: for long ones, sums of powers modulo 2**64 can agree for different
+#: spans whatever the multiplier.
+LONG_SPAN = 64
+
+
 class SpanHash:
-    """64-bit hashes of any spans of a block, each in constant time from one running sum.
-    ``salt`` 0 and 1 give two independent hashes."""
+    """64-bit hashes of any spans of a block: short ones in constant time from one running sum, those of more than
+    LONG_SPAN bytes one by one. ``salt`` 0 and 1 give two independent hashes."""
 
     def __init__(self, data: np.ndarray, salt: int = 0) -> None:
         base = (_MULT, _MULT2)[salt]
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         n = len(data)
+        self.data, self.salt = data, bytes([salt])
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(n, f"p{salt}", base), out=self.sums[1:])
         self.back = _power(n + 1, f"i{salt}", inverse)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+        size = end - start
+        out = mix((self.sums[end] - self.sums[start]) * self.back[start] + size.astype(np.uint64))
+        long = np.flatnonzero(size > LONG_SPAN)
+        if len(long):
+            raw = np.ascontiguousarray(self.data)
+            digests = (hashlib.blake2b(raw[a:b], digest_size=8, key=self.salt).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True))
+            out[long] = np.frombuffer(b"".join(digests), np.uint64)
+        return out
 
 
 def shingles(word_hash: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

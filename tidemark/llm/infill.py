@@ -60,8 +60,7 @@ def cut_frames(data: bytes, frame_bytes: int) -> Iterator[tuple[int, int, int, i
     while lo < len(data):
         hi = min(lo + frame_bytes, len(data))
         for _ in range(3):
-            if hi < len(data) and hi > lo + 1 and data[hi] & 0xC0 == 0x80:
-                hi -= 1
+            hi += hi < len(data) and data[hi] & 0xC0 == 0x80
         yield lo, hi, units, points
         piece = data[lo:hi]
         goes_on = hi < len(data) and data[hi] not in _SPACES and piece[-1] not in _SPACES

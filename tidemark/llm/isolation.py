@@ -242,7 +242,7 @@ def keep_normal(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     good = labels.filter(F.col(label_col) == 1)
     sample = labelled_sample(usable, good.select(F.col(id_col).alias("doc"), F.col(label_col).alias("y")), "doc", "y", most_rows)[0]
     values = sample.orderBy("order", "doc").select("values").toArrow()["values"].to_pylist()
-    scored = staged(anomaly(rules, Forest.fit(np.array(values, float).reshape(len(values), -1), trees, size, MARGINS)), "anomaly")
+    scored = staged(anomaly(rules, Forest.fit(np.array(values, float).reshape(-1, len(MARGINS)), trees, size, MARGINS)), "anomaly")
     limits = thresholds(scored, labels, id_col, label_col)
     limit = F.element_at(F.array(*[F.lit(x) for x in limits]), band() + 1)
     # the same bins as in calibration

@@ -45,16 +45,20 @@ def _halves(n: int) -> tuple[int, int]:
 _CLASSES = [_days(range(1, 13), range(1, 13)), _days(range(1, 13), range(13, 32)), _days(range(1, 10), range(1, 10)), _days(range(10, 13), range(1, 10)), _days(range(1, 10), range(10, 32)), _days(range(1, 10), range(13, 32))]
 _LEAPS = [len(_LEAP) if "02-28" in c else 0 for c in _CLASSES]
 
-_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"
+#: A domain has no more than 126 labels besides the first (253 characters); of a longer one the rest
+#: stays as it is, like all of the domain. Without that bound the pattern's stack would grow with the labels.
+_EMAIL = r"(?<![[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]&&[^A-Za-z]][._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+){1,126}"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"
 _DAYS = {s: f"[0-9]{{4}}{c}[0-9]{{2}}{c}[0-9]{{2}}|[0-9]{{1,2}}{c}[0-9]{{1,2}}{c}[0-9]{{4}}" for s, c in (("-", "-"), ("/", "/"), (".", "[.]"))}
 _DATE = "|".join(_DAYS.values())
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _IP = r"[0-9]{1,3}(?:[.][0-9]{1,3}){3}"
 _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-#: No letter, digit, _ or @ touches a value. A sign with a digit beyond it bars a value only where it could
+#: No digit, _, @ or letter of an alphabet whose words are set apart touches a value (in other scripts a value may
+#: stand right beside a letter); so an address with such letters beyond ASCII stays as it is, as a whole. A sign with a digit beyond it bars a value only where it could
 #: carry on the same kind: 1.2.3.4:80, 1.2.3.4/24 and a date before T10:00 end there, 1.2.3.4.5 is no address.
-_HEAD, _TAIL = r"(?<![A-Za-z0-9_@])", r"(?![A-Za-z0-9_@])"
+_NEAR = r"0-9_@\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
+_HEAD, _TAIL = f"(?<![{_NEAR}])", f"(?![{_NEAR}])"
 
 
 def _alone(signs: str, pattern: str, tail: str = _TAIL) -> str:
@@ -62,7 +66,7 @@ def _alone(signs: str, pattern: str, tail: str = _TAIL) -> str:
     return rf"(?<![0-9][{signs}])(?:{pattern}){tail}(?![{signs}][0-9])"
 
 
-_DATES = "|".join(_alone(sign, days, "(?![A-SU-Za-su-z0-9_@])(?![Tt](?![0-9]{2}))") for sign, days in _DAYS.items())
+_DATES = "|".join(_alone(sign, days, f"(?![{_NEAR}&&[^Tt]])(?![Tt](?![0-9]{{2}}))") for sign, days in _DAYS.items())
 _RIGID = rf"{_DATES}|{_alone('-', _SSN)}|{_alone('.', _IP)}"
 #: What a number before it must not take in: other kinds, and for phones and IBANs digits laid out as a card.
 _US_PHONE = r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
@@ -96,7 +100,7 @@ def _ibans() -> str:
 
 
 #: All numbers joined by single spaces or hyphens that hold 13 digits or more: cards are sought in them.
-_END = r"(?![A-Za-z0-9_@])(?![.][0-9])"
+_END = f"{_TAIL}(?![.][0-9])"
 _RUN = rf"(?<![0-9][.-])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++{_END}(?:[ -](?!{_RIGID}|(?<= ){_US_PHONE}(?![0-9]))[0-9]++{_END})*+"
 PATTERN = rf"{_HEAD}(?:{_EMAIL}|{_ibans()}|{_RIGID}|{_phones()}|{_RUN})"
 #: Usual layouts of cards, preferred where several parts of a run have the right check digit.

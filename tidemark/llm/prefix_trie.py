@@ -94,8 +94,8 @@ def median_order(n: int) -> Iterator[int]:
             todo += [(middle + 1, hi), (lo, middle)]
 
 
-def shard_nodes(rows: list[tuple]) -> Iterator[tuple]:
-    """Node rows of one shard's sorted (segment number, key above, turns, sizes, goes on, n, low)."""
+def shard_nodes(rows: list[tuple], segment: int) -> Iterator[tuple]:
+    """Node rows of one shard's sorted (number of a segment of ``segment`` turns, key above, turns, sizes, goes on, n, low)."""
     lo = 0
     while lo < len(rows):
         hi = lo
@@ -108,7 +108,7 @@ def shard_nodes(rows: list[tuple]) -> Iterator[tuple]:
             path = tree.insert(turns, sizes, n, low)
             if goes_on or (k + lo) in (0, len(rows) - 1):
                 open_.update(path)
-        depth = [own[0][0] * SEGMENT]
+        depth = [own[0][0] * segment]
         keys = [own[0][1]]
         kids, leaves, saved = tree.totals(open_)
         yield keys[0], None, depth[0], 0, None, 0, kids[0], leaves[0], saved[0], True, None
@@ -228,7 +228,7 @@ def _subtrees(nodes: DataFrame, deepest: int) -> DataFrame:
     return now.select("key", "leaves", "saved")
 
 
-def trie(turns: DataFrame, convs: DataFrame, conv_col: str = "conv_id", shard_turns: int = SHARD_TURNS) -> DataFrame:
+def trie(turns: DataFrame, convs: DataFrame, conv_col: str = "conv_id", shard_turns: int = SHARD_TURNS, segment: int = SEGMENT) -> DataFrame:
     """One row per node of the trie over the conversations ``convs`` (conv), each once, whose ``turns`` (conv, pos, tid, size)
     are at positions from 1 on without gaps: ``conv_col`` (the smallest member), depth, parent, n_convs, n_children,
     n_leaves, saved_tokens and ends_sha256."""
@@ -249,8 +249,8 @@ def trie(turns: DataFrame, convs: DataFrame, conv_col: str = "conv_id", shard_tu
 
         return _stream(seg_schema, made(), 2000)
 
-    seg = F.floor((F.col("pos") - 1) / SEGMENT).cast("long")
-    items = F.array_sort(F.collect_list(F.struct("pos", "tid", "size")))  # SEGMENT of them at most
+    seg = F.floor((F.col("pos") - 1) / segment).cast("long")
+    items = F.array_sort(F.collect_list(F.struct("pos", "tid", "size")))  # ``segment`` of them at most
     segs = turns.groupBy("conv", seg.alias("seg")).agg(items.alias("items")).select("conv", "seg", F.col("items.tid").alias("turns"), F.col("items.size").alias("sizes"))
     segs = staged(segs.repartition("conv").sortWithinPartitions("conv", "seg").mapInArrow(chain, _ddl(seg_schema)), "segments")
 
@@ -271,9 +271,9 @@ def trie(turns: DataFrame, convs: DataFrame, conv_col: str = "conv_id", shard_tu
                 held.append(r)
                 size += len(r[2])
                 if size >= shard_turns:
-                    yield from shard_nodes(held)
+                    yield from shard_nodes(held, segment)
                     held, size = [], 0
-            yield from shard_nodes(held)
+            yield from shard_nodes(held, segment)
 
         return _stream(node_schema, made())
 
@@ -311,14 +311,14 @@ def trie(turns: DataFrame, convs: DataFrame, conv_col: str = "conv_id", shard_tu
     )
 
 
-def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text", shard_turns: int = SHARD_TURNS) -> DataFrame:
+def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text", shard_turns: int = SHARD_TURNS, segment: int = SEGMENT) -> DataFrame:
     """The trie of conversations as they stand: a row per different sequence of first turns, as :func:`trie` gives it.
 
     Turns are ordered by ``order_col``, nulls first, equal ones by the hash of role and text; a null role or text is
     empty; rows that repeat are turns of their own; rows without a conversation belong to none. An empty table has
     no node, any other a root."""
     rows, runs = placed(encoded(conversations, conv_col, order_col, role_col, text_col))
-    return trie(positions(rows, runs), runs.select("conv").distinct(), conv_col, shard_turns)
+    return trie(positions(rows, runs), runs.select("conv").distinct(), conv_col, shard_turns, segment)
 
 
 def rebuilt(rows: DataFrame, runs: DataFrame, group: int = 5, most: int = 9) -> tuple[DataFrame, DataFrame]:
