@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
 from tidemark.functions.ordered import first_by, ordered_set
-from tidemark.functions.scratch import written
 
 DATE_STATEMENT = "Valid date; within plausible range"
 # The rule that each usage kind gives: (usage kind, dimension, severity, statement).
@@ -58,12 +57,26 @@ def rule_totals(candidates: DataFrame) -> DataFrame:
     return by.select("rule_id", "f.*", "n_models", "ord")
 
 
+def _count_models(rules: DataFrame, own: DataFrame, of: DataFrame, models: DataFrame) -> DataFrame:
+    """``rules`` with ``n_models``: the models of ``own(rule_id, model_id)`` and of the tables ``of(rule_id, name)``, once each.
+    The models of a rule's largest table are counted by table; only others are compared, so no rule meets the
+    models of its table one by one."""
+    named = models.select("name", "model_id").distinct()
+    sizes = named.groupBy("name").agg(F.count("*").alias("size"))
+    main = of.join(sizes, "name").groupBy("rule_id").agg(F.max_by("name", F.struct("size", "name")).alias("main"), F.max("size").alias("size"), F.count("*").alias("tables"))
+    rest = of.join(main.filter("tables > 1"), "rule_id").filter("name <> main").join(named, "name").select("rule_id", "model_id")
+    more = own.select("rule_id", "model_id").unionByName(rest).distinct().join(main.select("rule_id", "main"), "rule_id", "left")
+    new = more.join(named.withColumnRenamed("name", "main"), ["main", "model_id"], "left_anti").groupBy("rule_id").agg(F.count("*").alias("more"))
+    zero = F.lit(0)
+    out = rules.join(main.select("rule_id", "size"), "rule_id", "left").join(new, "rule_id", "left")
+    return out.withColumn("n_models", F.coalesce("size", zero) + F.coalesce("more", zero)).drop("size", "more")
+
+
 def attributed_totals(candidates: DataFrame, models: DataFrame) -> DataFrame:
     """(rule_id, n_models) with the models of the element's table, ``table_models``, counted once beside the rule's own."""
-    rules = _keyed(candidates).groupBy("rule_id").agg(first_by("element", "ord").alias("element")).withColumn("name", ids.element_table("element"))
-    theirs = rules.join(models.select("name", "model_id").distinct(), "name").select("rule_id", "model_id")
-    own = rules.select("rule_id", F.lit(None).cast("string").alias("model_id")).unionByName(rule_models(candidates).select("rule_id", "model_id"))
-    return own.unionByName(theirs).distinct().groupBy("rule_id").agg(F.count("model_id").alias("n_models"))
+    rules = _keyed(candidates).groupBy("rule_id").agg(first_by("element", "ord").alias("element"))
+    of = rules.select("rule_id", ids.element_table("element").alias("name")).filter("name is not null")
+    return _count_models(rules.select("rule_id"), rule_models(candidates), of, models)
 
 
 def usage_candidates(usages: DataFrame, mapping: list[tuple[str, str, str, str]] | None = None) -> DataFrame:
@@ -77,28 +90,47 @@ def usage_candidates(usages: DataFrame, mapping: list[tuple[str, str, str, str]]
     )
 
 
-def baseline_candidates(tables: DataFrame, columns: DataFrame, include_roles: tuple[str, ...] = ("Source", "Intermediate", "Output"), models: DataFrame | None = None) -> DataFrame:
-    """Candidates per column and name shape, one per touching model (producers before consumers); they
-    come before all usage rules. With ``models``, the rows of ``table_models``, no array of models is needed."""
-    t = tables.filter(F.col("role").isin(*include_roles)).select("table_id", F.col("name").alias("__table"), *([F.array_distinct(F.concat("produced_by", "consumed_by")).alias("__models")] if models is None else []))
-    c = columns.join(t, "table_id").withColumn("element", F.concat("__table", F.lit("."), "name"))
+def baseline_rows(tables: DataFrame, columns: DataFrame, include_roles: tuple[str, ...] = ("Source", "Intermediate", "Output"), models: DataFrame | None = None) -> DataFrame:
+    """A candidate, without a model, per column and name shape, before all usage rules; ``table`` is its table. With
+    ``models``, the rows of ``table_models``, it stands where its table's first model does."""
+    t = tables.filter(F.col("role").isin(*include_roles)).select("table_id", F.col("name").alias("table"))
+    if models is not None:
+        t = t.join(models.groupBy("table_id").agg(F.min(_model_order()).alias("a")), "table_id", "left")
+    return _by_shape(columns.join(t, "table_id"), F.coalesce("a", F.lit(0).cast("long")) if models is not None else F.lit(0).cast("long"), "table")
+
+
+def _model_order() -> Column:
+    """Producers before consumers, by their order."""
+    return F.col("ord").cast("long") + F.when(F.col("direction") == "output", 0).otherwise(1 << 61)
+
+
+def _by_shape(c: DataFrame, a: Column, *more: str) -> DataFrame:
     made = [
         F.when(F.lit(True) if shape is None else F.col("name").rlike(shape), F.struct(F.lit(dim).alias("dimension"), F.lit(st).alias("rule_statement"), F.lit(sev).alias("severity"), F.lit(conf).alias("confidence"), F.lit(i).cast("long").alias("b")))
         for i, (shape, dim, sev, st, conf) in enumerate(BASELINE_RULES)
     ]
-    rules = F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("r")
-    if models is None:
-        rows = c.select("element", "__models", rules).select("element", "r.*", F.posexplode_outer("__models").alias("a", "model_id"))
-    else:
-        at = F.col("ord").cast("long") + F.when(F.col("direction") == "output", 0).otherwise(1 << 61)
-        first = models.groupBy("table_id", "model_id").agg(F.min(at).alias("a"))
-        rows = c.select("table_id", "element", rules).join(first, "table_id", "left").select("element", "r.*", "a", "model_id")
+    rows = c.withColumn("element", F.concat("table", F.lit("."), "name")).withColumn("__a", a).withColumn("r", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())))
+    model = F.col("model_id") if "model_id" in c.columns else F.lit(None).cast("string").alias("model_id")
     return rows.select(
-        "element", "dimension", "rule_statement", F.lit("baseline data-element expectation").alias("rationale"), F.lit("").alias("code_evidence"), "severity", F.lit("H").alias("source"), "confidence", F.lit("Proposed").alias("status"), "model_id",
-        F.struct(F.lit(0).alias("stage"), F.coalesce(F.col("a").cast("long"), F.lit(0).cast("long")).alias("a"), "b").alias("ord"),
+        "element", "r.dimension", "r.rule_statement", F.lit("baseline data-element expectation").alias("rationale"), F.lit("").alias("code_evidence"), "r.severity", F.lit("H").alias("source"), "r.confidence", F.lit("Proposed").alias("status"), model,
+        F.struct(F.lit(0).alias("stage"), F.col("__a").alias("a"), F.col("r.b").alias("b")).alias("ord"), *more,
     )
 
 
+def baseline_candidates(tables: DataFrame, columns: DataFrame, include_roles: tuple[str, ...] = ("Source", "Intermediate", "Output")) -> DataFrame:
+    """Candidates per column and name shape, one per touching model (producers before consumers); they come before
+    all usage rules. Their number is columns by models: for counts take ``baseline_rows``."""
+    t = tables.filter(F.col("role").isin(*include_roles)).select("table_id", F.col("name").alias("table"), F.posexplode_outer(F.array_distinct(F.concat("produced_by", "consumed_by"))).alias("at", "model_id"))
+    return _by_shape(columns.join(t, "table_id"), F.coalesce(F.col("at").cast("long"), F.lit(0).cast("long")))
+
+
+def baseline_totals(tables: DataFrame, columns: DataFrame, models: DataFrame, include_roles: tuple[str, ...] = ("Source", "Intermediate", "Output")) -> DataFrame:
+    """The register from column names alone, with ``n_models`` counted by table."""
+    rows = _keyed(baseline_rows(tables, columns, include_roles, models))
+    rules = rows.groupBy("rule_id").agg(first_by(F.struct(*_FIELDS), "ord").alias("f"), F.min("ord").alias("ord")).select("rule_id", "f.*", "ord")
+    return _count_models(rules, rule_models(rows.limit(0)), rows.select("rule_id", F.col("table").alias("name")).distinct(), models)
+
+
 def infer_rules(usages: DataFrame) -> DataFrame:
     """The register from usages alone. ``usages(element, usage_kind, evidence, model_id, ord)``."""
     return _finish(usage_candidates(usages))
@@ -123,10 +155,14 @@ def register(usages: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFr
 
 
 def register_totals(usages: DataFrame, tables: DataFrame, columns: DataFrame, models: DataFrame) -> DataFrame:
-    """``register`` with ``n_models`` instead of the models, from ``table_totals`` and ``table_models``. The
-    candidates are written once, for they are counted in three ways."""
-    both = written(baseline_candidates(tables, columns, models=models).unionByName(usage_candidates(usages)), "candidates")
-    return rule_totals(both).drop("n_models").join(attributed_totals(both, models), "rule_id")
+    """``register`` with ``n_models`` instead of the models, from ``table_totals`` and ``table_models``. A column has a
+    candidate for each name shape, not for each model of its table."""
+    base, used = baseline_rows(tables, columns, models=models), usage_candidates(usages)
+    keyed = _keyed(base.unionByName(used.withColumn("table", F.lit(None).cast("string"))))
+    one = keyed.groupBy("rule_id", "model_id", "table").agg(first_by(F.struct(*_FIELDS), "ord").alias("f"), F.min("ord").alias("ord"))
+    rules = one.groupBy("rule_id").agg(first_by("f", "ord").alias("f"), F.min("ord").alias("ord")).select("rule_id", "f.*", "ord")
+    of = one.select("rule_id", F.explode(F.array_distinct(F.array("table", ids.element_table("f.element")))).alias("name")).filter("name is not null").distinct()
+    return _count_models(rules, one.filter("model_id is not null"), of, models)
 
 
 def merge_proposals(rules: DataFrame, proposals: DataFrame) -> DataFrame:

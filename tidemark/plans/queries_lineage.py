@@ -162,7 +162,7 @@ _B = "b AS (SELECT tname || '.' || name AS element, tname, unnest(list_concat(['
 @query(f"WITH {_B} SELECT {_RID} AS rule_id, element, dimension, rule_statement, t.n_all AS n_models FROM bb JOIN (SELECT canon, count(DISTINCT model_id) AS n_all FROM refs GROUP BY canon) t ON t.canon = tname")
 def e2_baseline_rules(spark, d):
     refs = S.refs(spark, d)
-    return R.rule_totals(R.baseline_candidates(L.table_totals(refs), L.assemble_columns(refs), models=L.table_models(refs))).select("rule_id", "element", "dimension", "rule_statement", "n_models")
+    return R.baseline_totals(L.table_totals(refs), L.assemble_columns(refs), L.table_models(refs)).select("rule_id", "element", "dimension", "rule_statement", "n_models")
 
 
 @query(f"WITH {_U}, {_B}, a AS (SELECT element, dimension, rule_statement, 0 AS stage, '' AS code_evidence, 0 AS ord FROM bb UNION ALL SELECT element, dimension, rule_statement, 1, evidence, ord FROM u) SELECT {_RID} AS rule_id, element, dimension, rule_statement, arg_min(code_evidence, stage * 1000000000 + ord) AS code_evidence FROM a GROUP BY element, dimension, rule_statement")
