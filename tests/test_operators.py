@@ -18,6 +18,7 @@ from tidemark.operators import reports as P
 from tidemark.operators import rules as R
 from tidemark.operators import runs as H
 from tidemark.operators import scan as S
+from tidemark.operators import store as ST
 from tidemark.plans import state
 from tidemark.sources.extractions import parse_extractions
 from tidemark.sources.files import read_code
@@ -263,8 +264,8 @@ def test_overrides_last_wins_and_review(spark):
 
 def test_override_log_round_trip(spark, tmp_path):
     o = spark.createDataFrame([("r1", 2, "x", "f", "b"), ("r1", 1, "x", "f", "a"), ("r2", 1, "y", "f", "c")], "run_id string, seq long, target string, field string, new string")
-    H.log_overrides(o, f"file://{tmp_path}/log")
-    assert [r.new for r in H.read_overrides(spark, f"file://{tmp_path}/log", "r1").collect()] == ["a", "b"]
+    ST.log_overrides(o, f"file://{tmp_path}/log")
+    assert [r.new for r in ST.read_overrides(spark, f"file://{tmp_path}/log", "r1").collect()] == ["a", "b"]
 
 
 def test_scrub_only_in_local_mode(spark):
@@ -343,3 +344,40 @@ def test_python_calls_over_lines_and_nested(spark):
 def test_python_broken_and_long_scripts(spark, text):
     """A bracket without a partner falls back to physical lines; neither many nor deep brackets stop a scan."""
     assert ("a", "equality_set") in {(r.element, r.usage_kind) for r in S.python_usages(code(spark, "Python", text)).collect()}
+
+
+def test_run_store_publishes_whole_runs(spark, tmp_path):
+    """Ids that read as numbers stay apart, and a save that stops between two kinds leaves the run as it was."""
+    path = f"file://{tmp_path}/store"
+    kinds = lambda word: {"models": spark.createDataFrame([("m1", word)], "model_id string, v string"), "issues": spark.createDataFrame([(word,)], "message string")}
+    for run_id in ("12", "0012", "1e5", "2024-01-02"):
+        ST.save_run(kinds(f"of {run_id}"), path, run_id)
+    read = lambda kind, run_id: [tuple(r) for r in ST.load_run(spark, path, kind, run_id).collect()]
+    assert read("models", "12") == [("m1", "of 12", "12")] and read("models", "0012") == [("m1", "of 0012", "0012")] and read("issues", "1e5") == [("of 1e5", "1e5")]
+    broken = kinds("new") | {"issues": spark.range(1).select(F.raise_error(F.lit("stopped")).cast("string").alias("message"))}
+    with pytest.raises(Exception, match="stopped"):
+        ST.save_run(broken, path, "12")
+    assert read("models", "12") == [("m1", "of 12", "12")] and read("issues", "12") == [("of 12", "12")]
+    assert sorted(r.run_id for r in ST.load_run(spark, path, "models").collect()) == ["0012", "12", "1e5", "2024-01-02"]
+    ST.save_run({"models": kinds("again")["models"]}, path, "12")
+    assert read("models", "12") == [("m1", "again", "12")] and read("issues", "12") == [] and read("models", "none") == []
+    o = spark.createDataFrame([(r, 1, r) for r in ("12", "0012", "1e5")], "run_id string, seq long, new string")
+    ST.log_overrides(o, f"{path}-log")
+    assert [tuple(r) for r in ST.read_overrides(spark, f"{path}-log", "0012").select("run_id", "new").collect()] == [("0012", "0012")]
+
+
+def test_stored_diff_reads_changed_ranges_only(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    old = spark.range(5000).select(F.col("id").cast("string").alias("model_id"), (F.col("id") * 2).alias("v"), F.lit(None).cast("string").alias("w"))
+    rng = random.Random(4)
+    odd = rng.sample(range(5000), 8)
+    new = old.filter(~F.col("model_id").isin([str(k) for k in odd[:2]])).withColumn("v", F.when(F.col("model_id").isin([str(k) for k in odd[2:7]]), -1).otherwise(F.col("v"))).unionByName(spark.createDataFrame([("new", 1, "x")], "model_id string, v long, w string"))
+    versions = [ST.save_run({"models": df}, path, run_id) for df, run_id in ((old, "a"), (new, "b"), (old, "c"))]
+    got = sorted(map(tuple, ST.diff_stored(spark, path, "models", "a", "b").collect()))
+    assert got == sorted(map(tuple, H.diff(old, new, "model_id", "models").collect())) and len(got) == 8
+    ranges = ST.changed_ranges(spark, path, "models", *versions[:2])
+    assert 1 <= len(ranges) <= 8 and ST.changed_ranges(spark, path, "models", versions[0], versions[2]) == []
+    read = spark.read.parquet(f"{path}/models/__version={versions[0]}").filter(F.col("__range").isin(ranges)).select(F.input_file_name()).distinct().count()
+    assert read == len(ranges) and ST.diff_stored(spark, path, "models", "a", "c").count() == 0
+    ST.save_run({"models": new}, path, "d", ranges=8)
+    assert sorted(map(tuple, ST.diff_stored(spark, path, "models", "a", "d").collect())) == got

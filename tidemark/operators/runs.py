@@ -1,10 +1,10 @@
-"""Run history: partitioned Parquet store, listing, diff, overrides, incremental recompute, retention."""
+"""Run history: listing, diff, overrides, incremental recompute, retention. The store is in ``store``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,26 +12,6 @@ from pyspark.sql.window import Window
 ENTITY_IDS = {"models": "model_id", "tables": "table_id", "table_edges": "edge_id", "column_edges": "edge_id", "dq_rules": "rule_id"}
 
 
-def save_run(state: dict[str, DataFrame], path: str, run_id: str) -> None:
-    """Write each table of ``state`` under ``path``, one folder per kind, replacing this run's partition
-    only. A table that has no rows for the run leaves the partition of an earlier save empty."""
-    for kind, df in state.items():
-        out = df.withColumn("run_id", F.lit(run_id)).select(*[c for c in df.columns if c != "run_id"], "run_id")
-        out.drop("run_id").write.mode("overwrite").parquet(f"{path}/{kind}/run_id={run_id}")
-
-
-def load_run(spark: SparkSession, path: str, kind: str, run_id: str | None = None) -> DataFrame:
-    """A kind's rows of one run (the partition alone is read) or of all runs."""
-    df = spark.read.parquet(f"{path}/{kind}")
-    return df if run_id is None else df.filter(F.col("run_id") == run_id)
-
-
-def entity_ids(spark: SparkSession, path: str, kind: str, run_id: str) -> DataFrame:
-    """Sorted ids of a kind in one run."""
-    key = ENTITY_IDS[kind]
-    return load_run(spark, path, kind, run_id).select(key).distinct().orderBy(key)
-
-
 def list_runs(runs: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` runs (ties by id) with a count column per kind. ``entities(run_id, kind, ...)``."""
     newest = runs.orderBy(F.desc("timestamp"), "run_id").limit(limit)
@@ -69,15 +49,6 @@ def diff_runs(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def log_overrides(overrides: DataFrame, path: str) -> None:
-    """Append to the log."""
-    overrides.write.mode("append").partitionBy("run_id").parquet(path)
-
-
-def read_overrides(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("run_id") == run_id).orderBy("seq")
-
-
 def apply_overrides(entities: DataFrame, key: Column | str, overrides: DataFrame, fields: list[str]) -> DataFrame:
     """``entities`` with the last write of each (target, field) applied. An edit of another field also
     sets ``review_status`` to Accepted, unless a later write sets that itself. ``key`` is the target id

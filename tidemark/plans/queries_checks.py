@@ -341,7 +341,7 @@ def j3_event_windows_late(spark, d):
 @query("SELECT c_custkey * 10 + 1 AS seq, CAST(c_custkey AS VARCHAR) AS target, 'role' AS field, 'Output' AS new FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 1")
 def h7_override_log(spark, d):
     """Overrides of three runs appended in two writes, those of one run read back."""
-    from tidemark.operators import runs as H
+    from tidemark.operators import store as H
 
     path = f"{shared_dir(spark)}/overrides-{uuid.uuid4().hex}"
     c = table(spark, d, "customer").select(F.concat(F.lit("r"), (F.col("c_custkey") % 3).cast("string")).alias("run_id"), (F.col("c_custkey") * 10 + 1).alias("seq"), F.col("c_custkey").cast("string").alias("target"), F.lit("role").alias("field"), F.lit("Output").alias("new"))

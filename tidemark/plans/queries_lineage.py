@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
+from tidemark.functions.scratch import shared_dir
 from tidemark.operators import graph as G
 from tidemark.operators import lineage as L
 from tidemark.operators import reports as P
 from tidemark.operators import rules as R
 from tidemark.operators import runs as H
+from tidemark.operators import store as ST
 
 from . import state as S
 from .state import CTE, table
@@ -317,30 +321,46 @@ def h6_diff(spark, d):
     return H.diff_runs({"models": a}, {"models": b})
 
 
+@_plain("""
+SELECT 'models' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'added' WHEN o_orderkey % 13 = 0 THEN 'removed' ELSE 'changed' END AS change
+FROM orders WHERE NOT (o_orderkey % 11 = 0 AND o_orderkey % 13 = 0) AND (o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 7 = 0)
+""")
+def h6_diff_stored(spark, d):
+    """Two runs saved to the store, whose ids read as numbers, compared by their trees of digests."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    for run_id, rows in zip(("12", "0012"), _versions(spark, d), strict=True):
+        ST.save_run({"models": rows}, path, run_id)
+    return ST.diff_stored(spark, path, "models", "12", "0012")
+
+
+@_plain("SELECT r AS run_id, CASE WHEN r = '12' THEN 'second' ELSE 'first' END AS save, count(*) AS n FROM orders, (VALUES ('12'), ('0012'), ('1e5'), ('2024-01-02')) v(r) WHERE o_orderkey % length(r) = 0 GROUP BY r")
+def h1_runs_by_any_id(spark, d):
+    """Runs whose ids read as numbers and dates, one of them saved twice, read back all at once."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("model_id"), "o_orderkey")
+    for run_id, save in (("12", "unused"), ("0012", "first"), ("1e5", "first"), ("2024-01-02", "first"), ("12", "second")):
+        ST.save_run({"models": o.filter(F.col("o_orderkey") % len(run_id) == 0).withColumn("save", F.lit(save))}, path, run_id, ranges=8)
+    return ST.load_run(spark, path, "models").groupBy("run_id", "save").agg(F.count("*").alias("n"))
+
+
 @_plain("SELECT id FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 3 = 0)")
 def h3_entity_ids(spark, d):
     """Save two runs to the store and list the ids of one."""
-    from tidemark.functions.scratch import shared_dir
-    import uuid
-
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("model_id"), "o_orderstatus")
-    H.save_run({"models": o}, path, "r1")
-    H.save_run({"models": o.filter(F.col("model_id").cast("long") % 3 == 0)}, path, "r2")
-    return H.entity_ids(spark, path, "models", "r2").select(F.col("model_id").alias("id"))
+    ST.save_run({"models": o}, path, "r1")
+    ST.save_run({"models": o.filter(F.col("model_id").cast("long") % 3 == 0)}, path, "r2")
+    return ST.entity_ids(spark, path, "models", "r2").select(F.col("model_id").alias("id"))
 
 
 @_plain("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1")
 def h1_save_load(spark, d):
     """A run saved twice holds the second state only."""
-    from tidemark.functions.scratch import shared_dir
-    import uuid
-
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    H.save_run({"models": o}, path, "r1")
-    H.save_run({"models": o.filter("o_orderkey % 5 = 0")}, path, "r1")
-    return H.load_run(spark, path, "models", "r1").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    ST.save_run({"models": o}, path, "r1")
+    ST.save_run({"models": o.filter("o_orderkey % 5 = 0")}, path, "r1")
+    return ST.load_run(spark, path, "models", "r1").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 _KINDS = ["models", "tables", "table_edges", "column_edges", "dq_rules"]
