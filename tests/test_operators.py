@@ -381,3 +381,80 @@ def test_stored_diff_reads_changed_ranges_only(spark, tmp_path):
     assert read == len(ranges) and ST.diff_stored(spark, path, "models", "a", "c").count() == 0
     ST.save_run({"models": new}, path, "d", ranges=8)
     assert sorted(map(tuple, ST.diff_stored(spark, path, "models", "a", "d").collect())) == got
+
+
+def _graph(spark, pairs, sources, outputs):
+    names = sorted({x for p in pairs for x in p} | set(sources) | set(outputs))
+    role = lambda n: "Source" if n in sources else "Output" if n in outputs else "Intermediate"
+    return spark.createDataFrame([(n, role(n)) for n in names], "table_id string, role string"), spark.createDataFrame(pairs, "source_table_id string, target_table_id string")
+
+
+def test_path_counts_of_layered_diamonds(spark):
+    """2**6 paths in six diamonds, none of them listed; a parallel edge and a loop change nothing."""
+    n = 6
+    pairs = [p for k in range(n) for p in ((f"j{k:02}", f"a{k:02}"), (f"j{k:02}", f"b{k:02}"), (f"a{k:02}", f"j{k + 1:02}"), (f"b{k:02}", f"j{k + 1:02}"))] + [("j00", "a00"), ("j03", "j03")]
+    tables, edges = _graph(spark, pairs, {"j00"}, {f"j{n:02}"})
+    found, parts = G.path_counts(tables, edges)
+    assert [(r.source, r.output, int(r.n_paths)) for r in found.collect()] == [("j00", f"j{n:02}", 2**n)] and parts.count() == 0
+
+
+@pytest.mark.parametrize("seed", [0])
+def test_components_counts_and_shortest_paths_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    nodes = [f"n{i}" for i in range(12)]
+    pairs = [(a, b) for a, b in ((rng.choice(nodes), rng.choice(nodes)) for _ in range(17))]
+    after = {n: {b for a, b in pairs if a == n and b != n} for n in nodes}
+
+    def reach(n):
+        seen, todo = set(), [n]
+        while todo:
+            for m in after[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        return seen
+
+    far = {n: reach(n) for n in nodes}
+    part = {n: max([m for m in nodes if m in far[n] and n in far[m]] or [n]) for n in nodes}
+    tables, edges = _graph(spark, pairs, {"n0", "n1", "n2"}, {"n9", "n10", "n11"})
+    got = {r.node: r.component for r in G.strong_components(edges).collect()}
+    groups = lambda d: sorted(sorted(n for n in d if d[n] == c) for c in set(d.values()))
+    assert groups(got) == [g for g in groups(part) if len(g) > 1]
+    name = lambda n: got.get(n, n)
+    short = {}
+    for a, b in pairs:
+        if name(a) != name(b):
+            short.setdefault(name(a), set()).add(name(b))
+
+    def ways(path):
+        yield path
+        for m in short.get(path[-1], ()):
+            yield from ways([*path, m])
+
+    want = {(s, o): sorted((p for p in ways([name(s)]) if p[-1] == name(o)), key=lambda p: (len(p), p)) for s in ("n0", "n1", "n2") for o in ("n9", "n10", "n11")}
+    have = {r.table_id for r in tables.collect()}
+    want = {k: v for k, v in want.items() if v and set(k) <= have}
+    assert {(r.source, r.output): int(r.n_paths) for r in G.path_counts(tables, edges)[0].collect()} == {k: len(v) for k, v in want.items()}
+    few = {}
+    for r in G.shortest_paths(tables, edges, 2)[0].collect():
+        few.setdefault((r.source, r.output), []).append(list(r.path))
+    assert {k: sorted(v, key=lambda p: (len(p), p)) for k, v in few.items()} == {k: v[:2] for k, v in want.items()}
+
+
+def test_reachable_with_more_seeds_than_bits(spark):
+    """A cycle of 150 nodes, all of them seeds, with a shortcut."""
+    n = 150
+    pairs = [(f"v{k:03}", f"v{(k + 1) % n:03}") for k in range(n)] + [("v000", "v100")]
+    edges = spark.createDataFrame(pairs, "source_table_id string, target_table_id string")
+    seeds = spark.createDataFrame([(a,) for a, _ in pairs[::10]], "seed string")
+    got = {(r.seed, r.node): r.depth for r in G.reachable(edges.filter("source_table_id < 'v030' or source_table_id >= 'v140'"), seeds).collect()}
+    near = {a: set() for a, _ in pairs}
+    for a, b in pairs:
+        if a < "v030" or a >= "v140":
+            near[a].add(b)
+    want = {}
+    for (s,) in [(a,) for a, _ in pairs[::10]]:
+        todo, depth = {s}, 0
+        while todo:
+            want |= {(s, x): depth for x in todo}
+            todo, depth = {y for x in todo for y in near[x]} - {x for (q, x) in want if q == s}, depth + 1
+    assert got == want

@@ -216,6 +216,25 @@ def g2_source_to_output_paths(spark, d):
     return paths.select(F.array_join("path", ">").alias("path"), F.size("path").alias("n"))
 
 
+_WAYS = "WITH RECURSIVE h AS (SELECT DISTINCT source_table_id AS s, target_table_id AS t FROM edges), w AS (SELECT [table_id] AS path, table_id AS last FROM tabs WHERE role = 'Source' UNION ALL SELECT list_append(path, t), t FROM w JOIN h ON last = s WHERE NOT list_contains(path, t)), ways AS (SELECT path[1] AS source, last AS output, path FROM w JOIN tabs ON table_id = last WHERE role = 'Output' AND len(path) > 1)"
+
+
+@query(_WAYS + " SELECT source, output, CAST(count(*) AS BIGINT) AS n_paths FROM ways GROUP BY ALL")
+def g2_path_counts(spark, d):
+    """Ways from sources to outputs, counted level by level."""
+    refs = S.refs(spark, d)
+    found, _ = G.path_counts(L.assemble_tables(refs), L.table_edges(refs, S.lineage_rows(spark, d)))
+    return found.withColumn("n_paths", F.col("n_paths").cast("long"))
+
+
+@query(_WAYS + " SELECT source, output, array_to_string(path, '>') AS path FROM ways QUALIFY row_number() OVER (PARTITION BY source, output ORDER BY len(path), path) <= 3")
+def g2_shortest_paths(spark, d):
+    """The three shortest ways from each source to each output."""
+    refs = S.refs(spark, d)
+    found, _ = G.shortest_paths(L.assemble_tables(refs), L.table_edges(refs, S.lineage_rows(spark, d)), 3)
+    return found.select("source", "output", F.array_join("path", ">").alias("path"))
+
+
 @query("WITH RECURSIVE h AS (SELECT DISTINCT source_table_id AS s, target_table_id AS t FROM edges), w AS (SELECT table_id AS seed, table_id AS node, 0 AS depth FROM tabs WHERE role = 'Source' UNION SELECT seed, t, depth + 1 FROM w JOIN h ON node = s WHERE depth < 10) SELECT seed, node, min(depth) AS depth FROM w GROUP BY seed, node")
 def g3_reachable(spark, d):
     refs = S.refs(spark, d)
