@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import jaccard, pieces, pii, ppm, sample, tiling
@@ -58,3 +59,47 @@ def test_samples_with_clashing_names(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "label long, toxic int")
     got = sample.labelled_sample(docs, labels, "label", "toxic", 5)[0]
     assert sorted((r.text, r.label) for r in got.collect()) == [("a", 1), ("b", 0)]
+
+
+def test_long_texts_are_encoded_in_parts(spark, monkeypatch):
+    """Parts give the ids of the whole text, whatever stands at their ends."""
+    texts = ["one two three  four " * 40, "a▁ b ▁ c" * 60, "x" * 500 + " y " + "z" * 500, "é ü▁ß  " * 70, " " * 300 + "end", "\n\t a b\n c" * 50, "▁ " * 200, "word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: list(r.ids) for r in pieces.encode(docs).collect()}
+    coder = pieces.Encoder(pieces.load())
+    for size in (5, 16, 64):
+        for i, t in enumerate(texts):
+            raw = np.frombuffer(t.encode(), np.uint8)
+            cuts = list(coder.parts(raw, size))
+            assert cuts[0][0] == 0 and cuts[-1][1] == len(raw) and all(a[1] == b[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+            monkeypatch.setattr(pieces, "BLOCK_BYTES", size)
+            ids, first, same = pieces._in_parts(coder, raw, True)
+            assert ids.tolist() == want[i] and first.tolist() == [0, len(ids)] and same == [True]
+    assert len(list(coder.parts(np.frombuffer(texts[0].encode(), np.uint8), 16))) > 20
+
+
+@pytest.mark.parametrize("order", [0, 5])
+def test_long_texts_are_scored_in_parts(spark, monkeypatch, order):
+    texts = ["Some words and more words, " * 30, "x" * 300, "a b " * 100 + "y" * 90 + " \n" * 40, "", "é ü " * 40, " lead", "short text"]
+    docs = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts * 2)], "doc_id long, text string, learn boolean")
+    scored = lambda: sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7), round(r.score, 7)) for r in ppm.train_and_score(docs, docs.learn, order=order).collect())
+    want = scored()
+    data = pa.array(texts)
+    monkeypatch.setattr(ppm, "_BLOCK", 16)
+    parts = list(ppm._parts(data, order))
+    assert len(parts) > 60 and sum(p[6] * (p[1] - p[0]) for p in parts) == len(texts) and sum(len(p[4]) for p in parts) == sum(len(t.encode()) + 1 for t in texts)
+    monkeypatch.setattr(ppm, "_parts", _small(ppm._parts, 16))
+    assert scored() == want
+
+
+def _small(parts, size):
+    """``parts`` with blocks of ``size`` bytes, also in other processes."""
+
+    def run(arr, order):
+        ppm._BLOCK = size
+        try:
+            yield from parts(arr, order)
+        finally:
+            ppm._BLOCK = 1 << 18
+
+    return run

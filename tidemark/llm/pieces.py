@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, _power, arrow_type, batch, blocks, mix
+from .common import BLOCK_BYTES, SpanHash, _power, arrow_type, batch, blocks, mix
 from .exact_dedup import _ddl
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -318,9 +318,9 @@ class Encoder:
         self.starts = np.concatenate([self.starts, first])[place]
         self.sizes = np.concatenate([self.sizes, n])[place]
 
-    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts of a block, and each text's first (n + 1 values)."""
-        data, off = self._marked(raw, off)
+    def encode(self, raw: np.ndarray, off: np.ndarray, front: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts of a block, and each text's first (n + 1 values); ``front``: texts begin here."""
+        data, off = self._marked(raw, off, front)
         ends, first = self.v.units(data, off)
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         h = SpanHash(data).of(starts, ends)
@@ -337,7 +337,25 @@ class Encoder:
         ids = self.flat[np.arange(out_first[-1]) - np.repeat(out_first[:-1], n) + np.repeat(self.starts[which], n)]
         return ids, out_first[first]
 
-    def _marked(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def parts(self, raw: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+        """A long text in parts of about ``limit`` bytes that begin where units do, at a space behind another character
+        (also no space mark); the tokens of the parts are those of the text. Longer units stay whole."""
+        lo = at = 0
+        while self.v.cuts and len(raw) - lo > limit:
+            at = max(at, lo + limit)
+            window = raw[at - 3 : at + limit]  # each byte with the three before it
+            mark = (window[:-3] == 0xE2) & (window[1:-2] == 0x96) & (window[2:-1] == 0x81)
+            hit = np.flatnonzero((window[3:] == 0x20) & (window[2:-1] != 0x20) & ~mark)
+            if len(hit):
+                yield lo, at + int(hit[0])
+                lo = at + int(hit[0])
+            elif at + limit >= len(raw):
+                break
+            else:
+                at += limit
+        yield lo, len(raw)
+
+    def _marked(self, raw: np.ndarray, off: np.ndarray, front: bool) -> tuple[np.ndarray, np.ndarray]:
         """Space marks in the texts become spaces, and each text that isn't empty gets one in front."""
         mark = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81)) if len(raw) > 2 else []
         if len(mark):
@@ -347,20 +365,21 @@ class Encoder:
             raw[mark] = 0x20
             off = np.concatenate([[0], np.cumsum(keep)])[off]
             raw = raw[keep]
-        front = (np.diff(off) > 0) & self.v.dummy_prefix
-        moved = off + np.concatenate([[0], np.cumsum(front)])
+        added = (np.diff(off) > 0) & (self.v.dummy_prefix and front)
+        moved = off + np.concatenate([[0], np.cumsum(added)])
         data = np.full(moved[-1], 0x20, np.uint8)
-        data[np.arange(len(raw)) + np.repeat((moved - off)[:-1] + front, np.diff(off))] = raw
+        data[np.arange(len(raw)) + np.repeat((moved - off)[:-1] + added, np.diff(off))] = raw
         return data, moved
 
 
-def decode_block(v: Vocabulary, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the texts of a block of token ids, and their offsets. Control and unknown ids give none."""
+def decode_block(v: Vocabulary, ids: np.ndarray, first: np.ndarray, front: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts of a block of token ids, and their offsets. Control and unknown ids give none. ``front``: texts
+    begin here."""
     n = v.out_first[ids + 1] - v.out_first[ids]
     at = np.concatenate([[0], np.cumsum(n)])
     data = v.out_bytes[np.arange(at[-1]) - np.repeat(at[:-1], n) + np.repeat(v.out_first[ids], n)]
     off = at[first]
-    if v.dummy_prefix and len(data):
+    if v.dummy_prefix and front and len(data):
         drop = off[:-1][(np.diff(off) > 0)]
         drop = drop[data[drop] == 0x20]
         keep = np.ones(len(data), bool)
@@ -372,7 +391,8 @@ def decode_block(v: Vocabulary, ids: np.ndarray, first: np.ndarray) -> tuple[np.
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, extra: tuple[str, ...] = (), verify: bool = False) -> DataFrame:
     """id, ``extra`` columns and ``ids`` (array of int) for each row, whole texts; no shuffle. A null or
-    empty text has no ids. Characters without a piece become their bytes' pieces. ``verify`` adds
+    empty text has no ids; repeated rows are encoded again. A text of more than BLOCK_BYTES is encoded in parts that end between
+    units. Characters without a piece become their bytes' pieces. ``verify`` adds
     ``round_trip``: if the ids, decoded again, give the text (space marks counting as spaces)."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model_path))  # a vocabulary, a few MB
     kept = [id_col, *extra]
@@ -382,16 +402,32 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         coder = Encoder(shared.value)
         for x in batches:
             for lo, hi, raw, off in blocks(x.column(x.num_columns - 1)):
-                ids, first = coder.encode(raw, off)
-                more = [same_texts(coder.v, ids, first, raw, off)] if verify else []
+                if hi - lo == 1 and len(raw) > BLOCK_BYTES:
+                    ids, first, same = _in_parts(coder, raw, verify)
+                else:
+                    ids, first = coder.encode(raw, off)
+                    same = same_texts(coder.v, ids, first, raw, off) if verify else None
+                more = [same] if verify else []
                 yield batch(schema, *[x.column(i).slice(lo, hi - lo) for i in range(len(kept))], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)), *more)
 
     return docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).mapInArrow(run, _ddl(schema))
 
 
-def same_texts(v: Vocabulary, ids: np.ndarray, first: np.ndarray, raw: np.ndarray, off: np.ndarray) -> list[bool]:
+def _in_parts(coder: Encoder, raw: np.ndarray, verify: bool) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+    """The ids of one long text, its two firsts, and if decoding gives it, part by part: only the ids are held."""
+    found, same = [], True
+    for lo, hi in coder.parts(raw, BLOCK_BYTES):
+        off = np.array([0, hi - lo])
+        ids, first = coder.encode(raw[lo:hi], off, not lo)
+        found.append(ids)
+        same = same and (not verify or same_texts(coder.v, ids, first, raw[lo:hi], off, not lo)[0])
+    ids = np.concatenate(found)
+    return ids, np.array([0, len(ids)]), [same]
+
+
+def same_texts(v: Vocabulary, ids: np.ndarray, first: np.ndarray, raw: np.ndarray, off: np.ndarray, front: bool = True) -> list[bool]:
     """For each text of a block, if decoding its ids gives it."""
-    data, back = decode_block(v, ids.astype(np.int64), first)
+    data, back = decode_block(v, ids.astype(np.int64), first, front)
     if np.array_equal(back, off) and np.array_equal(data, raw):
         return [True] * (len(off) - 1)
     mark = SPACE_MARK.encode()

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, SpanHash, arrow_type, batch, blocks, fold_of, mix, segment_sum, staged, words
+from .common import LOWER_TABLE, SPACE, SpanHash, arrow_type, batch, blocks, fold_of, mix, segment_sum, staged, words
 from .exact_dedup import _ddl
 
 END = 0xFF
@@ -87,6 +87,28 @@ def symbols(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray,
     return g[take], first
 
 
+def _parts(arr: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(first row, last row + 1, lower-cased bytes, offsets, symbols, each row's first symbol, whether the texts end here) of
+    runs of rows; a text longer than a block comes in parts that end before white space, whose symbols know the
+    bytes before them, so that what a task holds in arrays does not grow with the text."""
+    for lo, hi, raw, off in blocks(arr, _BLOCK):
+        data = LOWER_TABLE[raw]
+        if hi - lo > 1 or len(data) <= _BLOCK:
+            yield lo, hi, data, off, *symbols(data, off, order), True
+            continue
+        at, seek = 0, _BLOCK
+        while at < len(data):
+            space = np.flatnonzero(SPACE[data[seek : seek + _BLOCK]])
+            if not len(space) and seek + _BLOCK < len(data):  # within a long word
+                seek += _BLOCK
+                continue
+            end = seek + int(space[0]) if len(space) else len(data)
+            start, last = max(0, at - order), end == len(data)
+            g = symbols(data[start:end], np.array([0, end - start]), order)[0][at - start : end - start + last]
+            yield lo, hi, data[at:end], np.array([0, end - at]), g, np.array([0, len(g)]), last
+            at, seek = end, end + _BLOCK
+
+
 _STATS = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("learned", pa.int64())])
 GRAM, WORD, TEXT = 0, 1, 2
 
@@ -114,9 +136,8 @@ def count(texts: DataFrame, order: int) -> DataFrame:
         held = 0
         for b, learn in ((b, x) for b in batches for x in (True, False)):
             flags = b.column(1)
-            for _, _, raw, off in blocks(b.column(0).filter(flags if learn else pc.invert(flags)), _BLOCK):
-                data = LOWER_TABLE[raw]
-                u, n = np.unique(symbols(data, off, order)[0], return_counts=True)
+            for _, _, data, off, g, _, ends in _parts(b.column(0).filter(flags if learn else pc.invert(flags)), order):
+                u, n = np.unique(g, return_counts=True)
                 keys.append(u)
                 counts.append(n)
                 learned.append(n if learn else np.zeros(len(n), n.dtype))
@@ -133,7 +154,7 @@ def count(texts: DataFrame, order: int) -> DataFrame:
                 kinds = np.full(len(h) + 1, WORD, np.int32)
                 kinds[-1] = TEXT
                 tail = np.zeros(1, np.uint64)
-                n = np.concatenate([n, [len(off) - 1]])
+                n = np.concatenate([n, [(len(off) - 1) * ends]])
                 yield batch(_STATS, kinds, np.concatenate([h, tail]).view(np.int64), np.concatenate([h2, tail]).view(np.int64), n, n if learn else np.zeros(len(n), n.dtype))
         if keys:
             yield rows(*_tally(keys, counts, learned))
@@ -209,18 +230,16 @@ def score(docs: DataFrame, stats: DataFrame, codes: DataFrame, order: int, id_co
         [("uid", pa.int64()), ("id", ids), *[(x, arrow_type(docs, x)) for x in more], ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64()), ("k1", longs), ("k2", longs), ("grams", longs)]
     )
 
-    def lists(values: np.ndarray, rest: np.ndarray, first: np.ndarray) -> pa.Array:
-        cut = np.concatenate([[0], np.cumsum(rest)])[first].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(cut), pa.array(values[rest].view(np.int64)))
+    def lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, costs, w1, w2, logs = shared.value
         codebook, index = HashIndex(grams), HashIndex(w1)
         serial = itertools.count(TaskContext.get().partitionId() << 33)
         for b in batches:
-            for lo, hi, raw, off in blocks(b.column(b.num_columns - 1), _BLOCK):
-                data, rows = LOWER_TABLE[raw], hi - lo
-                g, first = symbols(data, off, order)
+            held: list[tuple[np.ndarray, ...]] = []  # of a long text's parts
+            for lo, hi, data, off, g, first, ends in _parts(b.column(b.num_columns - 1), order):
                 at_gram = np.concatenate([codebook.find(g[i : i + _BLOCK]) for i in range(0, len(g), _BLOCK)])
                 rare = at_gram < 0
                 bits = segment_sum(np.where(rare, 0.0, costs[at_gram] if len(costs) else 0.0), first)
@@ -229,11 +248,22 @@ def score(docs: DataFrame, stats: DataFrame, codes: DataFrame, order: int, id_co
                 k = index.find(h1)
                 often = (k >= 0) & (w2[k] == h2) if len(w2) else np.zeros(len(k), bool)
                 base = segment_sum(np.where(often, logs[k] if len(logs) else 0.0, 0.0), at)
-                n = np.diff(at) + 1
-                known = segment_sum(often & (logs[k] > 0) if len(logs) else often, at).astype(np.int64) + (n_texts > 0)
-                out = [b.column(i).slice(lo, rows) for i in range(b.num_columns - 1)]
-                tails = lists(h1, ~often, at), lists(h2, ~often, at), lists(g, rare, first)
-                yield batch(schema, np.array([next(serial) for _ in range(rows)]), *out, n, known, base + end_log - n * norm, bits, *tails)
+                known = segment_sum(often & (logs[k] > 0) if len(logs) else often, at).astype(np.int64)
+                cut = [np.concatenate([[0], np.cumsum(x)])[y] for x, y in ((~often, at), (rare, first))]
+                held.append((np.diff(at), known, base, bits, h1[~often], h2[~often], cut[0], g[rare], cut[1]))
+                if not ends:
+                    continue
+                if len(held) > 1:
+                    n, known, base, bits = (sum(p[i] for p in held) for i in range(4))
+                    h1, h2, rare_grams = (np.concatenate([p[i] for p in held]) for i in (4, 5, 7))
+                    cut = [np.array([0, len(h1)]), np.array([0, len(rare_grams)])]
+                else:
+                    n, known, base, bits, h1, h2, _, rare_grams, _ = held[0]
+                held = []
+                n, known = n + 1, known + (n_texts > 0)
+                out = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns - 1)]
+                tails = lists(h1, cut[0]), lists(h2, cut[0]), lists(rare_grams, cut[1])
+                yield batch(schema, np.array([next(serial) for _ in range(hi - lo)]), *out, n, known, base + end_log - n * norm, bits, *tails)
 
     cols = [F.col(id_col).alias("id"), *more, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
     done = staged(docs.select(*cols).mapInArrow(run, _ddl(schema)), "ppm-scores")
