@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ids
 from tidemark.operators import checks as K
 from tidemark.operators import corpus as C
+from tidemark.operators import delta as D
 from tidemark.operators import graph as G
 from tidemark.operators import lineage as L
 from tidemark.operators import reports as P
@@ -458,3 +459,29 @@ def test_reachable_with_more_seeds_than_bits(spark):
             want |= {(s, x): depth for x in todo}
             todo, depth = {y for x in todo for y in near[x]} - {x for (q, x) in want if q == s}, depth + 1
     assert got == want
+
+
+def test_delta_assembly_equals_a_full_one(spark, tmp_path):
+    """After random edits the kept state is that of all references, and only touched ranges are new."""
+    rng = random.Random(11)
+    path = f"file://{tmp_path}/delta"
+    count = iter(range(1, 100_000))
+    drawn = lambda: [(rng.choice(["input", "output"]), f"t{rng.randrange(25)}", [f"c{rng.randrange(4)}" for _ in range(rng.randrange(3))], next(count), rng.choice("EH")) for _ in range(rng.randrange(4))]
+    refs = lambda models: spark.createDataFrame([(m, d, c, cols, n if n % 3 else -n, s) for m, rows in models.items() for d, c, cols, n, s in rows], "model_id string, direction string, canon string, columns array<string>, ord long, source string")
+    none = spark.createDataFrame([], "model_id string, source_element string, target_element string, transformation_type string, ord long")
+    models = {f"m{i}": drawn() for i in range(60)}
+    D.start(refs(models), L.table_edges(refs(models), none), path, ranges=16)
+    for size in (1, 4):
+        before = {(f["kind"], f["part"]): f["folder"] for f in D.newest(spark, path)["folders"]}
+        who = [rng.choice([*models, "m_new"]) for _ in range(size)]
+        models |= {m: rng.choice([drawn(), []]) for m in who}
+        full = refs(models)
+        D.change(spark.createDataFrame([(m,) for m in who], "model_id string"), full, L.table_edges(full, none), path)
+        rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        assert rows(D.tables(spark, path)) == rows(L.table_totals(full).select("table_id", "name", "role", "source_system", "source", "n_produced", "n_consumed"))
+        assert rows(D.columns(spark, path)) == rows(L.assemble_columns(full))
+        cols = ["edge_id", "source_table_id", "target_table_id", "model_id", "transformation_type", "source"]
+        assert rows(D.edges(spark, path).select(cols)) == rows(L.table_edges(full, none).select(cols))
+        after = {(f["kind"], f["part"]): f["folder"] for f in D.newest(spark, path)["folders"]}
+        for kind in ("refs", "edges"):
+            assert sum(before.get(k) != f for k, f in after.items() if k[0] == kind) <= len(set(who))

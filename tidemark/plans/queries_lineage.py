@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ids
 from tidemark.functions.scratch import shared_dir
+from tidemark.operators import delta as D
 from tidemark.operators import graph as G
 from tidemark.operators import lineage as L
 from tidemark.operators import reports as P
@@ -150,6 +151,22 @@ def d14_assemble_state(spark, d):
     return out
 
 
+@query("SELECT table_id, name, role, source_system, source, n_produced, n_consumed FROM tabs")
+def d14_delta_tables(spark, d):
+    """The tables after a change, from an older state: a quarter of the customers was not there, and every tenth read
+    and wrote a table that it no longer does."""
+    path = f"{shared_dir(spark)}/delta-{uuid.uuid4().hex}"
+    refs = S.refs(spark, d)
+    late = S._customer_models(spark, d).filter("c_custkey % 4 = 1").select("model_id")
+    other = S._customer_models(spark, d).filter("c_custkey % 10 = 0").select("model_id")
+    edges = L.table_edges(refs, S.lineage_rows(spark, d))
+    once = refs.join(other, "model_id", "left_semi").groupBy("model_id").agg(F.min("ord").alias("ord")).withColumn("direction", F.explode(F.array(F.lit("input"), F.lit("output"))))
+    more = once.select("model_id", "direction", F.lit("old.table").alias("name"), F.array(F.lit("x")).alias("columns"), (F.col("ord") - 5).alias("ord"), F.lit("old.table").alias("canon"), F.lit("E").alias("source"))
+    D.start(refs.join(late, "model_id", "left_anti").unionByName(more), edges.join(late, "model_id", "left_anti"), path, ranges=16)
+    D.change(late.unionByName(other), refs, edges, path)
+    return D.tables(spark, path)
+
+
 # ---------------------------------------------------------------------------------------- rules
 _RID = "'dq_' || substr(sha1(lower(element) || '␟' || lower(dimension) || '␟' || lower(rule_statement)), 1, 12)"
 _U = "u AS (SELECT element, ord, model_id, evidence, usage_kind, unnest(CASE usage_kind WHEN 'join_key' THEN ['Uniqueness', 'Consistency'] ELSE ['Validity'] END) AS dimension, CASE usage_kind WHEN 'join_key' THEN 'Uniqueness on key; referential integrity to joined table' WHEN 'date_parse' THEN 'Valid date; within plausible range' ELSE 'Must be non-null and non-zero' END AS rule_statement, CASE usage_kind WHEN 'date_parse' THEN 'Medium' ELSE 'High' END AS severity FROM uses)"
