@@ -110,6 +110,24 @@ def grain(df: DataFrame, table: str, dims: list[str], calendar: dict[str, DataFr
     return want.join(df.select(*dims).distinct(), dims, "left_anti")
 
 
+def gaps(df: DataFrame, dims: list[str], day_col: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """(dims, gap_from, gap_to, days): the stretches of days without a row, for each combination of ``dims`` that has any,
+    from ``first`` to ``last`` (where not given, the first and last day of all). The work grows with the rows and the
+    stretches, not with the calendar: neighbours are compared within range shards, so a combination with very many
+    days is no task of its own, and where it spans shards their ends are. Rows without a day are left out."""
+    day = F.to_date(day_col).alias("day")
+    have = df.select(*dims, day).filter("day is not null").distinct()
+    shards = written(have.repartitionByRange(*dims, "day").withColumn("shard", F.spark_partition_id()), "days")
+    inner = shards.select(*dims, "day", F.lead("day").over(Window.partitionBy("shard", *dims).orderBy("day")).alias("next")).filter("next is not null")
+    ends = written(shards.groupBy(*dims, "shard").agg(F.min("day").alias("low"), F.max("day").alias("high")), "ends")
+    between = ends.select(*dims, F.col("high").alias("day"), F.lead("low").over(Window.partitionBy(*dims).orderBy("shard")).alias("next")).filter("next is not null")
+    span = ends.agg((F.lit(first).cast("date") if first else F.min("low")).alias("lo"), (F.lit(last).cast("date") if last else F.max("high")).alias("hi"))
+    whole = ends.groupBy(*dims).agg(F.min("low").alias("low"), F.max("high").alias("high")).crossJoin(F.broadcast(span))  # the span is one row
+    outer = whole.select(*dims, F.explode(F.array(F.struct(F.date_sub("lo", 1).alias("day"), F.col("low").alias("next")), F.struct(F.col("high").alias("day"), F.date_add("hi", 1).alias("next")))).alias("e")).select(*dims, "e.*")
+    missing = inner.unionByName(between).unionByName(outer).filter(F.datediff("next", "day") > 1)
+    return missing.select(*dims, F.date_add("day", 1).alias("gap_from"), F.date_sub("next", 1).alias("gap_to"), (F.datediff("next", "day") - 1).alias("days"))
+
+
 def grain_check(df: DataFrame, table: str, dims: list[str], calendar: dict[str, DataFrame] | None = None) -> DataFrame:
     missing = grain(df, table, dims, calendar).agg(F.count("*").alias("violations"))
     actual = df.select(*dims).dropna().distinct().agg(F.count("*").alias("__have"))

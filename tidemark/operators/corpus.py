@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tidemark.functions import published
 from tidemark.functions.ids import model_id, path_stem
 from tidemark.functions.scratch import written
 
@@ -251,6 +253,32 @@ def reuse_by_hash(requests: DataFrame, system_col: str, user_col: str, work) ->
     return keyed.join(done, "request_hash", "left")
 
 
+def reuse_stored(requests: DataFrame, system_col: str, user_col: str, work, path: str) -> DataFrame:
+    """``reuse_by_hash`` with results that outlive the call: those kept under ``path`` are taken from there, ``work`` makes
+    the others', and these are added as one batch that is seen as a whole or not at all. Results lie in 256 folders by
+    their hash, of which only those asked for are read; of two runs that made one result the first counts.
+    ``work`` must give the same columns each time."""
+    spark = requests.sparkSession
+    key = F.sha1(F.encode(F.concat(F.coalesce(system_col, F.lit("")), F.lit("\x00"), F.coalesce(user_col, F.lit(""))), "UTF-8"))
+    keyed = requests.withColumn("request_hash", key)
+    asked = keyed.select("request_hash", system_col, user_col).dropDuplicates(["request_hash"])
+    made = work(asked.limit(0)).drop(system_col, user_col)
+    values = [c for c in made.columns if c != "request_hash"]
+    schema = StructType([*made.select("request_hash", *values).schema.fields, StructField("__prefix", StringType())])
+    ids = written(asked.select("request_hash", F.substring("request_hash", 1, 2).alias("__prefix")), "asked")
+    folders = [r[0] for r in ids.select("__prefix").distinct().collect()]  # 256 at most
+
+    def known() -> DataFrame:
+        kept = published.read(spark, path, schema).filter(F.col("__prefix").isin(folders))
+        return kept.join(ids, ["__prefix", "request_hash"], "left_semi").groupBy("request_hash").agg(F.min_by(F.struct(*values), "__at").alias("v")).select("request_hash", "v.*")
+
+    new = asked.join(known().select("request_hash"), "request_hash", "left_anti")
+    if not new.isEmpty():
+        done = work(new).drop(system_col, user_col).select("request_hash", *values)
+        published.append(done.withColumn("__prefix", F.substring("request_hash", 1, 2)).repartition("__prefix"), path, "__prefix")
+    return keyed.join(known(), "request_hash", "left")
+
+
 def cache_statistics(requests: DataFrame, system_col: str, user_col: str) -> DataFrame:
     """(requests, misses, hits): the first of equal requests is a miss, the others are hits."""
     key = F.sha1(F.encode(F.concat(F.coalesce(system_col, F.lit("")), F.lit("\x00"), F.coalesce(user_col, F.lit(""))), "UTF-8"))

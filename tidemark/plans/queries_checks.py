@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import shared_dir
 from tidemark.operators import checks as C
+from tidemark.operators import history as Y
 from tidemark.operators import risk as W
 from tidemark.streaming import monitors as J
 
@@ -86,6 +87,39 @@ def f6_grain_daily(spark, d):
     return C.grain(j.select("c_mktsegment", "n_name", F.to_date("o_orderdate").alias("d")), "orders", ["c_mktsegment", "n_name", "d"])
 
 
+@query("""
+WITH a AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders), s AS (SELECT min(d) AS lo, max(d) AS hi FROM a),
+p AS (SELECT o_custkey, d, lead(d) OVER (PARTITION BY o_custkey ORDER BY d) AS n FROM a UNION ALL SELECT o_custkey, lo - 1, min(d) FROM a, s GROUP BY o_custkey, lo UNION ALL SELECT o_custkey, max(d), hi + 1 FROM a, s GROUP BY o_custkey, hi)
+SELECT o_custkey, CAST(d + 1 AS DATE) AS gap_from, CAST(n - 1 AS DATE) AS gap_to, CAST(date_diff('day', d, n) - 1 AS INTEGER) AS days FROM p WHERE date_diff('day', d, n) > 1
+""")
+def f6_gaps(spark, d):
+    """Stretches of days without an order, for each customer."""
+    return C.gaps(table(spark, d, "orders"), ["o_custkey"], "o_orderdate")
+
+
+@query("""
+WITH b AS (SELECT name, count(DISTINCT CAST(o_orderdate AS DATE)) AS days, count(*) AS n, min(v) AS "min", max(v) AS "max" FROM (SELECT o_orderdate, unnest(['o_totalprice', 'o_custkey']) AS name, unnest([o_totalprice, o_custkey]) AS v FROM orders) GROUP BY name)
+SELECT name, days, n, "min", "max", true AS low_is_near, true AS high_is_near, true AS distinct_is_near FROM b
+""")
+def f5_kept_bounds(spark, d):
+    """Statistics kept by day, in two goes: the second reads the days that the first did not have. Whether the merged bounds lie
+    within a hundredth of their ranks among all values, and the number of distinct ones within 5 percent."""
+    path = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+    o = table(spark, d, "orders")
+    half = o.agg(F.expr("percentile_approx(o_orderdate, 0.5)")).first()[0]
+    early = o.filter(F.to_date("o_orderdate") < F.lit(half).cast("date"))
+    for rows in (early, o):
+        Y.keep_days(rows, "o_orderdate", ["o_totalprice", "o_custkey"], path)
+    kept = Y.learned_bounds(spark, path, 0.05, 0.95)
+    one = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in ("o_totalprice", "o_custkey")]
+    ranks = o.select(F.explode(F.array(*one)).alias("c")).select("c.*").join(F.broadcast(kept.select("name", "low", "high")), "name").groupBy("name").agg(
+        F.avg((F.col("v") < F.col("low")).cast("int")).alias("a"), F.avg((F.col("v") <= F.col("low")).cast("int")).alias("b"),
+        F.avg((F.col("v") < F.col("high")).cast("int")).alias("y"), F.avg((F.col("v") <= F.col("high")).cast("int")).alias("z"), F.count_distinct("v").alias("d"),
+    )
+    near = lambda q, lo, hi, name: ((F.col(lo) <= q + 0.01) & (F.col(hi) >= q - 0.01)).alias(name)
+    return kept.join(ranks, "name").select("name", "days", "n", "min", "max", near(0.05, "a", "b", "low_is_near"), near(0.95, "y", "z", "high_is_near"), (F.abs(F.col("n_distinct") / F.col("d") - 1) < 0.05).alias("distinct_is_near"))
+
+
 @query(_row("grain", "events.event_type,day", "Completeness", "Medium", "SELECT count(DISTINCT event_type) * count(DISTINCT d) AS n, count(DISTINCT event_type) * count(DISTINCT d) - count(DISTINCT (event_type, d)) AS v FROM (SELECT event_type, CAST(ts AS DATE) AS d FROM events)"))
 def f6_grain_check(spark, d):
     return C.grain_check(table(spark, d, "events").withColumn("day", F.to_date("ts")), "events", ["event_type", "day"])
@@ -322,6 +356,40 @@ def w1_accounts(spark, d):
     return a.withColumns({c: F.round(c, 6) for c in ("utilization", "macro_unemployment", "macro_gdp_shock", "rate")})
 
 
+def _by_time(spark, rows, query_of, name: str, parts: int = 3):
+    """A stream over ``rows`` that arrive in ``parts`` goes by time; results of all of them."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    cuts = rows.agg(F.expr(f"percentile_approx(ts, array({', '.join(str(k / parts) for k in range(1, parts))}))")).first()[0]
+    for k in range(parts):
+        low, high = (cuts[k - 1] if k else None), (cuts[k] if k < parts - 1 else None)
+        at = lambda t: F.lit(str(t)).cast(rows.schema["ts"].dataType)
+        now = rows if low is None else rows.filter(F.col("ts") >= at(low))
+        now = now if high is None else now.filter(F.col("ts") < at(high))
+        now.write.mode("append").parquet(f"{path}/in")
+        J.run_available(query_of(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, value, max(ts) OVER () AS top, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS events, count(*) FILTER (value IS NULL) AS null_values FROM s GROUP BY user_id, no, top HAVING max(ts) + INTERVAL 30 MINUTE <= top - INTERVAL 2 HOUR
+""")
+def j3_sessions(spark, d):
+    """Sessions of users from a stream that arrives in three goes; those that the watermark has not passed stay inside."""
+    return _by_time(spark, table(spark, d, "events"), J.sessions, "sessions")
+
+
+@query("""
+WITH e AS (SELECT 'r' || user_id AS run_id, ts, event_type = 'purchase' AS finished, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase') AS next, max(ts) OVER () AS top FROM events)
+SELECT run_id, ts AS last_ts FROM e WHERE NOT finished AND CASE WHEN next IS NULL THEN ts + INTERVAL 6 HOUR < top - INTERVAL 2 HOUR ELSE next - ts > INTERVAL 6 HOUR END
+""")
+def j1_stalled_runs(spark, d):
+    """Users as runs that are finished by a purchase: each silence of more than six hours, told by timers of a stream."""
+    e = table(spark, d, "events").select(F.concat(F.lit("r"), "user_id").alias("run_id"), "ts", (F.col("event_type") == "purchase").alias("finished"))
+    return _by_time(spark, e, lambda s: J.stalled_runs(s, 6 * 3600), "stalled")
+
+
 @query("""
 WITH w AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, event_type, value, ts, max(ts) OVER () AS top FROM events)
 SELECT make_timestamp(h * 3600000000) AS window_start, event_type, count(*) AS events, count(*) FILTER (value IS NULL) AS null_values, max(ts) AS last_ts FROM w GROUP BY h, event_type, top HAVING make_timestamp((h + 1) * 3600000000) <= top - INTERVAL 2 HOUR

@@ -3,10 +3,13 @@ part table, a script per part in one of four languages."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
+from tidemark.functions.scratch import shared_dir
 from tidemark.operators import corpus as C
 from tidemark.operators import lineage as L
 from tidemark.operators import scan as S
@@ -208,6 +211,16 @@ def a14_reuse_by_hash(spark, d):
     return out.select("doc_id", "request_hash", "n")
 
 
+@query("SELECT doc_id, length(text) AS n, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN 'first' ELSE 'second' END AS made_in FROM documents")
+def a14_reuse_across_runs(spark, d):
+    """Two runs over one store of results: every other document is asked for in the first, all in the second."""
+    path = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    q = table(spark, d, "documents").select("doc_id", F.lit("summarise").alias("system"), F.col("text").alias("user"))
+    work = lambda run: lambda r: r.withColumns({"n": F.length("user").cast("long"), "made_in": F.lit(run)})
+    C.reuse_stored(q.filter("doc_id % 2 = 0"), "system", "user", work("first"), path)
+    return C.reuse_stored(q, "system", "user", work("second"), path).select("doc_id", "n", "made_in")
+
+
 @query("SELECT count(*) AS requests, count(DISTINCT text) AS misses, count(*) - count(DISTINCT text) AS hits FROM documents")
 def a14_cache_statistics(spark, d):
     return C.cache_statistics(table(spark, d, "documents").withColumn("system", F.lit("s")), "system", "text")
