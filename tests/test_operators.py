@@ -14,6 +14,7 @@ from tidemark.operators import checks as K
 from tidemark.operators import corpus as C
 from tidemark.operators import delta as D
 from tidemark.operators import graph as G
+from tidemark.operators import history as Y
 from tidemark.operators import lineage as L
 from tidemark.operators import reports as P
 from tidemark.operators import rules as R
@@ -485,3 +486,57 @@ def test_delta_assembly_equals_a_full_one(spark, tmp_path):
         after = {(f["kind"], f["part"]): f["folder"] for f in D.newest(spark, path)["folders"]}
         for kind in ("refs", "edges"):
             assert sum(before.get(k) != f for k, f in after.items() if k[0] == kind) <= len(set(who))
+
+
+def test_stored_results_are_whole_and_made_once(spark, tmp_path):
+    """A second run makes only what is new; a failed one leaves nothing behind; equal requests share a result."""
+    path = f"file://{tmp_path}/answers"
+    asked = lambda *texts: spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "i long, system string, user string")
+    work = lambda run: lambda r: r.select("request_hash", "system", "user", F.lit(run).alias("run"))
+    run = lambda name, *texts: {(r.user, r.run) for r in C.reuse_stored(asked(*texts), "system", "user", work(name), path).collect()}
+    assert run("one", "a", "b", "a", None) == {("a", "one"), ("b", "one"), (None, "one")}
+    broken = lambda r: r.select("request_hash", "system", "user", F.when(F.col("user") == "z", F.raise_error(F.lit("stopped"))).otherwise("bad").alias("run"))
+    with pytest.raises(Exception, match="stopped"):
+        C.reuse_stored(asked(*[str(k) for k in range(50)], "z"), "system", "user", broken, path)
+    assert run("two", "a", "1", "z", "") == {("a", "one"), ("1", "two"), ("z", "two"), ("", "one")}
+    assert run("three") == set()
+
+
+def test_gaps_by_brute_force(spark, monkeypatch):
+    import datetime
+
+    rng, start = random.Random(2), datetime.date(2024, 1, 1)
+    rows = [(g, start + datetime.timedelta(days=rng.randrange(60))) for g in ("a", "b", None) for _ in range(25)] + [("c", None), ("d", start)] + [("hot", start + datetime.timedelta(days=k)) for k in range(400) if k % 7]
+    got = {(r.g, r.gap_from, r.gap_to, r.days) for r in K.gaps(spark.createDataFrame(rows, "g string, d date").repartition(5), ["g"], "d", "2023-12-30").collect()}
+    last = max(d for _, d in rows if d)
+    want = set()
+    for g in {g for g, d in rows if d}:
+        missing = sorted({datetime.date(2023, 12, 30) + datetime.timedelta(days=k) for k in range((last - datetime.date(2023, 12, 30)).days + 1)} - {d for x, d in rows if x == g})
+        while missing:
+            n = next((k for k in range(1, len(missing)) if missing[k] - missing[k - 1] > datetime.timedelta(days=1)), len(missing))
+            want.add((g, missing[0], missing[n - 1], n))
+            missing = missing[n:]
+    assert got == want
+    assert K.gaps(spark.createDataFrame([], "g string, d date"), ["g"], "d").collect() == []
+
+
+def test_kept_days_are_not_read_again(spark, tmp_path):
+    """Rows of a day that is kept are not looked at, and the merged sketches are those of all days."""
+    path = f"file://{tmp_path}/days"
+    day = lambda k, f: spark.range(500).select(F.expr(f"timestamp'2024-01-01' + make_interval(0, 0, 0, {k})").alias("ts"), f.alias("v"))
+    Y.keep_days(day(0, F.col("id").cast("double")), "ts", ["v"], path)
+    Y.keep_days(day(0, F.raise_error(F.lit("read again")).cast("double")).unionByName(day(1, F.col("id") + 500.0)), "ts", ["v"], path)
+    r = Y.learned_bounds(spark, path, 0.1, 0.9).first()
+    assert (r.days, r.n, r.nulls, r.min, r.max) == (2, 1000, 0, 0.0, 999.0) and abs(r.low - 100) < 15 and abs(r.high - 900) < 15 and abs(r.n_distinct - 1000) < 50
+
+
+def test_stalled_runs_leave_the_state(spark, tmp_path):
+    import datetime
+
+    t = lambda minutes: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+    goes = [[("a", t(0), False), ("b", t(0), False), ("a", t(10), False)], [("b", t(20), True), ("c", t(300), False)], [("a", t(301), False), ("a", t(5), False), (None, t(302), False), ("d", None, False)], [("e", t(900), True)]]
+    for rows in goes:
+        spark.createDataFrame(rows, "run_id string, ts timestamp, finished boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        J.run_available(J.stalled_runs(spark.readStream.schema("run_id string, ts timestamp, finished boolean").parquet(f"file://{tmp_path}/in"), 3600, "10 minutes"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    out = spark.read.parquet(f"{tmp_path}/out").select("run_id", F.expr("timestampdiff(MINUTE, timestamp'2024-01-01', last_ts)").alias("m"))
+    assert sorted(map(tuple, out.collect())) == [("a", 10), ("a", 301), ("c", 300)]

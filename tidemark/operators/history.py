@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, DateType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from tidemark.functions import published
 
 #: Size parameter of the quantile sketches: a rank is off by about 1.7 / this for nearly all quantiles.
 SKETCH_K = 400
-_SCHEMA = StructType.fromDDL("day date, name string, n long, nulls long, low double, high double, last timestamp, values binary, ids binary")
+_TYPES = {"day": DateType(), "name": StringType(), "n": LongType(), "nulls": LongType(), "low": DoubleType(), "high": DoubleType(), "last": TimestampType(), "values": BinaryType(), "ids": BinaryType()}
+_SCHEMA = StructType([StructField(name, kind) for name, kind in _TYPES.items()])
 
 
 def keep_days(df: DataFrame, ts_col: str, value_cols: list[str], path: str) -> None:
