@@ -222,7 +222,10 @@ def filter_graph(tables: DataFrame, edges: DataFrame, model_id: str | None = Non
 
 
 def model_io(tables: DataFrame) -> DataFrame:
-    """(model_id, direction, table_id, name)."""
+    """(model_id, direction, table_id, name), from the narrow rows of ``lineage.table_models`` or from tables that hold their
+    models as arrays."""
+    if "direction" in tables.columns:
+        return tables.select("model_id", "direction", "table_id", "name")
     both = F.concat(F.transform("consumed_by", lambda m: F.struct(m.alias("model_id"), F.lit("input").alias("direction"))), F.transform("produced_by", lambda m: F.struct(m.alias("model_id"), F.lit("output").alias("direction"))))
     return tables.select("table_id", "name", F.explode(both).alias("x")).select("x.model_id", "x.direction", "table_id", "name")
 

@@ -168,7 +168,7 @@ def telemetry(models: DataFrame) -> DataFrame:
 
 
 def assemble(models: DataFrame, extracted: DataFrame, scanned: DataFrame, lineage: DataFrame, calculations: DataFrame, usages: DataFrame, libnames: DataFrame | None = None, role_overrides: DataFrame | None = None, rule_status: DataFrame | None = None, issues: DataFrame | None = None, local: bool = False, retain_source: bool = True) -> dict[str, DataFrame]:
-    """The whole state: the references are written once, all else is lazy: models, tables, columns, edges, usages, rules, calculations, source systems and
+    """The whole state: the references are written once, all else is lazy: models, tables, their models as narrow rows, columns, edges, usages, rules, calculations, source systems and
     issues. Control status is derived after the rules' final status; last, a local run that does not retain its
     sources is scrubbed of snippets, which is an issue of its own."""
     from . import rules as R
@@ -184,6 +184,7 @@ def assemble(models: DataFrame, extracted: DataFrame, scanned: DataFrame, lineag
     state = {
         "models": models,
         "tables": tables,
+        "table_models": table_models(refs),
         "columns": control_status(columns, tables, register, edges),
         "table_edges": table_edges(refs, lineage),
         "column_edges": edges,

@@ -26,7 +26,7 @@ def run_summary(s: dict[str, DataFrame]) -> DataFrame:
 
 
 def model_inventory(s: dict[str, DataFrame]) -> DataFrame:
-    io = model_io(s["tables"]).groupBy("model_id").agg(F.count_if(F.col("direction") == "input").alias("i"), F.count_if(F.col("direction") == "output").alias("o"))
+    io = model_io(s.get("table_models", s["tables"])).groupBy("model_id").agg(F.count_if(F.col("direction") == "input").alias("i"), F.count_if(F.col("direction") == "output").alias("o"))
     m = s["models"].join(io, "model_id", "left")
     zero = F.lit(0)
     return m.select(

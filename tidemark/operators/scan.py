@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.ids import path_stem, path_tail
+from tidemark.functions.scratch import written
 
 from . import patterns as P
 from .corpus import PY_PLAIN, blank
@@ -87,7 +88,8 @@ def sas_usages(code: DataFrame, more: list[tuple[str, str, str]] | None = None)
     FREQ; ON keys are cross-system joins with two libraries or more. ORDER BY gives nothing and GROUP BY
     only the grain. ``more``: further (kind, pattern, confidence) rows."""
     flags = code.withColumn("__libs", F.size(F.array_distinct(F.regexp_extract_all(blank("code", "SAS", strings=False), F.lit(P.SAS_LIBNAME), F.lit(1))))).withColumn("__agg", blank("code", "SAS").rlike(P.SAS_AGGREGATES))
-    s = sas_statements(flags, ["__libs", "__agg"])
+    # read three times below: hits, step tables and measures
+    s = written(sas_statements(flags, ["__libs", "__agg"]), "statements")
     rows = []
     for kind, rx, conf in [*P.SAS_USAGES, *(more or [])]:
         real = {"by": F.when(F.col("__agg"), "aggregated").otherwise("join_key"), "on": F.when(F.col("__libs") >= 2, "cross_system_join").otherwise("join_key")}.get(kind, F.lit(kind))

@@ -14,6 +14,7 @@ from tidemark.operators import corpus as C
 from tidemark.operators import lineage as L
 from tidemark.operators import scan as S
 from tidemark.sources import extractions as X
+from tidemark.sources.files import read_code
 
 from .state import table
 
@@ -436,3 +437,41 @@ def c_scan_layouts(spark, d):
     laid = F.element_at(F.array(*[F.lit(x) for x in _LAYOUTS]), (F.col("k") % len(_LAYOUTS) + 1).cast("int"))
     code = F.replace(F.replace(laid, F.lit("{c}"), F.col("c")), F.lit("{n}"), F.col("n"))
     return S.python_usages(c.select(F.concat(F.lit("L"), F.col("k").cast("string")).alias("model_id"), code.alias("code")))
+
+
+def _made(spark: SparkSession, d: str, **scripts: tuple) -> DataFrame:
+    """(model_id, language, code) of each customer: the scripts by language, the key choosing among several, with the
+    customer's nation and segment put in."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("n"), "c_nationkey").alias("n"), F.lower(F.substring("c_mktsegment", 1, 3)).alias("c"))
+    code = lambda texts: F.replace(F.replace(F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("k") % len(texts) + 1).cast("int")), F.lit("{c}"), F.col("c")), F.lit("{n}"), F.col("n"))
+    made = F.explode(F.array(*[F.struct(F.lit(lang).alias("language"), code(texts).alias("code")) for lang, texts in scripts.items()])).alias("x")
+    return c.select("k", made).select(F.concat(F.substring("x.language", 1, 1), F.col("k").cast("string")).alias("model_id"), "x.language", "x.code")
+
+
+@query(f"""WITH {_CB} SELECT 'S' || k AS model_id, c || '_id' AS element, CASE WHEN k % 2 = 0 THEN 'aggregated' ELSE 'join_key' END AS usage_kind FROM b
+UNION ALL SELECT 'S' || k, 'p.' || n || '.' || c, 'denominator' FROM b UNION ALL SELECT 'S' || k, 'p.' || n || '.' || c || '_g', 'aggregated' FROM b""")
+def c_scan_sas_words(spark, d):
+    """SAS words are no columns, and BY keys of a script that runs MEANS are aggregated."""
+    rest = "data o.{n}; set p.{n}; x = a / sum; y = a / {c}; z = a / date; run;\nproc sql; create table w.t as select * from p.{n} group by {c}_g, calculated, month; quit;"
+    return S.sas_usages(_made(spark, d, SAS=("proc means data=p.{n}; by {c}_id case; run;\n" + rest, "proc sort data=p.{n}; by {c}_id when; run;\n" + rest))).select("model_id", "element", "usage_kind")
+
+
+_SHIFTS = {"SAS": [("lagged", r"\blag\((\w+)", "Low")], "Python": [("lagged", r"\b(\w+)\[[\"']([^\"']+)[\"']\]\.shift\(", 2, 1, "")], "R": [("lagged", r"\blag\((\w+)", "Low")], "VBA": [("lagged", r"(\w+)\.Cells\(\w+, (\d+)\)\.Offset")]}
+
+
+@query(f"""WITH {_CB} SELECT 'S' || k AS model_id, 'p.' || n || '.' || c AS element, 'lagged' AS usage_kind, 'Low' AS confidence FROM b UNION ALL SELECT 'P' || k, n || '.' || c, 'lagged', 'High' FROM b
+UNION ALL SELECT 'R' || k, c, 'lagged', 'Low' FROM b UNION ALL SELECT 'V' || k, n || '.col3', 'lagged', 'High' FROM b""")
+def c24_more_patterns(spark, d):
+    """A usage kind of the caller's own, found in all four languages by patterns that are passed in."""
+    code = _made(spark, d, SAS=("data o.{n}; set p.{n}; x = lag({c}); run;",), Python=("df = pd.read_csv('in/{n}.csv')\nx = df['{c}'].shift(1)\n",), R=("x <- lag({c})\n",), VBA=('Set ws = Sheets("{n}")\nx = ws.Cells(1, 3).Offset(1)\n',))
+    return S.scan_usages(code, _SHIFTS).drop("evidence")
+
+
+@query("SELECT sum(length(p_name) + 1)::BIGINT AS chars, count(*) AS lines FROM part")
+def a1_read_code(spark, d):
+    """Files of code in nested folders, read one a row; files of another kind beside them are not."""
+    path = f"{shared_dir(spark)}/code-{uuid.uuid4().hex}"
+    p = table(spark, d, "part")
+    p.select((F.col("p_size") % 3).alias("folder"), F.col("p_name").alias("value")).repartition(4).write.partitionBy("folder").text(f"{path}/text")
+    p.select("p_name").write.parquet(f"{path}/other")
+    return read_code(spark, path).agg(F.sum(F.length("content")).alias("chars"), F.sum(F.regexp_count("content", F.lit("\n"))).cast("long").alias("lines"))

@@ -316,12 +316,12 @@ def g7_filter_graph(spark, d):
 
 @query("SELECT DISTINCT model_id, direction, 't_' || substr(sha1(canon), 1, 12) AS table_id, canon AS name FROM refs")
 def g8_model_io(spark, d):
-    return G.model_io(L.assemble_tables(S.refs(spark, d)))
+    return G.model_io(L.table_models(S.refs(spark, d)))
 
 
 @query("SELECT model_id, count(DISTINCT CASE WHEN direction = 'input' THEN canon END) AS fan_in, count(DISTINCT CASE WHEN direction = 'output' THEN canon END) AS fan_out FROM refs GROUP BY model_id")
 def g9_model_fan(spark, d):
-    return G.model_fan(L.assemble_tables(S.refs(spark, d)))
+    return G.model_fan(L.table_models(S.refs(spark, d)))
 
 
 @query("SELECT table_id, count(*) AS degree FROM (SELECT source_table_id AS table_id FROM edges UNION ALL SELECT target_table_id FROM edges) GROUP BY 1 ORDER BY degree DESC, table_id LIMIT 10")
@@ -499,7 +499,7 @@ def i2_lineage_csv_tables(spark, d):
 def i4_openlineage(spark, d):
     """Events read back: datasets and facet fields per model."""
     s = S.state(spark, d)
-    e = P.openlineage_events(s["models"], s["tables"], s["column_edges"], "r1", "2024-01-01T00:00:00Z")
+    e = P.openlineage_events(s["models"], s["table_models"], s["column_edges"], "r1", "2024-01-01T00:00:00Z")
     kind = "inputs array<struct<name string>>, outputs array<struct<name string, facets struct<columnLineage struct<fields map<string, struct<inputFields array<struct<field string>>>>>>>>"
     j = F.from_json("event", kind)
     per = F.transform(j["outputs"], lambda o: F.aggregate(F.map_values(F.coalesce(o["facets"]["columnLineage"]["fields"], F.create_map().cast("map<string,struct<inputFields:array<struct<field:string>>>>"))), F.lit(0).cast("long"), lambda t, f: t + F.size(f["inputFields"])))

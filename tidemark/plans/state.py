@@ -30,13 +30,13 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _customer_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.select(ids.model_id("c_name", F.array(F.concat("c_name", F.lit(".sas")))).alias("model_id"), "c_custkey", F.concat(F.lit("Rep."), "c_mktsegment", F.lit("_"), "n_name").alias("out_name"), "n_name", "n_regionkey")
+    return j.select(ids.model_id("c_name", F.array(F.concat("c_name", F.lit(".sas")))).alias("model_id"), "c_custkey", F.concat(F.lit("Rep."), "c_mktsegment", F.lit("_"), "n_name").alias("out_name"), "n_name", "n_regionkey", "c_mktsegment")
 
 
-def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def extracted(spark: SparkSession, sf_dir: str, cm: DataFrame | None = None) -> DataFrame:
     """(model_id, direction, name, columns, ord): customers read a table per order priority and write one
-    per segment and nation; nations read those and write one per region."""
-    cm = _customer_models(spark, sf_dir)
+    per segment and nation; nations read those and write one per region. ``cm``: ``_customer_models``, where written."""
+    cm = _customer_models(spark, sf_dir) if cm is None else cm
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority").distinct()
     reads = cm.join(o, F.col("c_custkey") == F.col("o_custkey")).select("model_id", F.lit("input").alias("direction"), F.concat(F.lit("Ord."), "o_orderpriority").alias("name"), F.array(F.lit("order_id"), F.lit("o_totalprice")).alias("columns"), (F.col("c_custkey") * 10).alias("ord"))
     writes = cm.select("model_id", F.lit("output").alias("direction"), F.col("out_name").alias("name"), F.array(F.lit("total"), F.lit("as_of_date")).alias("columns"), (F.col("c_custkey") * 10 + 1).alias("ord"))
@@ -48,9 +48,9 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.unionByName(writes).unionByName(n_reads).unionByName(n_writes)
 
 
-def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scanned(spark: SparkSession, sf_dir: str, cm: DataFrame | None = None) -> DataFrame:
     """Scanned references: the extracted outputs in capitals (known), and a log table per segment (new)."""
-    cm = _customer_models(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment"), F.col("c_custkey") == F.col("k"))
+    cm = _customer_models(spark, sf_dir) if cm is None else cm
     known = cm.select("model_id", F.lit("output").alias("direction"), F.upper("out_name").alias("name"), (F.col("c_custkey") * 10 + 2).alias("ord"))
     new = cm.select("model_id", F.lit("input").alias("direction"), F.concat(F.lit("log_"), "c_mktsegment").alias("name"), (F.col("c_custkey") * 10 + 3).alias("ord"))
     return known.unionByName(new)
@@ -83,7 +83,8 @@ def usages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written once, since tables, columns and edges all read it."""
-    return written(L.reference_set(extracted(spark, sf_dir), scanned(spark, sf_dir)), "refs")
+    cm = written(_customer_models(spark, sf_dir), "customer-models")
+    return written(L.reference_set(extracted(spark, sf_dir, cm), scanned(spark, sf_dir, cm)), "refs")
 
 
 def state(spark: SparkSession, sf_dir: str, run_id: str = "r1") -> dict[str, DataFrame]:
