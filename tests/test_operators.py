@@ -289,11 +289,11 @@ def test_openlineage_is_json_and_report_writes(spark, tmp_path):
 
 def test_read_code(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "a.sas").write_text("data x; run;")
+    (tmp_path / "a.sas").write_text("data x;\n  set y;\nrun;\n")
     (tmp_path / "sub" / "b.py").write_bytes(b"x = 1 \xff\n")
     (tmp_path / "c.bin").write_text("no")
     rows = {r.filename: r.content for r in read_code(spark, f"file://{tmp_path}").collect()}
-    assert set(rows) == {"a.sas", "b.py"} and rows["b.py"].startswith("x = 1")
+    assert set(rows) == {"a.sas", "b.py"} and rows["b.py"].startswith("x = 1") and rows["a.sas"] == "data x;\n  set y;\nrun;\n"
 
 
 def test_stream_equals_batch(spark, tmp_path):

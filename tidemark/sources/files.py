@@ -13,5 +13,5 @@ def read_code(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIX
     """(filename, content) of the files below ``path`` with these suffixes; each is one row. Bytes that
     are no UTF-8 become replacement characters."""
     glob = "*.{" + ",".join(suffixes) + "}"
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)  # as options they would be reset
     return df.select(F.col("_metadata.file_name").alias("filename"), F.make_valid_utf8("value").alias("content"))
