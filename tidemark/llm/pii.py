@@ -45,9 +45,11 @@ def _halves(n: int) -> tuple[int, int]:
 _CLASSES = [_days(range(1, 13), range(1, 13)), _days(range(1, 13), range(13, 32)), _days(range(1, 10), range(1, 10)), _days(range(10, 13), range(1, 10)), _days(range(1, 10), range(10, 32)), _days(range(1, 10), range(13, 32))]
 _LEAPS = [len(_LEAP) if "02-28" in c else 0 for c in _CLASSES]
 
+#: Letters of the Latin, Greek and Cyrillic alphabets beyond ASCII, as ranges, which are tested faster than scripts.
+_BEYOND = r"\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0370-\u03FF\u0400-\u052F\u1E00-\u1FFF"
 #: A domain has no more than 126 labels besides the first (253 characters); of a longer one the rest
 #: stays as it is, like all of the domain. Without that bound the pattern's stack would grow with the labels.
-_EMAIL = r"(?<![[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]&&[^A-Za-z]][._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+){1,126}"
+_EMAIL = rf"(?<![{_BEYOND}][._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+){{1,126}}"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"
 _DAYS = {s: f"[0-9]{{4}}{c}[0-9]{{2}}{c}[0-9]{{2}}|[0-9]{{1,2}}{c}[0-9]{{1,2}}{c}[0-9]{{4}}" for s, c in (("-", "-"), ("/", "/"), (".", "[.]"))}
 _DATE = "|".join(_DAYS.values())
@@ -55,9 +57,10 @@ _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _IP = r"[0-9]{1,3}(?:[.][0-9]{1,3}){3}"
 _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 #: No digit, _, @ or letter of an alphabet whose words are set apart touches a value (in other scripts a value may
-#: stand right beside a letter); so an address with such letters beyond ASCII stays as it is, as a whole. A sign with a digit beyond it bars a value only where it could
+#: stand right beside a letter); so an address with such letters beyond ASCII stays as it is, as a whole. A sign with
+#: a digit beyond it bars a value only where it could
 #: carry on the same kind: 1.2.3.4:80, 1.2.3.4/24 and a date before T10:00 end there, 1.2.3.4.5 is no address.
-_NEAR = r"0-9_@\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
+_NEAR = f"A-Za-z0-9_@{_BEYOND}"
 _HEAD, _TAIL = f"(?<![{_NEAR}])", f"(?![{_NEAR}])"
 
 
