@@ -228,6 +228,7 @@ def redaction_issues(redacted: DataFrame, model_col: str, patterns: list[tuple[s
     parts = F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("name")).alias("o"), "name", "n")))
     one = by.groupBy("model_id").agg(parts.alias("p"), F.sum("n").alias("total"))
     said = F.array_join(F.transform("p", lambda x: F.concat(x["name"], F.lit("="), x["n"].cast("string"))), ", ")
+    # a fixed text
     return one.select("model_id", F.lit("info").alias("severity"), F.concat(F.lit("redacted "), F.col("total").cast("string"), F.lit(" token(s) before LLM call: "), said).alias("message"))
 
 

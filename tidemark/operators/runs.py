@@ -66,6 +66,7 @@ def apply_overrides(entities: DataFrame, key: Column | str, overrides: DataFrame
 def stale_overrides(overrides: DataFrame, targets: DataFrame) -> DataFrame:
     """A warning per override whose (target, field) is not in ``targets(target, field)``."""
     bad = overrides.join(targets.select("target", "field").distinct(), ["target", "field"], "left_anti")
+    # a fixed text
     said = F.concat(F.lit("stale override: target '"), "target", F.lit("' field '"), "field", F.lit("' not found on re-apply"))
     return bad.select("seq", F.lit("warning").alias("severity"), said.alias("message"))
 
@@ -99,6 +100,7 @@ def scrub(state: dict[str, DataFrame], local: bool, retain_source: bool) -> dict
     names = {"usages": "usages", "dq_rules": "rules", "calculations": "calcs", "column_edges": "edges"}
     if counts is not None:
         have = [k for k in names if k in state]
+        # a fixed text
         said = F.concat(F.lit("retention scrub: cleared source snippets in local mode ("), F.concat_ws(", ", *[F.concat(F.lit(names[k] + "="), F.col(k).cast("string")) for k in have]), F.lit("); set retain_source=true to keep them"))
         issue = counts.filter(" or ".join(f"{k} > 0" for k in have)).select(F.lit(None).cast("string").alias("model_id"), F.lit("info").alias("severity"), said.alias("message"))
         out["issues"] = state["issues"].select("model_id", "severity", "message").unionByName(issue) if "issues" in state else issue
