@@ -462,30 +462,44 @@ def test_reachable_with_more_seeds_than_bits(spark):
     assert got == want
 
 
-def test_delta_assembly_equals_a_full_one(spark, tmp_path):
-    """After random edits the kept state is that of all references, and only touched ranges are new."""
+def test_delta_assembly_equals_a_full_one(spark, tmp_path, monkeypatch):
+    """After random edits the kept state is that of all references and usages, and only touched ranges are new."""
+    monkeypatch.setattr(D, "LOG_FOLDERS", 1)
     rng = random.Random(11)
     path = f"file://{tmp_path}/delta"
     count = iter(range(1, 100_000))
-    drawn = lambda: [(rng.choice(["input", "output"]), f"t{rng.randrange(25)}", [f"c{rng.randrange(4)}" for _ in range(rng.randrange(3))], next(count), rng.choice("EH")) for _ in range(rng.randrange(4))]
-    refs = lambda models: spark.createDataFrame([(m, d, c, cols, n if n % 3 else -n, s) for m, rows in models.items() for d, c, cols, n, s in rows], "model_id string, direction string, canon string, columns array<string>, ord long, source string")
+    names = [*[f"t{k}" for k in range(22)], "t1.x", "t2.x"]
+    refers = lambda: [(rng.choice(["input", "output"]), rng.choice(names), rng.choices(["c0", "c1", "x.c0", "order_id"], k=rng.randrange(3)), next(count), rng.choice("EH")) for _ in range(rng.randrange(4))]
+    # elements of a table, of one that has a dotted column, in other spelling, of no table, of none that is known
+    uses = lambda: [(rng.choice(["t1.x.c0", "t3.c1", "T3.C1 ", "t4.order_id", "alone", "none.c0", f"{rng.choice(names)}.c0"]), rng.choice(["denominator", "join_key"]), next(count)) for _ in range(rng.randrange(3))]
+    drawn = lambda: (refers(), uses())
+    refs = lambda models: spark.createDataFrame([(m, d, c, cols, n if n % 3 else -n, s) for m, (rows, _) in models.items() for d, c, cols, n, s in rows], "model_id string, direction string, canon string, columns array<string>, ord long, source string")
+    usages = lambda models: spark.createDataFrame([(m, e, k, f"line {n}", n if n % 3 else -n) for m, (_, rows) in models.items() for e, k, n in rows], "model_id string, element string, usage_kind string, evidence string, ord long")
     none = spark.createDataFrame([], "model_id string, source_element string, target_element string, transformation_type string, ord long")
     models = {f"m{i}": drawn() for i in range(60)}
-    D.start(refs(models), L.table_edges(refs(models), none), path, ranges=16)
+    D.start(refs(models), L.table_edges(refs(models), none), path, ranges=16, usages=usages(models))
+    with pytest.raises(ValueError, match="usages"):
+        D.change(none.select("model_id"), refs(models), none, path)
     for size in (1, 4):
         before = {(f["kind"], f["part"]): f["folder"] for f in D.newest(spark, path)["folders"]}
         who = [rng.choice([*models, "m_new"]) for _ in range(size)]
-        models |= {m: rng.choice([drawn(), []]) for m in who}
-        full = refs(models)
-        D.change(spark.createDataFrame([(m,) for m in who], "model_id string"), full, L.table_edges(full, none), path)
+        models |= {m: ([("output", "t7", ["order_id"], next(count), "E")], []) if size == 1 else rng.choice([drawn(), drawn(), ([], [])]) for m in who}
+        full, used = refs(models), usages(models)
+        D.change(spark.createDataFrame([(m,) for m in who], "model_id string"), full, L.table_edges(full, none), path, used)
         rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
         assert rows(D.tables(spark, path)) == rows(L.table_totals(full).select("table_id", "name", "role", "source_system", "source", "n_produced", "n_consumed"))
         assert rows(D.columns(spark, path)) == rows(L.assemble_columns(full))
+        want = R.register_totals(used, L.table_totals(full), L.assemble_columns(full), L.table_models(full))
+        assert rows(D.rules(spark, path).select(want.columns)) == rows(want)
         cols = ["edge_id", "source_table_id", "target_table_id", "model_id", "transformation_type", "source"]
         assert rows(D.edges(spark, path).select(cols)) == rows(L.table_edges(full, none).select(cols))
-        after = {(f["kind"], f["part"]): f["folder"] for f in D.newest(spark, path)["folders"]}
-        for kind in ("refs", "edges"):
+        folders = D.newest(spark, path)["folders"]
+        after = {(f["kind"], f["part"]): f["folder"] for f in folders}
+        for kind in ("refs", "edges", "usages"):
             assert sum(before.get(k) != f for k, f in after.items() if k[0] == kind) <= len(set(who))
+        assert sum(f["kind"] == "log" for f in folders) <= 16
+        if size == 1:
+            assert 0 < sum(before.get(k) != f for k, f in after.items() if k[0] == "rules") < 16
 
 
 def test_stored_results_are_whole_and_made_once(spark, tmp_path):

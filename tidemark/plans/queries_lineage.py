@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
-from tidemark.functions.scratch import shared_dir
+from tidemark.functions.scratch import shared_dir, written
 from tidemark.operators import delta as D
 from tidemark.operators import graph as G
 from tidemark.operators import lineage as L
@@ -151,10 +151,9 @@ def d14_assemble_state(spark, d):
     return out
 
 
-@query("SELECT table_id, name, role, source_system, source, n_produced, n_consumed FROM tabs")
-def d14_delta_tables(spark, d):
-    """The tables after a change, from an older state: a quarter of the customers was not there, and every tenth read
-    and wrote a table that it no longer does."""
+def _after_edits(spark, d, rules: bool) -> str:
+    """The folder of a state after a change, from an older state: a quarter of the customers was not there, and every tenth
+    read, wrote and used a table that it no longer does."""
     path = f"{shared_dir(spark)}/delta-{uuid.uuid4().hex}"
     refs = S.refs(spark, d)
     late = S._customer_models(spark, d).filter("c_custkey % 4 = 1").select("model_id")
@@ -162,9 +161,20 @@ def d14_delta_tables(spark, d):
     edges = L.table_edges(refs, S.lineage_rows(spark, d))
     once = refs.join(other, "model_id", "left_semi").groupBy("model_id").agg(F.min("ord").alias("ord")).withColumn("direction", F.explode(F.array(F.lit("input"), F.lit("output"))))
     more = once.select("model_id", "direction", F.lit("old.table").alias("name"), F.array(F.lit("x")).alias("columns"), (F.col("ord") - 5).alias("ord"), F.lit("old.table").alias("canon"), F.lit("E").alias("source"))
-    D.start(refs.join(late, "model_id", "left_anti").unionByName(more), edges.join(late, "model_id", "left_anti"), path, ranges=16)
-    D.change(late.unionByName(other), refs, edges, path)
-    return D.tables(spark, path)
+    before = after = None
+    if rules:
+        after = written(S.usages(spark, d), "usages")
+        used = once.filter("direction = 'input'").select(F.lit("old.table.x").alias("element"), F.lit("denominator").alias("usage_kind"), F.lit("/ x").alias("evidence"), "model_id", (F.col("ord") - 5).alias("ord"))
+        before = after.join(late, "model_id", "left_anti").unionByName(used)
+    D.start(refs.join(late, "model_id", "left_anti").unionByName(more), edges.join(late, "model_id", "left_anti"), path, ranges=16, usages=before)
+    D.change(late.unionByName(other), refs, edges, path, after)
+    return path
+
+
+@query("SELECT table_id, name, role, source_system, source, n_produced, n_consumed FROM tabs")
+def d14_delta_tables(spark, d):
+    """The tables after a change."""
+    return D.tables(spark, _after_edits(spark, d, rules=False))
 
 
 # ---------------------------------------------------------------------------------------- rules
@@ -192,6 +202,16 @@ def e3_register(spark, d):
     return R.register_totals(S.usages(spark, d), L.table_totals(refs), L.assemble_columns(refs), L.table_models(refs)).select("rule_id", "element", "dimension", "rule_statement", "code_evidence")
 
 
+@query(f"""WITH {_U}, {_B}, a AS (SELECT element, dimension, rule_statement, CASE dimension WHEN 'Uniqueness' THEN 'High' ELSE 'Medium' END AS severity, 0 AS stage, '' AS code_evidence, 0 AS ord FROM bb UNION ALL SELECT element, dimension, rule_statement, severity, 1, evidence, ord FROM u),
+n AS (SELECT DISTINCT canon, model_id FROM refs), k AS (SELECT DISTINCT element, dimension, rule_statement FROM a),
+m AS (SELECT element, dimension, rule_statement, model_id FROM u UNION SELECT element, dimension, rule_statement, n.model_id FROM k JOIN n ON canon = substr(element, 1, length(element) - length(split_part(element, '.', -1)) - 1)),
+c AS (SELECT element, dimension, rule_statement, count(*) AS n_models FROM m GROUP BY ALL)
+SELECT {_RID} AS rule_id, element, dimension, rule_statement, arg_min(severity, stage * 1000000000 + ord) AS severity, arg_min(code_evidence, stage * 1000000000 + ord) AS code_evidence, any_value(n_models) AS n_models FROM a JOIN c USING (element, dimension, rule_statement) GROUP BY element, dimension, rule_statement""")
+def d14_delta_rules(spark, d):
+    """The rules after the same change, with the numbers of their models."""
+    return D.rules(spark, _after_edits(spark, d, rules=True)).select("rule_id", "element", "dimension", "rule_statement", "severity", "code_evidence", "n_models")
+
+
 @query(f"WITH {_U}, n AS (SELECT canon, list(DISTINCT model_id) AS all_models FROM refs GROUP BY canon), r AS (SELECT element, dimension, rule_statement, list(DISTINCT model_id) AS own FROM u GROUP BY element, dimension, rule_statement) SELECT {_RID} AS rule_id, CAST(len(list_distinct(list_concat(own, all_models))) AS BIGINT) AS n_models FROM r JOIN n ON canon = substr(element, 1, length(element) - length(split_part(element, '.', -1)) - 1)")
 def e4_attribute_models(spark, d):
     return R.attributed_totals(R.usage_candidates(S.usages(spark, d)), L.table_models(S.refs(spark, d)))
