@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,12 @@ def _write(df: DataFrame, path: str, kind: str, ranges: int) -> list[tuple]:
     return [(kind, r[0], f"{folder}/__part={r[0]}") for r in there.select("__part").distinct().collect()]
 
 
+def _write_all(kinds: dict[str, DataFrame], path: str, ranges: int) -> list[tuple]:
+    """The folders of all kinds; their jobs are small and run side by side."""
+    with ThreadPoolExecutor(len(kinds)) as pool:
+        return [x for folders in pool.map(lambda kind: _write(kinds[kind], path, kind, ranges), kinds) for x in folders]
+
+
 def read(spark: SparkSession, state: dict, kind: str, parts: set[int] | None = None) -> DataFrame:
     """A kind's rows, of all ranges or of ``parts``."""
     schema = StructType.fromJson(json.loads(state["schemas"][kind]))
@@ -108,7 +115,7 @@ def start(refs: DataFrame, edges: DataFrame, path: str, ranges: int = RANGES, us
         kinds["uses"] = _with_key(kinds["usages"])
         kinds["elements"] = written(_elements(_column_rows(own, F.lit(1))), "elements")
         kinds["rules"] = _register(kinds["uses"], kinds["elements"], L.table_totals(own), L.table_models(own))
-    folders = [x for k, df in kinds.items() for x in _write(df, path, k, ranges)]
+    folders = _write_all(kinds, path, ranges)
     _publish(refs.sparkSession, path, ranges, {k: df.schema.json() for k, df in kinds.items()}, folders)
 
 
@@ -131,8 +138,8 @@ def change(changed: DataFrame, refs: DataFrame, edges: DataFrame, path: str, usa
     one = F.lit(1).cast("long")
     log = lost.withColumn("sign", -one).unionByName(new.withColumn("sign", one))
     made = {"refs": old.join(who, "model_id", "left_anti").unionByName(new), "edges": read(spark, state, "edges", mine).join(who, "model_id", "left_anti").unionByName(edges.join(who, "model_id", "left_semi"))}
-    for kind, (rows, keys, counts) in _ROWS.items():
-        made[kind] = _counted(spark, state, kind, rows, keys, counts, lost, new, log, theirs)
+    with ThreadPoolExecutor(len(_ROWS)) as pool:
+        made |= dict(zip(_ROWS, pool.map(lambda kind: _counted(spark, state, kind, *_ROWS[kind], lost, new, log, theirs), _ROWS)))
     long = {p for p in theirs if sum(f["kind"] == "log" and f["part"] == p for f in state["folders"]) >= LOG_FOLDERS}
     kept = read(spark, state, "log", long).groupBy(*_SAME).agg(F.sum("sign").alias("sign")).filter("sign <> 0")
     done = {"refs": mine, "edges": mine, "tables": theirs, "columns": theirs, "log": long}
@@ -149,10 +156,9 @@ def _parts(df: DataFrame, key: str, ranges: int) -> set[int]:
 def _replaced(state: dict, path: str, made: dict[str, DataFrame], done: dict[str, set[int]]) -> dict:
     """``state`` with the rows ``made`` instead of the ranges ``done`` of each kind; not published yet."""
     folders = [f for f in state["folders"] if f["part"] not in done.get(f["kind"], ())]
-    for kind, df in made.items():
-        names = StructType.fromJson(json.loads(state["schemas"][kind])).names
-        folders += [{"kind": k, "part": p, "folder": f} for k, p, f in _write(df.select(*names), path, kind, state["ranges"])]
-    return {**state, "folders": folders}
+    rows = {kind: df.select(*StructType.fromJson(json.loads(state["schemas"][kind])).names) for kind, df in made.items()}
+    new = [{"kind": kind, "part": part, "folder": folder} for kind, part, folder in _write_all(rows, path, state["ranges"])]
+    return {**state, "folders": folders + new}
 
 
 def _change_rules(spark: SparkSession, before: dict, after: dict, path: str, usages: DataFrame, who: DataFrame, gained: DataFrame, touched: DataFrame) -> dict:
