@@ -19,6 +19,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 import corpus_pipeline
 from tidemark.llm import chat, common, components as components_module, exact_dedup, jaccard, nbsvm, patricia, pieces, pii, ppm, registry, sample, textcnn, tiling, warc
@@ -901,3 +902,19 @@ def test_stages_odd(spark):
         else:
             assert stage(spark, o, SF).count() <= len(ODD) and stage(spark, o.filter("false"), SF).count() == 0
     assert corpus_pipeline.toxicity(spark, o, SF).columns == o.columns
+
+
+def test_toxicity_is_learned_from_all_labelled_rows(spark, monkeypatch):
+    """More than 3,000 rows of a class, of which only the last by the hash order say what a word means; long texts count, too."""
+    toxic, n = F.col("doc_id") % 2 == 0, F.row_number().over(Window.partitionBy(F.col("doc_id") % 2).orderBy(F.xxhash64(F.col("doc_id").cast("string"))))
+    late = F.concat(F.lit("late words here"), F.when(F.col("doc_id") % 400 == 0, F.repeat(F.lit(" here"), 21_000)).otherwise(""))
+    text = F.when(~toxic, "plain words here").when(F.col("n") > 3000, late).otherwise("early words here")
+    df = spark.range(8000).withColumnRenamed("id", "doc_id").withColumn("n", n).select("doc_id", F.lit("en").alias("lang"), text.alias("text"), toxic.cast("int").alias("toxic"))
+    monkeypatch.setattr(textcnn, "SHARD_ROWS", 2000)
+    docs = df.repartition(3).cache()
+    models = [textcnn.fit_toxicity(d, docs.select("doc_id", "toxic")) for d in (docs, docs.repartition(5, "text"))]
+    asked = spark.createDataFrame([(0, "late", "en"), (1, "early", "en"), (2, "plain", "en")], "doc_id long, text string, lang string")
+    late, early, other = [r.score for r in textcnn.score_toxicity(asked, models[0]).orderBy("doc_id").collect()]
+    assert late > 0.5 and early > 0.5 and other < 0.5
+    sums = textcnn.Sums(models[0])
+    assert np.array_equal(*[m.state(sums) for m in models]) and models[0].thresholds == models[1].thresholds

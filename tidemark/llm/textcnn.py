@@ -2,22 +2,24 @@
 
 A word's vector is the sum of two rows of two hashed embedding tables. Filters of several widths run
 over the words, each keeps its maximum over the whole text, and a logistic unit joins them. Trained in
-numpy on the driver from a bounded sample; applied to whole texts in the tasks.
+the tasks on all labelled rows, in rounds: each shard of them goes on from the common model, and the changes
+are averaged by parameter. Applied to whole texts in the tasks.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import InitVar, dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, SPACE, SpanHash, arrow_type, batch, blocks, fold_of, words
+from .common import LOWER_TABLE, SPACE, SpanHash, arrow_type, batch, blocks, fold_of, staged, words
 from .exact_dedup import _ddl
-from .sample import labelled_sample, within
+from .sample import labelled_rows
 
 #: Words end at white space, control characters and ASCII punctuation.
 STOPS = SPACE.copy()
@@ -89,30 +91,49 @@ class TextCNN:
         return 1 / (1 + np.exp(-np.clip(self.logits(a, b, first).astype(np.float64), -40, 40)))
 
     def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, epochs: int = 5, size: int = 64, rate: float = 0.05, decay: float = 1e-4) -> None:
-        """Adagrad over mini-batches; a filter's gradient goes to the window that gave its maximum."""
+        """Mini-batches of some texts, in an order drawn anew for each epoch."""
         rng = np.random.default_rng(self.seed)
-        grads2 = {k: np.full_like(v, 1e-6) for k, v in self._params().items()}
-        rows2 = [np.full((1 << self.bits, 1), 1e-6, np.float32) for _ in range(2)]
-
-        def step(name: str, value: np.ndarray, grad: np.ndarray) -> None:
-            grads2[name] += grad**2
-            value -= (rate * grad / np.sqrt(grads2[name])).astype(np.float32)
-
+        sums = Sums(self)
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // size)):
-                a, b = (np.concatenate([texts[i][k] for i in part]) for k in (0, 1))
-                first = np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in part])])
-                grads, dx = self.gradients(a, b, first, y[part], weight[part])
-                for name, value in self._params().items():
-                    step(name, value, grads[name] + (0 if name == "conv_bias" else decay * value))
-                self.bias -= np.float32(rate * grads["bias"])
-                used = np.abs(dx).sum(1) > 0
-                for table, sums, ids in zip(self.tables, rows2, (a[used], b[used]), strict=True):
-                    rows, back = np.unique(ids, return_inverse=True)
-                    d = np.zeros((len(rows), self.dim), np.float32)
-                    np.add.at(d, back, dx[used])
-                    sums[rows] += (d**2).mean(1, keepdims=True)
-                    table[rows] -= rate * d / np.sqrt(sums[rows])
+                self.learn(sums, [texts[i] for i in part], y[part], weight[part], rate, decay)
+
+    def learn(self, sums: Sums, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, rate: float = 0.05, decay: float = 1e-4) -> None:
+        """A step of Adagrad; a filter's gradient goes to the window that gave its maximum."""
+        a, b = (np.concatenate([t[k] for t in texts]) for k in (0, 1))
+        first = np.concatenate([[0], np.cumsum([len(t[0]) for t in texts])])
+        grads, dx = self.gradients(a, b, first, y, weight)
+        for name, value in self._params().items():
+            grad = grads[name] + (0 if name == "conv_bias" else decay * value)
+            sums.dense[name] += grad**2
+            value -= (rate * grad / np.sqrt(sums.dense[name])).astype(np.float32)
+        self.bias -= np.float32(rate * grads["bias"])
+        used = np.abs(dx).sum(1) > 0
+        for table, held, ids in zip(self.tables, sums.rows, (a[used], b[used]), strict=True):
+            rows, back = np.unique(ids, return_inverse=True)
+            d = np.zeros((len(rows), self.dim), np.float32)
+            np.add.at(d, back, dx[used])
+            held[rows] += (d**2).mean(1, keepdims=True)
+            table[rows] -= rate * d / np.sqrt(held[rows])
+
+    def state(self, sums: Sums) -> np.ndarray:
+        """All parameters as rows of ``dim + 1`` values: each row of the two tables with its sum of squares, then the others
+        and their sums, filled up with zeros."""
+        rest = np.concatenate([*[v.ravel() for v in self._params().values()], [self.bias], *[v.ravel() for v in sums.dense.values()]]).astype(np.float32)
+        rest = np.append(rest, np.zeros(-len(rest) % (self.dim + 1), np.float32)).reshape(-1, self.dim + 1)
+        return np.concatenate([*[np.hstack([t, r]) for t, r in zip(self.tables, sums.rows, strict=True)], rest])
+
+    def restore(self, sums: Sums, state: np.ndarray) -> None:
+        """Takes what ``state`` gave."""
+        n = 1 << self.bits
+        for i in range(2):
+            self.tables[i], sums.rows[i] = state[i * n : (i + 1) * n, :-1].copy(), state[i * n : (i + 1) * n, -1:].copy()
+        rest, at = state[2 * n :].ravel(), 0
+        for value in [*self._params().values(), None, *sums.dense.values()]:
+            if value is None:
+                self.bias, at = np.float32(rest[at]), at + 1
+            else:
+                value[...], at = rest[at : at + value.size].reshape(value.shape), at + value.size
 
     def gradients(self, a: np.ndarray, b: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean weighted log loss by the parameters, and by each word's vector."""
@@ -142,9 +163,11 @@ class TextCNN:
     def _params(self) -> dict[str, np.ndarray]:
         return {f"conv{i}": c for i, c in enumerate(self.conv)} | {"conv_bias": self.conv_bias, "out": self.out}
 
-    def calibrate(self, scores: np.ndarray, y: np.ndarray, weight: np.ndarray, langs: list, precision: float, least: int = 25) -> None:
+    def calibrate(self, scores: np.ndarray, y: np.ndarray, weight: np.ndarray, langs: list, precision: float, least: int = 25, counts: np.ndarray | None = None) -> None:
         """For each language the lowest threshold from which on the weighted precision is reached;
-        languages with fewer than ``least`` rows of label 1 take the one over all rows."""
+        languages with fewer than ``least`` rows of label 1 take the one over all rows. An item stands for ``counts`` rows."""
+        counts = np.ones(len(y)) if counts is None else counts
+        weight = weight * counts
 
         def lowest(pick: np.ndarray) -> float:
             s, t, w = scores[pick], y[pick], weight[pick]
@@ -160,15 +183,94 @@ class TextCNN:
         if len(y):
             self.threshold = lowest(np.ones(len(y), bool))
             of = np.array([x or "" for x in langs])
-            self.thresholds = {str(x): lowest(of == x) for x in np.unique(of) if y[of == x].sum() >= least}
+            self.thresholds = {str(x): lowest(of == x) for x in np.unique(of) if (y * counts)[of == x].sum() >= least}
+
+
+@dataclass
+class Sums:
+    """Sums of squared gradients, by which Adagrad divides its steps."""
+
+    model: InitVar[TextCNN]
+
+    def __post_init__(self, model: TextCNN) -> None:
+        self.dense = {k: np.full_like(v, 1e-6) for k, v in model._params().items()}
+        self.rows = [np.full((1 << model.bits, 1), 1e-6, np.float32) for _ in range(2)]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = 3000, max_words: int = 20_000, max_total: int = 4_000_000, precision: float = 0.98, bits: int = 16) -> TextCNN:
-    """A classifier from at most ``per_class`` labelled rows of each class, of up to ``max_words`` words
-    each (longer ones are not learned from) and ``max_total`` together, which bounds what the driver holds to
-    32 MB. Null texts are empty. Four fifths train it, one fifth sets its thresholds. Rows
-    are weighted to the classes' true shares. Without labels it scores 0.5 everywhere, rejecting none."""
-    sample, share = labelled_sample(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), F.col(lang_col).cast("string").alias("__lang")), labels, id_col, label_col, per_class)
+#: Labelled rows that one task learns from in a round, rows of a step, and words from which on a step takes fewer rows.
+SHARD_ROWS, STEP_ROWS, STEP_WORDS = 8192, 64, 1 << 20
+#: Changes are summed as integers of this unit, so that their sum does not depend on the order of the tasks.
+UNIT = 2.0**-32
+#: Thresholds are sought among this many equal steps of the score.
+SCORE_STEPS = 1 << 16
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat, off = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[lo - off[0] : hi - off[0]] for lo, hi in zip(off[:-1], off[1:], strict=True)]
+
+
+def _round(rows: DataFrame, model: TextCNN, sums: Sums, weights: tuple[float, float]) -> None:
+    """Each shard of ``rows`` (written shard by shard) is learned from, beginning with the common model; the changes of
+    a parameter are averaged over the shards that changed it. What comes back is one model's size, whatever ``rows`` is."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, sums))
+    width = model.dim + 1
+    schema = pa.schema([("key", pa.int32()), *[(f"v{i}", pa.int64()) for i in range(width)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, shard, m, held = shared.value[0].state(shared.value[1]), None, None, []
+
+        def step() -> None:
+            if held:
+                y = np.array([h[2] for h in held], np.float64)
+                m[0].learn(m[1], [h[:2] for h in held], y, np.where(y == 1, weights[1], weights[0]))
+                held.clear()
+
+        def changes() -> Iterator[pa.RecordBatch]:
+            if m is not None:
+                step()
+                change = np.rint((m[0].state(m[1]).astype(np.float64) - start) / UNIT).astype(np.int64)
+                at = np.flatnonzero(change.any(1))
+                yield batch(schema, at, *[change[at, i] for i in range(width)])
+
+        for x in batches:
+            for s, y, a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), _lists(x.column(2)), _lists(x.column(3)), strict=True):
+                if s != shard:
+                    yield from changes()
+                    shard, m = s, copy.deepcopy(shared.value)
+                if len(held) == STEP_ROWS or sum(len(h[0]) for h in held) + len(a) > STEP_WORDS:
+                    step()
+                held.append((a, b, y))
+        yield from changes()
+
+    got = rows.select("shard", "label", "a", "b").mapInArrow(run, _ddl(schema)).groupBy("key").agg(F.count("*").alias("n"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)]).toArrow()
+    state = model.state(sums)
+    change = np.stack([got[f"v{i}"].to_numpy() for i in range(width)], 1) * UNIT / got["n"].to_numpy()[:, None]
+    state[got["key"].to_numpy()] += change.astype(np.float32)
+    model.restore(sums, state)
+    shared.destroy()
+
+
+def _score_counts(rows: DataFrame, model: TextCNN) -> DataFrame:
+    """(lang, label, step, n): how many rows have a score in each of SCORE_STEPS steps."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("lang", pa.string()), ("label", pa.int32()), ("step", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            none = np.zeros(0, np.int32)
+            s = np.concatenate([none, *[shared.value.score(a, b, np.array([0, len(a)])) for a, b in zip(_lists(x.column(2)), _lists(x.column(3)), strict=True)]])
+            yield batch(schema, x.column(0), x.column(1), np.minimum(s * SCORE_STEPS, SCORE_STEPS - 1).astype(np.int32))
+
+    return rows.select("lang", "label", "a", "b").mapInArrow(run, _ddl(schema)).groupBy("lang", "label", "step").agg(F.count("*").alias("n"))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", precision: float = 0.98, bits: int = 16, epochs: int = 5) -> TextCNN:
+    """A classifier from all labelled rows and their whole texts. Null texts are empty. Four fifths train it, by the hash of
+    the id, in rounds over shards of some SHARD_ROWS rows; one fifth, in full, sets its thresholds. The driver holds
+    the model and a count for each language, label and step of the score. Without labels it scores 0.5
+    everywhere, rejecting none."""
+    found, share = labelled_rows(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), F.col(lang_col).cast("string").alias("__lang")), labels, id_col, label_col)
     ints = pa.list_(pa.int32())
     schema = pa.schema([("order", pa.int64()), ("label", pa.int32()), ("lang", pa.string()), ("a", ints), ("b", ints)])
 
@@ -179,22 +281,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(v)) for v in (a, b)]
                 yield batch(schema, *[x.column(i).slice(lo, hi - lo) for i in range(3)], *lists)
 
-    rows = sample.select("order", "label", "__lang", F.coalesce("__text", F.lit("")).alias("__text")).mapInArrow(run, _ddl(schema))
-    got = within(rows.filter(F.size("a") <= max_words), "a", max_total).toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
+    rows = staged(found.select("order", "label", "__lang", F.coalesce("__text", F.lit("")).alias("__text")).mapInArrow(run, _ddl(schema)), "labelled")
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     model = TextCNN(bits=bits)
-    y = got["label"].to_numpy().astype(np.float64)
-    if len(y) == 0 or y.min() == y.max():
+    if n == 0 or ones in (0, n):
         model.out[:], model.threshold = 0, 2.0
         return model
-    texts = [(a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)) for a, b in zip(got["a"], got["b"], strict=True)]
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    check = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-    train = np.flatnonzero(~check)
-    model.fit([texts[i] for i in train], y[train], weight[train])
-    if check.any():
-        held = np.flatnonzero(check)
-        scores = np.concatenate([model.score(*texts[i], np.array([0, len(texts[i][0])])) for i in held])
-        model.calibrate(scores, y[held], weight[held], [got["lang"][int(i)].as_py() for i in held], precision)
+    weights = (1 - share) / (1 - ones / n), share / (ones / n)
+    held = (F.pmod(F.xxhash64("order"), F.lit(5)) == 4) if n >= 50 else F.lit(False)
+    shards = -(-n // SHARD_ROWS)
+    of = F.pmod("order", F.lit(shards)).cast("int")
+    sums, dealt = Sums(model), staged(rows.filter(~held).withColumn("shard", of).repartitionById(shards, "shard").sortWithinPartitions("shard", "order", "label").select("shard", "label", "a", "b"), "shards")
+    for _ in range(epochs):
+        _round(dealt, model, sums, weights)
+    got = _score_counts(rows.filter(held), model).toArrow()
+    y = got["label"].to_numpy().astype(np.float64)
+    model.calibrate((got["step"].to_numpy() + 0.5) / SCORE_STEPS, y, np.where(y == 1, weights[1], weights[0]), got["lang"].to_pylist(), precision, counts=got["n"].to_numpy())
     return model
 
 
