@@ -10,12 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
+from tidemark.functions.scratch import spread
 from tidemark.operators import checks as K
 from tidemark.operators import corpus as C
 from tidemark.operators import delta as D
 from tidemark.operators import graph as G
 from tidemark.operators import history as Y
 from tidemark.operators import lineage as L
+from tidemark.operators import patterns as PT
 from tidemark.operators import reports as P
 from tidemark.operators import rules as R
 from tidemark.operators import runs as H
@@ -554,3 +556,15 @@ def test_stalled_runs_leave_the_state(spark, tmp_path):
         J.run_available(J.stalled_runs(spark.readStream.schema("run_id string, ts timestamp, finished boolean").parquet(f"file://{tmp_path}/in"), 3600, "10 minutes"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     out = spark.read.parquet(f"{tmp_path}/out").select("run_id", F.expr("timestampdiff(MINUTE, timestamp'2024-01-01', last_ts)").alias("m"))
     assert sorted(map(tuple, out.collect())) == [("a", 10), ("a", 301), ("c", 300)]
+
+
+def test_scans_deal_few_bytes_to_many_tasks(spark):
+    """Scripts in one partition are searched in many, in every scan; lines that cannot match are not searched."""
+    code = spark.range(2000).coalesce(1).select(F.concat(F.lit("m"), "id").alias("model_id"), F.lit("x = 1").alias("code"))
+    for f in (S.sas_libnames, S.sas_references, S.python_references, S.python_usages, S.r_references, S.r_usages, S.vba_references, S.vba_usages):
+        plan = f(code)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [model_id" in plan, f
+    used = spread(code, "model_id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(used) >= 4 * spark.sparkContext.defaultParallelism - 1 and max(r["count"] for r in used) < 200
+    for signs, rows in ((PT.PY_SIGNS, PT.PY_USAGES), (PT.SAS_SIGNS, PT.SAS_USAGES)):
+        assert set(signs) == {r[1] for r in rows}

@@ -35,6 +35,8 @@ SAS_USAGES = [
     ("equality_set", r"(?i)\b(\w+)\s+in\s*\(", "High"),
     ("on", r"(?i)\bon\s+\w+\.(\w+)\s*=", "High"),
 ]
+#: What a match holds, in small letters: statements without it are not searched.
+SAS_SIGNS = {rx: signs for (_, rx, _), signs in zip(SAS_USAGES, [("/",), ("by",), ("group",), ("datepart", "mdy", "intnx"), ("input",), ("between",), ("where",), ("in",), ("on",)], strict=True)}
 SAS_ASSIGN = r"(?m)^\s*(\w+)\s*=(?!=)"
 SAS_KEEP = r"(?i)\bkeep\s+([\w\s]+)$"
 
@@ -92,6 +94,8 @@ PY_USAGES = [
     ("denominator", rf"{_OVER}\(\s*([A-Za-z_]\w*+)\s*\){_MORE}", 1, 0, "x / <col>"),
     ("range_filter", rf"(?<![-+*/%@<>]\s{{0,9}}){_SUB}\s*(?:>=|<=|>|<)\s*{_NUMBER}", 2, 1, "df[col] > n"),
 ]
+#: What a match holds: lines without it are not searched.
+PY_SIGNS = {rx: signs for (_, rx, *_), signs in zip(PY_USAGES, [("merge",), ("join",), ("groupby",), ("to_datetime",), ("astype",), ("isin",), ("between",), *[("/",)] * 5, ("<", ">")], strict=True)}
 PY_ASSIGN = rf"(?:^|;)\s*{_SUB}\s*=(?!=)"
 
 # R patterns on a whole script without comments.

@@ -5,17 +5,21 @@ references ``(model_id, direction, name)``, usages ``(model_id, element, usage_k
 confidence)``, or SAS library names ``(model_id, alias, system)``. Scripts are exploded into statements
 or lines; steps and bindings are windows over those of one script, so only rows of one script meet.
 Arrays are exploded in the outer form and nulls dropped, since for the inner form the optimiser adds
-filters that evaluate all patterns once more.
+filters that evaluate all patterns once more. Scripts are dealt to tasks by model, since a few MB of them take
+minutes to search; what meets within a script then needs no further shuffle.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.ids import path_stem, path_tail
-from tidemark.functions.scratch import written
+from tidemark.functions.scratch import spread, written
 
 from . import patterns as P
 from .corpus import PY_PLAIN, blank
@@ -27,10 +31,18 @@ def _hits(text: Column | str, rx: str, *groups: int) -> Column:
     return F.transform(zipped, lambda z: F.struct(*[z[str(i)].alias(n) for i, n in enumerate(names)]))
 
 
+def _if_any(text: Column | str, rx: str, signs: dict[str, tuple[str, ...]], rows: Column, kind: str) -> Column:
+    """``rows`` of type ``kind`` where the text can match: it holds one of the pattern's signs or, where none are known, is
+    searched once; else none. Most texts match few patterns, and ``rows`` searches once for each group."""
+    text = F.col(text) if isinstance(text, str) else text
+    could = [text.contains(x) for x in signs[rx]] if rx in signs else [text.rlike(rx)]
+    return F.when(functools.reduce(operator.or_, could), rows).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 # ------------------------------------------------------------------------------------------- SAS
 def sas_libnames(code: DataFrame) -> DataFrame:
     """Library names; of one alias that stands twice the last is taken."""
-    bare = code.select("model_id", blank("code", "SAS", strings=False).alias("code"))
+    bare = spread(code, "model_id").select("model_id", blank("code", "SAS", strings=False).alias("code"))
     rows = bare.select("model_id", F.posexplode_outer(_hits("code", P.SAS_LIBNAME, 1, 2)).alias("ord", "h")).filter("h is not null")
     return rows.groupBy("model_id", F.col("h.g1").alias("alias")).agg(F.max_by(F.trim("h.g2"), "ord").alias("system"))
 
@@ -40,7 +52,7 @@ def sas_statements(code: DataFrame, extra: list[str] | None = None) -> DataFrame
     position of the innermost DATA step or CREATE TABLE that is open, null outside; ``step_out`` its
     output. Steps end with RUN or QUIT, or with the script."""
     extra = extra or []
-    bare = code.select("model_id", *extra, blank("code", "SAS").alias("code"))
+    bare = spread(code, "model_id").select("model_id", *extra, blank("code", "SAS").alias("code"))
     s = bare.select("model_id", *extra, F.posexplode_outer(F.split("code", ";")).alias("i", "stmt")).filter("stmt is not null")
     opened = F.when(F.col("stmt").rlike(P.SAS_OPENERS), F.col("i"))
     w = Window.partitionBy("model_id").orderBy("i")
@@ -87,13 +99,13 @@ def sas_usages(code: DataFrame, more: list[tuple[str, str, str]] | None = None)
     """Usages of SAS scripts. BY keys are join keys, or aggregated if the script runs MEANS, SUMMARY or
     FREQ; ON keys are cross-system joins with two libraries or more. ORDER BY gives nothing and GROUP BY
     only the grain. ``more``: further (kind, pattern, confidence) rows."""
-    flags = code.withColumn("__libs", F.size(F.array_distinct(F.regexp_extract_all(blank("code", "SAS", strings=False), F.lit(P.SAS_LIBNAME), F.lit(1))))).withColumn("__agg", blank("code", "SAS").rlike(P.SAS_AGGREGATES))
+    flags = spread(code, "model_id").withColumn("__libs", F.size(F.array_distinct(F.regexp_extract_all(blank("code", "SAS", strings=False), F.lit(P.SAS_LIBNAME), F.lit(1))))).withColumn("__agg", blank("code", "SAS").rlike(P.SAS_AGGREGATES))
     # read three times below: hits, step tables and measures
     s = written(sas_statements(flags, ["__libs", "__agg"]), "statements")
     rows = []
     for kind, rx, conf in [*P.SAS_USAGES, *(more or [])]:
         real = {"by": F.when(F.col("__agg"), "aggregated").otherwise("join_key"), "on": F.when(F.col("__libs") >= 2, "cross_system_join").otherwise("join_key")}.get(kind, F.lit(kind))
-        rows.append(_usage_rows(rx, real, conf))
+        rows.append(_if_any(F.lower("stmt") if rx in P.SAS_SIGNS else "stmt", rx, P.SAS_SIGNS, _usage_rows(rx, real, conf), "struct<kind:string,cols:string,evidence:string,conf:string>"))
     hits = s.select("model_id", "step", F.explode_outer(F.flatten(F.array(*rows))).alias("u")).filter("u is not null")
     words = F.array(*[F.lit(w) for w in P.SAS_WORDS])
     hits = hits.withColumn("col", F.explode_outer(F.split("u.cols", r"[,\s]+"))).filter("col <> ''").filter(~F.array_contains(words, F.lower("col")))
@@ -118,7 +130,7 @@ def _sas_measures(s: DataFrame, tables: DataFrame, words: Column) -> DataFrame:
 # ---------------------------------------------------------------------------------------- Python
 def python_references(code: DataFrame) -> DataFrame:
     """Paths read and written as string arguments; queries are not references."""
-    bare = code.select("model_id", blank("code", "Python").alias("code"))
+    bare = spread(code, "model_id").select("model_id", blank("code", "Python").alias("code"))
     both = F.concat(F.transform(_hits("code", P.PY_READ_ANY, 2), lambda h: F.struct(F.lit("input").alias("direction"), h["g2"].alias("name"))), F.transform(_hits("code", P.PY_WRITE, 2), lambda h: F.struct(F.lit("output").alias("direction"), h["g2"].alias("name"))))
     return bare.select("model_id", F.explode_outer(both).alias("r")).filter("r is not null").select("model_id", "r.direction", "r.name").distinct()
 
@@ -128,20 +140,21 @@ def python_usages(code: DataFrame, more: list[tuple[str, str, int, int, str]] |
     that of its last read before the use, else the script's first read before it; that of a column assigned is
     its frame's last read in the script. With two kinds of readers join keys are cross-system joins. Columns assigned
     in a script that writes are output measures of medium confidence, once per element."""
-    bare = code.select("model_id", F.col("code").alias("full"), blank("code", "Python").alias("code"))
+    bare = spread(code, "model_id").select("model_id", F.col("code").alias("full"), blank("code", "Python").alias("code"))
     bare = bare.withColumn("__kinds", F.size(F.array_distinct(F.regexp_extract_all("code", F.lit(P.PY_READ_KIND), F.lit(1))))).withColumn("__writes", F.col("code").rlike(P.PY_WRITE_KIND))
     # ``text`` has no strings with quotes in them, ``sums`` none with slashes either, ``whole`` has both; their
     # logical lines are the same, for strings hold no line end and bracketed parts are taken as wholes
-    cut = lambda c: F.transform(F.regexp_extract_all(c, F.lit(P.PY_LOGICAL), F.lit(0)), lambda x: F.regexp_replace(x, r"\\\r?\n", " "))
+    cut = lambda c: F.transform(F.regexp_extract_all(c, F.lit(P.PY_LOGICAL), F.lit(0)), lambda x: F.when(x.contains("\\"), F.regexp_replace(x, r"\\\r?\n", " ")).otherwise(x))
     texts = F.arrays_zip(*[cut(c).alias(n) for n, c in (("whole", F.col("code")), *((n, F.regexp_replace("full", rx, "$1")) for n, rx in zip(("text", "sums"), PY_PLAIN, strict=True)))])
     lines = bare.select("model_id", "__kinds", "__writes", F.posexplode_outer(texts).alias("line", "t")).filter("t is not null").select("model_id", "__kinds", "__writes", "line", "t.*")
     uses = []
     for kind, rx, col, var, said in [*P.PY_USAGES, *(more or [])]:
-        uses.append(_py_rows("sums" if kind == "denominator" else "text", kind, rx, col, var, said))
+        text = "sums" if kind == "denominator" else "text"
+        uses.append(_if_any(text, rx, P.PY_SIGNS, _py_rows(text, kind, rx, col, var, said), _PY_ROW))
     measure = F.transform(_hits("text", P.PY_ASSIGN, 1, 2), lambda h: _py_row(F.lit("output_measure"), h["g2"], F.nullif(h["g1"], F.lit("")), F.concat(F.lit('df["'), h["g2"], F.lit('"] = ...; df.to_*()'))))
-    uses.append(F.when(F.col("__writes"), measure).otherwise(F.filter(measure, lambda _: F.lit(False))))
+    uses.append(F.when(F.col("__writes"), _if_any("text", P.PY_ASSIGN, {P.PY_ASSIGN: ("=",)}, measure, _PY_ROW)).otherwise(F.array().cast(f"array<{_PY_ROW}>")))
     # reads come with the uses, as rows whose column is the table they bind
-    uses.append(F.transform(_hits("whole", P.PY_READ, 1, 3), lambda h: _py_row(F.lit("read"), path_stem(h["g3"]), h["g1"], F.lit(""))))
+    uses.append(_if_any("whole", P.PY_READ, {P.PY_READ: ("read_",)}, F.transform(_hits("whole", P.PY_READ, 1, 3), lambda h: _py_row(F.lit("read"), path_stem(h["g3"]), h["g1"], F.lit(""))), _PY_ROW))
     rows = lines.select("model_id", "line", "__kinds", F.explode_outer(F.flatten(F.array(*uses))).alias("u")).filter("u is not null")
     bound = F.when(F.col("u.kind") == "read", F.col("u.col"))
     at = F.struct(F.when(F.col("u.kind") == "output_measure", F.lit(2**31 - 1)).otherwise(F.col("line")).alias("line"), F.when(bound.isNull(), 1).otherwise(0).alias("use"))
@@ -158,6 +171,9 @@ def python_usages(code: DataFrame, more: list[tuple[str, str, int, int, str]] |
     return out.withColumn("__n", nth).filter("__n = 1 or usage_kind <> 'output_measure'").drop("__n")
 
 
+_PY_ROW = "struct<kind:string,col:string,var:string,evidence:string>"
+
+
 def _py_row(kind: Column, col: Column, var: Column, evidence: Column) -> Column:
     return F.struct(kind.alias("kind"), col.alias("col"), var.cast("string").alias("var"), evidence.alias("evidence"))
 
@@ -176,7 +192,7 @@ def _py_rows(text: str, kind: str, rx: str, col: int, var: int, said: str) -> Co
 # --------------------------------------------------------------------------------------------- R
 def r_references(code: DataFrame) -> DataFrame:
     """Last path segments of files read and written."""
-    bare = code.select("model_id", blank("code", "R", strings=False).alias("code"))
+    bare = spread(code, "model_id").select("model_id", blank("code", "R", strings=False).alias("code"))
     both = F.concat(*[F.transform(F.regexp_extract_all("code", F.lit(rx), F.lit(1)), _directed(d)) for d, rx in (("input", P.R_READ), ("output", P.R_WRITE))])
     return bare.select("model_id", F.explode_outer(both).alias("r")).filter("r is not null").select("model_id", "r.direction", path_tail("r.name").alias("name")).distinct()
 
@@ -188,7 +204,7 @@ def _directed(direction: str):
 def r_usages(code: DataFrame, more: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """Join keys, grouping columns, numeric filters, denominators, and ``$`` columns assigned on a data
     frame that the script writes (medium confidence). Elements are bare column names."""
-    both = code.select("model_id", blank("code", "R", strings=False).alias("code"), blank("code", "R").alias("bare"))
+    both = spread(code, "model_id").select("model_id", blank("code", "R", strings=False).alias("code"), blank("code", "R").alias("bare"))
     row = lambda kind, col, said, conf="High": F.struct(F.lit(kind).alias("kind"), col.alias("cols"), said.alias("evidence"), F.lit(conf).alias("conf"), F.lit(None).cast("string").alias("df"))
     joins = F.transform(F.regexp_extract_all("code", F.lit(P.R_JOIN), F.lit(1)), lambda k: row("join_key", k, F.concat(F.lit('by = "'), k, F.lit('"'))))
     groups = F.transform(_hits("bare", P.R_GROUP, 1), lambda h: row("aggregated", h["g1"], F.trim(h["m"])))
@@ -205,7 +221,7 @@ def r_usages(code: DataFrame, more: list[tuple[str, str, str]] | None = None) ->
 
 # ------------------------------------------------------------------------------------------- VBA
 def _vba(code: DataFrame) -> tuple[DataFrame, DataFrame]:
-    bare = code.select("model_id", blank("code", "VBA").alias("code"))
+    bare = spread(code, "model_id").select("model_id", blank("code", "VBA").alias("code"))
     lines = bare.select("model_id", F.posexplode_outer(F.split("code", r"\r?\n")).alias("line", "text")).filter("text is not null").withColumn("text", F.trim("text"))
     bound = lines.select("model_id", "line", F.explode_outer(_hits("text", P.VBA_BIND, 1, 2)).alias("h")).filter("h is not null").groupBy("model_id", F.col("h.g1").alias("var")).agg(F.max_by("h.g2", "line").alias("sheet"))
     return lines, bound
