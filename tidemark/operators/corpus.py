@@ -224,7 +224,8 @@ def redact(docs: DataFrame, text_col: str, patterns: list[tuple[str, str, str]]
 def redaction_issues(redacted: DataFrame, model_col: str, patterns: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """An info issue for each model with hits: (model_id, severity, message)."""
     order = F.array(*[F.lit(p[0]) for p in (REDACTIONS if patterns is None else patterns)])
-    by = redacted.select(F.col(model_col).alias("model_id"), F.explode("hits").alias("name", "n")).groupBy("model_id", "name").agg(F.sum("n").alias("n"))
+    # the outer form: for the inner one the optimiser adds a filter on ``hits``, which searches all texts once more
+    by = redacted.select(F.col(model_col).alias("model_id"), F.explode_outer("hits").alias("name", "n")).filter("name is not null").groupBy("model_id", "name").agg(F.sum("n").alias("n"))
     parts = F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("name")).alias("o"), "name", "n")))
     one = by.groupBy("model_id").agg(parts.alias("p"), F.sum("n").alias("total"))
     said = F.array_join(F.transform("p", lambda x: F.concat(x["name"], F.lit("="), x["n"].cast("string"))), ", ")
