@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
-from tidemark.functions.scratch import shared_dir
+from tidemark.functions.scratch import shared_dir, spread
 from tidemark.operators import corpus as C
 from tidemark.operators import lineage as L
 from tidemark.operators import scan as S
@@ -258,7 +258,8 @@ def a15_d1_read_and_merge(spark, d):
         F.lit('{"executive_summary": '), q("o_orderpriority"), F.lit(', "assumptions": ['), q(s), F.lit(', "common"], "methodology_steps": '), q(F.lit("s"), k.cast("string")), F.lit(', "limitations": null, "transformations": ['), q(s), F.lit(', "u"]'),
         F.lit(', "calculations": [{"target": '), q(F.lit("a."), s), F.lit(', "expression": "x + 1"}, {"target": "none"}], "input_tables": {'), q(F.lit("t_"), s), F.lit(": ["), q(F.substring("o_orderpriority", 1, 1)), F.lit(']}, "lineage_rows": '), q(F.lit("a."), s, F.lit(" -> b.x")), F.when(k % 7 == 0, F.lit("")).otherwise(F.lit("}")),
     )
-    good, _ = X.parse_extractions(table(spark, d, "orders").select(F.col("o_custkey").alias("model_id"), k.alias("chunk_no"), raw.alias("raw")))
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    good, _ = X.parse_extractions(orders.select(F.col("o_custkey").alias("model_id"), k.alias("chunk_no"), raw.alias("raw")))
     m = L.merge_extractions(good)
     t = m["tables"].groupBy("model_id").agg(F.count("*").alias("n_tables"), F.sum(F.size("columns")).cast("long").alias("n_columns"))
     n = lambda kind, c: m[kind].groupBy("model_id").agg(F.count("*").alias(c))
