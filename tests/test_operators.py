@@ -172,6 +172,89 @@ def test_totals_are_sizes_of_the_arrays_without_arrays(spark):
     assert got == {tuple(r) for r in R.register(usages, tables, columns).select(*names, size("model_ids")).collect()} and len(got) > 100
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_register_gathers_models_only_where_they_are_read(spark):
+    refs, usages = state.refs(spark, SF), state.usages(spark, SF)
+    r = R.register(usages, L.assemble_tables(refs), L.assemble_columns(refs))
+    assert "collect_list" not in _plan(r.drop("model_ids")) and "collect_list" in _plan(r)
+
+
+def test_register_orders_models_by_table_then_usage_then_spelt_table(spark):
+    tables = spark.createDataFrame([("i", "t", "Source", ["m1"], ["m2", "m1"]), ("j", "o", "Source", ["m7"], ["m3"])], "table_id string, name string, role string, produced_by array<string>, consumed_by array<string>")
+    columns = spark.createDataFrame([("i", "x")], "table_id string, name string")
+    usages = spark.createDataFrame([("o.y", "denominator", "b", "m9", 2), ("o.y", "denominator", "a", "m3", 1), (".", "denominator", "c", None, 1)], "element string, usage_kind string, evidence string, model_id string, ord int")
+    got = {r.element: (r.dimension, r.code_evidence, r.model_ids) for r in R.register(usages, tables, columns).collect()}
+    assert got == {"t.x": ("Completeness", "", ["m1", "m2"]), "o.y": ("Validity", "a", ["m3", "m9", "m7"]), ".": ("Validity", "c", [])}
+
+
+def test_element_tables(spark):
+    e = ["a.b", "a.b.c", "a", ".a", "a.", "a..", "..a", "x\ny.b\n", "", None, "."]
+    got = [tuple(r) for r in spark.createDataFrame([(x,) for x in e], "e string").select(ids.element_table("e"), ids.element_table("e", strict=True)).collect()]
+    whole = [None if x is None or "." not in x or x.rindex(".") == 0 else x[: x.rindex(".")] for x in e]
+    assert got == [(w, w if w and "." in w else None) for w in whole]
+
+
+def test_summary_and_register_count_without_arrays_of_models(spark):
+    s = state.state(spark, SF)
+    io, whole = P.model_register(s).filter("section_no in (4, 8)"), P.run_summary(s).first()
+    want = P.model_register({k: v for k, v in s.items() if k != "table_models"}).filter("section_no in (4, 8)")
+    assert sorted(map(tuple, io.collect())) == sorted(map(tuple, want.collect()))
+    assert "collect_list" not in _plan(io) and "produced_by" not in _plan(P.run_summary(s))
+    assert whole == P.run_summary({k: v for k, v in s.items() if k != "table_totals"}).first()
+
+
+def _counted(df, column):
+    """``df`` whose ``column`` passes a counter of the rows that are made."""
+    n = df.sparkSession.sparkContext.accumulator(0)
+
+    def seen(x):
+        n.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(seen, "string").asNondeterministic()(column)), n
+
+
+def test_register_makes_each_part_once_and_names_models_that_lack_it(spark):
+    s = state.state(spark, SF)
+    models = spark.createDataFrame([("m1", "a"), ("m1", "a"), ("m2", "b"), ("m2", "b")], "model_id string, label string").withColumns({"language": F.lit("R"), "source_files": F.array(), "status": F.lit("s"), "purpose": F.lit(""), "confidence": F.lit("Low")})
+    calcs, n = _counted(spark.createDataFrame([("m1", "t", "e"), ("m3", "u", "f")], "model_id string, target string, expression string"), "target")
+    got = P.model_register({**s, "models": models, "calculations": calcs}).filter("section_no = 7").select("model_id", "key", "value")
+    assert sorted(map(tuple, got.collect())) == [("m1", "t", "e"), ("m2", "", P.MISSING), ("m2", "", P.MISSING), ("m3", "u", "f")] and n.value == 2
+
+
+def test_project_summary_makes_its_rows_once(spark):
+    s = state.state(spark, SF)
+    s["models"], n = _counted(s["models"], "purpose")
+    p = P.project_summary(s, spark.createDataFrame([], "path array<string>"))
+    assert p.filter("section = 'Cross-model lineage'").count() == 1 and p.filter("section = 'Model inventory'").count() == n.value
+
+
+@pytest.mark.parametrize("ask", [G.path_counts, lambda t, e: G.shortest_paths(t, e, 2)])
+def test_paths_make_their_edges_once(spark, ask):
+    tables = spark.createDataFrame([("a", "Source"), ("b", "Intermediate"), ("c", "Output")], "table_id string, role string")
+    edges, n = _counted(spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "c")], "source_table_id string, target_table_id string"), "source_table_id")
+    assert ask(tables, edges)[0].count() == 1 and n.value == 3
+
+
+def test_hops_are_the_pairs_of_the_edges(spark):
+    refs, rows = state.refs(spark, SF), state.lineage_rows(spark, SF)
+    pair = ["source_table_id", "target_table_id"]
+    assert sorted(map(tuple, L.table_hops(refs, rows).collect())) == sorted(map(tuple, L.table_edges(refs, rows).select(pair).distinct().collect()))
+
+
+def test_delta_has_its_edges_and_models_written(spark, monkeypatch):
+    from tidemark.plans import queries_lineage as Q
+
+    seen, start, totals = [], D.start, R.register_totals
+    monkeypatch.setattr(D, "start", lambda refs, edges, *a, **k: (seen.append(edges), start(refs, edges, *a, **k)))
+    monkeypatch.setattr(R, "register_totals", lambda u, t, c, models: (seen.append(models), totals(u, t, c, models))[1])
+    Q.d14_delta_rules(spark, SF)
+    assert len(seen) == 3 and "Aggregate" not in "".join(map(_plan, seen))
+
+
 def test_learned_range_is_exact_over_ranges(spark):
     for n in (1, 2, 7, 1000):
         t = spark.range(n).select(F.when(F.col("id") % 5 != 4, (F.col("id") * 37 % 101) / 4).alias("x")).repartition(4)

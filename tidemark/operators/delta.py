@@ -114,7 +114,7 @@ def start(refs: DataFrame, edges: DataFrame, path: str, ranges: int = RANGES, us
         kinds["usages"] = written(usages.select("model_id", "element", "usage_kind", "evidence", "ord"), "usages")
         kinds["uses"] = _with_key(kinds["usages"])
         kinds["elements"] = written(_elements(_column_rows(own, F.lit(1))), "elements")
-        kinds["rules"] = _register(kinds["uses"], kinds["elements"], L.table_totals(own), L.table_models(own))
+        kinds["rules"] = _register(kinds["uses"], kinds["elements"], L.table_totals(own), written(L.table_models(own), "models"))
     folders = _write_all(kinds, path, ranges)
     _publish(refs.sparkSession, path, ranges, {k: df.schema.json() for k, df in kinds.items()}, folders)
 
@@ -181,15 +181,16 @@ def _change_rules(spark: SparkSession, before: dict, after: dict, path: str, usa
     of = written(spelt.select(ids.element_table("element").alias("canon")).filter("canon IS NOT NULL").unionByName(e.select("canon")).distinct(), "of")
     where = _parts(of, "canon", ranges)
     tables = _as_tables(read(spark, after, "tables", where).join(of, "canon", "left_semi"))
-    models = L.table_models(_standing(read(spark, after, "log", where).join(of, "canon", "left_semi")))
+    log = read(spark, after, "log", where).join(of, "canon", "left_semi")
+    models = written(L.table_models(_standing(log, "model_id", "direction", "canon", "ord")), "models")
     rules = read(spark, before, "rules", parts).join(keys, "key", "left_anti").unionByName(_register(u, e, tables, models))
     made = {"usages": old.join(who, "model_id", "left_anti").unionByName(new), "uses": uses, "elements": elements, "rules": rules}
     return _replaced(after, path, made, {"usages": mine, "uses": parts, "elements": parts, "rules": parts})
 
 
-def _standing(log: DataFrame) -> DataFrame:
-    """The references of a log that were not taken away."""
-    return log.groupBy(*_SAME).agg(F.sum("sign").alias("n")).filter("n > 0")
+def _standing(log: DataFrame, *by: str) -> DataFrame:
+    """The references of a log that were not taken away, or their columns ``by``, once each."""
+    return log.groupBy(*(by or _SAME)).agg(F.sum("sign").alias("n")).filter("n > 0")
 
 
 def _counted(spark: SparkSession, state: dict, kind: str, rows, keys: tuple[str, ...], counts: tuple[str, ...], lost: DataFrame, new: DataFrame, log: DataFrame, parts: set[int]) -> DataFrame:
